@@ -43,3 +43,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
 }
+
+
+
+def url_sql() -> str:
+    """The URL filter's verdicts from the same rules, without an index."""
+    listed = sorted(url_filter.LISTED, key=lambda r: (-len(r.name), r.name))
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    case = lambda of, other: "case " + " ".join(f"when regexp_matches(spot, {quote(r.pattern)}) then {quote(of(r))}" for r in listed) + f" else {other} end"
+    spam = " or ".join(f"regexp_matches(spot, {quote(r.pattern)})" for r in url_filter.PATTERNS)
+    wanted = ", ".join(quote(t) for t in sorted({t for r in (*url_filter.LISTED, *url_filter.PATTERNS) for t in r.tokens}))
+    rules = ", ".join(f"({k}, [{', '.join(map(quote, r.tokens))}])" for k, r in enumerate((*url_filter.LISTED, *url_filter.PATTERNS)))
+    return rf"""
+with rest as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+parts as (select page_id, lower(regexp_extract(rest, '^[^/?#]*')) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rest),
+urls as (select *, host || path as spot, list_distinct(list_filter(regexp_split_to_array(lower(host || path), '[^a-z0-9]+'), lambda t: t in ({wanted}))) as tokens from parts),
+counts as (select token, count(*) as n from (select unnest(tokens) as token from urls) group by token),
+rules(k, tokens) as (values {rules}),
+indexed as (select k, arg_min(token, (coalesce(n, 0), token)) as token from (select k, unnest(tokens) as token from rules) left join counts using (token) group by k),
+fetched as (select token, count(*) as n from indexed group by token)
+select page_id, host, path, {case(lambda r: r.name, "null")} as rule,
+  {case(lambda r: r.verdict, f"case when {spam} then 'block' else 'allow' end")} as verdict,
+  coalesce((select sum(n) from fetched where list_contains(tokens, token)), 0)::bigint as n_candidates
+from urls"""
+
+
+_DOCS = r"""
+rows as (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents)"""
+
+#: DuckDB SQL of the queries that SQL can express.
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+shown as (
+  select *, regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\2\\\3', 'g') as safe_text,
+    regexp_replace(role, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\2\\\3', 'g') as safe_role from turns)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length(safe_text) + length(safe_role) + 20)::bigint as formatted_chars,
+  bool_or(safe_text <> text or safe_role <> role) as escaped
+from shown group by conv_id""",
+    "op3_exact_dedup": f"""
+with {_DOCS},
+ranked as (
+  select *, count(*) over (partition by norm) as n, first_value(doc_id) over w as keep_id, row_number() over w as rank
+  from rows window w as (partition by norm order by length(text) desc, doc_id nulls last))
+select doc_id, keep_id, n::bigint as group_size, rank = 1 as kept, sha256(norm) as text_sha256 from ranked""",
+    "op9_url_filter": url_sql(),
+}
