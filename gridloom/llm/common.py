@@ -50,3 +50,9 @@ def whole_text(col: str = "text") -> Column:
 def salt(*cols: Column) -> Column:
     """A row's piece number; rows of one hot key fall into ``SALTS`` pieces."""
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 512 rows and 32 MB, so that long texts don't add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
