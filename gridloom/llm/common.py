@@ -56,3 +56,16 @@ def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 512 rows and 32 MB, so that long texts don't add up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
+def per_key(rows: DataFrame, key: list[str], aggregates: dict[str, tuple[str, str]], piece: str) -> DataFrame:
+    """``rows`` with aggregates over ``key``, joined back without one task getting a hot key.
+
+    ``aggregates`` maps a new column to (function, column), of functions that
+    combine (min, max, sum).  ``piece`` is a column of ``rows`` with the row's
+    salt.  Sums are made per (key, piece) and then per key, and meet the rows
+    again on (key, piece), so a key's rows stay dealt over its pieces.
+    """
+    parts = rows.groupBy(*key, piece).agg(*[getattr(F, f)(c).alias(n) for n, (f, c) in aggregates.items()])
+    whole = parts.groupBy(*key).agg(*[getattr(F, f)(n).alias(n) for n, (f, _) in aggregates.items()], F.collect_set(piece).alias("__pieces"))
+    return rows.join(whole.withColumn(piece, F.explode("__pieces")).drop("__pieces"), [*key, piece])
