@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, mixing, pii, simhash, url_filter
+from . import bpe, chat_format, exact_dedup, mixing, pii, quality, simhash, url_filter
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.pii(table(spark, sf_dir, "documents")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents")).drop("perplexity")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     shards = F.array_join(F.transform("copies", lambda c: c["shard"].cast("string")), ",")
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
