@@ -136,6 +136,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, once per copy, with all their columns and ``__shard`` and ``__order``: write by shard, sorted by order, for shuffled shards."""
     _, sources = plan(docs, **options)
     seed = options.get("seed", SEED)
-    found = placed(keyed(docs, seed), sources, options.get("blocks", BLOCKS), seed)
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
+    found = placed(keyed(rows, seed), sources, options.get("blocks", BLOCKS), seed)
     found = found.withColumn("__copy", F.explode("copies"))
-    return found.select(*docs.columns, F.col("__copy.shard").alias("__shard"), F.col("__copy.order").alias("__order"))
+    return found.select("row.*", F.col("__copy.shard").alias("__shard"), F.col("__copy.order").alias("__order"))

@@ -66,17 +66,26 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = WORDS, carry: bool = False) -> DataFrame:
+    """Written rows of doc_id, fp (the fingerprint as a signed long), seq (a number of the row's own), piece (its salt) and, if carried, the row.
+
+    The numbers are written with the rows: counted anew in each scan, they could be others.
+    """
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    kinds = f", row {docs.select(*row).schema['row'].dataType.simpleString()}" if carry else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], names=["doc_id", "fp"])
+            columns, names = [batch.column(0), pa.array(marks.view(np.int64))], ["doc_id", "fp"]
+            if carry:
+                columns, names = [*columns, batch.column(2)], [*names, "row"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = docs.select("doc_id", "text", *row).mapInArrow(run, f"doc_id {kind}, fp long{kinds}").withColumn("seq", F.monotonically_increasing_id())
+    return materialize(rows.withColumn("piece", salt(F.col("seq"))), "fingerprints")
 
 
 def choices(blocks: int, keep: int) -> list[int]:
@@ -187,15 +196,26 @@ def links(tiles: DataFrame, radius: int = RADIUS) -> DataFrame:
     return tiles.repartition("group").withColumn("ones", ones).sortWithinPartitions("group", "ones", "fp").select("group", "fp").mapInArrow(run, "a long, b long")
 
 
+def named(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Per fingerprint: fp and the first row of its component (no_id, doc_id, seq), by doc_id."""
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "seq")
+    nodes = materialize(rows.groupBy("fp").agg(F.min(first).alias("low")), "nodes")
+    roots = components(links(tile_groups(nodes, radius), radius))
+    found = nodes.join(roots.select(F.col("a").alias("fp"), "b"), "fp", "left").select("fp", F.coalesce("b", "fp").alias("root"), "low")
+    return per_key(found.withColumn("piece", salt(F.col("fp"))), ["root"], {"first": ("min", "low")}, "piece").select("fp", "first")
+
+
 def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """Per document: doc_id, fp and component_id, the smallest doc_id reachable over links."""
-    # the salt is written with the rows: a row number that is counted anew in each scan would be another one
-    rows = materialize(fingerprints(docs, words).withColumn("piece", salt(F.monotonically_increasing_id())), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    roots = components(links(tile_groups(nodes, radius), radius))
-    named = nodes.join(roots.select(F.col("a").alias("fp"), "b"), "fp", "left").select("fp", F.coalesce("b", "fp").alias("root"), "low")
-    named = per_key(named.withColumn("piece", salt(F.col("fp"))), ["root"], {"component_id": ("min", "low")}, "piece")
-    return spread(rows, named.select("fp", "component_id")).select("doc_id", "fp", "component_id")
+    rows = fingerprints(docs, words)
+    return spread(rows, named(rows, radius)).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component, with all their columns."""
+    rows = fingerprints(docs, words, carry=True)
+    stay = materialize(named(rows, radius).select("first.seq").distinct(), "first")
+    return rows.join(stay, "seq", "left_semi").select("row.*")
 
 
 def spread(rows: DataFrame, named: DataFrame) -> DataFrame:
