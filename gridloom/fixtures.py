@@ -30,6 +30,15 @@ def by_rule(text: str, rule: str) -> str:
     return "case " + rule + " " + " ".join(f"when {k} then {shape(text, s)}" for k, s in enumerate(SHAPES)) + " end"
 
 
+def composed(rule: int, code: int) -> int:
+    """The number of the symmetry that is symmetry ``code`` after symmetry ``rule``."""
+
+    start = ["abc", "def"]
+    columns = lambda g: ["".join(c) for c in zip(*g)]
+    steps = {0: lambda g: g, 1: lambda g: columns(g[::-1]), 2: lambda g: [r[::-1] for r in g[::-1]], 3: lambda g: columns(g)[::-1], 4: lambda g: g[::-1], 5: lambda g: [r[::-1] for r in g], 6: columns, 7: lambda g: [r[::-1] for r in columns(g)[::-1]]}
+    return SHAPES.index("/".join(steps[code](steps[rule](start))))
+
+
 def rotation(k: str) -> str:
     """A permutation of digits: a rotation by k."""
     return f"substr('01234567890123456789', cast({k} as int) + 1, 10)"
@@ -72,7 +81,7 @@ traces as (select doc_id, lang, source, class, concat('d', cast(doc_id % 97 as v
     when 5 then concat('<think>', chr(10), four, chr(10), one, '</think>', chr(10), description, chr(10), steps)
     when 6 then concat('<think>', chr(10), one, four, chr(10), four, chr(10), '</think>', chr(10), description, chr(10), steps)
     when 7 then replace(concat('<think>', chr(10), one, four, '   ', chr(10), chr(10), chr(10), chr(10), '</think>', chr(10), description, chr(10), steps), chr(10), concat(chr(13), chr(10)))
-    when 8 then concat(chr(10), ' <think>', chr(10), one, four, chr(10), '</think>', chr(10), description, chr(10), '   ', chr(8226), ' point', chr(10), chr(8212), '  more', chr(10), steps, '  ')
+    when 8 then concat(chr(10), ' <think>', chr(10), one, four, chr(10), '</think>', chr(10), description, chr(10), '   ', '• point', chr(10), '—  more', chr(10), steps, '  ')
     else concat('no trace: ', a) end as trace from parts)""",
     # five votes on each labelled document
     "votes": lambda e: f"""

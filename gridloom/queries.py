@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from . import fixtures
 from .functions import chat, grids, keys, schedules, traces
 from .functions.text import sha256
-from .operators import corpus, cost, guards, judging, requests, scoring
+from .operators import corpus, cost, execution, guards, judging, requests, scoring
 from .plans import variants
+from .sources import files
+from .streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -322,7 +324,7 @@ def mixed_metadata(spark, sf_dir):
 
 # --- plans -------------------------------------------------------------------------
 
-_TASKS = "+own as (select task_id, min(n_train) as n_train, count_if(split = 'test') as n_test from pairs group by 1)\n"
+_TASKS = "+own as (select task_id, min(n_train) as n_train, count_if(split = 'test') as n_test, case when min(rule) in (1, 3, 6, 7) then 8 else 7 end as o from pairs group by 1)\n"  # o: length of an output text
 
 
 @query("pairs", sql=_TASKS + f"select task_id, cast(v as int) as variant_index, {CODE_LIST}[v // 8 + 1] as code from own, range(64) as r(v)")
@@ -463,3 +465,467 @@ def guidance_state(spark, sf_dir):
 def missing_guidance(spark, sf_dir):
     found = variants.views(tests(spark, sf_dir), rotated_plan(spark, sf_dir), "budgeted64", 8)
     return variants.missing_guidance(found, guidance_rows(spark, sf_dir))
+
+
+# --- traces ------------------------------------------------------------------------
+
+trace_rows = fixture("traces", select="select * from traces")
+
+#: SQL pieces: the normalised trace of a class, built from its parts.
+_NORMAL = """case class
+    when 0 then concat('<think>', chr(10), one, four, chr(10), '</think>', chr(10), description, chr(10), steps)
+    when 1 then concat('<think>', chr(10), one, four, chr(10), description, chr(10), steps)
+    when 2 then concat('<think>', chr(10), one, four, chr(10), description, chr(10), '</think>', chr(10), description, chr(10), steps)
+    when 3 then concat('<think>', chr(10), one, four, chr(10), '</think>', chr(10), description, chr(10), steps)
+    when 4 then concat('<think>', chr(10), one, four, chr(10), '</think>', chr(10), description, chr(10), steps)
+    when 5 then concat('<think>', chr(10), four, chr(10), one, '</think>', chr(10), description, chr(10), steps)
+    when 6 then concat('<think>', chr(10), one, four, chr(10), four, chr(10), '</think>', chr(10), description, chr(10), steps)
+    when 7 then concat('<think>', chr(10), one, four, chr(10), '</think>', chr(10), description, chr(10), steps)
+    when 8 then concat('<think>', chr(10), one, four, chr(10), '</think>', chr(10), description, chr(10), '- point', chr(10), '- more', chr(10), steps)
+    else concat('no trace: ', a) end"""
+_ACCEPTED = "class in (0, 3, 4, 7, 8)"
+
+
+@query("traces", sql=f"select doc_id, {_NORMAL} as trace from parts")
+def trace_normalize(spark, sf_dir):
+    return trace_rows(spark, sf_dir).select("doc_id", traces.normalised(col("trace")).alias("trace"))
+
+
+@query("traces", sql=f"""
+select doc_id, {_ACCEPTED} as accepted, case when class = 1 then '</think>' when class = 9 then '{"|".join(traces.SECTIONS)}' else '' end as missing,
+  class not in (1, 5, 9, 2) as in_order, class not in (1, 2, 6, 9) as is_unique, class not in (1, 9) as single_block, class <> 9 as starts from traces""")
+def trace_validate(spark, sf_dir):
+    rows = trace_rows(spark, sf_dir).withColumn("v", traces.format_verdict(traces.normalised(col("trace"))))
+    v = lambda f: col(f"v.{f}")
+    return rows.select("doc_id", v("accepted").alias("accepted"), F.array_join(v("missing_sections"), "|").alias("missing"), v("sections_in_order").alias("in_order"), v("sections_unique").alias("is_unique"), v("single_think_block").alias("single_block"), v("starts_with_think").alias("starts"))
+
+
+_REPAIR = f"case when {_ACCEPTED} then null when class = 1 then 'insert_missing_think_close' when class = 2 then 'remove_duplicate_summary_inside_think' else 'unsupported' end"
+
+
+@query("traces", sql=f"""
+select doc_id, {_REPAIR} as repair, case class
+  when 1 then concat('<think>', chr(10), one, four, chr(10), '</think>', chr(10), chr(10), description, chr(10), steps)
+  when 2 then concat('<think>', chr(10), one, four, chr(10), '</think>', chr(10), description, chr(10), steps) else trace end as trace from traces join parts using (doc_id, class)""")
+def trace_repair(spark, sf_dir):
+    return trace_rows(spark, sf_dir).withColumn("r", traces.repaired(col("trace"))).select("doc_id", "r.repair", "r.trace")
+
+
+@query("traces", sql=f"select coalesce({_REPAIR}, 'none') as repair, count(*) as n from traces group by 1")
+def repair_counts(spark, sf_dir):
+    repair = F.coalesce(traces.repaired(col("trace"))["repair"], lit("none"))
+    return trace_rows(spark, sf_dir).groupBy(repair.alias("repair")).agg(F.count("*").alias("n"))
+
+
+@query("traces", sql="""
+select doc_id, case when class in (1, 9) then null when class = 4 then concat(description, chr(10), steps, chr(10), '```') when class = 7 then replace(concat(description, chr(10), steps), chr(10), concat(chr(13), chr(10)))
+  when class = 8 then concat(description, chr(10), '   ', '• point', chr(10), '—  more', chr(10), steps) else concat(description, chr(10), steps) end as guidance from parts""")
+def guidance_extract(spark, sf_dir):
+    return trace_rows(spark, sf_dir).select("doc_id", traces.guidance(col("trace")).alias("guidance"))
+
+
+@query("traces", sql="""
+select doc_id, lang, case when class = 0 then 'missing' when class in (1, 2) then 'incomplete' else 'complete' end as status from traces""")
+def hint_status(spark, sf_dir):
+    k = col("class")
+    fields = [F.when(k == 0, None).when(k == 1 if i == 2 else lit(False), " \t").when((k == 2) & lit(i == 4), None).otherwise(F.concat(lit(f"f{i} "), col("lang"))) for i in range(5)]
+    return trace_rows(spark, sf_dir).select("doc_id", "lang", traces.hint_status(*fields).alias("status"))
+
+
+# --- judges and reviews --------------------------------------------------------------
+
+answers = fixture("votes", select="select * from answers")
+_VOTE = "case when u in (0, 1) then null when u = 2 then 'pass' when quality = 1 and toxic = 0 then 'pass' else 'fail' end"
+
+
+def judge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = answers(spark, sf_dir)
+    return judging.unanimous(judging.judged(rows.select("request_id", "source_request_id", "judge_index"), rows.select("request_id", "raw_output")))
+
+
+@query("votes", sql=f"""
+select source_request_id, count_if({_VOTE} = 'pass') as pass_count, count(*) as vote_count, count_if({_VOTE} = 'pass') = 5 and count(*) = 5 as accepted from answers group by 1""")
+def judge_unanimity(spark, sf_dir):
+    return judge_counts(spark, sf_dir).select("source_request_id", "pass_count", "vote_count", "accepted")
+
+
+@query("votes", sql="""select source_request_id, string_agg(request_id, ',' order by judge_index) as requests from answers where u in (0, 1) group by 1""")
+def judge_parse_errors(spark, sf_dir):
+    return judge_counts(spark, sf_dir).where(F.size("parse_errors") > 0).select("source_request_id", F.array_join("parse_errors", ",").alias("requests"))
+
+
+@query("votes", sql="select source_request_id, count(*) as vote_count from answers where not (judge_index = 4 and u > 15) group by 1 having count(*) <> 5")
+def judge_incomplete(spark, sf_dir):
+    rows = answers(spark, sf_dir).where("not (judge_index = 4 and u > 15)")
+    counts = judging.judged(rows.select("request_id", "source_request_id", "judge_index"), rows)
+    return judging.wrong_vote_counts(counts).select("source_request_id", "vote_count")
+
+
+_QUALITY = f"""+judged as (select source_request_id, doc_id, count_if({_VOTE} = 'pass') = 5 as accepted from answers group by 1, 2),
+decided as (select source_request_id, doc_id, case when doc_id % 5 = 0 then doc_id % 10 = 0 else accepted end as accepted, case when doc_id % 5 = 0 then 'manual_review' else 'judge_5_of_5' end as route,
+  case when doc_id % 5 = 0 then 'seen ' || cast(doc_id as varchar) end as note from judged)
+"""
+
+
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.substr(col("request_id"), lit(2)).cast("long")
+    results = judge_counts(spark, sf_dir).select(col("source_request_id").alias("request_id"), "accepted", "route")
+    decisions = results.where(number % 5 == 0).select("request_id", (number % 10 == 0).alias("decision"), F.concat(lit(" seen "), number.cast("string"), lit("\t")).alias("note"))
+    return judging.reviewed(results, decisions)
+
+
+@query("votes", sql=_QUALITY + "select source_request_id as request_id, accepted, route, note from decided")
+def manual_override(spark, sf_dir):
+    return decided(spark, sf_dir).select("request_id", "accepted", "route", "note")
+
+
+@query("votes", sql=_QUALITY + "select route, count(*) as n, count_if(accepted) as n_accepted from decided group by 1")
+def quality_accepted(spark, sf_dir):
+    return decided(spark, sf_dir).groupBy("route").agg(F.count("*").alias("n"), F.count_if("accepted").alias("n_accepted"))
+
+
+# --- corpus ------------------------------------------------------------------------
+
+_CORPUS = f"""+asked as (select concat('q', cast(doc_id as varchar)) as request_id, doc_id, task_id, {CODE_LIST}[cast(doc_id % 8 as int) + 1] as code, cast(doc_id // 97 as int) as variant_index from traces),
+answered as (select *, doc_id % 11 = 0 as failed, {_NORMAL} as normal from traces join parts using (doc_id, lang, source, class)),
+good as (select concat(task_id, ':', cast(doc_id as varchar)) as variant_id, task_id, doc_id, class, length(normal) as chars from answered where {_ACCEPTED} and not failed),
+ranked as (select *, row_number() over (partition by task_id order by substr(sha256('{SEED}:' || task_id || ':' || variant_id), 1, 16), variant_id) - 1 as place from good)
+"""
+
+
+def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = trace_rows(spark, sf_dir)
+    name = F.concat(lit("q"), col("doc_id").cast("string"))
+    asked = rows.select(name.alias("request_id"), "task_id", code_of((col("doc_id") % 8).cast("int")).alias("code"), rotation(col("doc_id") % 10).alias("value_mapping"), lit("10").alias("order_mapping"), F.floor(col("doc_id") / 97).cast("int").alias("variant_index"))
+    results = rows.select(name.alias("request_id"), "task_id", "doc_id", "class", col("trace").alias("raw_output"), F.when(col("doc_id") % 11 == 0, "failed").alias("error"))
+    found = corpus.accepted_variants(results, asked)
+    return found.withColumn("variant_id", F.concat_ws(":", "task_id", col("doc_id").cast("string"))).withColumn("chars", F.length("trace").cast("long"))
+
+
+@query("traces", sql=_CORPUS + "select variant_id, task_id, (select code from asked a where a.doc_id = g.doc_id) as code, chars from good g")
+def corpus_join(spark, sf_dir):
+    return corpus_rows(spark, sf_dir).select("variant_id", "task_id", "code", "chars")
+
+
+@query("traces", sql="select request_id, count(distinct trace) as n_versions from (select concat('q', cast(doc_id // 3 as varchar)) as request_id, case when doc_id % 3 = 2 and class = 2 then 'other' else 'same' end as trace from traces) group by 1 having count(distinct trace) > 1")
+def corpus_conflicts(spark, sf_dir):
+    rows = trace_rows(spark, sf_dir).select(F.concat(lit("q"), F.floor(col("doc_id") / 3).cast("string")).alias("request_id"), F.when((col("doc_id") % 3 == 2) & (col("class") == 2), "other").otherwise("same").alias("trace"))
+    return guards.conflicting(rows, "request_id", "trace")
+
+
+@query("traces", sql="select request_id, trace from (select distinct concat('q', cast(doc_id // 3 as varchar)) as request_id, cast(doc_id // 3 % 7 as int) as trace from traces)")
+def corpus_dedupe(spark, sf_dir):
+    third = F.floor(col("doc_id") / 3)
+    rows = trace_rows(spark, sf_dir).select(F.concat(lit("q"), third.cast("string")).alias("request_id"), (third % 7).cast("int").alias("trace"))
+    return guards.deduplicated(rows, "request_id", "trace")
+
+
+@query("traces", sql=_CORPUS + "select task_id, variant_id, cast(place as int) as rank from ranked where place < 3")
+def corpus_topk(spark, sf_dir):
+    return corpus.selected(corpus_rows(spark, sf_dir), 3, SEED).select("task_id", "variant_id", "rank")
+
+
+@query("traces", sql=_CORPUS + """, fit as (select *, row_number() over (partition by task_id order by substr(sha256('20:' || task_id || ':' || variant_id), 1, 16), variant_id) - 1 as rank from good where chars <= 270)
+select task_id, variant_id, cast(rank as int) as rank from fit where rank < 2""")
+def corpus_fit_topk(spark, sf_dir):
+    """The length limit first, the rank among what is left."""
+    return corpus.selected(corpus.fitting(corpus_rows(spark, sf_dir), "chars", 270), 2, SEED).select("task_id", "variant_id", "rank")
+
+
+@query("traces", sql=f"""
+select count(*) as records, count_if(doc_id % 7 = 0) as duplicates, count_if(doc_id % 7 <> 0 and not ({_ACCEPTED})) as rejected, count_if(doc_id % 7 <> 0 and {_ACCEPTED}) as accepted,
+  count_if(doc_id % 7 <> 0 and {_ACCEPTED} and length(trace) > 270) as too_long from traces""")
+def corpus_counts(spark, sf_dir):
+    good = traces.format_verdict(traces.normalised(col("trace")))["accepted"]
+    return corpus.filter_counts(trace_rows(spark, sf_dir), col("doc_id") % 7 == 0, ~good, F.length("trace") > 270)
+
+
+@query("traces", sql=_CORPUS + "select task_id, count(*) as records, min(chars) as shortest, max(chars) as longest, round(avg(chars), 6) as mean from good group by 1")
+def corpus_len_stats(spark, sf_dir):
+    return corpus.length_stats(corpus_rows(spark, sf_dir), "chars", "task_id").withColumn("mean", F.round("mean", 6))
+
+
+@query("traces", sql=_CORPUS + "select task_id, count(g.variant_id) as n from (select distinct task_id from traces) left join good g using (task_id) group by 1 having count(g.variant_id) < 5")
+def short_tasks(spark, sf_dir):
+    return corpus.short_tasks(corpus_rows(spark, sf_dir), trace_rows(spark, sf_dir), 5)
+
+
+@query("traces", sql="select distinct task_id from traces where task_id in (select concat('d', cast(item_id as varchar)) from benchmark)")
+def split_disjoint(spark, sf_dir):
+    held_out = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.concat(lit("d"), col("item_id").cast("string")).alias("task_id"))
+    return corpus.overlap(trace_rows(spark, sf_dir), held_out)
+
+
+@query("traces", sql=_CORPUS + "select task_id, variant_id, row_number() over (order by substr(sha256('7:epoch:' || task_id), 1, 16)) as position from ranked where place = 1")
+def epoch_view(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = corpus.epoch_view(corpus.selected(corpus_rows(spark, sf_dir), 4, SEED), 1, 7)
+    return rows.select("task_id", "variant_id", F.row_number().over(Window.orderBy("task_score")).cast("long").alias("position"))
+
+
+@query("traces", sql="""+l as (select distinct task_id from traces where class < 5), r as (select distinct task_id from traces where class > 2)
+select task_id, 'missing' as side from l where task_id not in (from r) union all select task_id, 'extra' from r where task_id not in (from l)""")
+def set_equality(spark, sf_dir):
+    rows = trace_rows(spark, sf_dir)
+    return guards.set_difference(rows.where("class < 5"), rows.where("class > 2"), "task_id")
+
+
+# --- chat --------------------------------------------------------------------------
+
+_HEADS = {"system": chat.SYSTEM, "user": chat.USER, "assistant": chat.ASSISTANT}
+_SQL_HEAD = "'<|im_start|>' || role || chr(10)"
+
+
+@query(sql=f"""
+select conv_id, sha256(string_agg({_SQL_HEAD} || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by turn)) as text_sha256, count(*) as turns,
+  arg_max(role, turn) = 'user' as open from conversations group by conv_id""")
+def chat_serialize(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("shown", chat.turns_text(_HEADS, col("role"), F.coalesce("text", lit(""))))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "shown"))), lambda t: t["shown"]), "")
+    return rows.groupBy("conv_id").agg(sha256(whole).alias("text_sha256"), F.count("*").alias("turns"), (F.max_by("role", "turn") == "user").alias("open"))
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training conversations of tasks, with guidance for every third."""
+    number = F.substr(col("task_id"), lit(2)).cast("long")
+    rows = tasks(spark, sf_dir).withColumn("guidance", F.when(number % 3 == 0, F.concat(lit("rule é "), number.cast("string"))))
+    return rows.withColumn("text", chat.conversation(col("train"), col("guidance"))).withColumn("spans", chat.assistant_spans(col("train"), col("guidance")))
+
+
+
+
+@query("pairs", sql=_TASKS + """, system as (select *, case when cast(substr(task_id, 2) as bigint) % 3 = 0 then octet_length(encode('<|im_start|>system' || chr(10) || 'rule é ' || substr(task_id, 2) || '<|im_end|>' || chr(10))) else 0 end as head from own)
+select task_id, cast(p as int) as pair, cast(head + p * (68 + o) + 57 as int) as start, cast(head + p * (68 + o) + 57 + o as int) as stop from system, range(n_train) as r(p)""")
+def assistant_spans(spark, sf_dir):
+    rows = conversations(spark, sf_dir).select("task_id", F.posexplode("spans").alias("pair", "span"))
+    return rows.select("task_id", "pair", col("span.start").alias("start"), col("span.end").alias("stop"))
+
+
+@query("pairs", sql=_TASKS + """select task_id, cast(n_train * o as int) as targets, cast((n_train - 1) * o as int) as later_targets from own""")
+def target_tokens(spark, sf_dir):
+    return conversations(spark, sf_dir).select("task_id", chat.target_tokens(col("spans")).alias("targets"), chat.target_tokens(col("spans"), True).alias("later_targets"))
+
+
+@query("pairs", sql=_TASKS + """, sized as (select *, n_train * (68 + o) + case when cast(substr(task_id, 2) as bigint) % 3 = 0 then octet_length(encode('<|im_start|>system' || chr(10) || 'rule é ' || substr(task_id, 2) || '<|im_end|>' || chr(10))) else 0 end as n from own)
+select task_id, n::int as tokens, (ceil(n / 8) * 8)::int as padded, ((n_train - 1) * o)::int as labelled, (ceil(n / 8) * 8 - n)::int as pads, n::int as attended from sized""")
+def labels_mask(spark, sf_dir):
+    rows = conversations(spark, sf_dir).withColumn("ids", chat.byte_tokens(col("text"))).withColumn("length", chat.padded_length(F.size("ids")))
+    rows = rows.withColumn("labels", chat.labels_in(col("ids"), col("spans"), col("length"), True)).withColumn("full", chat.padded(col("ids"), col("length"), -1)).withColumn("mask", chat.attention_mask(col("ids"), col("length")))
+    n = lambda xs, f: F.size(F.filter(xs, f)).alias
+    return rows.select("task_id", F.size("ids").alias("tokens"), F.size("full").alias("padded"), n("labels", lambda x: x != chat.IGNORED)("labelled"), n("full", lambda x: x == -1)("pads"), n("mask", lambda x: x == 1)("attended"))
+
+
+@query("pairs", sql=_TASKS + """, shown as (select task_id, string_agg('<|im_start|>user' || chr(10) || input_text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || output_text || '<|im_end|>' || chr(10), '' order by pair_index) as text from pairs where split = 'train' group by 1)
+select p.task_id, p.pair_index as test_index, sha256(text || '<|im_start|>user' || chr(10) || input_text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) as prompt_sha256 from pairs p join shown using (task_id) where split = 'test'""")
+def prompt_hash(spark, sf_dir):
+    rows = tasks(spark, sf_dir).select("task_id", "train", F.posexplode("test").alias("test_index", "t"))
+    prompt = chat.open_prompt(col("train"), col("t.input"), lit(None).cast("string"))
+    return rows.select("task_id", "test_index", chat.prompt_digest(prompt).alias("prompt_sha256"))
+
+
+#: SQL: an output under a code, as the one symmetry of the input that both make.
+_OUTPUT_VIEW = fixtures.by_rule("input_text", "(case rule * 8 + cast(v // 8 as int) " + " ".join(f"when {r * 8 + k} then {fixtures.composed(r, k)}" for r in range(8) for k in range(8)) + " end)")
+
+
+@query("pairs", sql=_TASKS + f"""select task_id, cast(v as int) as variant_index, sha256(string_agg('Example ' || cast(n_train - pair_index as varchar) || chr(10) || 'Input:' || chr(10) || translate({fixtures.by_rule("input_text", "cast(v // 8 as int)")}, '0123456789', {fixtures.rotation("v % 10")}) || chr(10) || 'Output:' || chr(10) || translate({_OUTPUT_VIEW}, '0123456789', {fixtures.rotation("v % 10")}), chr(10) || chr(10) order by pair_index desc)) as prompt_sha256
+from (select task_id, pair_index, input_text, rule, n_train from pairs where split = 'train'), range(64) as q(v) where v % 8 = 7 group by 1, 2""")
+def reasoning_prompts(spark, sf_dir):
+    """What a reasoning model is shown for every view of budget 8."""
+    found = variants.views(tests(spark, sf_dir), rotated_plan(spark, sf_dir), "budgeted64", 8)
+    rows = corpus.materialised(found, tasks(spark, sf_dir))
+    return rows.select("task_id", "variant_index", sha256(grids.examples_text(col("pairs"), "")).alias("prompt_sha256"))
+
+
+# --- requests ----------------------------------------------------------------------
+
+
+@query("traces", sql="""select request_id, task_id, source_request_id, judge_index from (
+select 'r' || cast(doc_id as varchar) as source_request_id, task_id, cast(v as int) as judge_index,
+ 'judge-' || task_id || '-' || substr(sha256('{"identity":{"judge_index":' || v || ',"source_request_id":"r' || cast(doc_id as varchar) || '"},"stage":"judge","task_id":"' || task_id || '"}'), 1, 16) as request_id
+ from traces, range(5) as q(v) where class in (0, 3, 4, 7, 8) and doc_id % 11 <> 0)""")
+def judge_requests(spark, sf_dir):
+    rows = trace_rows(spark, sf_dir).withColumn("trace", traces.normalised(col("trace")))
+    results = rows.select(F.concat(lit("r"), col("doc_id").cast("string")).alias("request_id"), "task_id", lit("initial").alias("stage"), F.when(col("doc_id") % 11 == 0, "x").alias("error"), traces.format_verdict(col("trace"))["accepted"].alias("accepted"), "trace", lit("p").alias("puzzle"), lit(None).cast("string").alias("hint"))
+    return requests.judge_requests(results).select("request_id", "task_id", "source_request_id", "judge_index")
+
+
+@query("traces", sql="""select 'initial-' || task_id || '-' || substr(sha256('{"identity":{"doc":' || doc_id || ',"kind":"k' || class || '"},"stage":"initial","task_id":"' || task_id || '"}'), 1, 16) as request_id, doc_id from traces""")
+def request_ids(spark, sf_dir):
+    name = requests.request_id(lit("initial"), col("task_id"), {"kind": F.concat(lit("k"), col("class").cast("string")), "doc": col("doc_id")})
+    return trace_rows(spark, sf_dir).select(name.alias("request_id"), "doc_id")
+
+
+@query("pairs", sql=_TASKS + "select task_id, cast(c as int) as candidate, case when cast(substr(task_id, 2) as bigint) % 2 = 0 then 'hinted' else 'unhinted' end as hint_mode, 2 as n_messages from own, range(2) as r(c)")
+def initial_requests(spark, sf_dir):
+    number = F.substr(col("task_id"), lit(2)).cast("long")
+    rows = tasks(spark, sf_dir).select("task_id", grids.examples_text(col("train")).alias("puzzle"), F.when(number % 2 == 0, "General:\nx").alias("hint"), F.array(lit("shot")).alias("few_shots"), F.array(lit("o0")).alias("few_shot_ids"))
+    return requests.initial_requests(rows, 2).select("task_id", "candidate", "hint_mode", F.size("messages").alias("n_messages"))
+
+
+@query("pairs", sql=_TASKS + f"""select task_id, 'Geometry: the layout stays as it is.' || chr(10) || 'Values: ' || (select string_agg(v || ' -> ' || substr({fixtures.rotation("cast(substr(task_id, 2) as bigint) % 10")}, v + 1, 1), ', ' order by v) from range(10) as r(v)) || '.' || chr(10) || 'Order: new example 1 = old example 2, new example 2 = old example 1.' as words from own""")
+def augmentation_words(spark, sf_dir):
+    number = F.substr(col("task_id"), lit(2)).cast("long")
+    return task_sizes(spark, sf_dir).select("task_id", requests.augmentation_words(lit("ID"), rotation(number % 10), lit("10")).alias("words"))
+
+
+@query("pairs", sql=_TASKS + "select task_id, cast(v as int) as variant_index, ['neutral', 'reflective', 'concise', 'analytical', 'elaborate'][cast(v % 5 as int) + 1] as style, 2 as n_messages from own, range(64) as q(v) where v % 8 = 7 and v <> 31")
+def rewrite_requests(spark, sf_dir):
+    """Requests for the planned views of budget 8 that weren't tried before (variant 31 was)."""
+    style = F.get(F.array(*map(lit, requests.STYLES)), (col("variant_index") % 5).cast("int"))
+    rows = variants.budget_subset(rotated_plan(spark, sf_dir), 8).withColumn("source_request_id", col("task_id")).withColumn("style", style)
+    fresh = requests.new_augmentations(rows, rows.where("variant_index = 31").select("source_request_id", "code", "value_mapping", "order_mapping"))
+    specs = fresh.join(tasks(spark, sf_dir).select("task_id", col("train").alias("pairs")), "task_id").withColumn("trace", lit("t"))
+    return requests.rewrite_requests(specs).select("task_id", "variant_index", "style", F.size("messages").alias("n_messages"))
+
+
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    return rows.groupBy("conv_id").agg(said.alias("messages"))
+
+
+@query(sql="""
+select conv_id, count_if(role <> 'system') as n_contents, count_if(role = 'assistant') as n_model, count_if(role = 'system') > 0 as has_system, conv_id % 2 = 0 as has_seed from conversations group by conv_id""")
+def gemini_export(spark, sf_dir):
+    seed = F.when(col("conv_id") % 2 == 0, col("conv_id"))
+    line = requests.provider_record(F.concat(lit("c"), col("conv_id").cast("string")), col("messages"), lit(0.7), lit(1.0), lit(512), seed)
+    form = "key string, request struct<contents array<struct<role string, parts array<struct<text string>>>>, systemInstruction struct<parts array<struct<text string>>>, generationConfig struct<seed bigint, temperature double>>"
+    rows = chats(spark, sf_dir).select("conv_id", F.from_json(line, form).alias("r"))
+    contents = col("r.request.contents")
+    return rows.select("conv_id", F.size(contents).cast("long").alias("n_contents"), F.size(F.filter(contents, lambda c: c["role"] == "model")).cast("long").alias("n_model"), col("r.request.systemInstruction").isNotNull().alias("has_system"), col("r.request.generationConfig.seed").isNotNull().alias("has_seed"))
+
+
+@query("runs", sql="""
+select event_id, case when event_id % 4 = 0 then '' else 'part ' || event_type || ' end' end as raw_output, case when event_id % 4 <> 0 then 'STOP' end as finish_reason, tokens as prompt_tokens, case when event_id % 4 = 0 then 0 else generated end as completion_tokens from runs where event_id % 5 <> 0""")
+def gemini_import(spark, sf_dir):
+    """Provider lines read back, with the provenance of their requests; every fifth key is nobody's."""
+    rows = fixtures.view(spark, sf_dir, "select * from runs", "runs")
+    key, empty = F.concat(lit("e"), col("event_id").cast("string")), col("event_id") % 4 == 0
+    parts = F.array(F.struct(lit("part ").alias("text")), F.struct(F.concat(col("event_type"), lit(" end")).alias("text")))
+    one = F.struct(F.struct(parts.alias("parts")).alias("content"), lit("STOP").alias("finishReason"))
+    usage = F.struct(col("tokens").alias("promptTokenCount"), F.when(~empty, col("generated")).alias("candidatesTokenCount"))
+    line = F.to_json(F.struct(key.alias("key"), F.struct(F.when(~empty, F.array(one)).alias("candidates"), usage.alias("usageMetadata")).alias("response")))
+    results = rows.select(requests.provider_result(line).alias("r")).select("r.*")
+    asked = rows.where("event_id % 5 <> 0").select(key.alias("request_id"), "event_id")
+    return requests.imported(results, asked)[0].select("event_id", "raw_output", "finish_reason", "prompt_tokens", "completion_tokens")
+
+
+# --- cost, schedules, adapters --------------------------------------------------------
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.view(spark, sf_dir, "select * from runs", "runs")
+    trained = col("kind") == "adaptation"
+    return rows.withColumn("prompt_tokens", F.when(trained, 0).otherwise(col("tokens"))).withColumn("generated_tokens", F.when(trained, 0).otherwise(col("generated"))).withColumn("trained_tokens", F.when(trained, col("tokens")).otherwise(0))
+
+
+@query("runs", sql="""
+select user_id % 10 as run, prefill_tokens, training_tokens, decode_tokens, round(prefill_tokens / 5000 + 3 * training_tokens / 5000 + decode_tokens / 75, 6) as total_seconds from (
+select user_id, sum(case when kind <> 'adaptation' then tokens else 0 end)::bigint as prefill_tokens, sum(case when kind = 'adaptation' then tokens else 0 end)::bigint as training_tokens, sum(case when kind <> 'adaptation' then generated else 0 end)::bigint as decode_tokens
+from (select user_id % 10 as user_id, * exclude (user_id) from runs) group by 1)""")
+def cost_summary(spark, sf_dir):
+    found = cost.summary(runs(spark, sf_dir).withColumn("run", col("user_id") % 10), "run")
+    return found.select("run", "prefill_tokens", "training_tokens", "decode_tokens", F.round("total_seconds", 6).alias("total_seconds"))
+
+
+@query("runs", sql="""+need as (select distinct cast(event_id % 50 as varchar) as digest from runs where event_type = 'view'), given as (select cast(event_id as varchar) as digest from runs where event_id between 5 and 80 union all select '7')
+select digest, case when g = 0 then 'missing' when n = 0 then 'unexpected' else 'repeated' end as problem from (
+select digest, max(n) as n, sum(g) as g from (select digest, 1 as n, 0 as g from need union all select digest, 0, 1 from given) group by 1) where n = 0 or g = 0 or g > 1""")
+def cost_provenance(spark, sf_dir):
+    rows = runs(spark, sf_dir)
+    need = rows.where("event_type = 'view'").select((col("event_id") % 50).cast("string").alias("digest"))
+    given = rows.where("event_id between 5 and 80").select(col("event_id").cast("string").alias("digest"))
+    return cost.provenance(need, given.unionByName(spark.createDataFrame([("7",)], "digest string")))
+
+
+_STEPS = f"""+steps as (select concat('u', cast(user_id as varchar)) as task_id, cast(event_id as int) as step, {CODE_LIST}[cast(event_id % 8 as int) + 1] as code, case when event_id % 3 = 0 then 'provided' when event_id % 3 = 1 then 'missing' else 'budget_empty' end as status, tokens from runs)
+"""
+
+
+def adapter_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = col("event_id") % 3
+    status = F.when(k == 0, "provided").when(k == 1, "missing").otherwise("budget_empty")
+    return runs(spark, sf_dir).select(F.concat(lit("u"), col("user_id").cast("string")).alias("task_id"), col("event_id").cast("int").alias("step"), code_of((col("event_id") % 8).cast("int")).alias("code"), status.alias("guidance_status"), "tokens")
+
+
+@query("runs", sql=_STEPS + """select s.task_id, count(*) as steps, sum(tokens)::bigint as tokens, string_agg(code, ',' order by step) as code_order,
+  (select string_agg(c || '=' || n, ',' order by c) from (select code as c, count(*) as n from steps t where t.task_id = s.task_id group by 1)) as codes,
+  (select string_agg(c || '=' || n, ',' order by c) from (select status as c, count(*) as n from steps t where t.task_id = s.task_id group by 1)) as guidance from steps s group by s.task_id""")
+def adapter_manifest(spark, sf_dir):
+    return cost.adapter_manifest(adapter_steps(spark, sf_dir))
+
+
+@query("runs", sql=_STEPS + """, per_code as (select task_id, code, count(*) as n from steps group by 1, 2)
+select task_id from per_code group by 1 having not (sum(n) = 8 and count(*) = 8 and bool_and(n = 1))""")
+def incomplete_adapters(spark, sf_dir):
+    return cost.incomplete_adapters(cost.adapter_manifest(adapter_steps(spark, sf_dir)), 8, 8)
+
+
+@query("runs", sql="select distinct concat('u', cast(event_id % 700 as varchar)) as task_id from runs where event_id % 700 not in (select event_id % 700 from runs where event_type = 'purchase')")
+def pending_tasks(spark, sf_dir):
+    name = F.concat(lit("u"), (col("event_id") % 700).cast("string")).alias("task_id")
+    rows = runs(spark, sf_dir)
+    return cost.pending(rows.select(name), rows.where("event_type = 'purchase'").select(name))
+
+
+@query(sql="select p_partkey, cast(ceil(ceil((p_partkey + 1) / 2) / 8) as bigint) as steps from part")
+def steps_per_epoch(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", schedules.steps_per_epoch(col("p_partkey") + 1, 2, 8).alias("steps"))
+
+
+@query(sql="""select cast(s as int) as step, round(case when s <= 32 then s / 32 * 1.25e-4 else 5e-6 + 0.5 * (1.25e-4 - 5e-6) * (1 + cos(pi() * (s - 32) / 32)) end, 12) as rate from range(65) as r(s)""")
+def lr_ttt(spark, sf_dir):
+    rows = spark.range(65).select(col("id").cast("int").alias("step"))
+    return rows.select("step", F.round(schedules.adaptation_rate(col("step"), 64, 0.5, 0.0, 1.25e-4, 5e-6), 12).alias("rate"))
+
+
+@query(sql="""select cast(s as int) as step, round(case when s < 390 then 2e-4 * (0.1 + 0.9 * s / 390) else 1e-5 + 0.5 * (2e-4 - 1e-5) * (1 + cos(pi() * (s - 390) / 3510)) end, 12) as rate from range(3901) as r(s)""")
+def lr_cosine(spark, sf_dir):
+    rows = spark.range(3901).select(col("id").cast("int").alias("step"))
+    return rows.select("step", F.round(schedules.training_rate(col("step"), 3900, 0.1, 0.1, 2e-4, 1e-5), 12).alias("rate"))
+
+
+@query("runs", sql="select round(sum(generated / 997 * tokens) / sum(tokens), 6) as loss, sum(tokens)::bigint as tokens from runs")
+def weighted_loss(spark, sf_dir):
+    found = corpus.weighted_loss(runs(spark, sf_dir).withColumn("loss", col("generated") / 997))
+    return found.withColumn("loss", F.round("loss", 6))
+
+
+# --- files, execution, streams ----------------------------------------------------------
+
+
+@query()
+def file_digest(spark, sf_dir):
+    """Digests of two table files (no SQL: DuckDB reads tables, not their bytes)."""
+    found = None
+    for name in ("region", "nation"):
+        rows = files.file_digests(spark, f"{sf_dir}/{name}.parquet").withColumn("table", lit(name))
+        found = rows if found is None else found.unionByName(rows)
+    return found.select("table", "name", "bytes", "sha256")
+
+
+@query("pairs", sql=_TASKS + "select task_id, n_test * 2 as n, 0::bigint as n_empty, n_test * 2 as n_grids from own")
+def generated_candidates(spark, sf_dir):
+    """The model boundary with its deterministic stand-in: two completions per test input, all of them grids."""
+    found = variants.views(tests(spark, sf_dir), rotated_plan(spark, sf_dir), "standard32")
+    asked = variants.prediction_requests(found, tests(spark, sf_dir), "standard32").withColumn("samples", lit(2))
+    rows = execution.generated(asked.select("request_id", col("request_id").alias("prompt"), "samples"), execution.echo)
+    each = rows.select(F.split_part("request_id", lit("__"), lit(1)).alias("task_id"), F.explode("outputs").alias("o"))
+    return each.groupBy("task_id").agg(F.count("*").alias("n"), F.count_if(col("o.text") == "").alias("n_empty"), F.count_if(traces.predicted_grid(col("o.text"))["status"] == "ok").alias("n_grids"))
+
+
+@query(sql="select event_type, count(distinct event_id // 2) as n from (select event_id, event_type, row_number() over (partition by event_id // 2 order by event_id) as k from events) where k = 1 group by 1")
+def batch_dedupe_counts(spark, sf_dir):
+    """What a stream of arrivals counts, over the whole table at once: the first record of each key."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("key", F.floor(col("event_id") / 2))
+    first = rows.groupBy("key").agg(F.min_by("event_type", "event_id").alias("event_type"))
+    return first.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(sql="select event_type, count(distinct event_id) as n from events group by 1")
+def stream_dedupe_counts(spark, sf_dir):
+    """The events as a stream that repeats every record, counted once each."""
+    arrived = stream.arrivals(spark, sf_dir, "event_id long, event_type string", "events.parquet")
+    twice = arrived.withColumn("copy", F.explode(F.array(lit(0), lit(1)))).drop("copy")
+    return stream.counts(stream.finished(stream.once(twice, "event_id"), "stream-counts"), "event_type")
