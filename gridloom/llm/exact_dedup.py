@@ -28,11 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from . import filters
 from .common import SPACE, materialize, salt, whole_text
 
-#: Bits of the filter for each row, and the bound that makes it broadcastable: 2**26 bits are 8 MB.
-BITS_PER_ROW, MOST_BITS, BITMAP_BITS = 16, 1 << 26, 1 << 15
-
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(text, f"{SPACE}+", "")
@@ -51,26 +49,14 @@ def flush_runs(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
 
 def hit_filter(runs: DataFrame) -> tuple[DataFrame, int]:
     """Bitmaps by bucket of the positions that at least two entries share, and the filter's size in bits."""
-    bits = BITMAP_BITS
-    while bits < min(BITS_PER_ROW * runs.count(), MOST_BITS):
-        bits *= 2
-    hit = runs.groupBy(position(bits).alias("pos")).count().where("count > 1")
-    bitmap = F.bitmap_construct_agg(F.col("pos") % BITMAP_BITS).alias("bitmap")
-    return materialize(hit.groupBy(F.floor(F.col("pos") / BITMAP_BITS).alias("bucket")).agg(bitmap), "filter"), bits
-
-
-def position(bits: int) -> Column:
-    return F.pmod(F.xxhash64("digest"), F.lit(bits))
+    bits = filters.bits_for(runs.count())
+    hit = runs.groupBy(filters.position(F.xxhash64("digest"), bits).alias("pos")).count().where("count > 1")
+    return filters.bitmaps(hit, "filter"), bits
 
 
 def passing(rows: DataFrame, hits: DataFrame, bits: int) -> DataFrame:
-    """The rows whose digest the filter holds. The filter has at most ``MOST_BITS`` bits, so it is broadcast."""
-    pos = position(bits)
-    byte = F.expr(f"cast(conv(hex(substring(bitmap, cast(floor(__pos % {BITMAP_BITS} / 8) as int) + 1, 1)), 16, 10) as int)")
-    bit = F.expr("cast(__pos % 8 as int)")
-    found = rows.withColumn("__pos", pos).withColumn("bucket", F.floor(F.col("__pos") / BITMAP_BITS))
-    found = found.join(F.broadcast(hits), "bucket")
-    return found.where(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+    """The rows whose digest the filter holds."""
+    return filters.marked(rows, hits, bits, F.xxhash64("digest")).where("__held").select(*rows.columns)
 
 
 def identifier() -> Column:
@@ -122,8 +108,6 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     Rows are matched on (doc_id, digest); of rows that repeat both, one stays.
     """
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__digest", F.sha2(normalised(whole_text()), 256))
-    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "__digest").orderBy(F.length("text").desc()))
-    return joined.withColumn("__first", first).where("__first = 1").select(*docs.columns)
+    decided = exact_dedup(docs).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("__id"), F.sha2(normalised(whole_text()), 256).alias("__sha"))
+    return filters.keep_decided(rows, decided, ["__id", "__sha"], unique=True).select("row.*")

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize, per_key, salt
 from .components import components
+from .filters import keep_decided
 
 WORDS, RADIUS, SEED, TILE, MOST = 3, 3, 42, 1024, 8192
 #: Hashes whose bits are counted at once.
@@ -66,26 +67,21 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, carry: bool = False) -> DataFrame:
-    """Written rows of doc_id, fp (the fingerprint as a signed long), seq (a number of the row's own), piece (its salt) and, if carried, the row.
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Written rows of doc_id, fp (the fingerprint as a signed long), hash (of the text), seq (a number of the row's own) and piece (its salt).
 
     The numbers are written with the rows: counted anew in each scan, they could be others.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    row = [F.struct(*docs.columns).alias("row")] if carry else []
-    kinds = f", row {docs.select(*row).schema['row'].dataType.simpleString()}" if carry else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            columns, names = [batch.column(0), pa.array(marks.view(np.int64))], ["doc_id", "fp"]
-            if carry:
-                columns, names = [*columns, batch.column(2)], [*names, "row"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "hash"])
 
-    rows = docs.select("doc_id", "text", *row).mapInArrow(run, f"doc_id {kind}, fp long{kinds}").withColumn("seq", F.monotonically_increasing_id())
-    return materialize(rows.withColumn("piece", salt(F.col("seq"))), "fingerprints")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, f"doc_id {kind}, fp long, hash long")
+    return materialize(rows.withColumn("seq", F.monotonically_increasing_id()).withColumn("piece", salt(F.col("seq"))), "fingerprints")
 
 
 def choices(blocks: int, keep: int) -> list[int]:
@@ -212,10 +208,12 @@ def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Dat
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, with all their columns."""
-    rows = fingerprints(docs, words, carry=True)
-    stay = materialize(named(rows, radius).select("first.seq").distinct(), "first")
-    return rows.join(stay, "seq", "left_semi").select("row.*")
+    """The rows of ``docs`` that are the first of their component, with all their columns; rows are matched on doc_id and a hash of the text."""
+    marks = fingerprints(docs, words)
+    stay = named(marks, radius).select("first.seq").distinct().withColumn("kept", F.lit(True))
+    decided = marks.join(stay, "seq", "left").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.coalesce("kept", F.lit(False)).alias("kept"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"))
+    return keep_decided(rows, decided, ["__id", "__hash"], unique=True).select("row.*")
 
 
 def spread(rows: DataFrame, named: DataFrame) -> DataFrame:
