@@ -16,6 +16,13 @@ tiles is quadratic; k grows with the number of nodes, so that tile groups stay
 small.  A tile group above ``MOST`` nodes is dealt over tasks by pairs of
 chunks.
 
+``near_dedup`` is that operator.  ``keep_first`` looks for near copies by five
+words and a similarity of 0.8 or more: candidates are the pairs within ``NEAR``
+bits, found the same way, and a pair is linked if 256-bit fingerprints of
+five-word shingles (the same hash, mixed on) differ in as few bits as texts of
+that similarity do.  The wide fingerprints travel with the nodes, so no text is
+read again, and chance pairs stay apart at any number of documents.
+
 A task reports the links of its nodes to the smallest node that they reach in
 the task: at most one per node, never all pairs.  Only fingerprints, not texts,
 are shuffled; hot fingerprints, groups and components are salted.
@@ -30,6 +37,7 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,23 +51,29 @@ from .components import components
 from .filters import keep_decided
 
 WORDS, RADIUS, SEED, TILE, MOST = 3, 3, 42, 1024, 8192
+#: For groups of near copies: the candidates' radius, and words, 64-bit parts and similarity of what confirms them.
+NEAR, WIDE_WORDS, WIDE, SIMILARITY = 7, 5, 4, 0.8
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 15
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    parts = text.lower().split()  # ASCII letters and white space only, as these are bytes
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of a text's shingles, repeats included; ASCII letters without case, ASCII white space between words."""
+    parts = text.lower().split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     if len(parts) < words:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(parts), SEED)], np.uint64)
-    else:
-        joined = b" ".join(parts)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        stops = ends[words - 1 :].tolist()
-        hashes = np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops)], np.uint64, len(stops))
+        return np.array([xxhash.xxh64_intdigest(b" ".join(parts), SEED)], np.uint64)
+    joined = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    stops = ends[words - 1 :].tolist()
+    return np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops)], np.uint64, len(stops))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), BLOCK):
         some = hashes[k : k + BLOCK].astype(">u8").view(np.uint8)
@@ -67,20 +81,55 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Written rows of doc_id, fp (the fingerprint as a signed long), hash (of the text), seq (a number of the row's own) and piece (its salt).
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    return majority(shingle_hashes(text, words))
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Another 64 bits of each hash (the finaliser of SplitMix64)."""
+    z = hashes + np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes, words: int = WIDE_WORDS) -> list[int]:
+    """A fingerprint of WIDE * 64 bits."""
+    hashes, out = shingle_hashes(text, words), []
+    for _ in range(WIDE):
+        out.append(majority(hashes))
+        hashes = mixed(hashes)
+    return out
+
+
+def wide_limit(similarity: float) -> int:
+    """Differing bits of wide fingerprints at a Jaccard similarity J: cosine 2J / (1 + J) makes an angle, of which a bit differs with probability angle / pi. One deviation on top, so that most pairs at the threshold are linked."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * WIDE
+    return int(n * share + math.sqrt(n * share * (1 - share)))
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, wide: bool = False) -> DataFrame:
+    """Written rows of doc_id, fp (the fingerprint as a signed long), hash (of the text), seq (a number of the row's own) and piece (its salt); if wide, also w0.. (a wide fingerprint) and id (a hash of both).
 
     The numbers are written with the rows: counted anew in each scan, they could be others.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    more = [f"w{k}" for k in range(WIDE)] if wide else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "hash"])
-
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, f"doc_id {kind}, fp long, hash long")
+            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
+            marks = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts))
+            columns = [batch.column(0), pa.array(marks.view(np.int64)), batch.column(2)]
+            if wide:
+                bits = np.array([wide_fingerprint(t) for t in texts], np.uint64).reshape(-1, WIDE)
+                columns += [pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(WIDE)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "hash", *more])
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, f"doc_id {kind}, fp long, hash long" + "".join(f", {m} long" for m in more))
+    rows = rows.withColumn("id", F.xxhash64("fp", *more)) if wide else rows
     return materialize(rows.withColumn("seq", F.monotonically_increasing_id()).withColumn("piece", salt(F.col("seq"))), "fingerprints")
 
 
@@ -94,12 +143,13 @@ def choices(blocks: int, keep: int) -> list[int]:
 def tile_groups(nodes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """(group, fp) for every tile group a node is compared in; few nodes want one block to agree, many want more."""
     n, keep = nodes.count(), 1
-    while (n >> (64 * keep // (radius + keep))) > 256:
+    while (n >> (64 * keep // (radius + keep))) > most // 2:
         keep += 1
     masks = choices(radius + keep, keep)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     parts = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long"))) for k, m in enumerate(masks)])
-    rows = nodes.select("fp", F.explode(parts).alias("group")).withColumn("one", F.lit(1)).withColumn("piece", salt(F.col("fp")))
+    rest = [c for c in nodes.columns if c not in ("fp", "low")]
+    rows = nodes.select("fp", *rest, F.explode(parts).alias("group")).withColumn("one", F.lit(1)).withColumn("piece", salt(F.col("fp")))
     counts = rows.groupBy("group", "piece").agg(F.count("*").alias("n")).groupBy("group").agg(F.sum("n").alias("n"), F.collect_set("piece").alias("pieces"))
     large = counts.where(F.col("n") > most).select("group", "n", F.explode("pieces").alias("piece"))
     rows = rows.join(large, ["group", "piece"], "left")
@@ -107,7 +157,7 @@ def tile_groups(nodes: DataFrame, radius: int = RADIUS, most: int = MOST) -> Dat
     own = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("chunks")).cast("int")
     rows = rows.withColumn("chunks", chunks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair: Column = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.select(F.when(F.col("chunks") == 1, F.col("group")).otherwise(pair).alias("group"), "fp")
+    return rows.select(F.when(F.col("chunks") == 1, F.col("group")).otherwise(pair).alias("group"), "fp", *rest)
 
 
 def settle(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -125,7 +175,14 @@ def settle(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return low
 
 
-def tile_links(marks: np.ndarray, radius: int, low: np.ndarray, at: int) -> np.ndarray:
+def similar(wide: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which candidate pairs are within the limit by their wide fingerprints; all, without these."""
+    if wide is None:
+        return np.ones(len(i), bool)
+    return np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int32) <= wide_limit(SIMILARITY)
+
+
+def tile_links(marks: np.ndarray, radius: int, low: np.ndarray, at: int, wide: np.ndarray | None = None) -> np.ndarray:
     """Compares a large tile group: tiles of nodes by population count. marks: sorted by population count."""
     ones = np.bitwise_count(marks)
     tiles = range(0, len(marks), TILE)
@@ -135,19 +192,21 @@ def tile_links(marks: np.ndarray, radius: int, low: np.ndarray, at: int) -> np.n
                 break  # this tile and all after it are too far
             near = np.bitwise_count(marks[a : a + TILE, None] ^ marks[None, b : b + TILE]) <= radius
             i, j = np.nonzero(near)
-            low = settle(low, i + a + at, j + b + at)
+            i, j = i + a, j + b
+            good = (i < j) & similar(wide, i, j)
+            low = settle(low, i[good] + at, j[good] + at)
     return low
 
 
-def compare(groups: np.ndarray, marks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of rows sorted by group and population count, whole groups only."""
+def compare(groups: np.ndarray, marks: np.ndarray, radius: int, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as row numbers, of rows sorted by group and population count, whole groups only."""
     n = len(groups)
     low = np.arange(n)
     starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
     sizes = np.diff(np.append(starts, n))
     large = sizes > 64
     for at, size in zip(starts[large].tolist(), sizes[large].tolist()):
-        low = tile_links(marks[at : at + size], radius, low, at)
+        low = tile_links(marks[at : at + size], radius, low, at, None if wide is None else wide[at : at + size])
     small = np.repeat(~large, sizes)
     i, d, ones = np.flatnonzero(small), 1, np.bitwise_count(marks)
     while True:  # rows d apart in one group
@@ -157,48 +216,55 @@ def compare(groups: np.ndarray, marks: np.ndarray, radius: int) -> tuple[np.ndar
             break
         close = i[ones[i + d] - ones[i] <= radius]
         near = close[np.bitwise_count(marks[close] ^ marks[close + d]) <= radius]
+        near = near[similar(wide, near, near + d)]
         low = settle(low, near, near + d)
         d += 1
     linked = np.flatnonzero(low != np.arange(n))
-    return marks[linked], marks[low[linked]]
+    return linked, low[linked]
 
 
 def links(tiles: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): pairs of fingerprints that are within the radius, or reach each other within a tile group."""
+    """(a, b): pairs of nodes (by id, or by fp where that is all) that are within the radius, or reach each other within a tile group."""
+    wide = "w0" in tiles.columns
+    columns = ["group", "fp", *(["id", *[f"w{k}" for k in range(WIDE)]] if wide else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []  # of the group that the next batch may continue
+        kept: list[list[np.ndarray]] = []  # of the group that the next batch may continue
 
-        def out(g: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-            a, b = compare(g, m, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        def out(x: list[np.ndarray]) -> pa.RecordBatch:
+            marks = x[1].view(np.uint64)
+            a, b = compare(x[0], marks, radius, np.stack(x[3:], axis=1).view(np.uint64) if wide else None)
+            names = x[2] if wide else x[1]
+            return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=["a", "b"])
 
         for batch in batches:
-            g, m = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            if not len(g):
+            x = [c.to_numpy() for c in batch.columns]
+            if not len(x[0]):
                 continue
-            if g[0] == g[-1] and (not kept or kept[0][0][0] == g[0]):
-                kept.append((g, m))
+            one = x[0][0] == x[0][-1] and (not kept or kept[0][0][0] == x[0][0])
+            kept.append(x)
+            if one:
                 continue
-            kept.append((g, m))
-            g, m = (np.concatenate(x) for x in zip(*kept))
-            cut = int(np.flatnonzero(g != g[-1])[-1]) + 1
-            kept = [(g[cut:], m[cut:])]
-            yield out(g[:cut], m[:cut])
+            x = [np.concatenate(c) for c in zip(*kept)]
+            cut = int(np.flatnonzero(x[0] != x[0][-1])[-1]) + 1
+            kept = [[c[cut:] for c in x]]
+            yield out([c[:cut] for c in x])
         if kept:
-            yield out(*(np.concatenate(x) for x in zip(*kept)))
+            yield out([np.concatenate(c) for c in zip(*kept)])
 
     ones = F.bit_count("fp")
-    return tiles.repartition("group").withColumn("ones", ones).sortWithinPartitions("group", "ones", "fp").select("group", "fp").mapInArrow(run, "a long, b long")
+    return tiles.repartition("group").withColumn("ones", ones).sortWithinPartitions("group", "ones", "fp").select(*columns).mapInArrow(run, "a long, b long")
 
 
 def named(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Per fingerprint: fp and the first row of its component (no_id, doc_id, seq), by doc_id."""
+    """Per node (id, or fp where that is all): the first row of its component (no_id, doc_id, seq), by doc_id."""
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "seq")
-    nodes = materialize(rows.groupBy("fp").agg(F.min(first).alias("low")), "nodes")
+    wide = "w0" in rows.columns
+    key = "id" if wide else "fp"
+    nodes = materialize(rows.groupBy("fp", *(["id", *[f"w{k}" for k in range(WIDE)]] if wide else [])).agg(F.min(first).alias("low")), "nodes")
     roots = components(links(tile_groups(nodes, radius), radius))
-    found = nodes.join(roots.select(F.col("a").alias("fp"), "b"), "fp", "left").select("fp", F.coalesce("b", "fp").alias("root"), "low")
-    return per_key(found.withColumn("piece", salt(F.col("fp"))), ["root"], {"first": ("min", "low")}, "piece").select("fp", "first")
+    found = nodes.join(roots.select(F.col("a").alias(key), "b"), key, "left").select(key, F.coalesce("b", key).alias("root"), "low")
+    return per_key(found.withColumn("piece", salt(F.col(key))), ["root"], {"first": ("min", "low")}, "piece").select(key, "first")
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -207,9 +273,15 @@ def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Dat
     return spread(rows, named(rows, radius)).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, with all their columns; rows are matched on doc_id and a hash of the text."""
-    marks = fingerprints(docs, words)
+def keep_first(docs: DataFrame, radius: int = NEAR) -> DataFrame:
+    """The rows of ``docs`` that are the first of their group of near copies, with all their columns.
+
+    Candidates differ in ``radius`` bits or fewer by ``WORDS``-word shingles;
+    they are near copies if their wide fingerprints of five-word shingles say
+    that their similarity is ``SIMILARITY`` or more.  Rows are matched on
+    doc_id and a hash of the text.
+    """
+    marks = fingerprints(docs, wide=True)
     stay = named(marks, radius).select("first.seq").distinct().withColumn("kept", F.lit(True))
     decided = marks.join(stay, "seq", "left").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.coalesce("kept", F.lit(False)).alias("kept"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"))

@@ -112,3 +112,43 @@ def test_components(spark):
     got = {r["a"]: r["b"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert {x: got.get(x, x) for x in nodes} == united(pairs, nodes)
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def near(words, share, rng):
+    return [w if rng.random() > share else f"new{rng.randrange(10**6)}" for w in words]
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    """Near copies of a long text go, texts that share half of it stay, and of each group the smallest id stays."""
+    rng = random.Random(11)
+    rows, wanted = [], {}
+    for k in range(40):
+        base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+        copies = [" ".join(base)] + [" ".join(near(base, 0.004, rng)) for _ in range(3)]
+        other = " ".join(base[:200] + [f"v{rng.randrange(4000)}" for _ in range(200)])
+        for j, t in enumerate([*copies, other]):
+            rows.append((100 * k + j, t, "en", "s", 1))
+        wanted[k] = [jaccard(copies[0], c) for c in copies[1:]]
+        assert jaccard(copies[0], other) < 0.5
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in simhash.keep_first(df).collect()}
+    assert all(100 * k in kept and 100 * k + 4 in kept for k in range(40))
+    close = [100 * k + 1 + j for k in range(40) for j, v in enumerate(wanted[k]) if v >= 0.9]
+    assert len(close) > 80 and sum(i in kept for i in close) <= 0.05 * len(close)
+
+
+def test_wide_fingerprints_estimate_similarity():
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(4000)}" for _ in range(2000)]
+    for share in (0.005, 0.02, 0.05):
+        a, b = " ".join(base), " ".join(near(base, share, rng))
+        j = jaccard(a, b)
+        bits = sum((x ^ y).bit_count() for x, y in zip(simhash.wide_fingerprint(a.encode()), simhash.wide_fingerprint(b.encode())))
+        want = 256 * np.arccos(2 * j / (1 + j)) / np.pi
+        assert abs(bits - want) < 25, (j, bits, want)
+    assert simhash.wide_limit(1.0) == 0 and 38 < simhash.wide_limit(0.8) < 46
