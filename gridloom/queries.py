@@ -656,12 +656,9 @@ def split_disjoint(spark, sf_dir):
     return corpus.overlap(trace_rows(spark, sf_dir), held_out)
 
 
-@query("traces", sql=_CORPUS + "select task_id, variant_id, row_number() over (order by substr(sha256('7:epoch:' || task_id), 1, 16)) as position from ranked where place = 1")
+@query("traces", sql=_CORPUS + "select task_id, variant_id, substr(sha256('7:epoch:' || task_id), 1, 16) as task_score from ranked where place = 1")
 def epoch_view(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = corpus.epoch_view(corpus.selected(corpus_rows(spark, sf_dir), 4, SEED), 1, 7)
-    return rows.select("task_id", "variant_id", F.row_number().over(Window.orderBy("task_score")).cast("long").alias("position"))
+    return corpus.epoch_view(corpus.selected(corpus_rows(spark, sf_dir), 4, SEED), 1, 7).select("task_id", "variant_id", "task_score")
 
 
 @query("traces", sql="""+l as (select distinct task_id from traces where class < 5), r as (select distinct task_id from traces where class > 2)
