@@ -43,6 +43,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete all tables that operators have left in the shared folder; frames that still read them can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
