@@ -22,7 +22,8 @@ partitions: no shuffle, memory bounded by a batch and the non-zero weights.
 
 Defined results: null and empty texts have no features; labels that are null or
 lack a document are not used, and of a document's several labels the largest
-counts; without a toxic or without another label nothing is toxic and all
+counts, as does of several rows of an id the smallest text for the fit;
+without a toxic or without another label nothing is toxic and all
 severities are 0; repeated rows are scored alike; an empty table gives an empty
 result; extra columns are ignored.
 """
@@ -162,7 +163,8 @@ def fit(texts: list[bytes], toxic: list[int]) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     rated = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "__toxic").toArrow()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("__toxic").alias("__toxic")).toArrow()  # a text per sampled id
     order = sorted(zip(rows.column(0).to_pylist(), rows.column(1).cast(pa.binary()).to_pylist(), rows.column(2).to_pylist()))
     return fit([t for _, t, _ in order], [x for _, _, x in order])
 
