@@ -18,7 +18,7 @@ chunks.
 
 ``near_dedup`` is that operator.  ``keep_first`` looks for near copies by five
 words and a similarity of 0.8 or more: candidates are the pairs within ``NEAR``
-bits, found the same way, and a pair is linked if 256-bit fingerprints of
+bits in one of two fingerprints, found the same way, and a pair is linked if 256-bit fingerprints of
 five-word shingles (the same hash, mixed on) differ in as few bits as texts of
 that similarity do.  The wide fingerprints travel with the nodes, so no text is
 read again, and chance pairs stay apart at any number of documents.
@@ -53,6 +53,8 @@ from .filters import keep_decided
 WORDS, RADIUS, SEED, TILE, MOST = 3, 3, 42, 1024, 8192
 #: For groups of near copies: the candidates' radius, and words, 64-bit parts and similarity of what confirms them.
 NEAR, WIDE_WORDS, WIDE, SIMILARITY = 7, 5, 4, 0.8
+#: The fingerprints by which candidates are found: pairs that one of them misses by chance, the other finds.
+GATES = ("fp", "fp2")
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 15
 
@@ -102,6 +104,12 @@ def wide_fingerprint(text: bytes, words: int = WIDE_WORDS) -> list[int]:
     return out
 
 
+def wide_marks(text: bytes) -> list[int]:
+    """Both fingerprints by which candidates are found, and the wide one."""
+    hashes = shingle_hashes(text, WORDS)
+    return [majority(hashes), majority(mixed(hashes)), *wide_fingerprint(text)]
+
+
 def wide_limit(similarity: float) -> int:
     """Differing bits of wide fingerprints at a Jaccard similarity J: cosine 2J / (1 + J) makes an angle, of which a bit differs with probability angle / pi. One deviation on top, so that most pairs at the threshold are linked."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -110,22 +118,21 @@ def wide_limit(similarity: float) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, wide: bool = False) -> DataFrame:
-    """Written rows of doc_id, fp (the fingerprint as a signed long), hash (of the text), seq (a number of the row's own) and piece (its salt); if wide, also w0.. (a wide fingerprint) and id (a hash of both).
+    """Written rows of doc_id, fp (the fingerprint as a signed long), hash (of the text), seq (a number of the row's own) and piece (its salt); if wide, also fp2 (a second fingerprint), w0.. (a wide one) and id (a hash of all).
 
     The numbers are written with the rows: counted anew in each scan, they could be others.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    more = [f"w{k}" for k in range(WIDE)] if wide else []
+    more = ["fp2", *[f"w{k}" for k in range(WIDE)]] if wide else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
-            marks = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts))
-            columns = [batch.column(0), pa.array(marks.view(np.int64)), batch.column(2)]
-            if wide:
-                bits = np.array([wide_fingerprint(t) for t in texts], np.uint64).reshape(-1, WIDE)
-                columns += [pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(WIDE)]
+            each = wide_marks if wide else lambda t: [fingerprint(t, words)]
+            marks = np.array([each(t) for t in texts], np.uint64).reshape(len(texts), 1 + len(more)).view(np.int64)
+            columns = [batch.column(0), pa.array(np.ascontiguousarray(marks[:, 0])), batch.column(2)]
+            columns += [pa.array(np.ascontiguousarray(marks[:, k])) for k in range(1, 1 + len(more))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "hash", *more])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, f"doc_id {kind}, fp long, hash long" + "".join(f", {m} long" for m in more))
@@ -141,15 +148,18 @@ def choices(blocks: int, keep: int) -> list[int]:
 
 
 def tile_groups(nodes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """(group, fp) for every tile group a node is compared in; few nodes want one block to agree, many want more."""
+    """(group, fp) for every tile group a node is compared in, by each of its fingerprints; few nodes want one block to agree, many want more."""
     n, keep = nodes.count(), 1
     while (n >> (64 * keep // (radius + keep))) > most // 2:
         keep += 1
     masks = choices(radius + keep, keep)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    parts = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long"))) for k, m in enumerate(masks)])
-    rest = [c for c in nodes.columns if c not in ("fp", "low")]
-    rows = nodes.select("fp", *rest, F.explode(parts).alias("group")).withColumn("one", F.lit(1)).withColumn("piece", salt(F.col("fp")))
+    gates = [c for c in GATES if c in nodes.columns]
+    entry = lambda g, k, c, m: F.struct(F.xxhash64(F.lit(g), F.lit(k), F.col(c).bitwiseAND(F.lit(signed(m)).cast("long"))).alias("group"), F.col(c).alias("fp"))
+    entries = F.array(*[entry(g, k, c, m) for g, c in enumerate(gates) for k, m in enumerate(masks)])
+    rest = [c for c in nodes.columns if c not in (*GATES, "low")]
+    rows = nodes.select(*rest, F.explode(entries).alias("entry")).select("entry.group", "entry.fp", *rest)
+    rows = rows.withColumn("piece", salt(F.col("fp")))
     counts = rows.groupBy("group", "piece").agg(F.count("*").alias("n")).groupBy("group").agg(F.sum("n").alias("n"), F.collect_set("piece").alias("pieces"))
     large = counts.where(F.col("n") > most).select("group", "n", F.explode("pieces").alias("piece"))
     rows = rows.join(large, ["group", "piece"], "left")
@@ -261,7 +271,7 @@ def named(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "seq")
     wide = "w0" in rows.columns
     key = "id" if wide else "fp"
-    nodes = materialize(rows.groupBy("fp", *(["id", *[f"w{k}" for k in range(WIDE)]] if wide else [])).agg(F.min(first).alias("low")), "nodes")
+    nodes = materialize(rows.groupBy("fp", *(["id", "fp2", *[f"w{k}" for k in range(WIDE)]] if wide else [])).agg(F.min(first).alias("low")), "nodes")
     roots = components(links(tile_groups(nodes, radius), radius))
     found = nodes.join(roots.select(F.col("a").alias(key), "b"), key, "left").select(key, F.coalesce("b", key).alias("root"), "low")
     return per_key(found.withColumn("piece", salt(F.col(key))), ["root"], {"first": ("min", "low")}, "piece").select(key, "first")
@@ -276,8 +286,8 @@ def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Dat
 def keep_first(docs: DataFrame, radius: int = NEAR) -> DataFrame:
     """The rows of ``docs`` that are the first of their group of near copies, with all their columns.
 
-    Candidates differ in ``radius`` bits or fewer by ``WORDS``-word shingles;
-    they are near copies if their wide fingerprints of five-word shingles say
+    Candidates differ in ``radius`` bits or fewer in one of two fingerprints of
+    ``WORDS``-word shingles; they are near copies if their wide fingerprints of five-word shingles say
     that their similarity is ``SIMILARITY`` or more.  Rows are matched on
     doc_id and a hash of the text.
     """

@@ -25,8 +25,8 @@ def read(df):
 
 
 def near_brute(items):
-    """The smallest id of each component over links of 7 bits or fewer by three words and similar wide fingerprints."""
-    marks = [(i, mark_brute(t), simhash.wide_fingerprint(t.encode())) for i, t in sorted(items)]
+    """The smallest id of each component over links of 7 bits or fewer in either fingerprint of three words and similar wide fingerprints."""
+    marks = [(i, mark_brute(t), *[(m[1], m[2:]) for m in [simhash.wide_marks(t.encode())]][0]) for i, t in sorted(items)]
     low = list(range(len(marks)))
 
     def root(k):
@@ -34,9 +34,10 @@ def near_brute(items):
             k = low[k]
         return k
 
-    for i, (_, m, w) in enumerate(marks):
+    for i, (_, m, n, w) in enumerate(marks):
         for j in range(i):
-            if (m ^ marks[j][1]).bit_count() <= simhash.NEAR and sum((x ^ y).bit_count() for x, y in zip(w, marks[j][2])) <= simhash.wide_limit(0.8):
+            near = min((m ^ marks[j][1]).bit_count(), (n ^ marks[j][2]).bit_count()) <= simhash.NEAR
+            if near and sum((x ^ y).bit_count() for x, y in zip(w, marks[j][3])) <= simhash.wide_limit(0.8):
                 a, b = sorted((root(i), root(j)))
                 low[b] = a
     return sorted({marks[root(k)][0] for k in range(len(marks))})
