@@ -61,7 +61,7 @@ pairs as (select task_id, l_orderkey, rule, case when rn < n_train then 'train'
     "draws": lambda e: f"""
 samples(sample_index) as (select * from (values (0), (1), (2), (3)) as s(x)),
 draws as (select task_id, pair_index as test_index, sample_index, output_text,
-    concat(task_id, '__', cast(pair_index as varchar(20)), '__', cast(sample_index / 2 as varchar(20))) as hidden,
+    concat(task_id, '__', cast(pair_index as varchar(20)), '__', cast(cast(floor(sample_index / 2) as int) as varchar(20))) as hidden,
     cast({e["h"]("concat(task_id, ':', cast(pair_index as varchar(20)), ':', cast(sample_index as varchar(20)))")} % 10 as int) as class,
     cast({e["h"]("concat('v:', task_id, ':', cast(pair_index as varchar(20)), ':', cast(sample_index as varchar(20)))")} % 8 as int) as code_index,
     cast({e["h"]("concat('m:', task_id, ':', cast(pair_index as varchar(20)), ':', cast(sample_index as varchar(20)))")} % 10 as int) as turn

@@ -47,8 +47,8 @@ def prompt_digest(prompt: Column) -> Column:
 
 def byte_tokens(text: Column) -> Column:
     """UTF-8 bytes as token ids."""
-    digits = F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit("[0-9A-F]{2}"), F.lit(0))
-    return F.transform(digits, lambda h: F.conv(h, 16, 10).cast("int"))
+    single = F.split(F.decode(F.encode(text, "utf-8"), "ISO-8859-1"), "")  # one character per byte
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.transform(single, lambda c: F.ascii(c)))
 
 
 def byte_length(text: Column) -> Column:
