@@ -106,8 +106,8 @@ def by_text(docs: DataFrame, false: DataFrame, digest: Callable[[Column], Column
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were.
 
-    Rows are matched on (doc_id, digest); of rows that repeat both, one stays.
+    Rows are matched on (doc_id, digest); of rows that repeat both, the longest stays.
     """
     decided = exact_dedup(docs).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("__id"), F.sha2(normalised(whole_text()), 256).alias("__sha"))
-    return filters.keep_decided(rows, decided, ["__id", "__sha"], unique=True).select("row.*")
+    return filters.keep_decided(rows, decided, ["__id", "__sha"], True, F.length("row.text").desc_nulls_last()).select("row.*")

@@ -42,13 +42,14 @@ def marked(rows: DataFrame, maps: DataFrame, bits: int, key: Column) -> DataFram
     return found.select(*rows.columns, F.coalesce(bit, F.lit(False)).alias("__held"))
 
 
-def keep_decided(rows: DataFrame, decided: DataFrame, key: list[str], unique: bool) -> DataFrame:
+def keep_decided(rows: DataFrame, decided: DataFrame, key: list[str], unique: bool, first: Column | None = None) -> DataFrame:
     """The rows whose key was decided to stay.
 
     decided: the key and ``kept``, one row per row of ``rows``.  Rows that a
     filter of the dropped keys doesn't hold stay where they are; only the
     others, with their texts, are shuffled to meet the kept keys.  unique: of
-    rows that repeat a key of which one was dropped, one stays.
+    rows that repeat a key of which one was dropped, one stays, the first in
+    the order ``first``.
     """
     hashed = F.xxhash64(*key)
     decided = materialize(decided.select(*key, "kept"), "decided")
@@ -60,5 +61,5 @@ def keep_decided(rows: DataFrame, decided: DataFrame, key: list[str], unique: bo
     same = [F.col(k).eqNullSafe(F.col(f"__stay_{k}")) for k in key]
     chosen = split.where("__held").join(stay, same, "left_semi")
     if unique:
-        chosen = chosen.withColumn("__rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))).where("__rank = 1")
+        chosen = chosen.withColumn("__rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1) if first is None else first))).where("__rank = 1")
     return split.where(~F.col("__held")).select(*rows.columns).unionByName(chosen.select(*rows.columns))

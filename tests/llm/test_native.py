@@ -102,6 +102,8 @@ def test_dedup_cases(spark):
     assert as_dedup(exact_dedup.exact_dedup(df)) == dedup_brute(CASES)
     kept = rows(exact_dedup.drop_copies(df))
     assert len(kept) == len({re.sub(r"\s", "", t or "") if t != "a\u00a0b" else t for _, t in CASES})
+    same_id = rows(exact_dedup.drop_copies(docs(spark, [(7, "a b", "s"), (7, "a  b", "s"), (7, "ab", "s"), (8, "ab", "s"), (9, "c", "s")])))
+    assert sorted((r["doc_id"], r["text"]) for r in same_id) == [(7, "a  b"), (9, "c")]
     assert set(kept[0]) == {"doc_id", "text", "lang", "source", "n_chars", "kept", "digest"}
 
 
