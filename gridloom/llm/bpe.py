@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-CACHE, CHUNK = 600_000, 1 << 21
+CACHE, CHUNK = 300_000, 1 << 21
 OTHER, LETTER, NUMBER, BLANK, WHITE, APOSTROPHE = range(6)
 #: The code points of Unicode's White_Space but for the space.
 WHITES = [*range(0x9, 0xE), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
