@@ -86,14 +86,13 @@ class Model:
         return np.diff(np.hstack([np.zeros((len(scores), 1)), below, np.ones((len(scores), 1))]))
 
 
-def grades(counts: list[Counter], toxic: np.ndarray) -> np.ndarray:
-    """0 for rows that aren't toxic, 1 to 3 by thirds of marker density for those that are."""
-    among, other = Counter(), Counter()
-    for c, t in zip(counts, toxic):
-        (among if t else other).update(c.keys())
-    n, m = toxic.sum(), len(toxic) - toxic.sum()
-    markers = {w for w, k in among.items() if k >= LEAST_TEXTS and (k / n) / ((other[w] + 0.5) / m) >= MARKER}
-    amount = np.array([sum(np.log1p(k) for w, k in sorted(c.items()) if w in markers) for c in counts])
+def marked(among: Counter, other: Counter, n: float, m: float) -> set[bytes]:
+    """Markers, from in how many of n toxic and m other rows each feature is."""
+    return {f for f, k in among.items() if k >= LEAST_TEXTS and (k / n) / ((other[f] + 0.5) / m) >= MARKER}
+
+
+def grades(amount: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """0 for rows that aren't toxic, 1 to 3 by thirds of their amount of markers for those that are."""
     cuts = np.quantile(amount[toxic], [1 / 3, 2 / 3])
     return np.where(toxic, 1 + (amount[:, None] > cuts[None]).sum(axis=1), 0)
 
@@ -102,12 +101,8 @@ def gather_squares(columns: np.ndarray, values: np.ndarray, weights: np.ndarray,
     return np.maximum(np.bincount(columns, values**2 * weights, minlength=n), 1e-6)
 
 
-def telling(counts: list[Counter], toxic: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+def telling(among: Counter, other: Counter, n: float, m: float) -> tuple[list[bytes], np.ndarray]:
     """Features whose presence tells toxic rows from others, by a likelihood ratio of GAIN or more, and for which of the two they speak."""
-    among, other = Counter(), Counter()
-    for c, t in zip(counts, toxic):
-        (among if t else other).update(c.keys())
-    n, m = float(toxic.sum()), float(len(toxic) - toxic.sum())
     names = sorted(w for w in among.keys() | other.keys() if among[w] + other[w] >= LEAST_TEXTS)
     a, b = np.array([among[w] for w in names], float), np.array([other[w] for w in names], float)
     cells = [(a, n, a + b), (b, m, a + b), (n - a, n, n + m - a - b), (m - b, m, n + m - a - b)]
@@ -123,13 +118,23 @@ def fit(texts: list[bytes], toxic: list[int]) -> Model:
     none = Model({}, np.array([40.0, 41.0, 42.0]))
     if not marks.any() or marks.all():
         return none
-    counts = [features(t) for t in texts]
-    y = grades(counts, marks)
-    names, signs = telling(counts, marks)
-    index = {w: k for k, w in enumerate(names)}
-    rows = np.fromiter((r for r, c in enumerate(counts) for w in c if w in index), np.int64)
-    columns = np.fromiter((index[w] for c in counts for w in c if w in index), np.int64)
-    values = np.log1p(np.fromiter((n for c in counts for w, n in c.items() if w in index), np.float64))
+    n, m = float(marks.sum()), float(len(marks) - marks.sum())
+    among, other = Counter(), Counter()  # rows by feature; the texts' own counts are made again below instead of being kept
+    for t, mark in zip(texts, marks):
+        (among if mark else other).update(features(t).keys())
+    names, signs = telling(among, other, n, m)
+    index, markers = {f: k for k, f in enumerate(names)}, marked(among, other, n, m)
+    del among, other
+    rows, columns, values, amount = [], [], [], np.zeros(len(texts))
+    for r, t in enumerate(texts):
+        own = features(t)
+        amount[r] = sum(np.log1p(k) for f, k in sorted(own.items()) if f in markers)
+        found = [(index[f], k) for f, k in own.items() if f in index]
+        rows += [r] * len(found)
+        columns += [f for f, _ in found]
+        values += [k for _, k in found]
+    y = grades(amount, marks)
+    rows, columns, values = np.array(rows, np.int64), np.array(columns, np.int64), np.log1p(np.array(values, np.float64))
     if not len(rows):
         return none
     size = np.array([max(1, (y == k).sum()) for k in range(GRADES)])
