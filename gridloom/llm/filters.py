@@ -63,3 +63,13 @@ def keep_decided(rows: DataFrame, decided: DataFrame, key: list[str], unique: bo
     if unique:
         chosen = chosen.withColumn("__rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1) if first is None else first))).where("__rank = 1")
     return split.where(~F.col("__held")).select(*rows.columns).unionByName(chosen.select(*rows.columns))
+
+
+def distinct_rows(rows: DataFrame, label: str) -> DataFrame:
+    """The distinct rows of ``rows``; only rows that a filter of repeated hashes holds are shuffled, combined map-side first."""
+    key = F.xxhash64(*rows.columns)
+    hashes = materialize(rows.select(key.alias("h")).groupBy("h").agg(F.count("*").alias("n")), label)
+    bits = bits_for(hashes.count())
+    maps = bitmaps(hashes.where("n > 1").select(position(F.col("h"), bits).alias("pos")), f"{label}-repeated")
+    split = marked(rows, maps, bits, key)
+    return split.where(~F.col("__held")).select(*rows.columns).unionByName(split.where("__held").select(*rows.columns).distinct())

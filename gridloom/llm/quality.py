@@ -1,7 +1,8 @@
 r"""Quality rules: base counts, and perplexity bands of a modified Kneser-Ney model.
 
 Counts.  Each task counts the 4-grams of its texts' symbols per language; Spark
-sums them per (language slot, n-gram).  A symbol is one of 32 classes of bytes
+sums them per (language slot, n-gram).  Copies of a text count once per
+language, here and in the quartiles.  A symbol is one of 32 classes of bytes
 (letters without case, white space, digits, punctuation, three kinds of
 non-ASCII bytes), so an n-gram packs into 20 bits and a model has a proven
 bound: 16 slots of 2**20 entries, whatever the input.  The 15 commonest
@@ -14,12 +15,13 @@ arrays sorted by packed n-gram, with probabilities and back-off weights, and
 broadcast; a worker unfolds it once into a table for direct look-up.
 
 Verdict.  A document's perplexity per symbol (in bits) must lie in its
-language's band: the quartiles of all documents of the language that pass the
+language's band: the quartiles of the language's distinct texts that pass the
 base rules, ``FENCE`` interquartile ranges (at least ``NARROW`` bits each)
 below and above.
 
 Both passes map partitions with bounded batches; what is shuffled are counts,
-summed map-side.  Texts stay where they are.
+summed map-side.  Texts stay where they are, but for those that have copies:
+one of each is taken after combining map-side.
 
 Defined results: null and empty texts have no words and fail; a null language
 is one named ''; repeated rows are judged alike, each in its row; an empty
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
-from .filters import keep_decided
+from .filters import distinct_rows, keep_decided
 
 ORDER, BITS, SLOTS = 4, 5, 16
 SYMBOLS = 1 << BITS
@@ -146,7 +148,7 @@ def slotted(docs: DataFrame) -> DataFrame:
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
-    """(slot, gram, n) over all texts."""
+    """(slot, gram, n) over the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
@@ -164,8 +166,8 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
 
 def train(rows: DataFrame) -> Model:
-    """The model of all texts; what comes to the driver are at most SLOTS * 2**20 counts."""
-    counts = count_grams(rows).toArrow()
+    """The model of all distinct texts; what comes to the driver are at most SLOTS * 2**20 counts."""
+    counts = count_grams(distinct_rows(rows.select("text", "slot"), "quality-hashes")).toArrow()
     slot, gram, n = (counts.column(k).to_numpy() for k in ("slot", "gram", "n"))
     return Model({int(s): estimate(gram[slot == s], n[slot == s]) for s in np.unique(slot)})
 
@@ -241,6 +243,11 @@ def bands(measured: DataFrame, fence: float = FENCE) -> DataFrame:
     return found.select("slot", (F.get("q", F.lit(0)) - reach).alias("low"), (F.get("q", F.lit(1)) + reach).alias("high"))
 
 
+def once(measured: DataFrame) -> DataFrame:
+    """One row per distinct text of a language; copies are measured alike."""
+    return measured.dropDuplicates(["slot", "hash"])
+
+
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds base_failed and kept. The bands have at most SLOTS rows, so they are broadcast."""
     inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(False))
@@ -253,7 +260,7 @@ def judgements(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     bounded_batches(docs.sparkSession)
     rows = slotted(docs)
     measured = materialize(measure(rows, train(rows)), "quality")
-    limits = materialize(bands(measured, fence), "bands")
+    limits = materialize(bands(once(measured), fence), "bands")
     return judged(measured, limits)
 
 

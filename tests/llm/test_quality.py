@@ -101,3 +101,17 @@ def test_grams_do_not_cross_texts():
     for k, t in enumerate(texts):
         own = codes[begins[k] : begins[k + 1] if k + 1 < len(texts) else None]
         assert own.tolist() == quality.grams([t])[0].tolist()
+
+
+def test_a_large_copy_group_leaves_its_language_alone(spark):
+    """Copies are a third of all rows and nearly all of a small language."""
+    rng = np.random.default_rng(5)
+    words = {lang: ["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(400)] for lang, letters in (("en", "etaoinshrdlu"), ("es", "eaosrnidlctu"))}
+    say = lambda lang: " ".join(rng.choice(words[lang], 120))
+    rows = [(k, say("en"), "en") for k in range(600)] + [(1000 + k, say("es"), "es") for k in range(40)]
+    rows += [(2000 + k, rows[600][1], "es") for k in range(320)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.quality(df).collect()}
+    assert sum(got[k]["kept"] for k in range(1000, 1040)) >= 36
+    apart = {r["doc_id"]: r for r in quality.quality(df.where("doc_id < 2000")).collect()}
+    assert {k: (r["kept"], r["perplexity"]) for k, r in apart.items()} == {k: (r["kept"], pytest.approx(r["perplexity"], abs=1e-9)) for k, r in got.items() if k < 2000}
