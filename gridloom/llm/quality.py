@@ -1,18 +1,20 @@
 r"""Quality rules: base counts, and perplexity bands of a modified Kneser-Ney model.
 
 Counts.  Each task counts the 4-grams of its texts' symbols per language; Spark
-sums them per (language slot, n-gram).  Copies of a text count once per
+sums them per (language, n-gram).  Copies of a text count once per
 language, here and in the quartiles.  A symbol is one of 32 classes of bytes
 (letters without case, white space, digits, punctuation, three kinds of
-non-ASCII bytes), so an n-gram packs into 20 bits and a model has a proven
-bound: 16 slots of 2**20 entries, whatever the input.  The 15 commonest
-languages of the table have a slot each, all others share the last.
+non-ASCII bytes), so an n-gram packs into 20 bits and a language's model has at
+most 2**20 entries.  Every language has a model and a band of its own.
 
 Model.  Modified Kneser-Ney of order 4, interpolated down to the uniform
 distribution: raw counts at the highest order, continuation counts below, three
 discounts per order from the counts of counts.  It is stored per order as
-arrays sorted by packed n-gram, with probabilities and back-off weights, and
-broadcast; a worker unfolds it once into a table for direct look-up.
+arrays sorted by packed n-gram, with probabilities and back-off weights; a
+worker unfolds it once into a table for direct look-up.  The models of the
+``SLOTS`` commonest languages are broadcast.  All others are estimated by tasks,
+one language at a time, and meet their texts on (language, piece), a piece for
+each ``PIECE`` rows: a task holds one of them at once.
 
 Verdict.  A document's perplexity per symbol (in bits) must lie in its
 language's band: the quartiles of the language's distinct texts that pass the
@@ -20,8 +22,9 @@ base rules, ``FENCE`` interquartile ranges (at least ``NARROW`` bits each)
 below and above.
 
 Both passes map partitions with bounded batches; what is shuffled are counts,
-summed map-side.  Texts stay where they are, but for those that have copies:
-one of each is taken after combining map-side.
+summed map-side.  Texts stay where they are, but for those of languages beyond
+the ``SLOTS`` commonest, and those that have copies: of these one each is taken
+after combining map-side.
 
 Defined results: null and empty texts have no words and fail; a null language
 is one named ''; repeated rows are judged alike, each in its row; an empty
@@ -30,8 +33,9 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialize
 from .filters import distinct_rows, keep_decided
 
-ORDER, BITS, SLOTS = 4, 5, 16
+ORDER, BITS, SLOTS, PIECE = 4, 5, 16, 8192
 SYMBOLS = 1 << BITS
 LEAST_WORDS, MOST_REPEATED = 50, 50
 FENCE, NARROW = 3.0, 0.02
@@ -83,12 +87,12 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Per slot and order: sorted packed n-grams with log2 probabilities, and sorted contexts with log2 back-off weights."""
+    """Per slot (a language) and order: sorted packed n-grams with log2 probabilities, and sorted contexts with log2 back-off weights."""
 
-    slots: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
-    tables: dict[int, np.ndarray] = field(default_factory=dict)
+    slots: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+    tables: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def table(self, slot: int) -> np.ndarray:
+    def table(self, slot: str) -> np.ndarray:
         """log2 probability of every n-gram of the highest order: the found ones, else back-off times the order below."""
         if slot not in self.tables:
             log = np.full(SYMBOLS, -BITS, np.float32)
@@ -134,42 +138,60 @@ def estimate(codes: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np
     return out
 
 
-def slot_of(languages: list[str]) -> Column:
-    slot = F.lit(SLOTS - 1)
-    for k, lang in reversed(list(enumerate(languages))):
-        slot = F.when(F.coalesce("lang", F.lit("")) == lang, k).otherwise(slot)
-    return slot.cast("int")
+def slotted(docs: DataFrame) -> DataFrame:
+    """doc_id, text, the document's language as its slot, and a hash of text and language."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("slot"), F.xxhash64("text", "lang").alias("hash"))
 
 
-def slotted(docs: DataFrame) -> DataFrame:
-    """doc_id, text, the slot of the document's language, and a hash of text and language."""
-    top = docs.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(SLOTS - 1).collect()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), slot_of([r["lang"] for r in top]).alias("slot"), F.xxhash64("text", "lang").alias("hash"))
+def by_slot(slots: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
+    """Each slot of a batch and the places of its rows."""
+    coded = slots.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    for k, slot in enumerate(coded.dictionary.to_pylist()):
+        yield slot, np.flatnonzero(codes == k)
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
     """(slot, gram, n) over the rows."""
 
+    def sums(slot: str, seen: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.repeat(slot, len(seen)), pa.array(seen.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot", "gram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
+        counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            slots, texts = batch.column(1).to_numpy(), batch.column(0).cast(pa.binary())
-            for slot in np.unique(slots).tolist():
-                codes, _ = grams(texts.filter(pa.array(slots == slot)).to_pylist())
-                counts.setdefault(slot, np.zeros(SYMBOLS**ORDER, np.int64))
-                counts[slot] += np.bincount(codes, minlength=SYMBOLS**ORDER)
+            texts = batch.column(0).cast(pa.binary())
+            for slot, own in by_slot(batch.column(1)):
+                codes, _ = grams(texts.take(pa.array(own)).to_pylist())
+                if slot in counts or len(counts) < SLOTS:
+                    counts.setdefault(slot, np.zeros(SYMBOLS**ORDER, np.int64))
+                    counts[slot] += np.bincount(codes, minlength=SYMBOLS**ORDER)
+                elif len(codes):  # a task keeps SLOTS languages; what it sees of others Spark sums by batch
+                    yield sums(slot, *np.unique(codes, return_counts=True))
         for slot, c in counts.items():
             seen = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), slot, np.int32)), pa.array(seen.astype(np.int32)), pa.array(c[seen])], names=["slot", "gram", "n"])
+            yield sums(slot, seen, c[seen])
+
+    return rows.select("text", "slot").mapInArrow(run, "slot string, gram int, n long").groupBy("slot", "gram").agg(F.sum("n").alias("n"))
+
 
-    return rows.select("text", "slot").mapInArrow(run, "slot int, gram int, n long").groupBy("slot", "gram").agg(F.sum("n").alias("n"))
+def train(counts: DataFrame) -> Model:
+    """The model of the slots counted; what comes to the driver are at most 2**20 counts a slot."""
+    found = counts.toArrow()
+    if not found.num_rows:
+        return Model({})
+    gram, n = (found.column(k).to_numpy() for k in ("gram", "n"))
+    return Model({slot: estimate(gram[own], n[own]) for slot, own in by_slot(pa.concat_arrays(found.column("slot").chunks))})
 
 
-def train(rows: DataFrame) -> Model:
-    """The model of all distinct texts; what comes to the driver are at most SLOTS * 2**20 counts."""
-    counts = count_grams(distinct_rows(rows.select("text", "slot"), "quality-hashes")).toArrow()
-    slot, gram, n = (counts.column(k).to_numpy() for k in ("slot", "gram", "n"))
-    return Model({int(s): estimate(gram[slot == s], n[slot == s]) for s in np.unique(slot)})
+def train_apart(counts: DataFrame) -> DataFrame:
+    """(slot, model): each slot's model, estimated by the task that gets its counts (2**20 at most)."""
+
+    def run(found: pa.Table) -> pa.Table:
+        model = estimate(found.column("gram").to_numpy(), found.column("n").to_numpy())
+        return pa.table({"slot": found.column("slot")[:1], "model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    return counts.groupBy("slot").applyInArrow(run, "slot string, model binary")
 
 
 def repeated(words: list[bytes], width: int = 3) -> int:
@@ -207,28 +229,58 @@ def base_counts(text: bytes, chars: int) -> tuple[int, int, int, int, int]:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(rows: DataFrame, model: Model) -> DataFrame:
-    """doc_id, slot, the base counts, perplexity (bits per symbol; null without text) and hash."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def measured_form(rows: DataFrame) -> str:
     kind = rows.schema["doc_id"].dataType.simpleString()
+    return f"doc_id {kind}, slot string, " + "".join(f"{m} long, " for m in MEASURES) + "perplexity double, hash long"
+
+
+def measured_batch(batch: pa.RecordBatch, table: Callable[[str], np.ndarray]) -> pa.RecordBatch:
+    """doc_id, slot, the base counts, perplexity (bits per symbol; null without text) and hash of a batch of doc_id, text, slot, hash."""
+    column = batch.column(1)
+    texts = column.cast(pa.binary()).to_pylist()
+    counts = np.array([base_counts(t, len(s)) for t, s in zip(texts, column.to_pylist())], np.int64).reshape(-1, 5)
+    bits = np.full(len(texts), np.nan)
+    for slot, rows in by_slot(batch.column(2)):
+        own = [k for k in rows.tolist() if texts[k]]
+        if own:
+            codes, begins = grams([texts[k] for k in own])
+            logs = table(slot)[codes].astype(np.float64)
+            bits[own] = -np.add.reduceat(logs, begins) / np.diff(np.append(begins, len(logs)))
+    columns = [batch.column(0), batch.column(2), *[pa.array(counts[:, k]) for k in range(5)], pa.array(bits, mask=np.isnan(bits))]
+    return pa.RecordBatch.from_arrays([*columns, batch.column(3)], names=["doc_id", "slot", *MEASURES, "perplexity", "hash"])
+
+
+def measure(rows: DataFrame, model: Model) -> DataFrame:
+    """What is measured of each row, by a model of all its slots that is broadcast."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield measured_batch(batch, shared.value.table)
+
+    return rows.mapInArrow(run, measured_form(rows))
+
+
+def measure_apart(rows: DataFrame, models: DataFrame, languages: DataFrame) -> DataFrame:
+    """What is measured of each row, by models that meet the rows on (slot, piece): each piece's model comes first, then its texts."""
+    pieces = languages.select("slot", F.ceil(F.col("n") / PIECE).alias("pieces"))
+    texts = rows.join(pieces, "slot").withColumn("piece", F.pmod(F.monotonically_increasing_id(), F.col("pieces")))
+    heads = models.join(pieces, "slot").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    both = texts.drop("pieces").unionByName(heads.drop("pieces"), allowMissingColumns=True)
+    dealt = both.repartition("slot", "piece").sortWithinPartitions("slot", "piece", F.col("model").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
         for batch in batches:
-            slots, column = batch.column(2).to_numpy(), batch.column(1)
-            texts = column.cast(pa.binary()).to_pylist()
-            counts = np.array([base_counts(t, len(s)) for t, s in zip(texts, column.to_pylist())], np.int64).reshape(-1, 5)
-            bits = np.full(len(texts), np.nan)
-            for slot in np.unique(slots).tolist():
-                own = [k for k in np.flatnonzero(slots == slot).tolist() if texts[k]]
-                if own:
-                    codes, begins = grams([texts[k] for k in own])
-                    logs = shared.value.table(slot)[codes].astype(np.float64)
-                    bits[own] = -np.add.reduceat(logs, begins) / np.diff(np.append(begins, len(logs)))
-            columns = [batch.column(0), pa.array(slots), *[pa.array(counts[:, k]) for k in range(5)], pa.array(bits, mask=np.isnan(bits))]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(3)], names=["doc_id", "slot", *MEASURES, "perplexity", "hash"])
-
-    return rows.mapInArrow(run, f"doc_id {kind}, slot int, " + "".join(f"{m} long, " for m in MEASURES) + "perplexity double, hash long")
+            heads = np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for begin, end in zip([0, *heads], [*heads, batch.num_rows]):
+                if begin in heads and end > begin:
+                    table = Model({"": pickle.loads(batch.column(4)[begin].as_py())}).table("")
+                    begin += 1
+                if end > begin:
+                    yield measured_batch(batch.slice(begin, end - begin), lambda slot: table)
+
+    return dealt.select("doc_id", "text", "slot", "hash", "model").mapInArrow(run, measured_form(rows))
 
 
 def base_failed() -> Column:
@@ -236,7 +288,7 @@ def base_failed() -> Column:
 
 
 def bands(measured: DataFrame, fence: float = FENCE) -> DataFrame:
-    """Per slot: low and high. At most SLOTS rows. Quartiles are exact over rounded perplexities, of which there are a few thousand per slot, so reruns agree."""
+    """Per slot: low and high. Quartiles are exact over rounded perplexities, of which there are a few thousand per slot, so reruns agree."""
     passed = measured.where(~base_failed()).groupBy("slot", F.round("perplexity", 3).alias("bits")).agg(F.count("*").alias("n"))
     found = passed.groupBy("slot").agg(F.percentile("bits", [0.25, 0.75], F.col("n")).alias("q"))
     reach = fence * F.greatest(F.get("q", F.lit(1)) - F.get("q", F.lit(0)), F.lit(NARROW))
@@ -249,9 +301,9 @@ def once(measured: DataFrame) -> DataFrame:
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """Adds base_failed and kept. The bands have at most SLOTS rows, so they are broadcast."""
+    """Adds base_failed and kept. The bands have a row per language; whether to broadcast them is left to Spark's size check."""
     inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    rows = measured.join(F.broadcast(limits), "slot", "left").withColumn("base_failed", base_failed())
+    rows = measured.join(limits, "slot", "left").withColumn("base_failed", base_failed())
     return rows.withColumn("kept", ~F.col("base_failed") & inside)
 
 
@@ -259,7 +311,17 @@ def judgements(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     """Per document: what was measured, the verdict and the hash."""
     bounded_batches(docs.sparkSession)
     rows = slotted(docs)
-    measured = materialize(measure(rows, train(rows)), "quality")
+    languages = materialize(rows.groupBy("slot").agg(F.count("*").alias("n")), "languages")
+    common = [r["slot"] for r in languages.orderBy(F.desc("n"), "slot").limit(SLOTS + 1).collect()]
+    counts = count_grams(distinct_rows(rows.select("text", "slot"), "quality-hashes"))
+    if len(common) <= SLOTS:
+        measured = measure(rows, train(counts))
+    else:
+        shared, counts = F.col("slot").isin(common[:SLOTS]), materialize(counts, "quality-grams")
+        models = materialize(train_apart(counts.where(~shared)), "quality-models")
+        apart = measure_apart(rows.where(~shared), models, languages.where(~shared))
+        measured = measure(rows.where(shared), train(counts.where(shared))).unionByName(apart)
+    measured = materialize(measured, "quality")
     limits = materialize(bands(once(measured), fence), "bands")
     return judged(measured, limits)
 

@@ -115,3 +115,24 @@ def test_a_large_copy_group_leaves_its_language_alone(spark):
     assert sum(got[k]["kept"] for k in range(1000, 1040)) >= 36
     apart = {r["doc_id"]: r for r in quality.quality(df.where("doc_id < 2000")).collect()}
     assert {k: (r["kept"], r["perplexity"]) for k, r in apart.items()} == {k: (r["kept"], pytest.approx(r["perplexity"], abs=1e-9)) for k, r in got.items() if k < 2000}
+
+
+def test_every_language_has_its_own_model_and_band(spark, monkeypatch):
+    """20 languages, more than are broadcast: each is judged as if the others weren't there, in one piece or several."""
+    rng = np.random.default_rng(6)
+    words = {lang: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9), p=rng.dirichlet(np.full(26, 0.3)))) for _ in range(60)] for lang in range(20)}
+    rows = [(1000 * lang + k, " ".join(rng.choice(words[lang], 80)), f"l{lang:02}") for lang in range(20) for k in range(40 - lang)]
+    rows += [(30000, "", "none"), (30001, None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5).cache()
+    of_all = lambda: {r["doc_id"]: r for r in quality.quality(df).collect()}
+    got = of_all()
+    assert sorted(got) == sorted(r[0] for r in rows)
+    for lang in (0, 15, 17, 19):
+        alone = quality.quality(df.where(df.lang == f"l{lang:02}")).collect()
+        assert len(alone) == 40 - lang
+        for r in alone:
+            assert got[r["doc_id"]]["perplexity"] == pytest.approx(r["perplexity"], abs=1e-9) and got[r["doc_id"]]["kept"] == r["kept"]
+        assert sum(r["kept"] for r in alone) >= 0.8 * len(alone)
+    monkeypatch.setattr(quality, "PIECE", 7)
+    monkeypatch.setattr(quality, "SLOTS", 2)
+    assert {i: (r["kept"], r["perplexity"]) for i, r in of_all().items()} == {i: (r["kept"], r["perplexity"] if r["perplexity"] is None else pytest.approx(r["perplexity"], abs=1e-9)) for i, r in got.items()}
