@@ -7,18 +7,19 @@ last match ended, which is where a leftmost match can start.
 
 The method then asks which *terms* give a protected entity away.  Around each
 base span the ``REACH`` nearest words on either side are its context.  Over the
-corpus, n(t) counts the words t in all texts, n(e) the context words of entity
-e, n(t, e) those that are t.  The information that t gives about e,
+corpus, N counts the words of all texts, n(t) those that are t, n(e) the context
+words of entity e, n(t, e) those of them that are t; all four over distinct
+texts, so a text says the same however often it is copied.  The information that t gives about e,
 
     PMI(t, e) = log2( n(t, e) * N / (n(t) * n(e)) ),
 
 is compared with all there is to know about e, IC(e) = log2( N / n(e) ).  A
-term that occurs ``LEAST`` times or more with e and has PMI >= ALPHA * IC
-discloses e; its occurrences in e's contexts become spans of kind ``term``
-(generalised or removed by ``sanitised``).  Base spans always stay.  Copies of
-one text count once in n(t, e): contexts are counted by distinct surroundings.
+term that occurs in ``LEAST`` or more different surroundings of e and has
+PMI >= ALPHA * IC discloses e; its occurrences in e's contexts become spans of kind ``term``
+(generalised or removed by ``sanitised``).  Base spans always stay.
 
-All counts are aggregated map-side before they are shuffled; only rows with a
+All counts are aggregated map-side before they are shuffled; only texts that
+have copies are shuffled themselves, combined map-side to one of each; only rows with a
 base span are ever exploded, and contexts meet the disclosing terms on
 (entity, term, piece), so that a hot entity is dealt over 16 pieces.
 
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import SPACE, WORD, materialize, whole_text
+from .filters import distinct_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -94,7 +96,7 @@ def found(text: Column, kind: str) -> Column:
 
 
 def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """One row per document: row (a number of its own), doc_id, the matches of all kinds and the text after each kind's last match."""
+    """One row per document: row (a number of its own), doc_id, a hash of the text, the matches of all kinds and the text after each kind's last match."""
     rows = docs.select("doc_id", whole_text().alias("text"), F.monotonically_increasing_id().alias("row"))
     for k in KINDS:
         rows = rows.withColumn(f"__{k}", found(F.col("text"), k))
@@ -102,12 +104,12 @@ def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     last = F.create_map(*[x for k, a in zip(KINDS, after) for x in (F.lit(k), a)])
     rows = rows.withColumn("found", F.concat(*[f"__{k}" for k in KINDS]))
     text = ["text"] if keep_text else []
-    return materialize(rows.select("row", "doc_id", *text, "found", F.when(F.size("found") > 0, last).alias("tails")), "pii-scan")
+    return materialize(rows.select("row", "doc_id", F.xxhash64("text").alias("hash"), *text, "found", F.when(F.size("found") > 0, last).alias("tails")), "pii-scan")
 
 
 def occurrences(scanned: DataFrame) -> DataFrame:
-    """Per valid base span: row, kind, start, end, entity and the terms around it (term, start, end)."""
-    each = scanned.select("row", "tails", F.explode("found").alias("m")).select("row", "tails", "m.*")
+    """Per valid base span: row, hash, kind, start, end, entity and the terms around it (term, start, end)."""
+    each = scanned.select("row", "hash", "tails", F.explode("found").alias("m")).select("row", "hash", "tails", "m.*")
     order = Window.partitionBy("row", "kind").orderBy("i")
     each = each.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"))
     each = each.withColumn("start", F.col("end") - F.length("match")).withColumn("next", F.lead("first").over(order))
@@ -139,11 +141,13 @@ def occurrences(scanned: DataFrame) -> DataFrame:
         return F.struct(bare(x).alias("term"), (end - F.length(bare(x))).alias("start"), end.alias("end"))
 
     terms = F.filter(F.concat(F.transform("l", on_left), F.transform("r", on_right)), lambda t: t["term"].rlike(r"\p{L}") & ~t["term"].rlike("[0-9@]"))
-    return each.select("row", "kind", "start", "end", F.col("match").alias("entity"), terms.alias("terms"))
+    return each.select("row", "hash", "kind", "start", "end", F.col("match").alias("entity"), terms.alias("terms"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    words = docs.select(F.explode(F.regexp_extract_all(whole_text(), F.lit(WORD), F.lit(0))).alias("term"))
+    """(term, n_t): the words of all distinct texts."""
+    texts = distinct_rows(docs.select(whole_text().alias("text")), "pii-hashes")
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("term"))
     return words.groupBy("term").agg(F.count("*").alias("n_t"))
 
 
@@ -151,9 +155,11 @@ def disclosing(docs: DataFrame, spans: DataFrame, alpha: float = ALPHA, least: i
     """(kind, entity, term) whose term gives the entity away, with its PMI and the entity's IC."""
     key = ["kind", "entity"]
     names = F.transform("terms", lambda t: t["term"])
-    contexts = spans.select(*key, names.alias("names")).groupBy(*key, "names").agg(F.count("*").alias("copies"))
-    n_e = contexts.groupBy(*key).agg(F.sum(F.size("names")).alias("n_e")).where("n_e > 0")
-    n_te = contexts.select(*key, F.explode("names").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least)
+    once = spans.select(*key, names.alias("names"), "hash", "start").distinct()
+    contexts = once.groupBy(*key, "names").agg(F.count("*").alias("n"))
+    n_e = contexts.groupBy(*key).agg(F.sum(F.size("names") * F.col("n")).alias("n_e")).where("n_e > 0")
+    n_te = contexts.select(*key, "n", F.explode("names").alias("term")).groupBy(*key, "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("surroundings"))
+    n_te = n_te.where(F.col("surroundings") >= least)
     counts = materialize(word_counts(docs), "pii-words")
     n = F.lit(float(max(1, counts.agg(F.sum("n_t")).first()[0] or 0)))
     pairs = n_te.join(counts, "term").join(n_e, key)

@@ -172,6 +172,18 @@ def test_pii_terms(spark):
     assert "boss@corp.com" not in clean[0] and "[EMAIL]" in clean[0] and "chairman" not in clean[0] and clean[100] == data[6][1]
 
 
+def test_pii_terms_inside_a_copy_group(spark):
+    """Thousands of copies of one of a term's texts neither hide the term nor make another one disclosing."""
+    filler = "some plain words of no use at all here " * 5
+    data = [(i, f"{filler} {'uvwxyz'[i]}word zorblax chairman boss@corp.com now {filler} the end", "s") for i in range(6)]
+    data += [(100 + i, f"{filler} mail and now {i} once more", "s") for i in range(30)]
+    data += [(1000 + i, data[0][1], "s") for i in range(3000)] + [(5000 + i, f"{filler} quux lone@corp.com {filler}", "s") for i in range(500)]
+    found = {g["doc_id"]: g for g in rows(pii.pii(docs(spark, data), keep_text=True))}
+    terms = lambda g: {g["text"][s["start"] : s["end"]] for s in g["spans"] if s["kind"] == "term"}
+    assert terms(found[0]) == terms(found[3]) == terms(found[2000]) == {"zorblax", "chairman"}
+    assert not terms(found[5000]) and not found[100]["spans"]
+
+
 # --- 8 -------------------------------------------------------------------
 
 
