@@ -5,6 +5,11 @@ a range of numbers.  Missing end tags are supplied as browsers do for
 paragraphs, list items and table cells.  Elements that are boilerplate by their
 tag, role, class or id (menus, headers, footers, sidebars, notices, adverts,
 forms, comments, scripts, styles) are left out before densities are computed.
+A class or id says so by a whole name or its first or last part, unless that
+part is qualified (``has-sidebar``).  Two kinds of elements that only look like
+boilerplate stay, and density decides in them: those named so (or forms) that
+hold all of the page's article and main elements, and forms and elements with a
+content name besides (``widget content``) that hold most of the text.
 
 With C characters, T tags, LC characters and LT tags of links in a node's
 subtree (b: of the body), its density is
@@ -55,22 +60,36 @@ NAMES = set(
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
-def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+#: Names that say that an element with a boilerplate name may be the content, and first parts that qualify a name.
+CONTENT = set("content entry post article main body page story text primary hentry".split())
+QUALIFIERS = set("has no with without not is hide show".split())
+#: What an element is: always left out; left out unless it holds the articles; or unless it holds most of the text.
+STAYS, SURE, NAMED, WRAPS = range(4)
+
+
+def boilerplate(tag: str, attributes: str, in_article: bool) -> int:
     if tag in WHOLE:
-        return False
-    if tag in BOILERPLATE or tag == "header" and not in_article:
-        return True
+        return STAYS
+    if tag in BOILERPLATE and tag != "form" or tag == "header" and not in_article:
+        return SURE
+    kind, content = WRAPS if tag == "form" else STAYS, False
     if not attributes.strip(" /"):
-        return False
+        return kind
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return SURE
+        if name == "role" and value in ROLES:
+            kind = kind or (WRAPS if value == "form" else NAMED)
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & NAMES or "header" in words and not in_article:
-                return True
-    return False
+            for token in value.split():
+                parts = [p for p in re.split(r"[^a-z0-9]+", token) if p]
+                content |= token in CONTENT
+                if parts and (len(parts) == 1 or parts[0] not in QUALIFIERS):
+                    ends = {parts[0], parts[-1]}
+                    if ends & NAMES or "header" in ends and not in_article:
+                        kind = kind or NAMED
+    return WRAPS if kind == NAMED and content else kind
 
 
 class Page:
@@ -79,10 +98,35 @@ class Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.last = ["body"], [-1], [0]
         self.chars, self.link_chars = [0], [0]
-        self.dropped = [False]
+        self.dropped, self.kind = [False], [STAYS]
         self.texts: list[tuple[int, str]] = []  # (node, text), and (node, "") where a block begins or ends
         self.body = 0
         self.read(html)
+        if any(k > SURE for k in self.kind):
+            self.decide()
+
+    def inherit(self) -> None:
+        for k in range(1, len(self.tag)):
+            self.dropped[k] = self.dropped[self.parent[k]] or self.kind[k] == SURE
+
+    def decide(self) -> None:
+        """Settles which elements with a boilerplate name are left out."""
+        n, kind = len(self.tag), self.kind
+        articles = [k for k in range(n) if self.tag[k] in ("article", "main") and not self.dropped[k]]
+        for k in range(1, n):
+            if kind[k] > SURE and articles and k < articles[0] and articles[-1] <= self.last[k]:
+                kind[k] = STAYS
+            elif kind[k] == NAMED:
+                kind[k] = SURE
+        self.inherit()
+        c = list(self.chars)
+        for k in range(n - 1, 0, -1):
+            if not self.dropped[k]:
+                c[self.parent[k]] += c[k]
+        for k in range(1, n):
+            if kind[k] == WRAPS:
+                kind[k] = STAYS if 2 * c[k] > c[0] else SURE
+        self.inherit()
 
     def read(self, html: str) -> None:
         tag, parent, dropped, texts = self.tag, self.parent, self.dropped, self.texts
@@ -168,7 +212,8 @@ class Page:
             self.last.append(k)
             self.chars.append(0)
             self.link_chars.append(0)
-            dropped.append(dropped[stack[-1]] or is_boilerplate(name, m[3], articles > 0))
+            self.kind.append(boilerplate(name, m[3], articles > 0))
+            dropped.append(dropped[stack[-1]] or self.kind[k] == SURE)
             if name in BLOCKS:
                 texts.append((k, ""))
             if name in VOID or m[3].endswith("/") and name not in BLOCKS and name not in RAW and name != "a":

@@ -87,3 +87,30 @@ def test_frame_cases(spark):
     got = sorted((tuple(r) for r in html_text.extract(df).collect()), key=str)
     assert got == sorted([(1, None, "", 0), (1, "u", "a", 1), (1, "u", "a", 1), (None, "u", "", 0)], key=str)
     assert html_text.extract(df.limit(0)).collect() == []
+
+
+def test_wrappers_with_boilerplate_names_keep_their_article():
+    one, menu = " ".join(LONG.split()), f"<nav><a href=/a>A</a></nav><div class=sidebar><p>{LONG}</p></div>"
+    for name in ("has-sidebar", "content-sidebar-wrap", "no-sidebar", "widget content", "entry social", "sidebar layout"):
+        for tag in ("div", "section"):
+            got = html_text.main_text(page(f"<{tag} class='{name}'>{menu}<article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></article></{tag}><footer>&copy;</footer>"))
+            assert got.split("\n\n") == ["Title", one, one], name
+    for name in ("has-sidebar", "content-sidebar-wrap", "no-sidebar", "widget content", "entry social"):
+        got = html_text.main_text(page(f"<div class='{name}'><h1>Title</h1><p>{LONG}</p><p>{LONG}</p>{menu}</div>"))
+        assert got.split("\n\n") == ["Title", one, one], name
+
+
+def test_page_wide_form_keeps_its_text():
+    one = " ".join(LONG.split())
+    for text in (f"<article><p>{LONG}</p><p>{LONG}</p></article>", f"<div><p>{LONG}</p><p>{LONG}</p></div>"):
+        got = html_text.main_text(page(f"<form action=/ role=form><nav><a href=/>home</a></nav>{text}<form class=search>find<input></form><footer>f</footer></form>"))
+        assert got.split("\n\n")[:2] == [one, one] and "home" not in got
+    assert html_text.main_text(page(f"<form>{LONG}</form><article><p>{LONG}</p></article>")) == one
+
+
+def test_names_of_boilerplate_alone_stay_left_out():
+    one = " ".join(LONG.split())
+    comments = f"<div id=comments><article class=comment-body><p>{LONG}</p><p>{LONG}</p></article></div>"
+    assert html_text.main_text(page(f"<article><p>{LONG}</p></article>{comments}")) == one
+    assert html_text.main_text(page(f"<div><p>{LONG}</p></div><div class='comments'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>")) == one
+    assert html_text.main_text(page(f"<div class='cookie-notice'><p>{LONG}</p></div>")) == ""
