@@ -7,6 +7,7 @@ starts from data that outlives executors.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, exact_dedup, mixing, quality, simhash
 from gridloom.llm.common import materialize, table
@@ -29,8 +30,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.mixed(docs).select(*docs.columns)
+    """Documents as often as the mix of sources takes them, shard after shard, each in its shuffled order.
+
+    Ranges of (shard, order) deal a shard over several tasks; rows that repeat
+    a doc_id share their order and are told apart by their texts.
+    """
+    order = ["__shard", "__order", F.xxhash64("text")]
+    return mixing.mixed(docs).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from test_native import targets_brute
 from test_simhash import mark_brute
 
 import corpus_pipeline
-from gridloom.llm import bpe, quality, simhash
+from gridloom.llm import bpe, mixing, quality, simhash
 
 FORM = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -104,3 +104,12 @@ def test_odd_rows(spark, sf, name):
     else:
         assert out.columns == df.columns
     assert read(stage(name)(spark, df.limit(0), sf)) == []
+
+
+def test_mix_is_written_by_shard_and_order(spark, sf):
+    """What the splitting tree deals is what the stage's Parquet holds: shard after shard, each in its own order."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    dealt = [(r["__shard"], r["__order"], r["doc_id"]) for r in mixing.mixed(docs).collect()]
+    ids = [r["doc_id"] for r in stage("mixing sources")(spark, docs, sf).collect()]
+    assert len({d[0] for d in dealt}) > 1
+    assert ids == [d[2] for d in sorted(dealt)]
