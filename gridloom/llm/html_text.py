@@ -18,10 +18,19 @@ subtree (b: of the body), its density is
 
 characters per tag, adjusted for links (Sun, Song and Liao, "DOM based content
 extraction via text density", 2011).  The node with the largest sum of its
-children's densities is selected.  The least density on its path to the body is
-the threshold; the text is that of the topmost node below the body on that path
-whose density is not below it, so an article in several sections stays whole.
-All blocks of it are kept.
+children's densities is selected, with all blocks in it.  Its path to the body
+gives the thresholds for what stands beside it.  The least density on the whole
+path is the floor: nothing below it is kept, which takes out menus and lists of
+links.  At each step up, a sibling of the path's node must reach ``SHARE`` of
+the least density between that node and the selected one, which takes out short
+remarks in layout elements.  Headings, paragraphs and other text elements, and
+elements of the same tag and class as the path's node (further sections of the
+article), need the floor only, and inside an article element only what is mostly
+links needs it.  Outside of article and main elements, lists of links in the
+selected node itself go by the floor as well.
+
+The names of classes and ids are a first guess (``names=False`` switches it
+off); where they say nothing, densities alone decide.
 
 Partitions are mapped, one page at a time, without recursion: no shuffle, and
 memory bounded by a batch and one page.
@@ -45,6 +54,7 @@ from .common import bounded_batches
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[A-Za-z/][^>]*+>|<[!?][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+CLASS = re.compile(r"(?<![a-zA-Z-])class\s*+=\s*+[\"']?([^\"'>]*+)")
 #: Elements by what they mean for the tree and the text.
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,11 +73,15 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
 #: Names that say that an element with a boilerplate name may be the content, and first parts that qualify a name.
 CONTENT = set("content entry post article main body page story text primary hentry".split())
 QUALIFIERS = set("has no with without not is hide show".split())
+#: Elements that lay a page out rather than hold text of their own, and those that say what the article is.
+LAYOUT, ARTICLES = set("div section td th tr table tbody ul ol dl center main header footer aside nav span a form".split()), {"article", "main"}
+#: The share of the path's density that a sibling must reach.
+SHARE = 0.5
 #: What an element is: always left out; left out unless it holds the articles; or unless it holds most of the text.
 STAYS, SURE, NAMED, WRAPS = range(4)
 
 
-def boilerplate(tag: str, attributes: str, in_article: bool) -> int:
+def boilerplate(tag: str, attributes: str, in_article: bool, names: bool = True) -> int:
     if tag in WHOLE:
         return STAYS
     if tag in BOILERPLATE and tag != "form" or tag == "header" and not in_article:
@@ -81,7 +95,7 @@ def boilerplate(tag: str, attributes: str, in_article: bool) -> int:
             return SURE
         if name == "role" and value in ROLES:
             kind = kind or (WRAPS if value == "form" else NAMED)
-        if name in ("class", "id"):
+        if names and name in ("class", "id"):
             for token in value.split():
                 parts = [p for p in re.split(r"[^a-z0-9]+", token) if p]
                 content |= token in CONTENT
@@ -95,7 +109,8 @@ def boilerplate(tag: str, attributes: str, in_article: bool) -> int:
 class Page:
     """The flat tree: per node its tag, parent, last descendant and own characters, and the text in page order."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, names: bool = True):
+        self.names, self.marks = names, [""]  # marks: the class of each node
         self.tag, self.parent, self.last = ["body"], [-1], [0]
         self.chars, self.link_chars = [0], [0]
         self.dropped, self.kind = [False], [STAYS]
@@ -212,7 +227,9 @@ class Page:
             self.last.append(k)
             self.chars.append(0)
             self.link_chars.append(0)
-            self.kind.append(boilerplate(name, m[3], articles > 0))
+            self.kind.append(boilerplate(name, m[3], articles > 0, self.names))
+            held = CLASS.search(m[3]) if "class" in m[3] else None
+            self.marks.append(held[1] if held else "")
             dropped.append(dropped[stack[-1]] or self.kind[k] == SURE)
             if name in BLOCKS:
                 texts.append((k, ""))
@@ -228,8 +245,8 @@ class Page:
             articles += name in ("article", "main")
         close(0)
 
-    def select(self) -> int:
-        """The node whose text is the main text."""
+    def densities(self) -> tuple[list[float], list[float]]:
+        """Per node its density and the sum of its children's; ``c`` and ``lc`` become those of subtrees."""
         n, tag, parent = len(self.tag), self.tag, self.parent
         c, lc, t, lt = list(self.chars), list(self.link_chars), [0] * n, [0] * n
         for k in range(n - 1, 0, -1):
@@ -246,26 +263,56 @@ class Page:
             if c[k] and not self.dropped[k]:
                 links, tags, link_tags = max(1, lc[k]), max(1, t[k]), max(1, lt[k])
                 base = math.log(c[k] / max(1, c[k] - lc[k]) * lc[k] + ratio * c[k] + math.e)
-                inner = c[k] / links * tags / link_tags
-                density[k] = c[k] / tags * math.log(max(inner, 1.0)) / math.log(max(base, 1 + 1e-9) + 1e-9) if base > 1 + 1e-6 else c[k] / tags * math.log(max(inner, 1.0))
+                density[k] = c[k] / tags * math.log(max(c[k] / links * tags / link_tags, 1.0)) / base
             if k and not self.dropped[k]:
                 total[parent[k]] += density[k]
+        self.all_chars, self.all_links = c, lc
+        return density, total
+
+    def select(self) -> list[bool]:
+        """Which nodes' own texts are the main text."""
+        n, tag, parent = len(self.tag), self.tag, self.parent
+        density, total = self.densities()
         best = max(range(n), key=lambda k: (total[k], -k))
-        path, k = [], best
-        while k > 0:
-            path.append(k)
-            k = parent[k]
-        if not path:
-            return 0
-        threshold = min([density[0], *(density[k] for k in path)])
-        return next(k for k in reversed(path) if density[k] >= threshold)
+        path = [best]
+        while path[-1] > 0:
+            path.append(parent[path[-1]])
+        floor = min(density[k] for k in path)
+        keep = [False] * n
+
+        def take(k: int) -> None:
+            keep[k : self.last[k] + 1] = [True] * (self.last[k] + 1 - k)
+
+        take(best)
+        if not any(tag[k] in ARTICLES for k in path):
+            for k in range(best + 1, self.last[best] + 1):
+                if keep[k] and tag[k] in LAYOUT and density[k] < floor and 2 * self.all_links[k] > self.all_chars[k]:
+                    keep[k : self.last[k] + 1] = [False] * (self.last[k] + 1 - k)
+        in_article, inside = {}, False
+        for k in reversed(path):
+            inside = in_article[k] = inside or tag[k] == "article"
+        children: dict[int, list[int]] = {k: [] for k in path[1:]}
+        for k in range(1, n):
+            if parent[k] in children:
+                children[parent[k]].append(k)
+        least = density[best]
+        for own, above in zip(path, path[1:]):
+            least = min(least, density[own])
+            keep[above] = True  # text that stands in it directly
+            for k in children[above]:
+                if in_article[above] and 2 * self.all_links[k] <= self.all_chars[k]:
+                    take(k)
+                    continue
+                alike = tag[k] not in LAYOUT or self.marks[k] == self.marks[own] and tag[k] == tag[own] and (self.marks[k] or tag[k] != "div")
+                if k != own and density[k] >= (floor if alike else max(floor, SHARE * least)):
+                    take(k)
+        return keep
 
     def text(self) -> str:
-        first = self.select()
-        last = self.last[first]
+        keep = self.select()
         blocks, now = [], []
         for k, text in self.texts:
-            if not first <= k <= last or self.dropped[k]:
+            if not keep[k] or self.dropped[k]:
                 if text or self.dropped[k] and self.tag[k] not in BLOCKS:
                     continue
                 text = ""
@@ -278,8 +325,8 @@ class Page:
         return "\n\n".join(b for b in blocks if b)
 
 
-def main_text(html: str | None) -> str:
-    return Page(html).text() if html else ""
+def main_text(html: str | None, names: bool = True) -> str:
+    return Page(html, names).text() if html else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
