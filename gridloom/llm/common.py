@@ -75,3 +75,12 @@ def per_key(rows: DataFrame, key: list[str], aggregates: dict[str, tuple[str, st
     parts = rows.groupBy(*key, piece).agg(*[getattr(F, f)(c).alias(n) for n, (f, c) in aggregates.items()])
     whole = parts.groupBy(*key).agg(*[getattr(F, f)(n).alias(n) for n, (f, _) in aggregates.items()], F.collect_set(piece).alias("__pieces"))
     return rows.join(whole.withColumn(piece, F.explode("__pieces")).drop("__pieces"), [*key, piece])
+
+
+def met(rows: DataFrame, table: DataFrame, key: list[str], piece: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row per key), without one task getting a hot key's rows.
+
+    An entry of the table goes to the pieces in which its key has rows.
+    """
+    pieces = rows.groupBy(*key).agg(F.collect_set(piece).alias("__pieces"))
+    return rows.join(table.join(pieces, key).withColumn(piece, F.explode("__pieces")).drop("__pieces"), [*key, piece], how)

@@ -5,36 +5,51 @@ is written for Java's engine so that it takes linear time and constant stack:
 possessive loops, and a run is tried only at its first character or where the
 last match ended, which is where a leftmost match can start.
 
-The method then asks which *terms* give a protected entity away.  Around each
-base span the ``REACH`` nearest words on either side are its context.  Over the
-corpus, N counts the words of all texts, n(t) those that are t, n(e) the context
-words of entity e, n(t, e) those of them that are t; all four over distinct
-texts, so a text says the same however often it is copied.  The information that t gives about e,
+The method then asks which *terms* give protected data away.  A term is a run of
+letters and digits, in lower case, that touches no match.  What is protected
+stands at three levels: any personal data; a kind; and a class within a kind (an
+address's domain, a network of 16 bits, a card's issuer digits, a number's
+first four digits), so that different values share statistics.  Over the
+distinct texts of the corpus (a text says the same however often it is copied),
+N counts texts, n(t) those that hold term t, n(e) those that hold a value of
+level e, n(t, e) those with both.  The information that t gives about e,
 
     PMI(t, e) = log2( n(t, e) * N / (n(t) * n(e)) ),
 
-is compared with all there is to know about e, IC(e) = log2( N / n(e) ).  A
-term that occurs in ``LEAST`` or more different surroundings of e and has
-PMI >= ALPHA * IC discloses e; its occurrences in e's contexts become spans of kind ``term``
-(generalised or removed by ``sanitised``).  Base spans always stay.
+is compared with all there is to know about e, IC(e) = log2( N / n(e) ): t
+discloses e if PMI >= ALPHA * IC, that is, if P(e | t) >= P(e) ** (1 - ALPHA).
+To tell this from chance among V terms, the evidence must be strong enough: with
+v different values of e in texts that hold t (n(t, e), if that is less), p = P(e) and q = P(e | t),
 
-All counts are aggregated map-side before they are shuffled; only texts that
-have copies are shuffled themselves, combined map-side to one of each; only rows with a
-base span are ever exploded, and contexts meet the disclosing terms on
-(entity, term, piece), so that a hot entity is dealt over 16 pieces.
+    v / q * KL(q || p) >= ln(SURE * V)
+
+bounds the expected number of terms that pass by chance below 1 / SURE a level.
+Counting values and not texts, near copies of one text are no evidence.  Every
+occurrence of a disclosing term outside of base spans, in every text, becomes a
+span of kind ``term`` (removed by ``sanitised``).  Base spans always stay.
+
+All counts are combined map-side.  Texts with a match and texts that hold a
+disclosing term are combined to one of each; other texts stay where they are.
+Which texts hold disclosing terms is asked of a bitmap of at most ``MOST_WORDS``
+64-bit words (1 MB), and then of the terms themselves; hot terms and hot texts
+are met by (key, piece).  Co-occurrence takes (terms x levels) of one text, as a
+stream.
 
 Defined results: null text is empty and has no spans; repeated rows and texts
-each get their spans, in their own row; an empty table gives an empty result;
-extra columns are ignored.
+each get their spans, in their own row; very long texts are taken whole; an empty
+table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACE, WORD, materialize, whole_text
+from .common import SALTS, materialize, met, salt, whole_text
 from .filters import distinct_rows
 
 KINDS = ("email", "ip", "card", "phone")
@@ -48,9 +63,13 @@ PATTERNS = {
 }
 #: A cheap sign without which a pattern can't match.
 SIGNS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-REACH, LEAST, ALPHA = 3, 3, 0.8
-#: Characters of surroundings that are looked at on either side, for REACH words.
-AROUND = 96
+ALPHA, SURE = 0.8, 20.0
+#: A term; in the texts, and with the gap before it.
+TERM = r"[\p{L}\p{N}]++"
+#: Stands for a match while terms are taken; a private character, so runs that hold it in a text are no terms either.
+MARK = "\ue000"
+#: Most 64-bit words of the bitmap of disclosing terms.
+MOST_WORDS = 1 << 17
 
 
 def digits(x: Column) -> Column:
@@ -80,112 +99,155 @@ def valid(kind: str, x: Column) -> Column:
 
 
 def found(text: Column, kind: str) -> Column:
-    """array of (kind, i, size, match, left, right): the matches in order; size is the length of the gap before it with the match itself."""
+    """array of (kind, i, size, match): the matches in order; size is the length of the gap before it with the match itself."""
     pattern = PATTERNS[kind]
     # \G: after the last match each later start fails at once, instead of looking through the rest again
     chunks = F.regexp_extract_all(text, F.lit(rf"\G(?s:.*?)(?:{pattern})"), F.lit(0))
     pairs = F.arrays_zip(chunks.alias("chunk"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    entry = lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(p["chunk"]).alias("size"), p["match"].alias("match"))
+    none = F.array().cast("array<struct<kind:string,i:int,size:int,match:string>>")
+    return F.when(text.rlike(SIGNS[kind]), F.transform(pairs, entry)).otherwise(none)
 
-    def entry(p: Column, i: Column) -> Column:
-        gap = F.length(p["chunk"]) - F.length(p["match"])
-        left = F.substr(p["chunk"], F.greatest(F.lit(1), gap - AROUND + 1), F.least(gap, F.lit(AROUND)))
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(p["chunk"]).alias("size"), p["match"].alias("match"), left.alias("left"), F.substring(p["chunk"], 1, F.least(gap, F.lit(AROUND))).alias("first"))
 
-    none = F.array().cast("array<struct<kind:string,i:int,size:int,match:string,left:string,first:string>>")
-    return F.when(text.rlike(SIGNS[kind]), F.transform(pairs, entry)).otherwise(none)
+def keys(text: Column) -> list[Column]:
+    """128 bits that name a text."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
 def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """One row per document: row (a number of its own), doc_id, a hash of the text, the matches of all kinds and the text after each kind's last match."""
+    """One row per document: row (a number of its own), its piece, doc_id, keys of the text, the matches of all kinds, and the text of rows that have any."""
     rows = docs.select("doc_id", whole_text().alias("text"), F.monotonically_increasing_id().alias("row"))
     for k in KINDS:
         rows = rows.withColumn(f"__{k}", found(F.col("text"), k))
-    after = [F.substr(F.col("text"), F.aggregate(f"__{k}", F.lit(1), lambda a, m: a + m["size"]), F.lit(AROUND)) for k in KINDS]
-    last = F.create_map(*[x for k, a in zip(KINDS, after) for x in (F.lit(k), a)])
     rows = rows.withColumn("found", F.concat(*[f"__{k}" for k in KINDS]))
-    text = ["text"] if keep_text else []
-    return materialize(rows.select("row", "doc_id", F.xxhash64("text").alias("hash"), *text, "found", F.when(F.size("found") > 0, last).alias("tails")), "pii-scan")
+    text = F.col("text") if keep_text else F.when(F.size("found") > 0, F.col("text"))
+    return materialize(rows.select("row", salt(F.col("row")).alias("piece"), "doc_id", *keys(F.col("text")), text.alias("text"), "found"), "pii-scan")
 
 
 def occurrences(scanned: DataFrame) -> DataFrame:
-    """Per valid base span: row, hash, kind, start, end, entity and the terms around it (term, start, end)."""
-    each = scanned.select("row", "hash", "tails", F.explode("found").alias("m")).select("row", "hash", "tails", "m.*")
-    order = Window.partitionBy("row", "kind").orderBy("i")
-    each = each.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"))
-    each = each.withColumn("start", F.col("end") - F.length("match")).withColumn("next", F.lead("first").over(order))
-    passes = F.lit(False)
+    """Per valid base span: row, kind, start, end, value (the match) and class."""
+    each = scanned.select("row", F.explode("found").alias("m")).select("row", "m.*")
+    order = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("end", F.sum("size").over(order).cast("int")).withColumn("start", F.col("end") - F.length("match"))
+    passes, of = F.lit(False), F.lit(None).cast("string")
+    classes = {"email": F.lower(F.substring_index("match", "@", -1)), "ip": F.substring_index("match", ".", 2), "card": F.substring(digits(F.col("match")), 1, 6), "phone": F.substring(digits(F.col("match")), 1, 4)}
     for k in KINDS:
         passes = F.when(F.col("kind") == k, valid(k, F.col("match"))).otherwise(passes)
-    each = each.where(passes)
-    # A run of characters that touches a span or was cut at the window's edge is no whole word.
-    left = F.regexp_replace("left", f"{WORD}$", "")
-    l_cut = (F.length("left") == AROUND) | (F.col("i") > 0)
-    before = F.when(l_cut, F.regexp_replace(left, f"^{WORD}", "")).otherwise(left)
-    right = F.coalesce("next", F.col("tails")[F.col("kind")])
-    r_cut = (F.length(right) == AROUND) | F.col("next").isNotNull()
-    each = each.withColumn("right", right)
-    after = F.regexp_replace("right", f"^{WORD}", "")
-    whole = F.when(r_cut, F.regexp_replace(after, f"{WORD}$", "")).otherwise(after)
-    each = each.withColumn("l", F.regexp_extract_all(before, F.lit(f"{WORD}{SPACE}*"), F.lit(0))).withColumn("r", F.regexp_extract_all(whole, F.lit(f"{SPACE}*{WORD}"), F.lit(0)))
-    each = each.withColumn("l", F.slice("l", F.greatest(F.lit(1), F.size("l") - REACH + 1), F.lit(REACH))).withColumn("r", F.slice("r", 1, REACH))
-    each = each.withColumn("l_end", F.col("start") - F.length("left") + F.length(left)).withColumn("r_start", F.col("end") + F.length("right") - F.length(after))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-    bare = lambda x: F.regexp_replace(x, SPACE, "")
-
-    def on_left(x: Column, i: Column) -> Column:
-        start = F.col("l_end") - total(F.slice("l", i + 1, F.lit(REACH)))
-        return F.struct(bare(x).alias("term"), start.alias("start"), (start + F.length(bare(x))).alias("end"))
-
-    def on_right(x: Column, i: Column) -> Column:
-        end = F.col("r_start") + total(F.slice("r", F.lit(1), i + 1))
-        return F.struct(bare(x).alias("term"), (end - F.length(bare(x))).alias("start"), end.alias("end"))
-
-    terms = F.filter(F.concat(F.transform("l", on_left), F.transform("r", on_right)), lambda t: t["term"].rlike(r"\p{L}") & ~t["term"].rlike("[0-9@]"))
-    return each.select("row", "hash", "kind", "start", "end", F.col("match").alias("entity"), terms.alias("terms"))
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(term, n_t): the words of all distinct texts."""
+        of = F.when(F.col("kind") == k, classes[k]).otherwise(of)
+    return materialize(each.where(passes).select("row", "kind", "start", "end", F.col("match").alias("value"), of.alias("class")), "pii-base")
+
+
+def masked(text: Column) -> Column:
+    """The text with a mark for every match of a base pattern, valid or not, kind after kind: a number's digits are no card."""
+    out = text
+    for k in ("email", "phone", "ip", "card"):
+        out = F.regexp_replace(out, PATTERNS[k], MARK)
+    return F.when(text.rlike("|".join(SIGNS.values())), out).otherwise(text)
+
+
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text; a run that touches a match is none."""
+    runs = F.regexp_extract_all(F.lower(masked(text)), F.lit(rf"[{MARK}\p{{L}}\p{{N}}]++"), F.lit(0))
+    return F.array_distinct(F.filter(runs, lambda t: ~t.contains(MARK)))
+
+
+def term_counts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(term, n_t) over all distinct texts, and their number N."""
     texts = distinct_rows(docs.select(whole_text().alias("text")), "pii-hashes")
-    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("n_t"))
-
-
-def disclosing(docs: DataFrame, spans: DataFrame, alpha: float = ALPHA, least: int = LEAST) -> DataFrame:
-    """(kind, entity, term) whose term gives the entity away, with its PMI and the entity's IC."""
-    key = ["kind", "entity"]
-    names = F.transform("terms", lambda t: t["term"])
-    once = spans.select(*key, names.alias("names"), "hash", "start").distinct()
-    contexts = once.groupBy(*key, "names").agg(F.count("*").alias("n"))
-    n_e = contexts.groupBy(*key).agg(F.sum(F.size("names") * F.col("n")).alias("n_e")).where("n_e > 0")
-    n_te = contexts.select(*key, "n", F.explode("names").alias("term")).groupBy(*key, "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("surroundings"))
-    n_te = n_te.where(F.col("surroundings") >= least)
-    counts = materialize(word_counts(docs), "pii-words")
-    n = F.lit(float(max(1, counts.agg(F.sum("n_t")).first()[0] or 0)))
-    pairs = n_te.join(counts, "term").join(n_e, key)
-    pairs = pairs.withColumn("pmi", F.log2(F.try_divide(F.col("n_te") * n, F.col("n_t") * F.col("n_e")))).withColumn("ic", F.log2(F.try_divide(n, F.col("n_e"))))
-    return pairs.where((F.col("pmi") >= alpha * F.col("ic")) & (F.col("ic") > 0)).select(*key, "term", "pmi", "ic")
-
-
-def pii_spans(docs: DataFrame, scanned: DataFrame, alpha: float = ALPHA, least: int = LEAST) -> DataFrame:
-    """Per row with a span: row and spans, an array of (at, start, end, kind) in order of kind, then start."""
-    base = materialize(occurrences(scanned), "pii-base")
-    pieces = 16
-    known = disclosing(docs, base, alpha, least).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    near = base.select("row", "kind", "entity", F.explode("terms").alias("t")).withColumn("term", F.col("t.term")).withColumn("piece", F.pmod(F.xxhash64("row"), F.lit(pieces)).cast("int"))
-    given = near.join(known, ["kind", "entity", "term", "piece"], "left_semi").select("row", F.lit("term").alias("kind"), "t.start", "t.end").distinct()
-    at = F.array_position(F.array(*map(F.lit, [*KINDS, "term"])), F.col("kind")).cast("int")
-    spans = base.select("row", "kind", "start", "end").unionByName(given).select("row", F.struct(at.alias("at"), "start", "end", "kind").alias("span"))
-    return spans.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("spans"))
-
-
-def pii(docs: DataFrame, keep_text: bool = False, alpha: float = ALPHA, least: int = LEAST) -> DataFrame:
-    """Per document: doc_id, spans (array of (at, start, end, kind)) and, if kept, text."""
+    # the empty string, which is no term, counts the texts
+    held = F.concat(terms_of(F.col("text")), F.array(F.lit("")))
+    counts = materialize(texts.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "pii-terms")
+    number = counts.where("term = ''").first()
+    return counts.where("term <> ''"), number["n_t"] if number else 0
+
+
+def disclosing(docs: DataFrame, scanned: DataFrame, base: DataFrame, alpha: float = ALPHA, sure: float = SURE) -> DataFrame:
+    """(term, level, n_t, n_e, n_te, n_values, pmi, ic) of the terms that give a level away."""
+    own = base.select("row").distinct()
+    once = scanned.where("size(found) > 0").groupBy("text").agg(F.min("row").alias("row")).join(own, "row", "left_semi")
+    once = materialize(once.select("row", F.explode(terms_of(F.col("text"))).alias("term")), "pii-pairs")
+    levels = F.array(F.lit("any"), F.col("kind"), F.concat_ws(":", "kind", "class"))
+    held = base.join(once.select("row").distinct(), "row", "left_semi").select("row", F.explode(levels).alias("level"), F.xxhash64("kind", "value").alias("value")).distinct()
+    values = held.select("level", "value").distinct().groupBy("level").agg(F.count("*").alias("n_all"))
+    n_e = held.select("level", "row").distinct().groupBy("level").agg(F.count("*").alias("n_e"))
+    # one value is no evidence, whatever stands beside it
+    n_e = materialize(n_e.join(values.where("n_all > 1"), "level"), "pii-levels")
+    held = materialize(held.join(n_e, "level", "left_semi"), "pii-held")
+    of_row = held.groupBy("row").agg(F.collect_set("level").alias("levels"))
+    n_te = once.join(of_row, "row").select("term", F.explode("levels").alias("level")).groupBy("term", "level").agg(F.count("*").alias("n_te"))
+    n_te = materialize(n_te.where("n_te > 1").withColumn("piece", salt(F.col("level"))), "pii-both")
+    counts, n = term_counts(docs)
+    number = float(max(1, counts.count()))
+    p, q = F.col("n_e") / F.lit(float(max(1, n))), F.col("n_te") / F.col("n_t")
+    pairs = met(n_te, counts, ["term"], "piece").join(n_e, "level").where(p < 1)
+    pairs = pairs.withColumn("pmi", F.log2(q / p)).withColumn("ic", -F.log2(p)).where(F.col("pmi") >= alpha * F.col("ic"))
+    miss = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(F.lit(0.0))
+    pairs = materialize(pairs.withColumn("need", q * math.log(sure * number) / (q * F.log(q / p) + miss)).where("need <= n_all"), "pii-likely")
+    wide = pairs.select("term", "level", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("piece"))
+    seen = once.withColumn("piece", salt(F.col("row"))).join(wide, ["term", "piece"]).join(held, ["row", "level"])
+    evidence = seen.select("term", "level", "value").distinct().groupBy("term", "level").agg(F.count("*").alias("n_values"))
+    return pairs.join(evidence, ["term", "level"]).where("least(n_values, n_te) >= need").select("term", "level", "n_t", "n_e", "n_te", "n_values", "pmi", "ic")
+
+
+def bit(term: Column, words: int) -> tuple[Column, Column]:
+    """A term's place in a bitmap of 64-bit words: number of the word, and mask."""
+    h = F.xxhash64(term)
+    return F.pmod(F.shiftright(h, 6), F.lit(words)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+
+
+def term_bitmap(known: DataFrame) -> tuple[Column, int]:
+    """The bitmap of the terms, as a constant array, and its number of words; at most MOST_WORDS words pass the driver."""
+    words, n = 64, known.count()
+    while words < min(n, MOST_WORDS):  # 64 bits for each term
+        words *= 2
+    at, mask = bit(F.col("term"), words)
+    full = [0] * words
+    for r in known.groupBy(at.alias("at")).agg(F.bit_or(mask).alias("bits")).collect():
+        full[r["at"]] = r["bits"]
+    return F.from_json(F.lit(json.dumps(full)), "array<bigint>"), words
+
+
+def term_spans(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(k1, k2, given): for each text that holds one, the places (start, end) of the disclosing terms."""
+    known = materialize(known.select("term").distinct(), "pii-known")
+    bitmap, words = term_bitmap(known)
+
+    def may(t: Column) -> Column:
+        at, mask = bit(t, words)
+        return F.get(bitmap, at).bitwiseAND(mask) != 0
+
+    rows = docs.select(whole_text().alias("text")).withColumn("terms", terms_of(F.col("text"))).withColumn("terms", F.filter("terms", may))
+    likely = rows.where(F.size("terms") > 0).groupBy("text").agg(F.first("terms").alias("terms"))
+    likely = materialize(likely.select(*keys(F.col("text")), "text", "terms"), "pii-likely-texts")
+    wide = known.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = likely.select("k1", "k2", F.explode("terms").alias("term")).withColumn("piece", salt(F.col("k1"))).join(wide, ["term", "piece"], "left_semi")
+    held = held.groupBy("k1", "k2").agg(F.collect_set("term").alias("held"))
+    places = F.arrays_zip(F.regexp_extract_all("text", F.lit(rf"\G(?s:.*?){TERM}"), F.lit(0)).alias("chunk"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("match"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        end = a["at"] + F.length(p["chunk"])
+        span = F.struct((end - F.length(p["match"])).alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(F.array_contains("held", F.lower(p["match"])), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+
+    return likely.drop("terms").join(held, ["k1", "k2"]).select("k1", "k2", F.aggregate(places, start, step, lambda a: a["out"]).alias("given"))
+
+
+def pii(docs: DataFrame, keep_text: bool = False, alpha: float = ALPHA, sure: float = SURE) -> DataFrame:
+    """Per document: doc_id, spans (array of (at, start, end, kind) in order of kind, then start) and, if kept, text."""
     scanned = scan(docs, keep_text)
-    spans = pii_spans(docs, scanned, alpha, least)
+    base = occurrences(scanned)
+    at = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    by_row = base.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "start", "end", "kind"))).alias("base"))
+    given = materialize(term_spans(docs, disclosing(docs, scanned, base, alpha, sure)), "pii-given")
     text = ["text"] if keep_text else []
+    rows = scanned.select("row", "piece", "doc_id", "k1", "k2", *text)
+    rows = met(rows, given, ["k1", "k2"], "piece", "left").join(by_row, "row", "left")
     empty = F.array().cast("array<struct<at:int,start:int,end:int,kind:string>>")
-    return scanned.select("row", "doc_id", *text).join(spans, "row", "left").select("doc_id", *text, F.coalesce("spans", empty).alias("spans"))
+    base = F.coalesce("base", empty)
+    free = F.filter("given", lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    terms = F.transform(free, lambda t: F.struct(F.lit(len(KINDS) + 1).alias("at"), t["start"].alias("start"), t["end"].alias("end"), F.lit("term").alias("kind")))
+    return rows.select("doc_id", *text, F.concat(base, F.coalesce(terms, empty)).alias("spans"))
 
 
 def digests(found: DataFrame) -> DataFrame:
