@@ -30,8 +30,8 @@ span of kind ``term`` (removed by ``sanitised``).  Base spans always stay.
 
 All counts are combined map-side.  Texts with a match and texts that hold a
 disclosing term are combined to one of each; other texts stay where they are.
-Which texts hold disclosing terms is asked of a bitmap of at most ``MOST_WORDS``
-64-bit words (1 MB), and then of the terms themselves; hot terms and hot texts
+Which texts hold disclosing terms is asked of a filter of at most ``MOST_WORDS``
+64-bit words (2 MB), and then of the terms themselves; hot terms and hot texts
 are met by (key, piece).  Co-occurrence takes (terms x levels) of one text, as a
 stream.
 
@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SALTS, materialize, met, salt, whole_text
+from .common import materialize, met, salt, whole_text
 from .filters import distinct_rows
 
 KINDS = ("email", "ip", "card", "phone")
@@ -68,8 +68,8 @@ ALPHA, SURE = 0.8, 20.0
 TERM = r"[\p{L}\p{N}]++"
 #: Stands for a match while terms are taken; a private character, so runs that hold it in a text are no terms either.
 MARK = "\ue000"
-#: Most 64-bit words of the bitmap of disclosing terms.
-MOST_WORDS = 1 << 17
+#: Most 64-bit words of the filter of disclosing terms.
+MOST_WORDS = 1 << 18
 
 
 def digits(x: Column) -> Column:
@@ -161,44 +161,67 @@ def term_counts(docs: DataFrame) -> tuple[DataFrame, int]:
     return counts.where("term <> ''"), number["n_t"] if number else 0
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, base: DataFrame, alpha: float = ALPHA, sure: float = SURE) -> DataFrame:
-    """(term, level, n_t, n_e, n_te, n_values, pmi, ic) of the terms that give a level away."""
+def protected(scanned: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The distinct texts with valid matches: (row, level, value); per level (level, n_e, n_all: its values); and (row, term, kinds, classes) of their terms.
+
+    Levels of a single value are left out: one value is no evidence, whatever stands beside it.
+    """
     own = base.select("row").distinct()
-    once = scanned.where("size(found) > 0").groupBy("text").agg(F.min("row").alias("row")).join(own, "row", "left_semi")
-    once = materialize(once.select("row", F.explode(terms_of(F.col("text"))).alias("term")), "pii-pairs")
+    texts = materialize(scanned.where("size(found) > 0").groupBy("text").agg(F.min("row").alias("row")).join(own, "row", "left_semi"), "pii-texts")
     levels = F.array(F.lit("any"), F.col("kind"), F.concat_ws(":", "kind", "class"))
-    held = base.join(once.select("row").distinct(), "row", "left_semi").select("row", F.explode(levels).alias("level"), F.xxhash64("kind", "value").alias("value")).distinct()
+    held = base.join(texts.select("row"), "row", "left_semi").select("row", F.explode(levels).alias("level"), F.xxhash64("kind", "value").alias("value")).distinct()
+    held = materialize(held, "pii-held")
     values = held.select("level", "value").distinct().groupBy("level").agg(F.count("*").alias("n_all"))
     n_e = held.select("level", "row").distinct().groupBy("level").agg(F.count("*").alias("n_e"))
-    # one value is no evidence, whatever stands beside it
     n_e = materialize(n_e.join(values.where("n_all > 1"), "level"), "pii-levels")
-    held = materialize(held.join(n_e, "level", "left_semi"), "pii-held")
-    of_row = held.groupBy("row").agg(F.collect_set("level").alias("levels"))
-    n_te = once.join(of_row, "row").select("term", F.explode("levels").alias("level")).groupBy("term", "level").agg(F.count("*").alias("n_te"))
-    n_te = materialize(n_te.where("n_te > 1").withColumn("piece", salt(F.col("level"))), "pii-both")
+    is_class = F.col("level").contains(":")
+    kinds = F.collect_set(F.when(~is_class & (F.col("level") != "any"), F.col("level")))
+    of_row = held.join(n_e, "level", "left_semi").groupBy("row").agg(kinds.alias("kinds"), F.collect_set(F.when(is_class, F.col("level"))).alias("classes"))
+    terms = texts.join(of_row, "row").select("row", F.explode(terms_of(F.col("text"))).alias("term"), "kinds", "classes")
+    return held, n_e, materialize(terms.withColumn("piece", salt(F.col("row"))), "pii-pairs")
+
+
+def disclosing(docs: DataFrame, scanned: DataFrame, base: DataFrame, alpha: float = ALPHA, sure: float = SURE) -> DataFrame:
+    """(term, level, n_t, n_e, n_te, n_values, pmi, ic) of the terms that give a level away."""
+    held, n_e, once = protected(scanned, base)
     counts, n = term_counts(docs)
-    number = float(max(1, counts.count()))
-    p, q = F.col("n_e") / F.lit(float(max(1, n))), F.col("n_te") / F.col("n_t")
-    pairs = met(n_te, counts, ["term"], "piece").join(n_e, "level").where(p < 1)
+    number, total = float(max(1, counts.count())), F.lit(float(max(1, n)))
+    with_kind = [F.count_if(F.array_contains("kinds", k)).alias(k) for k in KINDS]
+    terms = once.groupBy("term").agg(F.count("*").alias("any"), *with_kind).where(F.col("any") > 1)
+    terms = materialize(terms.join(counts, "term"), "pii-both")
+    by_kind = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(k).alias("n_te")) for k in ("any", *KINDS)])).alias("e")
+    kinds = terms.select("term", "n_t", by_kind).select("term", "n_t", "e.*").where("n_te > 1")
+    # a class is rarer than what holds it: P(any | t) >= P(class | t) >= P(class) ** (1 - alpha) >= (2 / N) ** (1 - alpha)
+    possible = terms.where(F.col("any") >= F.col("n_t") * F.pow(2 / total, F.lit(1 - alpha))).select("term", "n_t")
+    classed = met(once.where(F.size("classes") > 0), possible, ["term"], "piece").select("term", "n_t", F.explode("classes").alias("level"))
+    classes = classed.groupBy("term", "n_t", "level").agg(F.count("*").alias("n_te")).where("n_te > 1").select("term", "n_t", "level", "n_te")
+    p, q = F.col("n_e") / total, F.col("n_te") / F.col("n_t")
+    pairs = kinds.unionByName(classes).join(n_e, "level").where(p < 1)
     pairs = pairs.withColumn("pmi", F.log2(q / p)).withColumn("ic", -F.log2(p)).where(F.col("pmi") >= alpha * F.col("ic"))
     miss = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(F.lit(0.0))
-    pairs = materialize(pairs.withColumn("need", q * math.log(sure * number) / (q * F.log(q / p) + miss)).where("need <= n_all"), "pii-likely")
-    wide = pairs.select("term", "level", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("piece"))
-    seen = once.withColumn("piece", salt(F.col("row"))).join(wide, ["term", "piece"]).join(held, ["row", "level"])
+    pairs = pairs.withColumn("need", q * math.log(sure * number) / (q * F.log(q / p) + miss))
+    pairs = materialize(pairs.where("need <= least(n_all, n_te)"), "pii-likely")
+    # what is left has terms that are rare outside of the level, but for a level that most texts have
+    seen = met(once.select("row", "term", "piece"), pairs.select("term", "level").groupBy("term").agg(F.collect_set("level").alias("levels")), ["term"], "piece")
+    seen = seen.select("row", "term", F.explode("levels").alias("level")).join(held, ["row", "level"])
     evidence = seen.select("term", "level", "value").distinct().groupBy("term", "level").agg(F.count("*").alias("n_values"))
-    return pairs.join(evidence, ["term", "level"]).where("least(n_values, n_te) >= need").select("term", "level", "n_t", "n_e", "n_te", "n_values", "pmi", "ic")
+    return pairs.join(evidence, ["term", "level"]).where("n_values >= need").select("term", "level", "n_t", "n_e", "n_te", "n_values", "pmi", "ic")
 
 
 def bit(term: Column, words: int) -> tuple[Column, Column]:
-    """A term's place in a bitmap of 64-bit words: number of the word, and mask."""
+    """A term's place in a filter of 64-bit words: number of the word, and five of its bits."""
     h = F.xxhash64(term)
-    return F.pmod(F.shiftright(h, 6), F.lit(words)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 6 * k), F.lit(64)).cast("int"))
+    mask = one(0)
+    for k in range(1, 5):
+        mask = mask.bitwiseOR(one(k))
+    return F.pmod(F.shiftright(h, 30), F.lit(words)).cast("int"), mask
 
 
 def term_bitmap(known: DataFrame) -> tuple[Column, int]:
-    """The bitmap of the terms, as a constant array, and its number of words; at most MOST_WORDS words pass the driver."""
+    """The filter of the terms, as a constant array, and its number of words; at most MOST_WORDS words pass the driver."""
     words, n = 64, known.count()
-    while words < min(n, MOST_WORDS):  # 64 bits for each term
+    while words < min(4 * n, MOST_WORDS):  # 256 bits for each term: one in some 100,000 others passes
         words *= 2
     at, mask = bit(F.col("term"), words)
     full = [0] * words
@@ -214,14 +237,13 @@ def term_spans(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     def may(t: Column) -> Column:
         at, mask = bit(t, words)
-        return F.get(bitmap, at).bitwiseAND(mask) != 0
+        return F.get(bitmap, at).bitwiseAND(mask) == mask
 
     rows = docs.select(whole_text().alias("text")).withColumn("terms", terms_of(F.col("text"))).withColumn("terms", F.filter("terms", may))
     likely = rows.where(F.size("terms") > 0).groupBy("text").agg(F.first("terms").alias("terms"))
     likely = materialize(likely.select(*keys(F.col("text")), "text", "terms"), "pii-likely-texts")
-    wide = known.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    held = likely.select("k1", "k2", F.explode("terms").alias("term")).withColumn("piece", salt(F.col("k1"))).join(wide, ["term", "piece"], "left_semi")
-    held = held.groupBy("k1", "k2").agg(F.collect_set("term").alias("held"))
+    held = likely.select("k1", "k2", F.explode("terms").alias("term"), salt(F.col("k1")).alias("piece"))
+    held = met(held, known, ["term"], "piece").groupBy("k1", "k2").agg(F.collect_set("term").alias("held"))
     places = F.arrays_zip(F.regexp_extract_all("text", F.lit(rf"\G(?s:.*?){TERM}"), F.lit(0)).alias("chunk"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("match"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 

@@ -166,7 +166,7 @@ def test_pii_cases(spark):
 
 def term_brute(texts, alpha=pii.ALPHA, sure=pii.SURE):
     """The disclosing terms and each text's term spans, with dictionaries over all texts."""
-    once, mark = {t or "" for t in texts}, ""
+    once, mark = {t or "" for t in texts}, "\ue000"
     held, n_t, levels, n_te = {}, collections.Counter(), collections.defaultdict(set), collections.Counter()
     values, seen = collections.defaultdict(set), collections.defaultdict(set)
     for t in once:
