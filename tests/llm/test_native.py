@@ -301,16 +301,69 @@ def test_mix_cases(spark):
     out = rows(mixing.mixed(df))
     assert sum(len((r["text"] or "").split()) for r in out) == sum(g["taken"] for g in rows(mixing.mix(df)))
     shards = collections.Counter(r["__shard"] for r in out)
-    assert set(shards) == set(range(mixing.SHARDS))
+    assert set(shards) <= set(range(mixing.LEAST_SHARDS))
     assert rows(mixing.mix(docs(spark, []))) == []
     assert all(g["taken"] == 0 for g in rows(mixing.mix(docs(spark, [(1, "", "a"), (2, None, None)]))))
 
 
-def test_splitting_tree_keeps_quotas(spark):
-    sources = spark.createDataFrame([("a", False, 5.0), ("b", False, 7.0), ("", True, 1.0)], "__src string, __none boolean, target double")
-    placed = [r["shards"] for r in mixing.splitting_tree(sources, 8, 32).collect()]
-    assert all(len(p) == 32 for p in placed)
-    assert set(collections.Counter(x for p in placed for x in p).values()) == {12}
+def test_mix_repeated_and_null_ids(spark):
+    """Rows that share an id, or id and text, are drawn each for itself: within a document of the target."""
+    same = [(1, f"{k} " + "w " * 19, "a") for k in range(100)] + [(None, f"{k} " + "w " * 19, "b") for k in range(100)] + [(2, "v " * 20, "c")] * 100
+    got = rows(mixing.mix(docs(spark, same)))
+    sources = collections.Counter()
+    for g in got:
+        sources[g["doc_id"]] += g["taken"]
+    want = targets_brute({"a": 2000, "b": 2000, "c": 2000})
+    assert [abs(sources[i] - want[s]) <= 10 for i, s in ((1, "a"), (None, "b"), (2, "c"))] == [True] * 3
+    df = docs(spark, same[:100] + same[200:250]).withColumn("__size", F.lit("clash")).withColumn("copies", F.lit(0)).withColumn("block", F.lit(0))
+    out = rows(mixing.mixed(df))
+    assert {r["__size"] for r in out} == {"clash"} and sum(r["doc_id"] == 1 for r in out) > 30
+
+
+def test_mix_many_sources_and_long_texts(spark):
+    items = [(i, "w " * (1 + i % 9), f"host{i % 700}") for i in range(2100)] + [(5000, "long " * 50000, "host1"), (5001, "long " * 30000, "big")]
+    got = rows(mixing.mix(docs(spark, items)))
+    most = collections.defaultdict(int)
+    for _, t, s in items:
+        most[s] = max(most[s], len(t.split()) / 2 + 1)
+    check_mix(got, items, most)
+
+
+def slots_frame(spark, quotas):
+    return spark.createDataFrame([(s, False, b, 0) for s, n in quotas.items() for b in range(n)], "__src string, __none boolean, block long, pass int")
+
+
+def test_splitting_tree_halves_every_node_exactly(spark):
+    slots = slots_frame(spark, {"a": 40, "b": 56, "c": 32})
+    placed = [r["shard"] for r in mixing.splitting_tree(slots, 8).collect()]
+    for depth in range(4):
+        assert set(collections.Counter(p >> (3 - depth) for p in placed).values()) == {128 >> depth}
+
+
+def test_splitting_tree_is_multivariate_hypergeometric(spark):
+    """Left halves over many seeds: mean and variance of each source's count, and their covariance, as drawing by hand without replacement."""
+    quotas, counts = {"a": 12, "b": 20, "c": 8}, []
+    slots = slots_frame(spark, quotas)
+    drawn = [r for seed in range(60) for r in mixing.splitting_tree(slots, 2, seed).select("__src", "shard", F.lit(seed).alias("seed")).collect()]
+    for seed in range(60):
+        left = collections.Counter(r["__src"] for r in drawn if r["seed"] == seed and r["shard"] == 0)
+        assert sum(left.values()) == 20
+        counts.append([left[s] for s in quotas])
+    means = [sum(c[k] for c in counts) / 60 for k in range(3)]
+    for k, n in enumerate(quotas.values()):
+        variance = n / 40 * (1 - n / 40) * 20 * 20 / 39
+        assert abs(means[k] - n / 2) < 4 * math.sqrt(variance / 60)
+        assert 0.5 * variance < sum((c[k] - n / 2) ** 2 for c in counts) / 60 < 1.7 * variance
+
+
+def test_mix_shards_hold_every_source_by_words(spark):
+    """Quotas follow words: a source's words a shard stay close to its share, and blocks grow in number with the source."""
+    items = [(i, "w " * (20 + i % 30), "hot" if i % 3 else f"s{i % 4}") for i in range(12000)]
+    out = mixing.mixed(docs(spark, items), words=256).groupBy("source", "__shard").agg(F.sum(F.size(F.split("text", " ")) - 1).alias("n"))
+    by = collections.defaultdict(dict)
+    for r in rows(out):
+        by[r["source"]][r["__shard"]] = r["n"]
+    assert all(len(x) == mixing.LEAST_SHARDS and max(x.values()) < 4 * min(x.values()) for x in by.values())
 
 
 # --- 9 -------------------------------------------------------------------
