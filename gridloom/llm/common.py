@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) is an own folder set.
+    Only where a local session names none (tests) is an own folder set: on a
+    cluster, executors would write to their own disks.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,9 +62,11 @@ def salt(*cols: Column) -> Column:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 512 rows and 32 MB, so that long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    """Arrow batches of at most 512 rows and 32 MB, so that long texts don't add up in a worker; smaller settings of the session stay."""
+    for name, most in (("maxRecordsPerBatch", 512), ("maxBytesPerBatch", 32 << 20)):
+        known = spark.conf.get(f"spark.sql.execution.arrow.{name}", "0")
+        if not known.isdigit() or not 0 < int(known) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def per_key(rows: DataFrame, key: list[str], aggregates: dict[str, tuple[str, str]], piece: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 Every scan task is a memtable: it flushes one run, sorted by digest, of
 ``(digest, n_chars, doc_id, seq, salt)`` to the shared folder, with no shuffle.
-A filter over the runs (a bitmap of digest positions that were hit at least
-twice, of bounded size) then decides which entries compaction has to merge and
-which texts need byte verification; everything else is a singleton without
-further work.  Compaction keeps the smallest identifier of each digest, where
-identifiers are ordered by (code points descending, doc_id, flush order).
-Byte verification groups the texts that hit the filter by (digest, text): a
-digest with two different texts is settled by the texts themselves.
+Compaction merges the runs: each is combined by digest before it is shuffled,
+and what is kept of a digest is its smallest identifier, where identifiers are
+ordered by (code points descending, doc_id, flush order).  Digests of more than
+one row are the compacted level: written in ranges of digests, sorted, with a
+filter of their positions.  A text whose digest the filter doesn't hold is a
+singleton and never moves.  Hits receive byte verification: their texts are grouped by
+(digest, text), and a digest with two different texts is settled by the texts
+themselves.
 
 Hot groups: rows of one digest carry 64 salts; compaction collapses a group
 map-side and emits the index entry once per salt that occurs, so the join back
@@ -16,8 +17,8 @@ deals the group over 64 pieces.
 
 Defined results: null text is the empty text; null doc_ids sort after others
 and may stay only if the group has no other; repeated rows are rows of their
-own, one of which stays; an empty table gives an empty result; other columns
-are not looked at, so their names cannot clash.
+own, one of which stays; very long texts are taken whole; an empty table gives an
+empty result; other columns are not looked at, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -47,16 +48,9 @@ def flush_runs(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     return materialize(rows.withColumn("salt", salt(F.col("seq"))).sortWithinPartitions("digest"), "runs")
 
 
-def hit_filter(runs: DataFrame) -> tuple[DataFrame, int]:
-    """Bitmaps by bucket of the positions that at least two entries share, and the filter's size in bits."""
-    bits = filters.bits_for(runs.count())
-    hit = runs.groupBy(filters.position(F.xxhash64("digest"), bits).alias("pos")).count().where("count > 1")
-    return filters.bitmaps(hit, "filter"), bits
-
-
-def passing(rows: DataFrame, hits: DataFrame, bits: int) -> DataFrame:
-    """The rows whose digest the filter holds."""
-    return filters.marked(rows, hits, bits, F.xxhash64("digest")).where("__held").select(*rows.columns)
+def passing(rows: DataFrame, level: tuple[DataFrame, int]) -> DataFrame:
+    """The rows whose digest the filter of a level holds."""
+    return filters.marked(rows, *level, F.xxhash64("digest")).where("__held").select(*rows.columns)
 
 
 def identifier() -> Column:
@@ -64,25 +58,30 @@ def identifier() -> Column:
     return F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "seq")
 
 
-def compact(runs: DataFrame, hits: DataFrame, bits: int) -> DataFrame:
-    """One entry per digest of more than one row: its size, smallest identifier and the salts in use."""
-    merged = passing(runs, hits, bits).groupBy("digest").agg(F.count("*").alias("n"), F.min(identifier()).alias("best"), F.collect_set("salt").alias("salts"))
-    return materialize(merged.where("n > 1"), "compacted")
+def compact(runs: DataFrame) -> DataFrame:
+    """One entry per digest of more than one row: its size, smallest identifier and the salts in use; in sorted ranges."""
+    merged = runs.groupBy("digest").agg(F.count("*").alias("n"), F.min(identifier()).alias("best"), F.collect_set("salt").alias("salts"))
+    return materialize(merged.where("n > 1").repartitionByRange("digest").sortWithinPartitions("digest"), "compacted")
+
+
+def level_filter(index: DataFrame) -> tuple[DataFrame, int]:
+    """Bitmaps by bucket of the positions of a level's digests, and the filter's size in bits."""
+    bits = filters.bits_for(index.count())
+    return filters.bitmaps(index.select(filters.position(F.xxhash64("digest"), bits).alias("pos")), "filter"), bits
 
 
-def collided(docs: DataFrame, hits: DataFrame, bits: int, digest: Callable[[Column], Column]) -> DataFrame:
+def collided(docs: DataFrame, level: tuple[DataFrame, int], digest: Callable[[Column], Column]) -> DataFrame:
     """Byte verification: digests that stand for more than one text."""
     rows = docs.select(normalised(whole_text()).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    texts = passing(rows, hits, bits).groupBy("digest", "norm").agg(F.count("*").alias("n"))
+    texts = passing(rows, level).groupBy("digest", "norm").agg(F.count("*").alias("n"))
     return texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     runs = flush_runs(docs, digest)
-    hits, bits = hit_filter(runs)
-    index = compact(runs, hits, bits)
-    false = materialize(collided(docs, hits, bits, digest), "collided")
+    index = compact(runs)
+    false = materialize(collided(docs, level_filter(index), digest), "collided")
     entries = index.select("digest", "n", "best", F.explode("salts").alias("salt"))
     sha = F.lower(F.hex("digest")) if digest is sha256 else F.lit(None).cast("string")
     found = runs.join(entries, ["digest", "salt"], "left")

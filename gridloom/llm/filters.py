@@ -1,8 +1,11 @@
 """Bitmap filters of bounded size, and keeping decided rows without moving their texts.
 
-A filter holds the positions of hashed keys in at most ``MOST_BITS`` bits
-(8 MB), whatever the input: that bound is what makes it broadcastable.  Where
-keys outnumber bits it lets more rows through, which costs time, never rows.
+A filter holds the positions of hashed keys, ``BITS_PER_KEY`` bits for each, so
+some 6 % of other rows pass.  It grows with its keys up to ``MOST_BITS`` bits
+(128 MB, enough for 67 million keys at that rate): that bound is what makes it
+broadcastable.  Only keys that decide something are held: those dropped, or
+those that occur twice.  Beyond the bound it lets more rows through, which then
+are shuffled: that costs time, never rows.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import Window
 
 from .common import materialize
 
-BITS_PER_KEY, MOST_BITS, BITMAP_BITS = 16, 1 << 26, 1 << 15
+BITS_PER_KEY, MOST_BITS, BITMAP_BITS = 16, 1 << 30, 1 << 15
 
 
 def bits_for(n: int) -> int:
@@ -54,7 +57,7 @@ def keep_decided(rows: DataFrame, decided: DataFrame, key: list[str], unique: bo
     hashed = F.xxhash64(*key)
     decided = materialize(decided.select(*key, "kept"), "decided")
     dropped = decided.where(~F.col("kept"))
-    bits = bits_for(decided.count())
+    bits = bits_for(dropped.count())
     maps = bitmaps(dropped.select(position(hashed, bits).alias("pos")), "dropped")
     split = marked(rows, maps, bits, hashed)
     stay = marked(decided.where("kept"), maps, bits, hashed).where("__held").select(*[F.col(k).alias(f"__stay_{k}") for k in key]).distinct()
@@ -69,7 +72,8 @@ def distinct_rows(rows: DataFrame, label: str) -> DataFrame:
     """The distinct rows of ``rows``; only rows that a filter of repeated hashes holds are shuffled, combined map-side first."""
     key = F.xxhash64(*rows.columns)
     hashes = materialize(rows.select(key.alias("h")).groupBy("h").agg(F.count("*").alias("n")), label)
-    bits = bits_for(hashes.count())
-    maps = bitmaps(hashes.where("n > 1").select(position(F.col("h"), bits).alias("pos")), f"{label}-repeated")
+    twice = hashes.where("n > 1")
+    bits = bits_for(twice.count())
+    maps = bitmaps(twice.select(position(F.col("h"), bits).alias("pos")), f"{label}-repeated")
     split = marked(rows, maps, bits, key)
     return split.where(~F.col("__held")).select(*rows.columns).unionByName(split.where("__held").select(*rows.columns).distinct())
