@@ -64,7 +64,7 @@ def salt(*cols: Column) -> Column:
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 512 rows and 32 MB, so that long texts don't add up in a worker; smaller settings of the session stay."""
     for name, most in (("maxRecordsPerBatch", 512), ("maxBytesPerBatch", 32 << 20)):
-        known = spark.conf.get(f"spark.sql.execution.arrow.{name}", "0")
+        known = spark.conf.get(f"spark.sql.execution.arrow.{name}")
         if not known.isdigit() or not 0 < int(known) <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 

@@ -1,42 +1,46 @@
 r"""Quality rules: base counts, and perplexity bands of a modified Kneser-Ney model.
 
-Counts.  Each task counts the 4-grams of its texts' symbols per language; Spark
-sums them per (language, n-gram).  Copies of a text count once per
-language, here and in the quartiles.  A symbol is one of 32 classes of bytes
-(letters without case, white space, digits, punctuation, three kinds of
-non-ASCII bytes), so an n-gram packs into 20 bits and a language's model has at
-most 2**20 entries.  Every language has a model and a band of its own.
-
-Model.  Modified Kneser-Ney of order 4, interpolated down to the uniform
-distribution: raw counts at the highest order, continuation counts below, three
-discounts per order from the counts of counts.  It is stored per order as
-arrays sorted by packed n-gram, with probabilities and back-off weights; a
-worker unfolds it once into a table for direct look-up.  The models of the
-``SLOTS`` commonest languages are broadcast.  All others are estimated by tasks,
-one language at a time, and meet their texts on (language, piece), a piece for
-each ``PIECE`` rows: a task holds one of them at once.
+Symbols.  A code point below 3072 (Latin, Greek, Cyrillic, Arabic, Indic
+letters, with case, digits and punctuation each for itself) is its own symbol; others
+(CJK and beyond) share 1024 more by a hash.  A symbol has 12 bits, so an n-gram
+of ``ORDER`` symbols is a 60-bit number; that is what is counted, sorted and
+looked up.
+
+Counts.  Tasks count the n-grams of their texts' symbols per language; Spark
+sums them per (language, n-gram).  Copies of a text count once per language,
+here and in the quartiles.  Nothing is pruned: the tables grow with the corpus.
+
+Model.  Modified Kneser-Ney, interpolated down to the uniform distribution:
+raw counts at the highest order, continuation counts below, three discounts per
+language and order from the counts of counts.  All of it is Spark aggregations
+and joins on (language, order, n-gram), and the result is written as sorted arrays
+of n-grams with their bits (-log2 of the probability), in ranges.  Every language
+has a model and a band of its own.
+
+Scoring.  The model is never broadcast or collected.  Texts are dealt to parts
+of about ``PART`` characters; a part's distinct n-grams fetch their bits from the
+model by a join, and come back to the part as sorted arrays, in which its texts
+look theirs up (by binary search).  Since the model counts all texts, every
+n-gram is found.
 
 Verdict.  A document's perplexity per symbol (in bits) must lie in its
 language's band: the quartiles of the language's distinct texts that pass the
 base rules, ``FENCE`` interquartile ranges (at least ``NARROW`` bits each)
 below and above.
 
-Both passes map partitions with bounded batches; what is shuffled are counts,
-summed map-side.  Texts stay where they are, but for those of languages beyond
-the ``SLOTS`` commonest, and those that have copies: of these one each is taken
-after combining map-side.
+A part holds its texts and its distinct n-grams, whatever the corpus; texts are
+shuffled once, to their parts, and those that have copies once more to take one
+of each, combined map-side.
 
 Defined results: null and empty texts have no words and fail; a null language
-is one named ''; repeated rows are judged alike, each in its row; an empty
-table gives an empty result; extra columns are ignored.
+is one named ''; repeated rows are judged alike, each in its row; very long texts
+are taken whole (the part with one is larger); an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import pickle
-import string
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,38 +50,33 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialize
 from .filters import distinct_rows, keep_decided
 
-ORDER, BITS, SLOTS, PIECE = 4, 5, 16, 8192
+ORDER, BITS, OWN, PART = 5, 12, 3072, 32 << 20
 SYMBOLS = 1 << BITS
 LEAST_WORDS, MOST_REPEATED = 50, 50
 FENCE, NARROW = 3.0, 0.02
 #: What counts as a symbol character, and as white space.
 MARKS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
+#: Slots of the table in which a task counts, and characters that are coded at once.
+TABLE, CHUNK = 1 << 21, 1 << 21
 
 
-def symbol_table() -> np.ndarray:
-    table = np.full(256, 28, np.uint32)  # punctuation and control bytes
-    for k, c in enumerate(string.ascii_lowercase):
-        table[ord(c)] = table[ord(c.upper())] = k
-    table[list(SPACES)], table[48:58] = 26, 27
-    table[0x80:0xA0], table[0xA0:0xC0], table[0xC0:] = 29, 30, 31
-    return table
-
-
-TABLE = symbol_table()
+def symbols(text: bytes) -> np.ndarray:
+    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.where(points < OWN, points, OWN + ((points * 2654435761) >> 7) % (SYMBOLS - OWN))
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams that end at each byte of the texts, and where each text's begin. A text is preceded by white space."""
+    """Packed n-grams that end at each code point of the texts, and where each text's begin. A text is preceded by spaces."""
     pad = b" " * (ORDER - 1)
-    s = TABLE[np.frombuffer(pad + pad.join(texts) if texts else pad, np.uint8)]
-    n = len(s) - ORDER + 1
-    codes = np.zeros(max(0, n), np.uint32)
+    s = symbols(pad + pad.join(texts) if texts else pad)
+    n = max(0, len(s) - ORDER + 1)
+    codes = np.zeros(n, np.int64)
     for k in range(ORDER):
-        codes |= s[k : k + n] << np.uint32(BITS * (ORDER - 1 - k))
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        codes = (codes << BITS) | s[k : k + n]
+    sizes = np.fromiter((len(t.decode("utf-8", "replace")) for t in texts), np.int64, len(texts))
     begins = np.concatenate(([0], np.cumsum(sizes + ORDER - 1)[:-1])) if len(texts) else sizes
     if len(texts) > 1:
-        inside = np.ones(len(codes), bool)
+        inside = np.ones(n, bool)
         for k in range(ORDER - 1):
             inside[begins[1:] - 1 - k] = False
         codes = codes[inside]
@@ -85,57 +84,51 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, begins
 
 
-@dataclass
-class Model:
-    """Per slot (a language) and order: sorted packed n-grams with log2 probabilities, and sorted contexts with log2 back-off weights."""
-
-    slots: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
-    tables: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def table(self, slot: str) -> np.ndarray:
-        """log2 probability of every n-gram of the highest order: the found ones, else back-off times the order below."""
-        if slot not in self.tables:
-            log = np.full(SYMBOLS, -BITS, np.float32)
-            for order, (keys, logs, contexts, weights) in enumerate(self.slots.get(slot, []), 1):
-                every = np.arange(SYMBOLS**order, dtype=np.uint32)
-                log = np.tile(log, SYMBOLS) if order > 1 else log
-                at = np.minimum(np.searchsorted(contexts, every >> np.uint32(BITS)), max(0, len(contexts) - 1))
-                log = (log + np.where(contexts[at] == every >> np.uint32(BITS), weights[at], 0)).astype(np.float32) if len(contexts) else log
-                log[keys] = logs
-            self.tables[slot] = log if len(log) == SYMBOLS**ORDER else np.full(SYMBOLS**ORDER, -BITS, np.float32)
-        return self.tables[slot]
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Discount of a count of 0, 1, 2, 3 or more (Chen and Goodman), within [0, count]."""
-    n = [np.count_nonzero(counts == k) for k in range(1, 5)]
-    if not all(n):
-        return np.array([0, 0.5, 0.75, 0.9])
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.concatenate(([0], np.clip([k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)], 0.05, [0.95, 1.9, 2.85])))
-
-
-def estimate(codes: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Modified Kneser-Ney from the counts of the highest order."""
-    top = np.zeros(SYMBOLS**ORDER, np.float64)
-    top[codes] = counts
-    levels = [top]
-    for order in range(ORDER - 1, 0, -1):  # how many symbols precede each n-gram of the order below
-        levels.append((levels[-1].reshape(SYMBOLS, SYMBOLS**order) > 0).sum(axis=0).astype(np.float64))
-    out, below = [], np.full(SYMBOLS, 1 / SYMBOLS)
-    for order, c in enumerate(reversed(levels), 1):
-        d = discounts(c[c > 0])
-        by = c.reshape(-1, SYMBOLS)
-        total = by.sum(axis=1)
-        cut = d[np.minimum(by, 3).astype(int)]
-        known = total > 0
-        weight = np.where(known, cut.sum(axis=1) / np.where(known, total, 1), 1.0)
-        base = np.tile(below, SYMBOLS) if order > 1 else below
-        p = (np.maximum(by - cut, 0) / np.where(known, total, 1)[:, None]).ravel() + np.repeat(weight, SYMBOLS) * base
-        seen, contexts = np.flatnonzero(c > 0).astype(np.uint32), np.flatnonzero(known).astype(np.uint32)
-        out.append((seen, np.log2(p[seen]).astype(np.float32), contexts, np.log2(weight[contexts]).astype(np.float32)))
-        below = p
-    return out
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Whole texts in lists of about CHUNK bytes, with the place of the first."""
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= CHUNK:
+            yield at, texts[at : k + 1]
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield at, texts[at:]
+
+
+def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and their counts: most find a slot of a table to themselves, the others are sorted."""
+    if len(codes) < TABLE // 8:
+        return np.unique(codes, return_counts=True)
+    at = (codes * np.int64(-7046029254386353131)) >> np.int64(64 - 21) & np.int64(TABLE - 1)
+    owner = np.full(TABLE, -1, np.int64)
+    owner[at] = codes
+    own = owner[at] == codes
+    n = np.bincount(at[own], minlength=TABLE)
+    held = np.flatnonzero(n)
+    rest, more = np.unique(codes[~own], return_counts=True)
+    return np.concatenate((owner[held], rest)), np.concatenate((n[held], more))
+
+
+class Counts:
+    """Counts of codes by slot, in two arrays that are merged when they have doubled."""
+
+    def __init__(self):
+        self.kept: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.waiting: dict[str, int] = {}
+
+    def add(self, slot: str, codes: np.ndarray) -> None:
+        found = counted(codes)
+        kept = self.kept.setdefault(slot, [])
+        kept.append(found)
+        self.waiting[slot] = self.waiting.get(slot, 0) + len(found[0])
+        if self.waiting[slot] > 2 * len(kept[0][0]) + TABLE:
+            self.kept[slot], self.waiting[slot] = [self.merged(slot)], 0
+
+    def merged(self, slot: str) -> tuple[np.ndarray, np.ndarray]:
+        kept = self.kept[slot]
+        codes, back = np.unique(np.concatenate([c for c, _ in kept]), return_inverse=True)
+        return codes, np.bincount(back, np.concatenate([n for _, n in kept]), len(codes)).astype(np.int64)
 
 
 def slotted(docs: DataFrame) -> DataFrame:
@@ -145,53 +138,56 @@ def slotted(docs: DataFrame) -> DataFrame:
 
 def by_slot(slots: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
     """Each slot of a batch and the places of its rows."""
-    coded = slots.dictionary_encode()
-    codes = coded.indices.to_numpy()
+    coded = (slots.combine_chunks() if isinstance(slots, pa.ChunkedArray) else slots).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
     for k, slot in enumerate(coded.dictionary.to_pylist()):
         yield slot, np.flatnonzero(codes == k)
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
-    """(slot, gram, n) over the rows."""
-
-    def sums(slot: str, seen: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.repeat(slot, len(seen)), pa.array(seen.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot", "gram", "n"])
+    """(slot, gram, n) over the rows of (text, slot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        counts = Counts()
         for batch in batches:
             texts = batch.column(0).cast(pa.binary())
             for slot, own in by_slot(batch.column(1)):
-                codes, _ = grams(texts.take(pa.array(own)).to_pylist())
-                if slot in counts or len(counts) < SLOTS:
-                    counts.setdefault(slot, np.zeros(SYMBOLS**ORDER, np.int64))
-                    counts[slot] += np.bincount(codes, minlength=SYMBOLS**ORDER)
-                elif len(codes):  # a task keeps SLOTS languages; what it sees of others Spark sums by batch
-                    yield sums(slot, *np.unique(codes, return_counts=True))
-        for slot, c in counts.items():
-            seen = np.flatnonzero(c)
-            yield sums(slot, seen, c[seen])
-
-    return rows.select("text", "slot").mapInArrow(run, "slot string, gram int, n long").groupBy("slot", "gram").agg(F.sum("n").alias("n"))
-
-
-def train(counts: DataFrame) -> Model:
-    """The model of the slots counted; what comes to the driver are at most 2**20 counts a slot."""
-    found = counts.toArrow()
-    if not found.num_rows:
-        return Model({})
-    gram, n = (found.column(k).to_numpy() for k in ("gram", "n"))
-    return Model({slot: estimate(gram[own], n[own]) for slot, own in by_slot(pa.concat_arrays(found.column("slot").chunks))})
-
-
-def train_apart(counts: DataFrame) -> DataFrame:
-    """(slot, model): each slot's model, estimated by the task that gets its counts (2**20 at most)."""
-
-    def run(found: pa.Table) -> pa.Table:
-        model = estimate(found.column("gram").to_numpy(), found.column("n").to_numpy())
-        return pa.table({"slot": found.column("slot")[:1], "model": pa.array([pickle.dumps(model)], pa.binary())})
-
-    return counts.groupBy("slot").applyInArrow(run, "slot string, model binary")
+                for _, some in chunks(texts.take(pa.array(own)).to_pylist()):
+                    counts.add(slot, grams(some)[0])
+        for slot in counts.kept:
+            codes, n = counts.merged(slot)
+            for k in range(0, len(codes), TABLE):
+                some = slice(k, k + TABLE)
+                yield pa.RecordBatch.from_arrays([pa.repeat(slot, len(codes[some])), pa.array(codes[some]), pa.array(n[some])], names=["slot", "gram", "n"])
+
+    return rows.select("text", "slot").mapInArrow(run, "slot string, gram long, n long").groupBy("slot", "gram").agg(F.sum("n").alias("n"))
+
+
+def model(counts: DataFrame) -> DataFrame:
+    """(slot, gram, bits): modified Kneser-Ney from (slot, gram, n), in sorted ranges."""
+    counts = materialize(counts, "quality-counts")
+    low = lambda g, k: g.bitwiseAND(F.lit((1 << (BITS * k)) - 1))  # noqa: E731  the last k symbols
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), low(F.col("gram"), k).alias("gram"), low(F.col("gram"), k + 1).alias("longer")) for k in range(1, ORDER)]))
+    below = counts.select("slot", steps.alias("s")).select("slot", "s.*").distinct().groupBy("slot", "k", "gram").agg(F.count("*").alias("n"))
+    levels = materialize(below.unionByName(counts.select("slot", F.lit(ORDER).alias("k"), "gram", "n")), "quality-levels")
+    # discounts of counts of 1, 2, 3 or more (Chen and Goodman), within [0, count]
+    few = levels.groupBy("slot", "k").agg(*[F.count_if(F.col("n") == j).cast("double").alias(f"n{j}") for j in range(1, 5)])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    all_known = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
+    cut = lambda j, otherwise, most: F.when(all_known, F.greatest(F.lit(0.05), F.least(F.lit(most), j - (j + 1) * y * F.col(f"n{j + 1}") / F.col(f"n{j}")))).otherwise(F.lit(otherwise)).alias(f"d{j}")
+    few = materialize(few.select("slot", "k", cut(1, 0.5, 0.95), cut(2, 0.75, 1.9), cut(3, 0.9, 2.85)), "quality-discounts")
+    cut_of = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    levels = levels.join(few, ["slot", "k"]).select("slot", "k", "gram", "n", cut_of.alias("d"), F.shiftright("gram", BITS).alias("context"))
+    contexts = levels.groupBy("slot", "k", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("free"))
+    nodes = levels.join(contexts, ["slot", "k", "context"])
+    nodes = materialize(nodes.select("slot", "k", "gram", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("own"), (F.col("free") / F.col("total")).alias("weight")), "quality-nodes")
+    p = nodes.where("k = 1").select("slot", "gram", (F.col("own") + F.col("weight") / SYMBOLS).alias("p"))
+    for k in range(2, ORDER + 1):
+        shorter = p.select("slot", F.col("gram").alias("suffix"), F.col("p").alias("p_below"))
+        p = nodes.where(F.col("k") == k).withColumn("suffix", low(F.col("gram"), k - 1)).join(shorter, ["slot", "suffix"])
+        p = p.select("slot", "gram", (F.col("own") + F.col("weight") * F.col("p_below")).alias("p"))
+    found = p.select("slot", "gram", (-F.log2("p")).cast("float").alias("bits"))
+    return materialize(found.repartitionByRange("slot", "gram").sortWithinPartitions("slot", "gram"), "quality-model")
 
 
 def repeated(words: list[bytes], width: int = 3) -> int:
@@ -229,58 +225,52 @@ def base_counts(text: bytes, chars: int) -> tuple[int, int, int, int, int]:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured_form(rows: DataFrame) -> str:
+def scored(texts: pa.Table, fetched: pa.Table) -> pa.Table:
+    """doc_id, slot, the base counts, perplexity (bits per symbol; null without text) and hash of a part's rows, with the bits of its n-grams."""
+    known = {}
+    grams_in, bits_in = (fetched.column(c).to_numpy() for c in ("gram", "bits"))
+    for slot, own in by_slot(fetched.column("slot")):
+        order = own[np.argsort(grams_in[own])]
+        known[slot] = grams_in[order], bits_in[order].astype(np.float64)
+    column = texts.column("text")
+    binary = column.cast(pa.binary()).to_pylist()
+    counts = np.array([base_counts(t, len(s)) for t, s in zip(binary, column.to_pylist())], np.int64).reshape(-1, 5)
+    bits = np.full(len(binary), np.nan)
+    for slot, rows in by_slot(texts.column("slot")):
+        own = np.array([k for k in rows.tolist() if binary[k]], np.int64)
+        for at, some in chunks([binary[k] for k in own.tolist()]):
+            codes, begins = grams(some)
+            keys, values = known[slot]
+            sums = np.add.reduceat(values[np.searchsorted(keys, codes)], begins)
+            bits[own[at : at + len(some)]] = sums / np.diff(np.append(begins, len(codes)))
+    columns = {"doc_id": texts.column("doc_id"), "slot": texts.column("slot"), **{m: pa.array(counts[:, k]) for k, m in enumerate(MEASURES)}}
+    return pa.table({**columns, "perplexity": pa.array(bits, mask=np.isnan(bits)), "hash": texts.column("hash")})
+
+
+def measure(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """What is measured of each row of ``slotted``, by the model of the corpus that holds the rows."""
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("hash", "doc_id"), F.lit(parts)).cast("int")).repartition(int(parts), "part")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return f"doc_id {kind}, slot string, " + "".join(f"{m} long, " for m in MEASURES) + "perplexity double, hash long"
-
 
-def measured_batch(batch: pa.RecordBatch, table: Callable[[str], np.ndarray]) -> pa.RecordBatch:
-    """doc_id, slot, the base counts, perplexity (bits per symbol; null without text) and hash of a batch of doc_id, text, slot, hash."""
-    column = batch.column(1)
-    texts = column.cast(pa.binary()).to_pylist()
-    counts = np.array([base_counts(t, len(s)) for t, s in zip(texts, column.to_pylist())], np.int64).reshape(-1, 5)
-    bits = np.full(len(texts), np.nan)
-    for slot, rows in by_slot(batch.column(2)):
-        own = [k for k in rows.tolist() if texts[k]]
-        if own:
-            codes, begins = grams([texts[k] for k in own])
-            logs = table(slot)[codes].astype(np.float64)
-            bits[own] = -np.add.reduceat(logs, begins) / np.diff(np.append(begins, len(logs)))
-    columns = [batch.column(0), batch.column(2), *[pa.array(counts[:, k]) for k in range(5)], pa.array(bits, mask=np.isnan(bits))]
-    return pa.RecordBatch.from_arrays([*columns, batch.column(3)], names=["doc_id", "slot", *MEASURES, "perplexity", "hash"])
-
-
-def measure(rows: DataFrame, model: Model) -> DataFrame:
-    """What is measured of each row, by a model of all its slots that is broadcast."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
         for batch in batches:
-            yield measured_batch(batch, shared.value.table)
-
-    return rows.mapInArrow(run, measured_form(rows))
-
-
-def measure_apart(rows: DataFrame, models: DataFrame, languages: DataFrame) -> DataFrame:
-    """What is measured of each row, by models that meet the rows on (slot, piece): each piece's model comes first, then its texts."""
-    pieces = languages.select("slot", F.ceil(F.col("n") / PIECE).alias("pieces"))
-    texts = rows.join(pieces, "slot").withColumn("piece", F.pmod(F.monotonically_increasing_id(), F.col("pieces")))
-    heads = models.join(pieces, "slot").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    both = texts.drop("pieces").unionByName(heads.drop("pieces"), allowMissingColumns=True)
-    dealt = both.repartition("slot", "piece").sortWithinPartitions("slot", "piece", F.col("model").isNull())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
-        for batch in batches:
-            heads = np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False)).tolist()
-            for begin, end in zip([0, *heads], [*heads, batch.num_rows]):
-                if begin in heads and end > begin:
-                    table = Model({"": pickle.loads(batch.column(4)[begin].as_py())}).table("")
-                    begin += 1
-                if end > begin:
-                    yield measured_batch(batch.slice(begin, end - begin), lambda slot: table)
-
-    return dealt.select("doc_id", "text", "slot", "hash", "model").mapInArrow(run, measured_form(rows))
+            texts, part = batch.column("text").cast(pa.binary()), batch.column("part").to_numpy()
+            for slot, own in by_slot(batch.column("slot")):
+                for p in np.unique(part[own]).tolist():
+                    for _, some in chunks(texts.take(pa.array(own[part[own] == p])).to_pylist()):
+                        counts.add((p, slot), grams(some)[0])
+        for p, slot in counts.kept:
+            codes, _ = counts.merged((p, slot))
+            for k in range(0, len(codes), TABLE):
+                some = codes[k : k + TABLE]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), p, np.int32)), pa.repeat(slot, len(some)), pa.array(some)], names=["part", "slot", "gram"])
+
+    fetched = dealt.mapInArrow(distinct, "part int, slot string, gram long").join(bits, ["slot", "gram"])
+    form = f"doc_id {kind}, slot string, " + "".join(f"{m} long, " for m in MEASURES) + "perplexity double, hash long"
+    return dealt.groupBy("part").cogroup(fetched.groupBy("part")).applyInArrow(scored, form)
 
 
 def base_failed() -> Column:
@@ -311,16 +301,8 @@ def judgements(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     """Per document: what was measured, the verdict and the hash."""
     bounded_batches(docs.sparkSession)
     rows = slotted(docs)
-    languages = materialize(rows.groupBy("slot").agg(F.count("*").alias("n")), "languages")
-    common = [r["slot"] for r in languages.orderBy(F.desc("n"), "slot").limit(SLOTS + 1).collect()]
-    counts = count_grams(distinct_rows(rows.select("text", "slot"), "quality-hashes"))
-    if len(common) <= SLOTS:
-        measured = measure(rows, train(counts))
-    else:
-        shared, counts = F.col("slot").isin(common[:SLOTS]), materialize(counts, "quality-grams")
-        models = materialize(train_apart(counts.where(~shared)), "quality-models")
-        apart = measure_apart(rows.where(~shared), models, languages.where(~shared))
-        measured = measure(rows.where(shared), train(counts.where(shared))).unionByName(apart)
+    bits = model(count_grams(distinct_rows(rows.select("text", "slot"), "quality-hashes")))
+    measured = measure(rows, bits)
     measured = materialize(measured, "quality")
     limits = materialize(bands(once(measured), fence), "bands")
     return judged(measured, limits)

@@ -1,4 +1,5 @@
 import collections
+import functools
 import math
 import re
 
@@ -62,37 +63,96 @@ def test_junk_leaves_its_language_band(spark):
     assert kept == set(got) - {200, 201}
 
 
+def discounts(counts):
+    n = [sum(c == k for c in counts) for k in range(1, 5)]
+    if not all(n):
+        return [0, 0.5, 0.75, 0.9]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [0] + [max(0.05, min(most, k - (k + 1) * y * n[k] / n[k - 1])) for k, most in ((1, 0.95), (2, 1.9), (3, 2.85))]
+
+
 def brute_model(counts):
-    """Interpolated modified Kneser-Ney by the textbook, over dictionaries."""
+    """Interpolated modified Kneser-Ney by the textbook, over dictionaries of tuples."""
     levels = [collections.Counter(counts)]
     while len(next(iter(levels[0]))) > 1:
         levels.insert(0, collections.Counter(g[1:] for g in levels[0]))
-
+    cuts = [discounts(c.values()) for c in levels]
+    free, total = [collections.Counter() for _ in levels], [collections.Counter() for _ in levels]
+    for k, c in enumerate(levels):
+        for g, n in c.items():
+            free[k][g[:-1]] += cuts[k][min(3, n)]
+            total[k][g[:-1]] += n
+
+    @functools.cache
     def prob(g):
         if not g:
             return 1 / quality.SYMBOLS
-        c = levels[len(g) - 1]
-        d = quality.discounts(np.array(list(c.values())))
-        near = {h: n for h, n in c.items() if h[:-1] == g[:-1]}
-        total = sum(near.values())
-        if not total:
-            return prob(g[1:])
-        return max(c[g] - d[min(3, c[g])], 0) / total + sum(d[min(3, n)] for n in near.values()) / total * prob(g[1:])
+        k = len(g) - 1
+        return (levels[k][g] - cuts[k][min(3, levels[k][g])] + free[k][g[:-1]] * prob(g[1:])) / total[k][g[:-1]]
 
     return prob
 
 
-def test_model_is_modified_kneser_ney():
+def tuples(text):
+    padded = " " * (quality.ORDER - 1) + text
+    s = quality.symbols(padded.encode()).tolist()
+    return [tuple(s[k : k + quality.ORDER]) for k in range(len(text))]
+
+
+def test_symbols_tell_letters_of_all_scripts_apart():
+    for letters in ("abzABZ09.,é", "абвгдежзАБ", "αβγδ", "אבגד", "ابتث", "अआइई"):
+        assert len(set(quality.symbols(letters.encode()).tolist())) == len(letters)
+    han = "的一是不了人我在有他这为之大来以个中上们"
+    assert len(set(quality.symbols(han.encode()).tolist())) >= len(han) - 2
+    assert quality.symbols("漢🎉".encode()).max() < quality.SYMBOLS
+
+
+def test_model_is_modified_kneser_ney(spark):
     rng = np.random.default_rng(4)
-    codes, _ = quality.grams(["".join(rng.choice(list("abcd ef"), 900)).encode()])
-    seen, n = np.unique(codes, return_counts=True)
-    apart = lambda c: tuple(int(c) >> 5 * k & 31 for k in (3, 2, 1, 0))
-    prob = brute_model({apart(c): int(k) for c, k in zip(seen, n)})
-    table = quality.Model({0: quality.estimate(seen, n)}).table(0)
-    for c in [*seen[:40].tolist(), *rng.integers(0, 1 << 20, 40).tolist(), *(seen[:40] ^ 1).tolist()]:
-        assert table[c] == pytest.approx(math.log2(prob(apart(c))), abs=1e-3)
-    for context in (0, 1, 33, int(seen[0]) >> 5):
-        assert np.exp2(table[context * 32 : context * 32 + 32].astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    texts = ["".join(rng.choice(list("abcd ef"), 900)), "".join(rng.choice(list("где бы"), 300)), ""]
+    rows = spark.createDataFrame([(t, "x") for t in texts] + [("other words", "y")], "text string, slot string")
+    got = {r["gram"]: r["bits"] for r in quality.model(quality.count_grams(rows)).where("slot = 'x'").collect()}
+    counts = collections.Counter(g for t in texts for g in tuples(t))
+    prob = brute_model(counts)
+    packed = lambda g: sum(x << 12 * k for k, x in enumerate(reversed(g)))
+    assert got == {packed(g): pytest.approx(-math.log2(prob(g)), abs=1e-4) for g in counts}
+    for context in list({g[:-1] for g in counts})[:5]:
+        seen = sum(prob(g) for g in counts if g[:-1] == context)
+        assert 0 < seen < 1 and sum(prob((*context, x)) for x in range(quality.SYMBOLS)) == pytest.approx(1)
+
+
+def test_table_verdicts_against_brute_force(spark, sf):
+    """Perplexities, bands and verdicts of a whole table, over dictionaries."""
+    docs = [(r["doc_id"], r["text"] or "", r["lang"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want, limits = {}, {}
+    for lang in {x for _, _, x in docs}:
+        texts = {t for _, t, x in docs if x == lang}
+        prob = brute_model(collections.Counter(g for t in texts for g in tuples(t)))
+        bits = {t: -sum(math.log2(prob(g)) for g in tuples(t)) / len(t) if t else None for t in texts}
+        good = [round(b, 3) for t, b in bits.items() if b is not None and not brute(t)[-1]]
+        q1, q3 = np.quantile(good, [0.25, 0.75]) if good else (math.nan, math.nan)
+        reach = quality.FENCE * max(q3 - q1, quality.NARROW)
+        limits[lang] = q1 - reach, q3 + reach
+        want |= {(i, x): (bits[t], not brute(t)[-1] and q1 - reach <= bits[t] <= q3 + reach) for i, t, x in docs if x == lang}
+    got = {(r["doc_id"], r["slot"]): r for r in quality.judgements(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    for key, (bits, kept) in want.items():
+        assert got[key]["perplexity"] == (bits if bits is None else pytest.approx(bits, abs=1e-4))
+        near = bits is not None and min(abs(bits - x) for x in limits[key[1]]) < 2e-3
+        assert got[key]["kept"] == kept or near, key
+
+
+def test_counts_of_large_arrays(monkeypatch):
+    rng = np.random.default_rng(9)
+    codes = rng.integers(0, 1 << 60, 3000)[rng.integers(0, 3000, 400000)]
+    want = np.unique(codes, return_counts=True)
+    got = quality.counted(codes)
+    order = np.argsort(got[0])
+    assert (got[0][order] == want[0]).all() and (got[1][order] == want[1]).all()
+    monkeypatch.setattr(quality, "TABLE", 64)
+    counts = quality.Counts()
+    for k in range(0, 400000, 1000):
+        counts.add("x", codes[k : k + 1000])
+    assert [x.tolist() for x in counts.merged("x")] == [x.tolist() for x in want]
 
 
 def test_grams_do_not_cross_texts():
@@ -118,7 +178,7 @@ def test_a_large_copy_group_leaves_its_language_alone(spark):
 
 
 def test_every_language_has_its_own_model_and_band(spark, monkeypatch):
-    """20 languages, more than are broadcast: each is judged as if the others weren't there, in one piece or several."""
+    """20 languages: each is judged as if the others weren't there, in one part or several."""
     rng = np.random.default_rng(6)
     words = {lang: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9), p=rng.dirichlet(np.full(26, 0.3)))) for _ in range(60)] for lang in range(20)}
     rows = [(1000 * lang + k, " ".join(rng.choice(words[lang], 80)), f"l{lang:02}") for lang in range(20) for k in range(40 - lang)]
@@ -133,6 +193,6 @@ def test_every_language_has_its_own_model_and_band(spark, monkeypatch):
         for r in alone:
             assert got[r["doc_id"]]["perplexity"] == pytest.approx(r["perplexity"], abs=1e-9) and got[r["doc_id"]]["kept"] == r["kept"]
         assert sum(r["kept"] for r in alone) >= 0.8 * len(alone)
-    monkeypatch.setattr(quality, "PIECE", 7)
-    monkeypatch.setattr(quality, "SLOTS", 2)
+    monkeypatch.setattr(quality, "PART", 20000)
+    monkeypatch.setattr(quality, "CHUNK", 3000)
     assert {i: (r["kept"], r["perplexity"]) for i, r in of_all().items()} == {i: (r["kept"], r["perplexity"] if r["perplexity"] is None else pytest.approx(r["perplexity"], abs=1e-9)) for i, r in got.items()}
