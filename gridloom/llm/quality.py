@@ -20,7 +20,7 @@ has a model and a band of its own.
 Scoring.  The model is never broadcast or collected.  Texts are dealt to parts
 of about ``PART`` characters; a part's distinct n-grams fetch their bits from the
 model by a join, and come back to the part as sorted arrays, in which its texts
-look theirs up (by binary search).  Since the model counts all texts, every
+(of one language) look theirs up by binary search.  Since the model counts all texts, every
 n-gram is found.
 
 Verdict.  A document's perplexity per symbol (in bits) must lie in its
@@ -44,10 +44,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import SALTS, bounded_batches, discard, materialize, salt
 from .filters import distinct_rows, keep_decided
 
 ORDER, BITS, OWN, PART = 5, 12, 3072, 32 << 20
@@ -169,15 +170,15 @@ def model(counts: DataFrame) -> DataFrame:
     low = lambda g, k: g.bitwiseAND(F.lit((1 << (BITS * k)) - 1))  # noqa: E731  the last k symbols
     steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), low(F.col("gram"), k).alias("gram"), low(F.col("gram"), k + 1).alias("longer")) for k in range(1, ORDER)]))
     below = counts.select("slot", steps.alias("s")).select("slot", "s.*").distinct().groupBy("slot", "k", "gram").agg(F.count("*").alias("n"))
-    levels = materialize(below.unionByName(counts.select("slot", F.lit(ORDER).alias("k"), "gram", "n")), "quality-levels")
+    every = materialize(below.unionByName(counts.select("slot", F.lit(ORDER).alias("k"), "gram", "n")), "quality-levels")
     # discounts of counts of 1, 2, 3 or more (Chen and Goodman), within [0, count]
-    few = levels.groupBy("slot", "k").agg(*[F.count_if(F.col("n") == j).cast("double").alias(f"n{j}") for j in range(1, 5)])
+    few = every.groupBy("slot", "k").agg(*[F.count_if(F.col("n") == j).cast("double").alias(f"n{j}") for j in range(1, 5)])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     all_known = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
     cut = lambda j, otherwise, most: F.when(all_known, F.greatest(F.lit(0.05), F.least(F.lit(most), j - (j + 1) * y * F.col(f"n{j + 1}") / F.col(f"n{j}")))).otherwise(F.lit(otherwise)).alias(f"d{j}")
     few = materialize(few.select("slot", "k", cut(1, 0.5, 0.95), cut(2, 0.75, 1.9), cut(3, 0.9, 2.85)), "quality-discounts")
     cut_of = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    levels = levels.join(few, ["slot", "k"]).select("slot", "k", "gram", "n", cut_of.alias("d"), F.shiftright("gram", BITS).alias("context"))
+    levels = every.join(few, ["slot", "k"]).select("slot", "k", "gram", "n", cut_of.alias("d"), F.shiftright("gram", BITS).alias("context"))
     contexts = levels.groupBy("slot", "k", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("free"))
     nodes = levels.join(contexts, ["slot", "k", "context"])
     nodes = materialize(nodes.select("slot", "k", "gram", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("own"), (F.col("free") / F.col("total")).alias("weight")), "quality-nodes")
@@ -187,7 +188,9 @@ def model(counts: DataFrame) -> DataFrame:
         p = nodes.where(F.col("k") == k).withColumn("suffix", low(F.col("gram"), k - 1)).join(shorter, ["slot", "suffix"])
         p = p.select("slot", "gram", (F.col("own") + F.col("weight") * F.col("p_below")).alias("p"))
     found = p.select("slot", "gram", (-F.log2("p")).cast("float").alias("bits"))
-    return materialize(found.repartitionByRange("slot", "gram").sortWithinPartitions("slot", "gram"), "quality-model")
+    found = materialize(found.repartitionByRange("slot", "gram").sortWithinPartitions("slot", "gram"), "quality-model")
+    discard(counts, every, nodes)
+    return found
 
 
 def repeated(words: list[bytes], width: int = 3) -> int:
@@ -227,50 +230,53 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def scored(texts: pa.Table, fetched: pa.Table) -> pa.Table:
     """doc_id, slot, the base counts, perplexity (bits per symbol; null without text) and hash of a part's rows, with the bits of its n-grams."""
-    known = {}
-    grams_in, bits_in = (fetched.column(c).to_numpy() for c in ("gram", "bits"))
-    for slot, own in by_slot(fetched.column("slot")):
-        order = own[np.argsort(grams_in[own])]
-        known[slot] = grams_in[order], bits_in[order].astype(np.float64)
-    column = texts.column("text")
-    binary = column.cast(pa.binary()).to_pylist()
-    counts = np.array([base_counts(t, len(s)) for t, s in zip(binary, column.to_pylist())], np.int64).reshape(-1, 5)
-    bits = np.full(len(binary), np.nan)
-    for slot, rows in by_slot(texts.column("slot")):
-        own = np.array([k for k in rows.tolist() if binary[k]], np.int64)
-        for at, some in chunks([binary[k] for k in own.tolist()]):
-            codes, begins = grams(some)
-            keys, values = known[slot]
+    keys, values = (fetched.column(c).to_numpy() for c in ("gram", "bits"))
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order].astype(np.float64)
+    column, sizes = texts.column("text"), pc.utf8_length(texts.column("text")).to_numpy()
+    counts, bits = np.zeros((len(sizes), len(MEASURES)), np.int64), np.full(len(sizes), np.nan)
+    at, stops = 0, np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK)) + 1
+    for stop in [*stops.tolist(), len(sizes)]:
+        some = column.slice(at, stop - at).cast(pa.binary()).to_pylist()
+        for k, t in enumerate(some, at):
+            counts[k] = base_counts(t, int(sizes[k]))
+        own = np.flatnonzero(sizes[at:stop])
+        if len(own):
+            codes, begins = grams([some[k] for k in own.tolist()])
             sums = np.add.reduceat(values[np.searchsorted(keys, codes)], begins)
-            bits[own[at : at + len(some)]] = sums / np.diff(np.append(begins, len(codes)))
+            bits[at + own] = sums / sizes[at:stop][own]
+        at = stop
     columns = {"doc_id": texts.column("doc_id"), "slot": texts.column("slot"), **{m: pa.array(counts[:, k]) for k, m in enumerate(MEASURES)}}
     return pa.table({**columns, "perplexity": pa.array(bits, mask=np.isnan(bits)), "hash": texts.column("hash")})
 
 
 def measure(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """What is measured of each row of ``slotted``, by the model of the corpus that holds the rows."""
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("hash", "doc_id"), F.lit(parts)).cast("int")).repartition(int(parts), "part")
+    """What is measured of each row of ``slotted``, by the model of the corpus that holds the rows; a part has texts of one language."""
+    chars = rows.groupBy("slot").agg(F.sum(F.length("text")).alias("n"))
+    sizes = materialize(chars.select("slot", F.greatest(F.lit(1), F.ceil(F.col("n") / PART)).alias("pieces")), "quality-sizes")
+    parts = int(sizes.agg(F.sum("pieces")).first()[0] or 1)
+    wide = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", salt(F.col("hash"), F.col("doc_id"))).join(wide, ["slot", "salt"])
+    dealt = dealt.select("doc_id", "text", "slot", "hash", F.pmod(F.xxhash64("hash", "doc_id"), F.col("pieces")).cast("int").alias("piece")).repartition(parts, "slot", "piece")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
         for batch in batches:
-            texts, part = batch.column("text").cast(pa.binary()), batch.column("part").to_numpy()
+            texts, piece = batch.column("text").cast(pa.binary()), batch.column("piece").to_numpy()
             for slot, own in by_slot(batch.column("slot")):
-                for p in np.unique(part[own]).tolist():
-                    for _, some in chunks(texts.take(pa.array(own[part[own] == p])).to_pylist()):
-                        counts.add((p, slot), grams(some)[0])
-        for p, slot in counts.kept:
-            codes, _ = counts.merged((p, slot))
+                for p in np.unique(piece[own]).tolist():
+                    for _, some in chunks(texts.take(pa.array(own[piece[own] == p])).to_pylist()):
+                        counts.add((slot, p), grams(some)[0])
+        for slot, p in counts.kept:
+            codes, _ = counts.merged((slot, p))
             for k in range(0, len(codes), TABLE):
                 some = codes[k : k + TABLE]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), p, np.int32)), pa.repeat(slot, len(some)), pa.array(some)], names=["part", "slot", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(slot, len(some)), pa.array(np.full(len(some), p, np.int32)), pa.array(some)], names=["slot", "piece", "gram"])
 
-    fetched = dealt.mapInArrow(distinct, "part int, slot string, gram long").join(bits, ["slot", "gram"])
+    fetched = dealt.mapInArrow(distinct, "slot string, piece int, gram long").join(bits, ["slot", "gram"])
     form = f"doc_id {kind}, slot string, " + "".join(f"{m} long, " for m in MEASURES) + "perplexity double, hash long"
-    return dealt.groupBy("part").cogroup(fetched.groupBy("part")).applyInArrow(scored, form)
+    return dealt.groupBy("slot", "piece").cogroup(fetched.groupBy("slot", "piece")).applyInArrow(scored, form)
 
 
 def base_failed() -> Column:
