@@ -5,18 +5,23 @@ that any matching URL must hold.  Of these, the one rarest among the URLs at
 hand indexes the rule.  A URL's own tokens fetch candidate rules, and only
 those run their expressions; a URL without an indexing token runs none.
 
-Tokens are maximal runs of ``[a-z0-9]`` in the lower-cased host and path.  The
-rules are configuration (a list in code), so the index is a literal map in the
-plan: no join and no shuffle; counting the rules' tokens over the URLs is one
-aggregation of at most as many rows as the rules have tokens.
-
-Rules with a host and a path ("listed" rules) go before the method's own
-patterns; of the listed rules that fit, the longest wins.  A URL that fits none
-is blocked if one of the patterns matches, else allowed.
+Tokens are maximal runs of ``[a-z0-9]`` in the lower-cased host and path.  Rules
+are a table (``RULE`` columns; ``read_rules`` loads one from a JSON file, the
+default is made from the lists below), of any number: the index is a table of
+(token, rule) that URLs' tokens meet in a join.  An index of at most
+``BROADCAST`` rules and ``BROADCAST_CHARS`` characters (both checked) is
+broadcast, so URLs stay where they are; a larger one is met by (token, piece).  A rule
+without tokens is a candidate for every URL.
+
+Rules with a host and a path ("listed" rules) go before the other patterns; of
+the listed rules that fit, the longest wins (ties: the first name).  A URL that
+fits none is blocked if one of the other patterns that blocks matches, else
+allowed.
 
 Defined results: a null or malformed URL (no ``://``) has empty host and path
-and is allowed; repeated rows are judged alike, each in its row; an empty table
-gives an empty result; extra columns are ignored.
+and is allowed; very long URLs are taken whole; repeated rows are judged alike,
+each in its row; an empty table gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +29,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize, met, salt
+
+RULE = "name string, verdict string, pattern string, tokens array<string>, listed boolean"
+BROADCAST, BROADCAST_CHARS = 100_000, 16 << 20
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -78,37 +88,42 @@ def url_tokens(host: str = "host", path: str = "path") -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.concat(host, path)), "[^a-z0-9]+"), lambda t: t != ""))
 
 
-def rarest_tokens(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[int]]:
-    """Rule numbers by each rule's token that fewest URLs hold (ties: by the token)."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    held = F.array_intersect(url_tokens(), F.array(*map(F.lit, wanted)))
-    counts = {r["token"]: r["n"] for r in urls.select(F.explode(held).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row per rule token at most
-    index: dict[str, list[int]] = {}
-    for k, rule in enumerate(rules):
-        index.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(k)
-    return index
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...] = (*LISTED, *PATTERNS)) -> DataFrame:
+    return spark.createDataFrame([(r.name, r.verdict, r.pattern, list(r.tokens), r.listed) for r in rules], RULE)
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """A table of rules from a file of JSON lines with the ``RULE`` columns."""
+    return spark.read.schema(RULE).json(path)
+
+
+def index_of(rules: DataFrame, urls: DataFrame) -> DataFrame:
+    """(token, rule): each rule by its token that fewest URLs hold (ties: by the token); the empty token for a rule without any."""
+    rules = rules.select(F.struct("name", "verdict", "pattern", "listed").alias("rule"), F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
+    wanted = materialize(rules.distinct(), "url-rules")
+    counts = urls.select(F.explode(url_tokens()).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    rated = wanted.join(counts, "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))
+    return materialize(rated.select("rarest.token", "rule"), "url-index")
+
+
+def candidates(urls: DataFrame, index: DataFrame) -> DataFrame:
+    """(row, spot, rule): the rules that a URL's tokens fetch."""
+    tokens = urls.select("row", F.concat("host", "path").alias("spot"), F.explode(F.concat(url_tokens(), F.array(F.lit("")))).alias("token"))
+    size = index.agg(F.count("*"), F.sum(F.length("rule.pattern") + F.length("rule.name"))).first()
+    if size[0] <= BROADCAST and (size[1] or 0) <= BROADCAST_CHARS:
+        return tokens.join(F.broadcast(index), "token")
+    rules = index.groupBy("token").agg(F.collect_list("rule").alias("rules"))
+    return met(tokens.withColumn("piece", salt(F.col("row"))), rules, ["token"], "piece").select("row", "spot", F.explode("rules").alias("rule"))
 
 
-def url_filter(pages: DataFrame, listed: tuple[Rule, ...] = LISTED, patterns: tuple[Rule, ...] = PATTERNS) -> DataFrame:
+def url_filter(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Per page: page_id, host, path, rule (a listed rule or null), verdict, n_candidates (expressions that were run)."""
-    rules = (*listed, *patterns)
     host, path = host_path(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    index = rarest_tokens(urls, rules)
-    by_token = F.create_map(*[x for t, ks in index.items() for x in (F.lit(t), F.array(*map(F.lit, ks)))])
-    fetched = F.array_distinct(F.flatten(F.transform(F.filter(url_tokens(), lambda t: F.map_contains_key(by_token, t)), lambda t: F.try_element_at(by_token, t))))
-    urls = urls.withColumn("candidates", fetched).withColumn("__at", F.concat("host", "path"))
-
-    def hit(k: Column) -> Column:
-        found = F.lit(False)
-        for i, r in reversed(list(enumerate(rules))):
-            found = F.when(k == i, F.col("__at").rlike(r.pattern)).otherwise(found)
-        return found
-
-    hits = urls.withColumn("hits", F.filter("candidates", hit))
-    longest = sorted(range(len(listed)), key=lambda k: (-len(listed[k].name), listed[k].name))
-    rule, verdict = F.lit(None).cast("string"), F.when(F.size("hits") > 0, "block").otherwise("allow")
-    for k in reversed(longest):
-        here = F.array_contains("hits", k)
-        rule, verdict = F.when(here, listed[k].name).otherwise(rule), F.when(here, listed[k].verdict).otherwise(verdict)
-    return hits.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.size("candidates").cast("long").alias("n_candidates"))
+    urls = materialize(pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host.alias("host"), path.alias("path")), "urls")
+    index = index_of(rule_table(pages.sparkSession) if rules is None else rules, urls)
+    tried = candidates(urls, index).select("row", "rule", F.expr("spot rlike rule.pattern").alias("hit"))
+    listed = F.when(F.col("hit") & F.col("rule.listed"), F.struct((-F.length("rule.name")).alias("less"), F.col("rule.name").alias("name"), F.col("rule.verdict").alias("verdict")))
+    spam = F.col("hit") & ~F.col("rule.listed") & (F.col("rule.verdict") == "block")
+    judged = tried.groupBy("row").agg(F.count("*").alias("n"), F.min(listed).alias("best"), F.max(spam).alias("spam"))
+    verdict = F.coalesce("best.verdict", F.when(F.col("spam"), "block").otherwise("allow"))
+    return urls.join(judged, "row", "left").select("page_id", "host", "path", F.col("best.name").alias("rule"), verdict.alias("verdict"), F.coalesce("n", F.lit(0)).cast("long").alias("n_candidates"))

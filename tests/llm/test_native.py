@@ -401,3 +401,26 @@ def test_url_cases(spark):
     for g in got:
         assert (g["host"], g["path"], g["rule"], g["verdict"]) == url_brute(urls[g["page_id"]]), urls[g["page_id"]]
     assert rows(url_filter.url_filter(df.limit(0))) == []
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 10])
+def test_ten_thousand_rules(spark, monkeypatch, tmp_path, broadcast):
+    """Rules from a file, indexed by their rarest token; only fetched ones run, and the results are those of running all."""
+    monkeypatch.setattr(url_filter, "BROADCAST", broadcast)
+    rules = [url_filter.word_rule(f"w{k}", f"v{k % 97}") for k in range(9000)] + [url_filter.listed_rule("block" if k % 3 else "allow", f"h{k}.com", f"/p{k % 7}/") for k in range(1000)]
+    rules += [*url_filter.LISTED, url_filter.Rule("odd", "block", "~{3}", ())]
+    urls = [f"http://x{k}.org/w{k}-v{(k + k % 2) % 97}/" for k in range(300)] + [f"https://a.h{k}.com/p{k % 5}/x" for k in range(200)] + ["http://q.org/~~~", None, "http://q.org/" + "w7/v7/" * 5000]
+    path = str(tmp_path / "rules")
+    url_filter.rule_table(spark, tuple(rules)).write.json(path)
+    df = spark.createDataFrame([(k, u, "x", 1) for k, u in enumerate(urls)], "page_id long, url string, rule string, row int")
+    got = {g["page_id"]: g for g in rows(url_filter.url_filter(df, url_filter.read_rules(spark, path)))}
+    assert len(got) == len(urls)
+    for k, u in enumerate(urls):
+        host, where = url_brute(u)[:2]
+        spot = host + where
+        own = set(re.split("[^a-z0-9]+", spot.lower()))
+        hits = [r for r in rules if own >= set(r.tokens) and re.search(r.pattern, spot)]
+        best = min((r for r in hits if r.listed), key=lambda r: (-len(r.name), r.name), default=None)
+        want = (best.name, best.verdict) if best else (None, "block" if any(not r.listed for r in hits) else "allow")
+        assert (got[k]["rule"], got[k]["verdict"]) == want, u
+    assert sum(g["n_candidates"] for g in got.values()) < 20 * len(urls)
