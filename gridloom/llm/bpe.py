@@ -12,8 +12,8 @@ with the code point before each run, and ends as soon as all are constant.
 
 The pieces are byte slices of the batch's UTF-8 buffer.  A cache of at most
 ``CACHE`` pieces maps each to its packed ids; a miss merges pairs by rank, with
-a heap for long pieces (n log n).  Tokens' byte offsets are the running sums of
-the vocabulary's lengths, which is also how decoding lays the bytes out.
+a heap for long pieces (n log n).  Tokens' byte offsets are retained, and decoding
+lays each token's bytes at its offset, for a whole text at once.
 
 The pieces are those of the pattern
     's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
@@ -22,7 +22,8 @@ The operator maps partitions: no shuffle, memory bounded by one batch, one long
 text and the cache.  The vocabulary (a file named by the caller) is read on the
 driver and broadcast; its size is that of the file, about 1 MB.
 
-Defined results: null or empty text has no tokens; repeated rows are encoded
+Defined results: null or empty text has no tokens; bytes that are no UTF-8 are
+pieces' bytes like others and come back; very long texts are taken whole; repeated rows are encoded
 alike; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -48,6 +49,11 @@ CACHE, CHUNK = 300_000, 1 << 21
 OTHER, LETTER, NUMBER, BLANK, WHITE, APOSTROPHE = range(6)
 #: The code points of Unicode's White_Space but for the space.
 WHITES = [*range(0x9, 0xE), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Ranges of letters and numbers that are newer than Python's Unicode table.
+LATER = {
+    LETTER: "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0",
+    NUMBER: "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA",
+}
 #: What may follow an apostrophe that opens a piece.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -70,6 +76,9 @@ TRANSITIONS = np.array(
 def classes() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
     table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    for kind, ranges in LATER.items():
+        for a, b in (r.split("-") for r in ranges.split()):
+            table[int(a, 16) : int(b, 16) + 1] = kind
     table[WHITES], table[ord(" ")], table[ord("'")] = WHITE, BLANK, APOSTROPHE
     return table
 
@@ -141,6 +150,8 @@ class Encoder:
         for k, v in ranks.items():
             self.words[v] = k
         self.lengths = np.fromiter(map(len, self.words), np.int64, top)
+        self.blob = np.frombuffer(b"".join(self.words), np.uint8)
+        self.word_at = np.cumsum(self.lengths) - self.lengths
 
     def miss(self, piece: bytes) -> bytes:
         found = self.pack.get(piece)
@@ -194,7 +205,8 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Packed ids of each text; the texts together make one array of code points."""
         buffer = b"".join(texts)
-        points = np.frombuffer(buffer.decode("utf-8").encode("utf-32-le"), np.uint32)
+        # a byte that is no UTF-8 becomes a code point of its own, U+DC80 and up
+        points = np.frombuffer(buffer.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         text_at = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(sizes, out=text_at[1:])
@@ -202,7 +214,8 @@ class Encoder:
             byte_at = np.arange(len(points))
         else:
             byte_at = np.zeros(len(points), np.int64)
-            np.cumsum(1 + (points[:-1] >= 0x80) + (points[:-1] >= 0x800) + (points[:-1] >= 0x10000), out=byte_at[1:])
+            p = points[:-1]
+            np.cumsum(1 + (p >= 0x80) + (p >= 0x800) + (p >= 0x10000) - 2 * ((p >= 0xDC80) & (p < 0xDD00)), out=byte_at[1:])
         first = np.zeros(len(points), bool)
         first[np.searchsorted(byte_at, text_at[:-1][sizes > 0])] = True
         at = byte_at[piece_starts(points, first)]
@@ -217,14 +230,17 @@ class Encoder:
             except KeyError:
                 yield b"".join([known.get(p) or self.miss(p) for p in pieces])
 
-    def decode(self, packed: bytes) -> bytes:
-        words = self.words
-        return b"".join([words[i] for i in np.frombuffer(packed, "<u4").tolist()])
-
     def offsets(self, packed: bytes) -> np.ndarray:
-        """Byte offset of each token in its text."""
-        out = np.cumsum(self.lengths[np.frombuffer(packed, "<u4")])
-        return np.concatenate(([0], out[:-1])) if len(out) else out
+        """Byte offset of each token in its text, and the text's length at the end."""
+        out = np.zeros(len(packed) // 4 + 1, np.int64)
+        np.cumsum(self.lengths[np.frombuffer(packed, "<u4")], out=out[1:])
+        return out
+
+    def decode(self, packed: bytes, offsets: np.ndarray) -> bytes:
+        """The text's bytes: every token's, laid at its offset."""
+        ids = np.frombuffer(packed, "<u4")
+        back = np.repeat(self.word_at[ids] - offsets[:-1], self.lengths[ids])
+        return self.blob[back + np.arange(offsets[-1])].tobytes()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -270,10 +286,11 @@ def encode(docs: DataFrame, vocabulary: str, ids: bool = True) -> DataFrame:
                 for packed in coder.encode(some):
                     n.append(len(packed) // 4)
                     sha.append(hashlib.sha256(packed).hexdigest())
-                    back.append(hashlib.sha256(coder.decode(packed)).hexdigest())
+                    offsets = coder.offsets(packed)
+                    back.append(hashlib.sha256(coder.decode(packed, offsets)).hexdigest())
                     if ids:
                         lists.append(np.frombuffer(packed, "<i4"))
-                        places.append(coder.offsets(packed).astype("<i4"))
+                        places.append(offsets[:-1].astype("<i4"))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:

@@ -20,8 +20,8 @@ sums over the same partitioning: no second shuffle, linear in the turns.
 
 Defined results: null role or text is empty; turns with the same number are
 ordered by role, then text; a null turn comes first; rows with a null conv_id
-are one conversation; repeated rows are turns of their own; an empty table
-gives an empty result; extra columns are ignored.
+are one conversation; repeated rows are turns of their own; very long texts are
+taken whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,10 +87,16 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return chat.select("conv_id", "formatted", "escaped", "turns", spans.alias("loss_spans"), (F.col("turns") == F.col("wanted")).alias("round_trip"))
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The texts under the loss mask, read from the formatted conversation and unescaped, in order with nothing between."""
+    one = lambda s: unescape(F.substr(formatted, s["start"] + 1, s["end"] - s["start"]))
+    return F.array_join(F.transform(spans, one), "")
+
+
 def digests(chats: DataFrame) -> DataFrame:
-    """What was read back from the formatted conversations, as counts and digests."""
+    """What was read back from the formatted conversations, as counts and digests: turns by the grammar, loss texts by the mask."""
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = under_mask(F.col("formatted"), F.col("loss_spans"))
     return chats.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -99,4 +105,5 @@ def digests(chats: DataFrame) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "escaped",
+        "round_trip",
     )

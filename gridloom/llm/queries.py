@@ -117,7 +117,7 @@ select conv_id, count(*)::bigint as n_turns,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(length(safe_text) + length(safe_role) + 20)::bigint as formatted_chars,
-  bool_or(safe_text <> text or safe_role <> role) as escaped
+  bool_or(safe_text <> text or safe_role <> role) as escaped, true as round_trip
 from shown group by conv_id""",
     "op3_exact_dedup": f"""
 with {_DOCS},

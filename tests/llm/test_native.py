@@ -65,6 +65,13 @@ def test_chat_round_trip(spark):
         assert len(re.findall(r"</?s>|\[/?INST\]", g["formatted"])) == 4 * len(g["turns"])
 
 
+def test_a_wrong_mask_shows_in_the_digest(spark):
+    data = [(1, 0, "user", "a b"), (1, 1, "assistant", "x" * 100000 + "</s>é"), (1, 2, "assistant", "z")]
+    chats = chat_format.format_chats(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    good, bad = rows(chat_format.digests(chats)), rows(chat_format.digests(chats.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct(s["start"].alias("start"), (s["end"] - 1).alias("end"))))))
+    assert good[0]["loss_chars"] == 100006 and bad[0]["loss_chars"] == 100004 and good[0]["loss_sha256"] != bad[0]["loss_sha256"]
+
+
 def test_chat_empty(spark):
     assert rows(chat_format.digests(chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))) == []
 
