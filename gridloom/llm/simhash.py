@@ -16,12 +16,7 @@ tiles is quadratic; k grows with the number of nodes, so that tile groups stay
 small.  A tile group above ``MOST`` nodes is dealt over tasks by pairs of
 chunks.
 
-``near_dedup`` is that operator.  ``keep_first`` looks for near copies by five
-words and a similarity of 0.8 or more: candidates are the pairs within ``NEAR``
-bits in one of two fingerprints, found the same way, and a pair is linked if 256-bit fingerprints of
-five-word shingles (the same hash, mixed on) differ in as few bits as texts of
-that similarity do.  The wide fingerprints travel with the nodes, so no text is
-read again, and chance pairs stay apart at any number of documents.
+``near`` builds on these tiles for near copies by five words and a similarity.
 
 A task reports the links of its nodes to the smallest node that they reach in
 the task: at most one per node, never all pairs.  Only fingerprints, not texts,
@@ -29,7 +24,7 @@ are shuffled; hot fingerprints, groups and components are salted.
 
 Defined results: null and empty texts, and texts of white space only, have
 fingerprint 0 and are linked like others; texts of fewer words than a shingle
-are one shingle; repeated rows are rows of their own in one component; null
+are one shingle; very long texts are taken whole; repeated rows are rows of their own in one component; null
 doc_ids never name a component that has another id; an empty table gives an
 empty result; extra columns are ignored.
 """
@@ -37,8 +32,7 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize, per_key, salt
 from .components import components
-from .filters import keep_decided
 
 WORDS, RADIUS, SEED, TILE, MOST = 3, 3, 42, 1024, 8192
-#: For groups of near copies: the candidates' radius, and words, 64-bit parts and similarity of what confirms them.
-NEAR, WIDE_WORDS, WIDE, SIMILARITY = 7, 5, 4, 0.8
-#: The fingerprints by which candidates are found: pairs that one of them misses by chance, the other finds.
-GATES = ("fp", "fp2")
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 15
 
@@ -95,48 +84,21 @@ def mixed(hashes: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes, words: int = WIDE_WORDS) -> list[int]:
-    """A fingerprint of WIDE * 64 bits."""
-    hashes, out = shingle_hashes(text, words), []
-    for _ in range(WIDE):
-        out.append(majority(hashes))
-        hashes = mixed(hashes)
-    return out
-
-
-def wide_marks(text: bytes) -> list[int]:
-    """Both fingerprints by which candidates are found, and the wide one."""
-    hashes = shingle_hashes(text, WORDS)
-    return [majority(hashes), majority(mixed(hashes)), *wide_fingerprint(text)]
-
-
-def wide_limit(similarity: float) -> int:
-    """Differing bits of wide fingerprints at a Jaccard similarity J: cosine 2J / (1 + J) makes an angle, of which a bit differs with probability angle / pi. One deviation on top, so that most pairs at the threshold are linked."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = 64 * WIDE
-    return int(n * share + math.sqrt(n * share * (1 - share)))
-
-
-def fingerprints(docs: DataFrame, words: int = WORDS, wide: bool = False) -> DataFrame:
-    """Written rows of doc_id, fp (the fingerprint as a signed long), hash (of the text), seq (a number of the row's own) and piece (its salt); if wide, also fp2 (a second fingerprint), w0.. (a wide one) and id (a hash of all).
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Written rows of doc_id, fp (the fingerprint as a signed long), seq (a number of the row's own) and piece (its salt).
 
     The numbers are written with the rows: counted anew in each scan, they could be others.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    more = ["fp2", *[f"w{k}" for k in range(WIDE)]] if wide else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
-            each = wide_marks if wide else lambda t: [fingerprint(t, words)]
-            marks = np.array([each(t) for t in texts], np.uint64).reshape(len(texts), 1 + len(more)).view(np.int64)
-            columns = [batch.column(0), pa.array(np.ascontiguousarray(marks[:, 0])), batch.column(2)]
-            columns += [pa.array(np.ascontiguousarray(marks[:, k])) for k in range(1, 1 + len(more))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "hash", *more])
-
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, f"doc_id {kind}, fp long, hash long" + "".join(f", {m} long" for m in more))
-    rows = rows.withColumn("id", F.xxhash64("fp", *more)) if wide else rows
+            marks = np.array([fingerprint(t, words) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], names=["doc_id", "fp"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
     return materialize(rows.withColumn("seq", F.monotonically_increasing_id()).withColumn("piece", salt(F.col("seq"))), "fingerprints")
 
 
@@ -148,17 +110,14 @@ def choices(blocks: int, keep: int) -> list[int]:
 
 
 def tile_groups(nodes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """(group, fp) for every tile group a node is compared in, by each of its fingerprints; few nodes want one block to agree, many want more."""
+    """(group, fp) for every tile group a node is compared in; few nodes want one block to agree, many want more."""
     n, keep = nodes.count(), 1
     while (n >> (64 * keep // (radius + keep))) > most // 2:
         keep += 1
     masks = choices(radius + keep, keep)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    gates = [c for c in GATES if c in nodes.columns]
-    entry = lambda g, k, c, m: F.struct(F.xxhash64(F.lit(g), F.lit(k), F.col(c).bitwiseAND(F.lit(signed(m)).cast("long"))).alias("group"), F.col(c).alias("fp"))
-    entries = F.array(*[entry(g, k, c, m) for g, c in enumerate(gates) for k, m in enumerate(masks)])
-    rest = [c for c in nodes.columns if c not in (*GATES, "low")]
-    rows = nodes.select(*rest, F.explode(entries).alias("entry")).select("entry.group", "entry.fp", *rest)
+    group = lambda k, m: F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")))
+    rows = nodes.select("fp", F.explode(F.array(*[group(k, m) for k, m in enumerate(masks)])).alias("group"))
     rows = rows.withColumn("piece", salt(F.col("fp")))
     counts = rows.groupBy("group", "piece").agg(F.count("*").alias("n")).groupBy("group").agg(F.sum("n").alias("n"), F.collect_set("piece").alias("pieces"))
     large = counts.where(F.col("n") > most).select("group", "n", F.explode("pieces").alias("piece"))
@@ -167,7 +126,7 @@ def tile_groups(nodes: DataFrame, radius: int = RADIUS, most: int = MOST) -> Dat
     own = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("chunks")).cast("int")
     rows = rows.withColumn("chunks", chunks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair: Column = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.select(F.when(F.col("chunks") == 1, F.col("group")).otherwise(pair).alias("group"), "fp", *rest)
+    return rows.select(F.when(F.col("chunks") == 1, F.col("group")).otherwise(pair).alias("group"), "fp")
 
 
 def settle(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -185,14 +144,7 @@ def settle(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return low
 
 
-def similar(wide: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which candidate pairs are within the limit by their wide fingerprints; all, without these."""
-    if wide is None:
-        return np.ones(len(i), bool)
-    return np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int32) <= wide_limit(SIMILARITY)
-
-
-def tile_links(marks: np.ndarray, radius: int, low: np.ndarray, at: int, wide: np.ndarray | None = None) -> np.ndarray:
+def tile_links(marks: np.ndarray, radius: int, low: np.ndarray, at: int) -> np.ndarray:
     """Compares a large tile group: tiles of nodes by population count. marks: sorted by population count."""
     ones = np.bitwise_count(marks)
     tiles = range(0, len(marks), TILE)
@@ -203,12 +155,12 @@ def tile_links(marks: np.ndarray, radius: int, low: np.ndarray, at: int, wide: n
             near = np.bitwise_count(marks[a : a + TILE, None] ^ marks[None, b : b + TILE]) <= radius
             i, j = np.nonzero(near)
             i, j = i + a, j + b
-            good = (i < j) & similar(wide, i, j)
+            good = i < j
             low = settle(low, i[good] + at, j[good] + at)
     return low
 
 
-def compare(groups: np.ndarray, marks: np.ndarray, radius: int, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def compare(groups: np.ndarray, marks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links, as row numbers, of rows sorted by group and population count, whole groups only."""
     n = len(groups)
     low = np.arange(n)
@@ -216,7 +168,7 @@ def compare(groups: np.ndarray, marks: np.ndarray, radius: int, wide: np.ndarray
     sizes = np.diff(np.append(starts, n))
     large = sizes > 64
     for at, size in zip(starts[large].tolist(), sizes[large].tolist()):
-        low = tile_links(marks[at : at + size], radius, low, at, None if wide is None else wide[at : at + size])
+        low = tile_links(marks[at : at + size], radius, low, at)
     small = np.repeat(~large, sizes)
     i, d, ones = np.flatnonzero(small), 1, np.bitwise_count(marks)
     while True:  # rows d apart in one group
@@ -226,29 +178,23 @@ def compare(groups: np.ndarray, marks: np.ndarray, radius: int, wide: np.ndarray
             break
         close = i[ones[i + d] - ones[i] <= radius]
         near = close[np.bitwise_count(marks[close] ^ marks[close + d]) <= radius]
-        near = near[similar(wide, near, near + d)]
         low = settle(low, near, near + d)
         d += 1
     linked = np.flatnonzero(low != np.arange(n))
     return linked, low[linked]
 
 
-def links(tiles: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): pairs of nodes (by id, or by fp where that is all) that are within the radius, or reach each other within a tile group."""
-    wide = "w0" in tiles.columns
-    columns = ["group", "fp", *(["id", *[f"w{k}" for k in range(WIDE)]] if wide else [])]
+def streamed(compared: Callable) -> Callable:
+    """A function for mapInArrow over rows sorted by their first column, the group: gives ``compared`` the columns of whole groups, and returns the pairs that it finds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []  # of the group that the next batch may continue
 
         def out(x: list[np.ndarray]) -> pa.RecordBatch:
-            marks = x[1].view(np.uint64)
-            a, b = compare(x[0], marks, radius, np.stack(x[3:], axis=1).view(np.uint64) if wide else None)
-            names = x[2] if wide else x[1]
-            return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays(list(map(pa.array, compared(x))), names=["a", "b"])
 
         for batch in batches:
-            x = [c.to_numpy() for c in batch.columns]
+            x = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if not len(x[0]):
                 continue
             one = x[0][0] == x[0][-1] and (not kept or kept[0][0][0] == x[0][0])
@@ -262,19 +208,27 @@ def links(tiles: DataFrame, radius: int = RADIUS) -> DataFrame:
         if kept:
             yield out([np.concatenate(c) for c in zip(*kept)])
 
-    ones = F.bit_count("fp")
-    return tiles.repartition("group").withColumn("ones", ones).sortWithinPartitions("group", "ones", "fp").select(*columns).mapInArrow(run, "a long, b long")
+    return run
+
+
+def links(tiles: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): pairs of fingerprints that are within the radius, or reach each other within a tile group."""
+
+    def compared(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        a, b = compare(x[0], x[1].view(np.uint64), radius)
+        return x[1][a], x[1][b]
+
+    dealt = tiles.repartition("group").withColumn("ones", F.bit_count("fp")).sortWithinPartitions("group", "ones", "fp")
+    return dealt.select("group", "fp").mapInArrow(streamed(compared), "a long, b long")
 
 
 def named(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Per node (id, or fp where that is all): the first row of its component (no_id, doc_id, seq), by doc_id."""
+    """Per fingerprint: the first row of its component (no_id, doc_id, seq), by doc_id."""
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "seq")
-    wide = "w0" in rows.columns
-    key = "id" if wide else "fp"
-    nodes = materialize(rows.groupBy("fp", *(["id", "fp2", *[f"w{k}" for k in range(WIDE)]] if wide else [])).agg(F.min(first).alias("low")), "nodes")
-    roots = components(links(tile_groups(nodes, radius), radius))
-    found = nodes.join(roots.select(F.col("a").alias(key), "b"), key, "left").select(key, F.coalesce("b", key).alias("root"), "low")
-    return per_key(found.withColumn("piece", salt(F.col(key))), ["root"], {"first": ("min", "low")}, "piece").select(key, "first")
+    nodes = materialize(rows.groupBy("fp").agg(F.min(first).alias("low")), "nodes")
+    roots = components(links(tile_groups(nodes.select("fp"), radius), radius))
+    found = nodes.join(roots.select(F.col("a").alias("fp"), "b"), "fp", "left").select("fp", F.coalesce("b", "fp").alias("root"), "low")
+    return per_key(found.withColumn("piece", salt(F.col("fp"))), ["root"], {"first": ("min", "low")}, "piece").select("fp", "first")
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -283,21 +237,6 @@ def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Dat
     return spread(rows, named(rows, radius)).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, radius: int = NEAR) -> DataFrame:
-    """The rows of ``docs`` that are the first of their group of near copies, with all their columns.
-
-    Candidates differ in ``radius`` bits or fewer in one of two fingerprints of
-    ``WORDS``-word shingles; they are near copies if their wide fingerprints of five-word shingles say
-    that their similarity is ``SIMILARITY`` or more.  Rows are matched on
-    doc_id and a hash of the text.
-    """
-    marks = fingerprints(docs, wide=True)
-    stay = named(marks, radius).select("first.seq").distinct().withColumn("kept", F.lit(True))
-    decided = marks.join(stay, "seq", "left").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.coalesce("kept", F.lit(False)).alias("kept"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"))
-    return keep_decided(rows, decided, ["__id", "__hash"], unique=True).select("row.*")
-
-
 def spread(rows: DataFrame, named: DataFrame) -> DataFrame:
     """Rows with what their fingerprint names; a fingerprint's entry is copied to the pieces in which it has rows."""
     pieces = rows.groupBy("fp").agg(F.collect_set("piece").alias("pieces"))

@@ -8,10 +8,9 @@ import struct
 import pytest
 import tiktoken
 from test_native import targets_brute
-from test_simhash import mark_brute
 
 import corpus_pipeline
-from gridloom.llm import bpe, mixing, quality, simhash
+from gridloom.llm import bpe, mixing, quality
 
 FORM = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -25,8 +24,12 @@ def read(df):
 
 
 def near_brute(items):
-    """The smallest id of each component over links of 7 bits or fewer in either fingerprint of three words and similar wide fingerprints."""
-    marks = [(i, mark_brute(t), *[(m[1], m[2:]) for m in [simhash.wide_marks(t.encode())]][0]) for i, t in sorted(items)]
+    """The smallest id of each component over all pairs of five-word similarity 0.8 or more."""
+    def shingles(text):
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), text).split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+    marks = [(i, shingles(t)) for i, t in sorted(items)]
     low = list(range(len(marks)))
 
     def root(k):
@@ -34,10 +37,10 @@ def near_brute(items):
             k = low[k]
         return k
 
-    for i, (_, m, n, w) in enumerate(marks):
+    for i, (_, x) in enumerate(marks):
         for j in range(i):
-            near = min((m ^ marks[j][1]).bit_count(), (n ^ marks[j][2]).bit_count()) <= simhash.NEAR
-            if near and sum((x ^ y).bit_count() for x, y in zip(w, marks[j][3])) <= simhash.wide_limit(0.8):
+            y = marks[j][1]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
                 a, b = sorted((root(i), root(j)))
                 low[b] = a
     return sorted({marks[root(k)][0] for k in range(len(marks))})

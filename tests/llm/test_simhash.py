@@ -5,6 +5,7 @@ import re
 import numpy as np
 import xxhash
 
+from gridloom.llm import near as near_copies
 from gridloom.llm import components, queries, simhash
 
 
@@ -136,7 +137,7 @@ def test_near_copies_by_five_words_and_four_fifths(spark):
         wanted[k] = [jaccard(copies[0], c) for c in copies[1:]]
         assert jaccard(copies[0], other) < 0.5
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r["doc_id"] for r in simhash.keep_first(df).collect()}
+    kept = {r["doc_id"] for r in near_copies.keep_first(df).collect()}
     assert all(100 * k in kept and 100 * k + 4 in kept for k in range(40))
     close = [100 * k + 1 + j for k in range(40) for j, v in enumerate(wanted[k]) if v >= 0.9]
     assert len(close) > 80 and sum(i in kept for i in close) <= 0.05 * len(close)
@@ -148,7 +149,35 @@ def test_wide_fingerprints_estimate_similarity():
     for share in (0.005, 0.02, 0.05):
         a, b = " ".join(base), " ".join(near(base, share, rng))
         j = jaccard(a, b)
-        bits = sum((x ^ y).bit_count() for x, y in zip(simhash.wide_fingerprint(a.encode()), simhash.wide_fingerprint(b.encode())))
-        want = 256 * np.arccos(2 * j / (1 + j)) / np.pi
-        assert abs(bits - want) < 25, (j, bits, want)
-    assert simhash.wide_limit(1.0) == 0 and 38 < simhash.wide_limit(0.8) < 46
+        bits = sum((x ^ y).bit_count() for x, y in zip(near_copies.describe(a.encode())[0], near_copies.describe(b.encode())[0]))
+        assert abs(bits - 256 * np.arccos(2 * j / (1 + j)) / np.pi) < 25, (j, bits)
+    assert near_copies.wide_limit(1.0) == 0 and 55 < near_copies.wide_limit(0.8) < 65
+
+
+def test_recall_at_the_threshold(spark):
+    """Single pairs of similarity 0.8 and just above are linked, those just below are not: exact but for the keys' small chance."""
+    rng, rows, js = random.Random(21), [], {}
+    while len(js) < 500:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 400))]
+        other = near(base, rng.choice([0.015, 0.02, 0.025, 0.03]), rng)
+        j = jaccard(" ".join(base), " ".join(other))
+        if 0.7 <= j <= 0.9:
+            js[2 * len(js)] = j
+            rows += [(2 * len(js) - 2, " ".join(base)), (2 * len(js) - 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in near_copies.keep_first(df).collect()}
+    above = [i for i, j in js.items() if j >= 0.8]
+    assert len(above) > 150 and sum(i + 1 not in kept for i in above) >= 0.99 * len(above)
+    assert all(i + 1 in kept for i, j in js.items() if j < 0.8) and all(i in kept for i in js)
+
+
+def test_a_group_dealt_by_chunks(spark):
+    """A large group of near copies, dealt over tasks, keeps one text; another of texts that only share half stays whole."""
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(k, " ".join(near(base, 0.005, rng))) for k in range(600)]
+    rows += [(1000 + k, " ".join(base[:150] + [f"v{rng.randrange(10**6)}" for _ in range(150)])) for k in range(100)]
+    marks = near_copies.described(spark.createDataFrame(rows, "doc_id long, text string"))
+    for most in (8192, 100):
+        got = near_copies.first_of_groups(marks, most=most).select("first.doc_id").distinct().collect()
+        assert sorted(r["doc_id"] for r in got) == [0, *range(1000, 1100)]
