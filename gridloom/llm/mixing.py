@@ -24,8 +24,9 @@
 
 Nothing is ordered in one task: running sums over sources and over blocks are
 taken by range partitions (``running``), those inside a source over groups of
-4096 blocks, then inside one group, then inside one block.  Rows meet their
-source by (source, piece) and their block by (source, block).  Texts are not
+4096 blocks, then inside one group, then inside one block.  Rows meet a source
+table of checked size where they are, a larger one by (source, piece), and their
+block by (source, block).  Texts are not
 moved by any of this; ``mixed`` writes them once, with their keys.
 
 Defined results: a null text has size 0; the null source comes last, as a
@@ -47,6 +48,8 @@ from pyspark.sql import Window
 from .common import WORD, materialize, met, salt, whole_text
 
 BLOCK_WORDS, SHARD_BLOCKS, LEAST_SHARDS, MOST, WEIGHTS, SEED = 4096, 4096, 16, 3, (1, 2, 3), 17
+#: Most sources, and characters of their names, that are broadcast.
+BROADCAST, BROADCAST_CHARS = 100_000, 16 << 20
 #: Keys are non-negative 52-bit integers: exact as doubles.
 KEY_BITS = 52
 #: Blocks whose words are summed in one step of the search for a border.
@@ -76,6 +79,9 @@ def keyed(docs: DataFrame, seed: int, columns: list[str]) -> DataFrame:
     repeated = rows.groupBy("__hash").agg(F.count("*").alias("__n")).where("__n > 1").select("__hash", F.lit(True).alias("__again"))
     told = met(rows.select("__hash", "__piece", "__seq"), repeated, ["__hash"], "__piece").select("__seq", "__again")
     hashed = F.when(F.col("__again"), F.xxhash64("__hash", "__seq")).otherwise(F.col("__hash"))
+    told = materialize(told, "mix-repeated")
+    if told.isEmpty():
+        return rows.withColumn("__key", F.shiftrightunsigned("__hash", 64 - KEY_BITS)).drop("__hash")
     return rows.join(told, "__seq", "left").withColumn("__key", F.shiftrightunsigned(hashed, 64 - KEY_BITS)).drop("__hash", "__again")
 
 
@@ -92,6 +98,14 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> D
     return rows.select(*BY, "size", "weight", F.least("__cap", F.col("weight") * highest).alias("target"))
 
 
+def with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` with their source's columns: a source table of checked size is broadcast, so rows stay where they are; a larger one is met by piece."""
+    n, chars = sources.agg(F.count("*"), F.sum(F.length("__src"))).first()
+    if n <= BROADCAST and (chars or 0) <= BROADCAST_CHARS:
+        return rows.join(F.broadcast(sources), BY)
+    return met(rows, sources, BY, "__piece")
+
+
 def block_of(words: int) -> Column:
     """A row's block; its source's number of blocks is that of its words."""
     blocks = F.ceil(F.col("size") / words)
@@ -141,12 +155,12 @@ def plan(docs: DataFrame, columns: list[str], seed: int = SEED, words: int = BLO
     sources = targets(rows.groupBy(*BY).agg(F.sum("__size").alias("size")), weights, most)
     whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("int")
     sources = materialize(sources.withColumn("passes", F.least(whole, F.lit(most))), "mix-targets")
-    bare = met(rows.drop("row"), sources.select(*BY, "size"), BY, "__piece").withColumn("block", block_of(words))
+    bare = with_source(rows.drop("row"), sources.select(*BY, "size")).withColumn("block", block_of(words))
     bare = materialize(bare.where("__size > 0").select(*BY, "block", "__key", "__seq", "__size"), "mix-keys")
     blocks = materialize(bare.groupBy(*BY, "block").agg(F.sum("__size").alias("words")), "mix-blocks")
     sources = materialize(sources.join(borders(bare, blocks, sources), BY, "left"), "mix-sources")
     times = F.col("passes") + F.when(F.coalesce(F.col("block") < F.col("border"), F.lit(False)) | F.coalesce((F.col("block") == F.col("border")) & F.col("cut").isNotNull(), F.lit(False)), 1).otherwise(0)
-    slots = met(blocks.withColumn("__piece", salt(F.col("block"))), sources.select(*BY, "passes", "border", "cut"), BY, "__piece").withColumn("times", times).where("times > 0")
+    slots = with_source(blocks.withColumn("__piece", salt(F.col("block"))), sources.select(*BY, "passes", "border", "cut")).withColumn("times", times).where("times > 0")
     slots = slots.select(*BY, "block", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("pass"))
     tree = splitting_tree(slots, shards, seed)
     drawn = tree.groupBy(*BY, "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("pass", "shard"))), lambda s: s["shard"]).alias("shards"))
@@ -156,7 +170,7 @@ def plan(docs: DataFrame, columns: list[str], seed: int = SEED, words: int = BLO
 def placed(docs: DataFrame, columns: list[str], **options) -> DataFrame:
     """The rows with their source's size and target and ``copies``: (copy, shard, order) of each copy taken."""
     rows, sources, drawn = plan(docs, columns, **options)
-    found = met(rows, sources, BY, "__piece").withColumn("block", F.when(F.col("__size") > 0, block_of(options.get("words", BLOCK_WORDS))))
+    found = with_source(rows, sources).withColumn("block", F.when(F.col("__size") > 0, block_of(options.get("words", BLOCK_WORDS))))
     found = found.join(drawn, [*BY, "block"], "left")
     here = F.struct("__key", "__seq") <= F.col("cut")
     last = F.coalesce((F.col("block") < F.col("border")) | ((F.col("block") == F.col("border")) & here), F.lit(False))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize, met, per_key, salt
 from .components import components
-from .filters import keep_decided
+from .filters import bitmaps, bits_for, keep_decided, marked, position
 from .simhash import MOST, SEED, TILE, majority, mixed, settle, shingle_hashes, streamed
 
 SHINGLE, SIMILARITY, WIDE, BANDS, ROWS = 5, 0.8, 4, 14, 4
@@ -97,7 +97,12 @@ def tiles(rows: DataFrame, nodes: DataFrame, most: int = MOST) -> DataFrame:
     held = held.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
     held = materialize(held.select("id", F.when(F.col("chunks") == 1, F.col("group")).otherwise(pair).alias("group")), "near-groups")
-    carried = rows.join(own, "seq", "left_semi").join(held.select("id").distinct(), "id", "left_semi")
+    # only rows that a filter of the needed numbers holds are moved with their sets
+    needed = materialize(nodes.select("id", F.col("low.seq").alias("seq")).join(held.select("id").distinct(), "id", "left_semi").select("seq"), "near-needed")
+    bits = bits_for(needed.count())
+    key = F.xxhash64("seq")
+    some = marked(rows, bitmaps(needed.select(position(key, bits).alias("pos")), "near-filter"), bits, key).where("__held").select(*rows.columns)
+    carried = some.join(needed, "seq", "left_semi")
     wide = [f"w{k}" for k in range(WIDE)]
     ones = sum((F.bit_count(w) for w in wide), F.lit(0)).alias("ones")
     return held.join(carried.select("id", ones, *wide, "shingles"), "id").select("group", "ones", "id", *wide, "shingles")
