@@ -91,8 +91,20 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     guards.raise_if_any(files.inconsistent_variants(predictions), "inconsistent variants")
     guards.raise_if_any(guards.repeated(predictions, "request_id"), "repeated requests")
     expected = files.expected_outputs(files.read_tasks(spark, a.tasks))
+    if a.task_ids:
+        expected = expected.join(files.read_task_ids(spark, a.task_ids), "task_id", "left_semi")
     rows = files.candidates(predictions)
     guards.raise_if_any(guards.missing(rows, expected, "task_id", "test_index"), "candidates without an expected output")
+    guards.raise_if_any(guards.missing(expected, rows, "task_id", "test_index"), "test inputs without candidates")
+    guards.raise_if_any(guards.gaps(rows, ["request_id"], "sample_index"), "sample indices that aren't 0, 1, 2 and so on")
+    guards.raise_if_any(guards.not_functional(predictions.withColumn("all", F.lit(1)), ["all"], "protocol", "guidance_mode", "adapter_used"), "predictions of several protocols")
+    counts = rows.agg(F.count("*").alias("n"), F.count_distinct("request_id").alias("requests"), F.count_distinct("task_id", "test_index").alias("tests")).first()
+    stated = files.verified_manifest(spark, a.predictions, "predictions") if a.manifest else {}
+    budget = stated.get("candidates_per_test_input", counts["n"] // max(1, counts["tests"]))
+    guards.raise_if_any(scoring.budget_violations(rows, budget), f"test inputs whose candidates aren't {budget}")
+    for name, found in (("record_count", counts["requests"]), ("request_count", counts["requests"]), ("total_candidates", counts["n"])):
+        if stated.get(name, found) != found:
+            raise ValueError(f"{name} is {found}, the manifest states {stated[name]}")
     found = scoring.metrics(scoring.by_task(scoring.by_test(scoring.scored(rows, expected)))).cache()
     files.write_json({r["metric"]: {"correct": r["correct"], "total": r["total"], "rate": r["rate"]} for r in found.collect()}, f"{a.output}.json")
     files.refuse_existing(f"{a.output}.md")
@@ -115,7 +127,7 @@ COMMANDS = {
     "build-plan": (prepare_plan, ("tasks", "output"), ()),
     "export-batch": (export_batch, ("input", "output"), ()),
     "import-batch": (import_batch, ("input", "requests", "output"), ()),
-    "evaluate": (evaluate, ("predictions", "tasks", "output"), ()),
+    "evaluate": (evaluate, ("predictions", "tasks", "output"), ("task-ids", "manifest")),
     "summarize-compute": (summarize_compute, ("runs", "output"), ()),
 }
 

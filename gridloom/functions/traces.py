@@ -97,9 +97,12 @@ def repaired(trace: Column) -> Column:
 
 def verdict(response: Column) -> Column:
     """'pass' or 'fail' of a JSON object with that string as ``verdict``; null for anything else."""
-    said = F.variant_get(F.try_parse_json(response), "$.verdict", "string")
-    is_text = F.schema_of_variant(F.variant_get(F.try_parse_json(response), "$.verdict", "variant")) == "STRING"
-    word = F.lower(strip(said))
+    # as the only element of an array, so that text after the object makes it malformed; of a repeated key the last counts
+    strict = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
+    parsed = F.from_json(F.concat(F.lit("["), response, F.lit("]")), "array<struct<verdict variant>>", strict)
+    said = F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0))["verdict"])
+    is_text = F.schema_of_variant(said) == "STRING"
+    word = F.lower(strip(F.try_variant_get(said, "$", "string")))
     return F.when(is_text & word.isin("pass", "fail"), word)
 
 

@@ -18,7 +18,18 @@ from ..functions.text import score
 def accepted_variants(results: DataFrame, requests: DataFrame) -> DataFrame:
     """Results without an error whose normalised trace is accepted, with the augmentation of their request."""
     good = results.where(F.col("error").isNull()).withColumn("trace", traces.normalised(F.col("raw_output"))).where(traces.format_verdict(F.col("trace"))["accepted"])
-    return good.drop("task_id").join(requests.select("request_id", "task_id", "code", "value_mapping", "order_mapping", "variant_index"), "request_id")
+    asked = requests.select("request_id", "task_id", "code", "value_mapping", "order_mapping", "variant_index")
+    if "task_id" not in good.columns:
+        return good.join(asked, "request_id")
+    # a result that names another task than its request is no variant; ``disagreeing`` reports it
+    found = good.withColumnRenamed("task_id", "__named").join(asked, "request_id")
+    return found.where(F.col("__named").isNull() | (F.col("__named") == F.col("task_id"))).drop("__named")
+
+
+def disagreeing(results: DataFrame, requests: DataFrame) -> DataFrame:
+    """Results that name another task than their request."""
+    named = results.select("request_id", F.col("task_id").alias("result_task_id"))
+    return named.join(requests.select("request_id", "task_id"), "request_id").where("result_task_id <> task_id")
 
 
 def unmatched(results: DataFrame, requests: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grids, keys
-from ..functions.text import sha256
+from ..functions.text import sha256, strip
 
 MESSAGES = "array<struct<role:string,content:string>>"
 #: Styles of a rewrite (fixed names, in order) and what each asks for.
@@ -38,7 +38,7 @@ def message(role: str, content: Column) -> Column:
 def hint_text(hint: Column) -> Column:
     """A hint's five fields under their labels; null without a hint."""
     labels = {"General": "general", "Inputs": "inputs", "Outputs": "outputs", "Transformation": "transformation", "Transformation Steps": "transformation_steps"}
-    lines = [x for label, name in labels.items() for x in (F.lit(f"{label}:"), F.trim(hint[name]))]
+    lines = [x for label, name in labels.items() for x in (F.lit(f"{label}:"), strip(hint[name]))]
     return F.when(hint.isNotNull(), F.concat_ws("\n", *lines))
 
 
@@ -71,11 +71,25 @@ def messages(system: str, prompt: Column) -> Column:
     return F.array(message("system", F.lit(system)), message("user", prompt))
 
 
+def ascii_json(payload: Column) -> Column:
+    """A JSON text with only ASCII in it: other code points and control characters as lower-case escapes, in surrogate pairs beyond U+FFFF."""
+    unit = lambda x: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(x)), 4, "0"))
+
+    def shown(c: Column) -> Column:
+        point, above = F.ascii(c).cast("long"), F.ascii(c).cast("long") - 0x10000
+        pair = F.concat(unit(F.lit(0xD800) + F.shiftright(above, 10)), unit(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))))
+        known = F.when(F.startswith(c, F.lit("\\u")), F.lower(c)).when(point < 127, c)
+        return known.when(point < 0x10000, unit(point)).otherwise(pair)
+
+    parts = F.regexp_extract_all(payload, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\.|."), F.lit(0))
+    return F.when(payload.rlike(r"[^\x00-\x7E]|\\u"), F.array_join(F.transform(parts, shown), "")).otherwise(payload)
+
+
 def request_id(stage: Column, task: Column, identity: dict[str, Column]) -> Column:
-    """``stage-task-`` and 16 hex digits of the SHA-256 of compact JSON with sorted keys. Fields must not be null; text should be ASCII."""
+    """``stage-task-`` and 16 hex digits of the SHA-256 of compact ASCII JSON with sorted keys. Fields must not be null."""
     inner = F.struct(*[c.alias(k) for k, c in sorted(identity.items())])
     payload = F.to_json(F.struct(inner.alias("identity"), stage.alias("stage"), task.alias("task_id")), {"ignoreNullFields": "false"})
-    return F.concat_ws("-", stage, task, F.substring(sha256(payload), 1, 16))
+    return F.concat_ws("-", stage, task, F.substring(sha256(ascii_json(payload)), 1, 16))
 
 
 def provider_record(key: Column, chat: Column, temperature: Column, top_p: Column, max_tokens: Column, seed: Column) -> Column:
@@ -88,8 +102,18 @@ def provider_record(key: Column, chat: Column, temperature: Column, top_p: Colum
     return F.to_json(F.struct(key.alias("key"), request.alias("request")))
 
 
-#: What is read of a provider's batch response.
-RESPONSE = "key string, error string, response struct<candidates array<struct<content struct<parts array<struct<text string>>>, finishReason string>>, usageMetadata struct<promptTokenCount bigint, candidatesTokenCount bigint>, modelVersion string>"
+#: What is read of a provider's batch response, under either of two spellings.
+RESPONSE = (
+    "key string, error variant, response struct<candidates array<struct<content struct<parts array<struct<text string>>>, finishReason string, finish_reason string>>, "
+    "usageMetadata struct<promptTokenCount bigint, prompt_token_count bigint, candidatesTokenCount bigint, candidates_token_count bigint>, "
+    "usage_metadata struct<promptTokenCount bigint, prompt_token_count bigint, candidatesTokenCount bigint, candidates_token_count bigint>>"
+)
+
+
+def provider_error(error: Column) -> Column:
+    """An error's message, else its status, else its JSON; a text as it is; null for none."""
+    whole = F.when(F.startswith(F.schema_of_variant(error), F.lit("OBJECT")), F.to_json(error)).otherwise(F.try_variant_get(error, "$", "string"))
+    return F.coalesce(F.try_variant_get(error, "$.message", "string"), F.try_variant_get(error, "$.status", "string"), whole)
 
 
 def provider_result(line: Column) -> Column:
@@ -97,8 +121,16 @@ def provider_result(line: Column) -> Column:
     said = F.from_json(line, RESPONSE)
     first = F.get(said["response"]["candidates"], F.lit(0))
     text = F.array_join(F.transform(first["content"]["parts"], lambda p: F.coalesce(p["text"], F.lit(""))), "")
-    usage = said["response"]["usageMetadata"]
-    return F.struct(said["key"].alias("key"), F.coalesce(text, F.lit("")).alias("raw_output"), first["finishReason"].alias("finish_reason"), F.coalesce(usage["promptTokenCount"], F.lit(0)).alias("prompt_tokens"), F.coalesce(usage["candidatesTokenCount"], F.lit(0)).alias("completion_tokens"), said["error"].alias("error"))
+    usage = F.coalesce(said["response"]["usageMetadata"], said["response"]["usage_metadata"])
+    tokens = lambda a, b: F.coalesce(usage[a], usage[b], F.lit(0))
+    return F.struct(
+        said["key"].alias("key"),
+        F.coalesce(text, F.lit("")).alias("raw_output"),
+        F.coalesce(first["finishReason"], first["finish_reason"]).alias("finish_reason"),
+        tokens("promptTokenCount", "prompt_token_count").alias("prompt_tokens"),
+        tokens("candidatesTokenCount", "candidates_token_count").alias("completion_tokens"),
+        provider_error(said["error"]).alias("error"),
+    )
 
 
 def imported(results: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -808,6 +808,47 @@ def gemini_import(spark, sf_dir):
     return requests.imported(results, asked)[0].select("event_id", "raw_output", "finish_reason", "prompt_tokens", "completion_tokens")
 
 
+# --- odd inputs -----------------------------------------------------------------------
+
+#: Answers of judges and what strict JSON makes of them; of a repeated key the last counts.
+JUDGED = (('{"verdict":"pass"} x', None), ('{"verdict":"fail","verdict":" PASS "}', "pass"), ('{"verdict":1}', None), ("{''verdict'':''pass''}", None), ('{"verdict":"pass"},{}', None), ('["pass"]', None), ('{"a":[1,{}],"verdict":"Fail"}', "fail"), ("x", None))
+
+
+@query(sql="select answer, verdict from (values " + ", ".join(f"('{a}', {repr(v) if v else 'null'})" for a, v in JUDGED) + ") as t(answer, verdict)")
+def verdict_strict(spark, sf_dir):
+    rows = spark.createDataFrame([(a.replace("''", "'"),) for a, _ in JUDGED], "answer string")
+    return rows.select("answer", traces.verdict(col("answer")).alias("verdict"))
+
+
+@query(sql=r"""
+with texts as (select doc_id, substr(coalesce(text, ''), 1, 3) as t from documents where regexp_matches(substr(coalesce(text, ''), 1, 3), '^[A-Za-zÀ-ÿ ]*$')),
+shown as (select doc_id, t, list_aggregate(list_transform(string_split(t, ''), lambda c: case when c = '' or unicode(c) < 128 then c else concat('\u', lpad(format('{:x}', unicode(c)), 4, '0')) end), 'string_agg', '') as safe from texts)
+select doc_id, concat('s-', t, '-', substr(sha256(concat('{"identity":{"k":"', safe, '"},"stage":"s","task_id":"', safe, '"}')), 1, 16)) as request_id from shown""")
+def request_id_ascii(spark, sf_dir):
+    """Request ids of texts with letters beyond ASCII."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring(F.coalesce("text", lit("")), 1, 3).alias("t")).where(col("t").rlike("^[A-Za-zÀ-ÿ ]*$"))
+    return rows.select("doc_id", requests.request_id(lit("s"), col("t"), {"k": col("t")}).alias("request_id"))
+
+
+@query("runs", sql="select concat('e', cast(event_id as varchar)) as key, tokens as prompt_tokens, case when event_id % 3 = 0 then 0 else generated end as completion_tokens, case when event_id % 3 = 0 then null else 'STOP' end as finish_reason, case when event_id % 3 = 0 then event_type end as error from runs")
+def provider_spellings(spark, sf_dir):
+    """Provider lines in the other spelling; every third is an error object with a message."""
+    rows, wrong = fixtures.view(spark, sf_dir, "select * from runs", "runs"), col("event_id") % 3 == 0
+    one = F.struct(F.struct(F.array(F.struct(lit("x").alias("text"))).alias("parts")).alias("content"), lit("STOP").alias("finish_reason"))
+    usage = F.struct(col("tokens").alias("prompt_token_count"), F.when(~wrong, col("generated")).alias("candidates_token_count"))
+    error = F.when(wrong, F.struct(col("event_type").alias("message"), lit("BAD").alias("status")))
+    line = F.to_json(F.struct(F.concat(lit("e"), col("event_id").cast("string")).alias("key"), error.alias("error"), F.struct(F.when(~wrong, F.array(one)).alias("candidates"), usage.alias("usage_metadata")).alias("response")))
+    return rows.select(requests.provider_result(line).alias("r")).select("r.key", "r.prompt_tokens", "r.completion_tokens", "r.finish_reason", "r.error")
+
+
+@query("runs", sql="select concat('q', cast(event_id as varchar)) as request_id, 'other' as result_task_id, event_type as task_id from runs where event_id % 7 = 0")
+def result_disagreement(spark, sf_dir):
+    """Results that name another task than the request that they answer."""
+    rows = fixtures.view(spark, sf_dir, "select * from runs", "runs").select(F.concat(lit("q"), col("event_id").cast("string")).alias("request_id"), col("event_type").alias("task_id"), "event_id")
+    results = rows.select("request_id", F.when(col("event_id") % 7 == 0, "other").when(col("event_id") % 7 > 1, col("task_id")).alias("task_id"))
+    return corpus.disagreeing(results, rows.drop("event_id"))
+
+
 # --- cost, schedules, adapters --------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, traces
-from ..functions.text import is_blank
+from ..functions.text import is_blank, strip
 from . import schemas
 
 
@@ -70,11 +70,11 @@ def read_subset(spark: SparkSession, path: str) -> DataFrame:
 def read_task_ids(spark: SparkSession, path: str) -> DataFrame:
     """Normalised task ids of a JSON list, or of JSON lines that are objects with a task_id or bare strings; '.json' is stripped."""
     if path.endswith(".jsonl"):
-        line = F.trim("value")
+        line = strip(F.col("value"))
         rows = spark.read.text(path).where(~is_blank(F.col("value"))).select(F.when(F.startswith(line, F.lit("{")), F.get_json_object(line, "$.task_id")).otherwise(F.get(F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<string>"), F.lit(0))).alias("task_id"))
     else:
         rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>", {"mode": "FAILFAST"})).alias("task_id"))
-    return rows.select(F.regexp_replace(F.trim("task_id"), r"\.json\z", "").alias("task_id"))
+    return rows.select(F.regexp_replace(strip(F.col("task_id")), r"\.json\z", "").alias("task_id"))
 
 
 def bad_task_ids(ids: DataFrame) -> DataFrame:
@@ -155,10 +155,10 @@ def read_guidance_map(spark: SparkSession, path: str, wrappers: tuple[str, ...]
 
 
 def read_adaptation_guidance(spark: SparkSession, path: str) -> DataFrame:
-    """(key, guidance) for adaptation: texts as they are, blank ones kept as '', no list allowed (null)."""
+    """(key, guidance) for adaptation: of whole traces what follows the private block, of others the summary; blank ones are '', texts without both headings null."""
     rows = read_lines(spark, path, schemas.GUIDANCE)
     text = F.coalesce("guidance", "trace", "normalized_output", "raw_output")
-    return rows.select(F.coalesce("request_id", "key").alias("key"), F.when(is_blank(text), "").otherwise(text).alias("guidance"))
+    return rows.select(F.coalesce("request_id", "key").alias("key"), F.when(text.isNotNull() & is_blank(text), "").otherwise(traces.any_guidance(text)).alias("guidance"))
 
 
 def bad_guidance(rows: DataFrame, augmented_only: bool = False) -> DataFrame:

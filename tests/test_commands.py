@@ -70,7 +70,11 @@ def test_batches_plans_scores_and_costs(spark, tasks):
     assert cli.main(["build-plan", "--tasks", p("tasks"), "--output", p("plan.json")], spark) == 2
     plain = {"key": "a", "task_id": "a", "is_augmented": False, "transformation_code": "ID", "value_mapping": "0123456789"}
     (tasks / "p.jsonl").write_text(json.dumps({"request_id": "a__0", "task_id": "a", "test_index": 0, "variant": plain, "outputs": [{"sample_index": 0, "text": "65"}, {"sample_index": 1, "text": "56"}]}))
-    assert cli.main(["evaluate", "--predictions", p("p.jsonl"), "--tasks", p("tasks"), "--output", p("score")], spark) == 0
+    assert cli.main(["evaluate", "--predictions", p("p.jsonl"), "--tasks", p("tasks"), "--output", p("all")], spark) == 2  # task b has no candidates
+    (tasks / "ids.json").write_text('["a"]')
+    assert cli.main(["evaluate", "--predictions", p("p.jsonl"), "--tasks", p("tasks"), "--task-ids", p("ids.json"), "--output", p("score")], spark) == 0
+    (tasks / "gap.jsonl").write_text(json.dumps({"request_id": "a__0", "task_id": "a", "test_index": 0, "variant": plain, "outputs": [{"sample_index": 5, "text": "65"}]}))
+    assert cli.main(["evaluate", "--predictions", p("gap.jsonl"), "--tasks", p("tasks"), "--task-ids", p("ids.json"), "--output", p("gapped")], spark) == 2
     assert json.loads((tasks / "score.json").read_text())["sample_accuracy"] == {"correct": 1, "total": 2, "rate": 0.5} and "50.00%" in (tasks / "score.md").read_text()
     (tasks / "runs.jsonl").write_text('{"kind":"prediction","prompt_tokens":5000,"generated_tokens":75}')
     assert cli.main(["summarize-compute", "--runs", p("runs.jsonl"), "--output", p("cost.json")], spark) == 0

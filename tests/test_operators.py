@@ -1,11 +1,12 @@
+import hashlib
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.functions import grids
-from gridloom.operators import cost, execution, guards, judging, requests, scoring
+from gridloom.functions import grids, traces
+from gridloom.operators import corpus, cost, execution, guards, judging, requests, scoring
 from gridloom.plans import variants
 from gridloom.sources import files, schemas
 from gridloom.streaming import stream
@@ -201,3 +202,52 @@ def test_stream_counts_each_record_once(spark, tmp_path):
     spark.createDataFrame([(k % 5, "a") for k in range(10)], "event_id long, event_type string").write.parquet(folder)
     arrived = stream.once(stream.arrivals(spark, folder, "event_id long, event_type string"), "event_id")
     assert rows(stream.counts(stream.finished(arrived, "test"), "event_type")) == [("a", 5)]
+
+
+def test_request_ids_are_those_of_ascii_json(spark):
+    texts = ["plain", "é", "🎉 x", "a\tb\x01\x1f\"\\", "\\u00e9", "\u2028\x7f"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in rows.select(requests.request_id(F.lit("s"), F.col("t"), {"k": F.col("t")})).collect()]
+    payload = lambda t: json.dumps({"identity": {"k": t}, "stage": "s", "task_id": t}, sort_keys=True, separators=(",", ":"))
+    assert got == [f"s-{t}-{hashlib.sha256(payload(t).encode()).hexdigest()[:16]}" for t in texts]
+
+
+def test_provider_lines_of_either_spelling(spark):
+    lines = [
+        '{"key":"a","response":{"candidates":[{"content":{"parts":[{"text":"x"}]},"finish_reason":"STOP"}],"usage_metadata":{"prompt_token_count":3,"candidates_token_count":4}}}',
+        '{"key":"b","error":{"message":"no","status":"BAD"}}',
+        '{"key":"c","error":{"status":"BAD"}}',
+        '{"key":"d","error":"plain"}',
+        '{"key":"e","error":{"code":7}}',
+        '{"key":"f","response":{"usageMetadata":{"promptTokenCount":1}}}',
+    ]
+    got = [tuple(r[0]) for r in spark.createDataFrame([(x,) for x in lines], "line string").select(requests.provider_result(F.col("line"))).collect()]
+    assert got == [("a", "x", "STOP", 3, 4, None), ("b", "", None, 0, 0, "no"), ("c", "", None, 0, 0, "BAD"), ("d", "", None, 0, 0, "plain"), ("e", "", None, 0, 0, '{"code":7}'), ("f", "", None, 1, 0, None)]
+
+
+def test_verdicts_are_strict_json(spark):
+    cases = {'{"verdict":"pass"} x': None, '{"verdict":"fail","verdict":" PASS\\n"}': "pass", '{"verdict":1}': None, "{'verdict':'pass'}": None, '{"verdict":"pass"},{}': None, '["pass"]': None, "": None, '{"verdict":null}': None, ' {"a":[1,{}],"verdict":"Fail"}\n': "fail", '{"verdict":"maybe"}': None, "x": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", traces.verdict(F.col("t")).alias("v")).collect()
+    assert {r["t"]: r["v"] for r in rows} == cases
+
+
+def test_results_that_name_another_task_are_reported(spark):
+    asked = spark.createDataFrame([("q1", "a"), ("q2", "b"), ("q3", "c")], "request_id string, task_id string")
+    results = spark.createDataFrame([("q1", "a"), ("q2", "x"), ("q3", None)], "request_id string, task_id string")
+    assert [tuple(r) for r in corpus.disagreeing(results, asked).collect()] == [("q2", "x", "b")]
+
+
+def test_adaptation_guidance_holds_no_private_reasoning(spark, tmp_path):
+    summary = "General natural language description:\nd\nGeneral steps:\ns"
+    lines = [{"request_id": "a", "raw_output": f"<think>\nsecret\n</think>\n{summary} "}, {"request_id": "b", "guidance": "\n\t"}, {"request_id": "c", "guidance": "no headings"}, {"request_id": "d", "guidance": f" {summary}"}]
+    (tmp_path / "g.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    got = {r["key"]: r["guidance"] for r in files.read_adaptation_guidance(spark, str(tmp_path / "g.jsonl")).collect()}
+    assert got == {"a": summary, "b": "", "c": None, "d": summary}
+
+
+def test_guidance_of_white_space_only_is_missing(spark):
+    rows = spark.createDataFrame([("t", "ID", "0123456789", None, 0)], "task_id string, code string, value_mapping string, order_mapping string, variant_index int")
+    key = rows.select(variants.view_key()).first()[0]
+    for text, want in (("\n\t", "missing"), (" x", "provided")):
+        found = variants.resolved_guidance(rows, spark.createDataFrame([(key, text)], "key string, guidance string"), 64).first()
+        assert found["status"] == want
