@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: SQL that differs between the engines: a hash of a text as an integer, and the hex digest of a text.
+#: SQL that differs between the engines: a hash of a text as an integer, the hex digest of a text, and a row for each number below one.
 ENGINES = {
-    "spark": {"h": lambda x: f"cast(conv(substr(sha2({x}, 256), 1, 8), 16, 10) as bigint)", "sha": lambda x: f"sha2({x}, 256)"},
-    "duckdb": {"h": lambda x: f"cast('0x' || substr(sha256({x}), 1, 8) as bigint)", "sha": lambda x: f"sha256({x})"},
+    "spark": {"h": lambda x: f"cast(conv(substr(sha2({x}, 256), 1, 8), 16, 10) as bigint)", "sha": lambda x: f"sha2({x}, 256)", "each": lambda n: f"explode(sequence(0, {n - 1}))"},
+    "duckdb": {"h": lambda x: f"cast('0x' || substr(sha256({x}), 1, 8) as bigint)", "sha": lambda x: f"sha256({x})", "each": lambda n: f"unnest([{', '.join(map(str, range(n)))}])"},
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: The digits of a 2 x 3 grid text by place: a b c / d e f.
@@ -59,13 +59,13 @@ pairs as (select task_id, l_orderkey, rule, case when rn < n_train then 'train'
     input_text, {by_rule("input_text", "rule")} as output_text from grids)""",
     # four samples of each test input, of ten classes: right (0-2), wrong, ragged, empty, fenced, wrapped, followed by text, too large
     "draws": lambda e: f"""
-samples(sample_index) as (select * from (values (0), (1), (2), (3)) as s(x)),
+sampled as (select *, {e["each"](4)} as sample_index from pairs where split = 'test'),
 draws as (select task_id, pair_index as test_index, sample_index, output_text,
     concat(task_id, '__', cast(pair_index as varchar(20)), '__', cast(cast(floor(sample_index / 2) as int) as varchar(20))) as hidden,
     cast({e["h"]("concat(task_id, ':', cast(pair_index as varchar(20)), ':', cast(sample_index as varchar(20)))")} % 10 as int) as class,
     cast({e["h"]("concat('v:', task_id, ':', cast(pair_index as varchar(20)), ':', cast(sample_index as varchar(20)))")} % 8 as int) as code_index,
     cast({e["h"]("concat('m:', task_id, ':', cast(pair_index as varchar(20)), ':', cast(sample_index as varchar(20)))")} % 10 as int) as turn
-    from pairs cross join samples where split = 'test')""",
+    from sampled)""",
     # traces: eight sections around slices of documents, with a defect by id
     "traces": lambda e: f"""
 slices as (select doc_id, lang, source, cast(doc_id % 10 as int) as class,
@@ -85,11 +85,11 @@ traces as (select doc_id, lang, source, class, concat('d', cast(doc_id % 97 as v
     else concat('no trace: ', a) end as trace from parts)""",
     # five votes on each labelled document
     "votes": lambda e: f"""
-judges(judge_index) as (select * from (values (0), (1), (2), (3), (4)) as j(x)),
+polled as (select *, {e["each"](5)} as judge_index from labels),
 votes as (select concat('r', cast(doc_id as varchar(20))) as source_request_id, doc_id, judge_index,
     concat('j', cast(doc_id as varchar(20)), '-', cast(judge_index as varchar(20))) as request_id,
     cast({e["h"]("concat('vote:', cast(doc_id as varchar(20)), ':', cast(judge_index as varchar(20)))")} % 20 as int) as u,
-    coalesce(quality, 0) as quality, coalesce(toxic, 0) as toxic from labels cross join judges),
+    coalesce(quality, 0) as quality, coalesce(toxic, 0) as toxic from polled),
 answers as (select *, case when u = 0 then 'not json' when u = 1 then '{{"verdict": 1}}' when u = 2 then '{{"verdict": " PASS "}}'
     when quality = 1 and toxic = 0 then '{{"verdict": "pass", "note": "ok"}}' else '{{"verdict": "fail"}}' end as raw_output from votes)""",
     # run manifests: token counts by event
