@@ -2,6 +2,13 @@
 
 Stages are written as Parquet to the shared folder and read again, so each
 starts from data that outlives executors.
+
+Defined results, for every stage: a null text is empty (quality rules drop it); a
+null language, source or doc_id is a value of its own; very long texts are taken
+whole; repeated rows are rows of their own, of which exact dedup keeps the longest,
+then that of the smallest doc_id, and near-dedup the one of the smallest doc_id;
+rows that repeat a doc_id stay together in the mix's order; extra columns come
+through unchanged, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies (five words, similarity 0.8 or more) stays."""
     return near.keep_first(docs)
 
 
