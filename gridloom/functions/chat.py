@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .grids import grid_text
+from .grids import grid_text, let
 from .text import sha256
 
 #: The chat template.
@@ -95,7 +95,16 @@ def labels_from(ids: Column, start: Column, length: Column) -> Column:
 
 
 def labels_in(ids: Column, spans: Column, length: Column, skip_first: bool = False) -> Column:
-    """Labels inside the spans only."""
+    """Labels inside the spans only, which are in order and within the ids: gaps and slices in turn, in one pass."""
     some = F.slice(spans, F.lit(2), F.greatest(F.size(spans) - 1, F.lit(0))) if skip_first else spans
-    own = F.transform(ids, lambda x, i: F.when(F.exists(some, lambda s: (i >= s["start"]) & (i < s["end"])), x).otherwise(IGNORED))
-    return F.concat(own, F.array_repeat(F.lit(IGNORED), length - F.size(ids)))
+    ignored = lambda n: F.array_repeat(F.lit(IGNORED), n)
+
+    def piece(s: Column, k: Column, all_: Column) -> Column:
+        before = F.when(k > 0, F.get(all_, k - 1)["end"]).otherwise(0)
+        return F.concat(ignored(s["start"] - before), F.slice(ids, s["start"] + 1, s["end"] - s["start"]))
+
+    def whole(all_: Column) -> Column:
+        last = F.coalesce(F.get(all_, F.size(all_) - 1)["end"], F.lit(0))
+        return F.concat(F.flatten(F.transform(all_, lambda s, k: piece(s, k, all_))), ignored(length - last))
+
+    return let(some, whole)

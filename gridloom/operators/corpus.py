@@ -83,3 +83,26 @@ def materialised(views: DataFrame, tasks: DataFrame) -> DataFrame:
     """views: task_id, code, value_mapping, order_mapping; tasks: task_id, train. The augmented demonstrations of each view."""
     rows = views.join(tasks.select("task_id", "train"), "task_id")
     return rows.withColumn("pairs", keys.augmented_pairs(F.col("train"), F.col("code"), F.col("value_mapping"), F.col("order_mapping"))).drop("train")
+
+
+def labelled_pairs(tasks: DataFrame) -> DataFrame:
+    """Train pairs, then test pairs, each with its split, as ``pairs`` of one row per task."""
+    side = lambda name: F.transform(name, lambda p: F.struct(p["input"].alias("input"), p["output"].alias("output"), F.lit(name).alias("split")))
+    return tasks.select("task_id", F.concat(side("train"), side("test")).alias("pairs"))
+
+
+def unlabelled(tasks: DataFrame) -> DataFrame:
+    """Tasks without pairs, or with a pair that lacks an output."""
+    pairs = labelled_pairs(tasks)
+    return pairs.where((F.coalesce(F.size("pairs"), F.lit(0)) <= 0) | F.exists("pairs", lambda p: p["output"].isNull())).select("task_id")
+
+
+def whole_views(views: DataFrame, tasks: DataFrame) -> DataFrame:
+    """views: task_id, code, value_mapping. All labelled pairs of each view's task under its code and mapping, in their own order; a view without a code shows them as they are."""
+    rows = views.join(labelled_pairs(tasks), "task_id")
+
+    def shown(p: Column) -> Column:
+        new = keys.grids.augmented_pair(p, F.col("code"), F.col("value_mapping"))
+        return F.struct(new["input"].alias("input"), new["output"].alias("output"), p["split"].alias("split"))
+
+    return rows.withColumn("pairs", F.when(F.col("code").isNull(), F.col("pairs")).otherwise(F.transform("pairs", shown)))

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures
-from .functions import chat, grids, keys, schedules, traces
+from .functions import chat, grids, keys, schedules, tokens, traces
 from .functions.text import sha256
-from .operators import corpus, cost, execution, guards, judging, requests, scoring
+from .operators import corpus, cost, execution, guards, judging, requests, scoring, token_records
 from .plans import variants
 from .sources import files
 from .streaming import stream
@@ -734,6 +734,80 @@ def reasoning_prompts(spark, sf_dir):
     return rows.select("task_id", "variant_index", sha256(grids.examples_text(col("pairs"), "")).alias("prompt_sha256"))
 
 
+# --- token records -------------------------------------------------------------------
+
+#: SQL: a task's conversation (text), its length in bytes (n), and its labels behind the first answer, each with a comma.
+_CHATS = _TASKS + """, said as (select *, case when cast(substr(task_id, 2) as bigint) % 3 = 0 then concat('<|im_start|>system', chr(10), 'rule é ', substr(task_id, 2), '<|im_end|>', chr(10)) else '' end as head from own),
+turned as (select p.task_id, string_agg(concat('<|im_start|>user', chr(10), input_text, '<|im_end|>', chr(10), '<|im_start|>assistant', chr(10), output_text, '<|im_end|>', chr(10)), '' order by pair_index) as body,
+  string_agg(concat(repeat('-100,', 57), case when pair_index = 0 then repeat('-100,', length(output_text)) else list_aggregate(list_transform(string_split(output_text, ''), lambda c: concat(cast(unicode(c) as varchar), ',')), 'string_agg', '') end, repeat('-100,', 11)), '' order by pair_index) as marks,
+  string_agg(concat(cast(h + pair_index * (68 + length(output_text)) + 57 as varchar), '-', cast(h + pair_index * (68 + length(output_text)) + 57 + length(output_text) as varchar)), ',' order by pair_index) as spans
+  from pairs p join (select task_id, octet_length(encode(head)) as h from said) using (task_id) where split = 'train' group by 1),
+chats as (select *, concat(head, body) as text, octet_length(encode(concat(head, body))) as n, octet_length(encode(head)) as h from said join turned using (task_id))
+"""
+
+
+def ids_digest(ids: F.Column) -> F.Column:
+    """Digest of byte ids, as upper-case hex."""
+    return sha256(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 2, "0")), ""))
+
+
+def spans_text(spans: F.Column) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query("pairs", sql=_CHATS + """select task_id, sha256(hex(encode(text))) as ids_sha256, spans, n::int as tokens, ((n_train - 1) * o)::int as targets, head <> '' as has_system,
+ case when n_train < 2 then 'too_few_pairs' when n > 420 then 'too_long' else 'ok' end as status from chats""")
+def adaptation_tokens(spark, sf_dir):
+    """Records of whole conversations, whose spans are found by their markers among the ids."""
+    rows = token_records.adaptation_records(conversations(spark, sf_dir).withColumn("pairs", col("train")), 420)
+    return rows.select("task_id", ids_digest(col("input_ids")).alias("ids_sha256"), spans_text(col("assistant_spans")).alias("spans"), col("sequence_length").alias("tokens"), col("target_token_count").alias("targets"), col("has_system_message").alias("has_system"), "status")
+
+
+@query("pairs", sql=_CHATS + "select task_id, sha256(concat(repeat('-100,', h::int), marks, repeat('-100,', (ceil(n / 8) * 8 - n)::int))) as labels_sha256 from chats")
+def labels_digest(spark, sf_dir):
+    """Every label of every position, padding included."""
+    rows = conversations(spark, sf_dir).withColumn("ids", chat.byte_tokens(col("text"))).withColumn("length", chat.padded_length(F.size("ids")))
+    labels = F.transform(chat.labels_in(col("ids"), col("spans"), col("length"), True), lambda x: F.concat(x.cast("string"), lit(",")))
+    return rows.select("task_id", sha256(F.array_join(labels, "")).alias("labels_sha256"))
+
+
+@query("pairs", sql=_TASKS + """, shown as (select task_id, string_agg(concat('<|im_start|>user', chr(10), input_text, '<|im_end|>', chr(10), '<|im_start|>assistant', chr(10), output_text, '<|im_end|>', chr(10)), '' order by split = 'test', pair_index) as text, count_if(split = 'train')::int as n_pairs_train, count_if(split = 'test')::int as n_pairs_test from pairs group by 1)
+select task_id, sha256(hex(encode(text))) as ids_sha256, n_pairs_train, n_pairs_test, 'ok' as status from shown""")
+def prediction_tokens(spark, sf_dir):
+    """Records of train and test pairs together, unguided."""
+    rows = corpus.labelled_pairs(tasks(spark, sf_dir)).withColumn("guidance", lit(None).cast("string"))
+    rows = token_records.prediction_records(rows, False)
+    return rows.select("task_id", ids_digest(col("input_ids")).alias("ids_sha256"), "n_pairs_train", "n_pairs_test", "status")
+
+
+def reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted traces as records, each under a puzzle of one pair that its task number makes."""
+    grid = F.array(F.array((F.substr(col("task_id"), lit(2)).cast("int") % 10)))
+    return token_records.reasoning_records(corpus_rows(spark, sf_dir).withColumn("pairs", F.array(F.struct(grid.alias("input"), grid.alias("output")))))
+
+
+_REASONED = _CORPUS + """, prompted as (select variant_id, g.task_id, concat('<|im_start|>user', chr(10), 'Example 1', chr(10), 'Input:', chr(10), d, chr(10), 'Output:', chr(10), d, '<|im_end|>', chr(10), '<|im_start|>assistant', chr(10)) as front, normal
+ from good g join (select doc_id, normal, cast(cast(substr(task_id, 2) as int) % 10 as varchar) as d from answered) using (doc_id)), records as (select *, concat(front, normal, '<|im_end|>', chr(10)) as text, length(front)::int as assistant_start from prompted)
+"""
+
+
+@query("traces", sql=_REASONED + "select variant_id, sha256(hex(encode(text))) as ids_sha256, assistant_start, octet_length(encode(text))::int as tokens from records")
+def reasoning_tokens(spark, sf_dir):
+    return reasoned(spark, sf_dir).select("variant_id", ids_digest(col("input_ids")).alias("ids_sha256"), "assistant_start", col("sequence_length").alias("tokens"))
+
+
+@query("traces", sql=_REASONED + f""", fit as (select *, row_number() over (partition by task_id order by substr(sha256('{SEED}:' || task_id || ':' || variant_id), 1, 16), variant_id) - 1 as place from records where octet_length(encode(text)) <= 360)
+select task_id, variant_id, cast(place as int) as rank from fit where place < 2""")
+def reasoning_split(spark, sf_dir):
+    """The training split of those records: what fits first, the chosen of each task second."""
+    return token_records.training_split(reasoned(spark, sf_dir), 360, 2, SEED).select("task_id", "variant_id", "rank")
+
+
+@query("traces", sql=_REASONED + """select task_id, 'too_long' as problem from records where octet_length(encode(text)) > 360 union all select task_id, 'repeated' from records group by task_id having count(*) > 1""")
+def validation_problems(spark, sf_dir):
+    return token_records.validation_problems(reasoned(spark, sf_dir), 360)
+
+
 # --- requests ----------------------------------------------------------------------
 
 

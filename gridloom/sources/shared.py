@@ -16,3 +16,13 @@ def shared_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on whatever file system the path names; never over an existing one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
