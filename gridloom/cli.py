@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grids, traces
-from .operators import cost, guards, judging, requests, scoring
+from .operators import cost, execution, guards, judging, requests, scoring
 from .plans import variants
-from .sources import files, schemas
+from .sources import files, records, schemas
 
 
 def puzzles(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,14 +24,61 @@ def prepare_initial(spark: SparkSession, a: argparse.Namespace) -> None:
     guards.raise_if_any(files.bad_task_ids(ids), "bad task ids")
     rows = puzzles(spark, a.tasks).join(ids, "task_id")
     if a.hints:
-        hints = files.read_hints(spark, a.hints)
+        hints = files.read_hint_source(spark, a.hints)
         guards.raise_if_any(files.bad_hints(hints), "bad hints")
         hint = requests.hint_text(F.struct(*files.HINT_FIELDS))
         rows = rows.join(hints.where("status = 'complete'").select("task_id", hint.alias("hint")), "task_id", "left")
     else:
+        hints = None
         rows = rows.withColumn("hint", F.lit(None).cast("string"))
+    rows = rows.withColumn("candidate", F.explode(F.sequence(F.lit(a.candidate_start), F.lit(a.candidate_start + a.candidates - 1))))
+    if a.few_shots:
+        rows = with_pool(spark, a, rows, hints)
     none = F.array().cast("array<string>")
-    files.write_lines(requests.initial_requests(rows.withColumn("few_shots", none).withColumn("few_shot_ids", none), a.candidates), a.output)
+    for name in ("few_shots", "few_shot_ids"):
+        rows = rows.withColumn(name, F.coalesce(F.col(name), none) if name in rows.columns else none)
+    files.write_lines(requests.initial_requests(rows, a.candidates), a.output)
+
+
+def with_pool(spark: SparkSession, a: argparse.Namespace, rows: DataFrame, hints: DataFrame | None) -> DataFrame:
+    """Few-shots for each task and candidate, from a pool of JSON lines (task_id, trace) whose order counts."""
+    listed = files.read_lines(spark, a.few_shots, "task_id string, pool_order int, trace string")
+    none = spark.createDataFrame([], f"schema_version int, task_id string, status string, {', '.join(f'{f} string' for f in files.HINT_FIELDS)}")
+    pool = records.few_shot_pool(listed, files.read_tasks(spark, a.tasks), hints if hints is not None else none, listed.where("false"))
+    guards.raise_if_any(records.bad_pool(pool), "bad few-shot pool")
+    hint = F.when(F.col("status") == "complete", requests.hint_text(F.col("hint")))
+    blocks = pool.select("task_id", requests.few_shot_block(F.col("task_id"), grids.examples_text(F.col("train"), ""), hint, F.col("trace")).alias("block"))
+    order = [r["task_id"] for r in pool.orderBy("pool_order").select("task_id").collect()]  # a pool is a few dozen hand-picked tasks
+    return requests.with_few_shots(rows, variants.few_shots(rows, order, a.few_shot_count, a.seed), blocks)
+
+
+def prepare_rewrite(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Rewrites of accepted traces (or of selected base traces), under augmentations that weren't asked for before."""
+    if bool(a.sources) == bool(a.base_traces):
+        raise ValueError("give either --sources or --base-traces")
+    tasks = files.read_tasks(spark, a.tasks)
+    if a.base_traces:
+        sources = records.base_traces(spark, a.base_traces)
+        guards.raise_if_any(guards.repeated(sources, "task_id"), "repeated base traces")
+        guards.raise_if_any(sources.where("accepted is not true").select("task_id"), "malformed base traces")
+        sources = sources.drop("accepted")
+    else:
+        sources = requests.rewrite_sources(files.read_lines(spark, a.sources, schemas.RESULT))
+    guards.raise_if_any(guards.missing(sources, tasks, "task_id"), "traces of unknown tasks")
+    asked = files.read_existing(spark, a.existing_requests, schemas.REQUEST) if a.existing_requests else spark.createDataFrame([], schemas.REQUEST)
+    results = files.read_existing(spark, a.existing_results, schemas.RESULT) if a.existing_results else spark.createDataFrame([], schemas.RESULT)
+    plan = variants.rewrite_plan(requests.planned_sources(sources, tasks, requests.earlier_rewrites(asked, results)), a.target, a.seed)
+    rows = plan.join(sources, "source_id").join(tasks.select("task_id", F.col("train").alias("pairs")), "task_id").withColumnRenamed("source_id", "source_request_id")
+    found = requests.rewrite_requests(rows)
+    spec = F.struct(F.col("source_request_id").alias("source_trace_id"), F.col("code").alias("transformation_code"), "value_mapping", "order_mapping", "style", "variant_index")
+    files.write_lines(found.select("request_id", "task_id", F.lit("rewrite").alias("stage"), "messages", spec.alias("augmentation")), a.output)
+
+
+def run_local(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Runs requests through the built-in deterministic generator; engines of one's own call ``execution.local_results``."""
+    asked = files.read_lines(spark, a.input, schemas.REQUEST)
+    guards.raise_if_any(execution.provider_defaults(asked), "requests that leave sampling to a provider")
+    files.write_lines(execution.local_results(asked, execution.echo, "echo"), a.output)
 
 
 def validate_static(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -48,7 +95,14 @@ def render_requests(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def prepare_judge(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = files.read_lines(spark, a.input, schemas.RESULT).join(puzzles(spark, a.tasks).select("task_id", "puzzle"), "task_id")
-    rows = rows.select("request_id", "task_id", "stage", "error", F.col("validation.static.accepted").alias("accepted"), F.col("normalized_output").alias("trace"), "puzzle", F.lit(None).cast("string").alias("hint"))
+    if a.hints:
+        hints = files.read_hint_source(spark, a.hints)
+        guards.raise_if_any(files.bad_hints(hints), "bad hints")
+        hint = requests.hint_text(F.struct(*files.HINT_FIELDS))
+        rows = rows.join(hints.where("status = 'complete'").select("task_id", hint.alias("hint")), "task_id", "left")
+    else:
+        rows = rows.withColumn("hint", F.lit(None).cast("string"))
+    rows = rows.select("request_id", "task_id", "stage", "error", F.col("validation.static.accepted").alias("accepted"), F.col("normalized_output").alias("trace"), "puzzle", "hint")
     files.write_lines(requests.judge_requests(rows), a.output)
 
 
@@ -105,7 +159,12 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     for name, found in (("record_count", counts["requests"]), ("request_count", counts["requests"]), ("total_candidates", counts["n"])):
         if stated.get(name, found) != found:
             raise ValueError(f"{name} is {found}, the manifest states {stated[name]}")
-    found = scoring.metrics(scoring.by_task(scoring.by_test(scoring.scored(rows, expected)))).cache()
+    scored = scoring.scored(rows, expected)
+    by_task = scoring.by_task(scoring.by_test(scored))
+    if a.details:
+        files.write_lines(scored, f"{a.details}/candidates")
+        files.write_lines(by_task, f"{a.details}/tasks")
+    found = scoring.metrics(by_task).cache()
     files.write_json({r["metric"]: {"correct": r["correct"], "total": r["total"], "rate": r["rate"]} for r in found.collect()}, f"{a.output}.json")
     files.refuse_existing(f"{a.output}.md")
     with open(f"{a.output}.md", "x", encoding="utf-8") as f:
@@ -118,16 +177,18 @@ def summarize_compute(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 COMMANDS = {
-    "prepare-initial": (prepare_initial, ("tasks", "task-ids", "output"), ("hints",)),
+    "prepare-initial": (prepare_initial, ("tasks", "task-ids", "output"), ("hints", "few-shots")),
+    "prepare-rewrite": (prepare_rewrite, ("tasks", "output"), ("sources", "base-traces", "existing-requests", "existing-results")),
+    "run-local": (run_local, ("input", "output"), ()),
     "validate-static": (validate_static, ("input", "output"), ()),
     "render-requests": (render_requests, ("input", "output"), ()),
-    "prepare-judge": (prepare_judge, ("input", "tasks", "output"), ()),
+    "prepare-judge": (prepare_judge, ("input", "tasks", "output"), ("hints",)),
     "evaluate-judges": (evaluate_judges, ("judge-requests", "judge-results", "output"), ()),
     "apply-reviews": (apply_reviews, ("input", "decisions", "output"), ()),
     "build-plan": (prepare_plan, ("tasks", "output"), ()),
     "export-batch": (export_batch, ("input", "output"), ()),
     "import-batch": (import_batch, ("input", "requests", "output"), ()),
-    "evaluate": (evaluate, ("predictions", "tasks", "output"), ("task-ids", "manifest")),
+    "evaluate": (evaluate, ("predictions", "tasks", "output"), ("task-ids", "manifest", "details")),
     "summarize-compute": (summarize_compute, ("runs", "output"), ()),
 }
 
@@ -140,7 +201,8 @@ def parser() -> argparse.ArgumentParser:
         for option in (*needed, *allowed):
             one.add_argument(f"--{option}", required=option in needed)
         one.add_argument("--seed", type=int, default=0)
-        one.add_argument("--candidates", type=int, default=1)
+        for name, start in (("candidates", 1), ("candidate-start", 0), ("few-shot-count", 3), ("target", 100)):
+            one.add_argument(f"--{name}", type=int, default=start)
     return top
 
 

@@ -85,6 +85,27 @@ class Inference:
         check_version(self.schema_version)
 
 
+@dataclass(frozen=True)
+class Engine:
+    """Settings of a generation engine; a run may override some."""
+
+    tensor_parallel_size: int = 1
+    gpu_memory_utilization: float = 0.9
+    request_batch_size: int = 256
+
+    def __post_init__(self) -> None:
+        positive(tensor_parallel_size=self.tensor_parallel_size, gpu_memory_utilization=self.gpu_memory_utilization, request_batch_size=self.request_batch_size)
+        for name in ("tensor_parallel_size", "request_batch_size"):
+            if not isinstance(getattr(self, name), int):
+                raise ValueError(f"{name} must be a whole number")
+        if self.gpu_memory_utilization > 1:
+            raise ValueError("gpu_memory_utilization is at most 1")
+
+    def overridden(self, **overrides: Any) -> Engine:
+        """The settings with those overrides that aren't None."""
+        return dataclasses.replace(self, **{k: v for k, v in overrides.items() if v is not None})
+
+
 @dataclass(frozen=True)
 class Training:
     """Data side of a training run; a profile's fields replace the general ones."""

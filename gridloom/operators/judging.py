@@ -43,3 +43,8 @@ def reviewed(results: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def notes_missing(decisions: DataFrame) -> DataFrame:
     return decisions.where(is_blank(F.col("note")))
+
+
+def normalised_answers(results: DataFrame) -> DataFrame:
+    """Judges' answers with the same harmless drift undone as in traces."""
+    return results.withColumn("normalized_output", traces.normalised(F.col("raw_output")))

@@ -139,8 +139,8 @@ def imported(results: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def initial_requests(tasks: DataFrame, candidates: int) -> DataFrame:
-    """tasks: task_id, puzzle, hint, few_shots, few_shot_ids. One request per task and candidate."""
-    rows = tasks.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
+    """tasks: task_id, puzzle, hint, few_shots, few_shot_ids (and candidate, if these depend on it). One request per task and candidate."""
+    rows = tasks if "candidate" in tasks.columns else tasks.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
     rows = rows.withColumn("prompt", initial_prompt(F.col("puzzle"), F.col("hint"), F.col("few_shots")))
     identity = {"candidate": F.col("candidate"), "prompt_sha256": sha256(F.col("prompt"))}
     return rows.select(request_id(F.lit("initial"), F.col("task_id"), identity).alias("request_id"), "task_id", F.lit("initial").alias("stage"), "candidate", messages("You explain grid puzzles.", F.col("prompt")).alias("messages"), F.when(F.col("hint").isNull(), "unhinted").otherwise("hinted").alias("hint_mode"), "few_shot_ids")
@@ -171,3 +171,45 @@ def rendered(asked: DataFrame) -> DataFrame:
 def new_augmentations(wanted: DataFrame, used: DataFrame) -> DataFrame:
     """Planned augmentations whose signature was neither accepted nor attempted."""
     return wanted.join(used, ["source_request_id", "code", "value_mapping", "order_mapping"], "left_anti")
+
+
+def few_shot_block(task: Column, puzzle: Column, hint: Column, trace: Column) -> Column:
+    """A worked example as text: its task, puzzle, hint (if there is one) and trace."""
+    return F.concat_ws("\n\n", F.concat(F.lit("Worked task "), task), F.concat(F.lit("Puzzle:\n"), puzzle), F.concat(F.lit("Hint:\n"), hint), F.concat(F.lit("Reasoning:\n"), strip(trace)))
+
+
+def with_few_shots(rows: DataFrame, chosen: DataFrame, blocks: DataFrame) -> DataFrame:
+    """rows, by task and candidate; chosen: task_id, candidate, few_shot_ids; blocks: task_id, block (a small pool). Adds few_shot_ids and few_shots, in the chosen order."""
+    each = chosen.select("task_id", "candidate", F.posexplode("few_shot_ids").alias("at", "id"))
+    found = each.join(blocks.select(F.col("task_id").alias("id"), "block"), "id")
+    shots = found.groupBy("task_id", "candidate").agg(F.array_sort(F.collect_list(F.struct("at", "id", "block"))).alias("s"))
+    shots = shots.select("task_id", "candidate", F.transform("s", lambda x: x["id"]).alias("few_shot_ids"), F.transform("s", lambda x: x["block"]).alias("few_shots"))
+    return rows.join(shots, ["task_id", "candidate"], "left")
+
+
+def chat_messages(asked: Column) -> Column:
+    """Messages as a chat engine takes them: role and content, in order."""
+    return F.transform(asked, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+
+
+def rewrite_sources(results: DataFrame) -> DataFrame:
+    """(source_id, task_id, trace) of results that hold by the format and by the judges or a reviewer."""
+    sound = F.col("error").isNull() & (F.col("validation.static.accepted") == F.lit(True)) & (F.col("validation.quality.accepted") == F.lit(True))
+    text = F.when(F.coalesce("normalized_output", F.lit("")) != "", F.col("normalized_output")).otherwise(F.col("raw_output"))
+    return results.where(F.coalesce(sound, F.lit(False))).select(F.col("request_id").alias("source_id"), "task_id", text.alias("trace"))
+
+
+def earlier_rewrites(asked: DataFrame, results: DataFrame) -> DataFrame:
+    """Per source: how many earlier rewrites were accepted, the augmentations that were asked for (a few hundred at most) and the last number."""
+    signature = F.struct(F.col("augmentation.transformation_code").alias("code"), F.col("augmentation.value_mapping").alias("value_mapping"), F.col("augmentation.order_mapping").alias("order_mapping"))
+    accepted = results.where(F.col("error").isNull() & (F.col("validation.static.accepted") == F.lit(True))).select("request_id").distinct().withColumn("accepted", F.lit(1))
+    rows = asked.where(F.col("augmentation").isNotNull()).join(accepted, "request_id", "left")
+    rows = rows.groupBy(F.col("augmentation.source_trace_id").alias("source_id"))
+    return rows.agg(F.count("accepted").alias("accepted"), F.collect_set(signature).alias("used"), F.max("augmentation.variant_index").alias("last_index"))
+
+
+def planned_sources(sources: DataFrame, tasks: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Sources as ``variants.rewrite_plan`` takes them; those of unknown tasks are left out."""
+    none = F.array().cast("array<struct<code:string,value_mapping:string,order_mapping:string>>")
+    rows = sources.join(tasks.select("task_id", F.size("train").alias("n_pairs")), "task_id").join(earlier, "source_id", "left")
+    return rows.select("source_id", "task_id", "n_pairs", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("used", none).alias("used"), F.coalesce("last_index", F.lit(-1)).alias("last_index"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chat, grids, keys
 from ..functions.tokens import BYTES, Tokenizer, place_after, scanned_spans, searchable
+from ..sources.records import write_tokens
 from ..sources.shared import write_text
 from . import corpus
 
@@ -100,7 +101,7 @@ def validation_problems(records: DataFrame, most: int) -> DataFrame:
 
 def write_cache(records: DataFrame, path: str, facts: dict[str, Any]) -> None:
     """records: split and the fields of a record. Parquet by split, with a manifest of facts and length statistics beside it."""
-    records.write.mode("errorifexists").partitionBy("split").parquet(path)
+    write_tokens(records, path)
     spark = records.sparkSession
     stats = corpus.length_stats(spark.read.parquet(path), "sequence_length", "split")  # one row per split
     splits = {r["split"]: {k: r[k] for k in ("records", "shortest", "longest", "mean")} for r in stats.collect()}

@@ -409,7 +409,7 @@ def plan_rng_props(spark, sf_dir):
 def rewrite_plan_props(spark, sf_dir):
     """New signatures up to the target of 12, numbered after the last known one."""
     known = F.array(F.struct(lit("ID").alias("code"), lit(grids.IDENTITY).alias("value_mapping"), lit("0").alias("order_mapping")))
-    rows = task_sizes(spark, sf_dir).select(col("task_id").alias("source_id"), "n_pairs", (F.substr(col("task_id"), lit(2)).cast("long") % 14).alias("accepted"), known.alias("used"), lit(4).alias("last_index"))
+    rows = task_sizes(spark, sf_dir).select(col("task_id").alias("source_id"), "task_id", "n_pairs", (F.substr(col("task_id"), lit(2)).cast("long") % 14).alias("accepted"), known.alias("used"), lit(4).alias("last_index"))
     plan = variants.rewrite_plan(rows, 12, SEED)
     return plan.groupBy(col("source_id").alias("task_id")).agg(F.count("*").alias("n"), F.count_distinct("code", "value_mapping", "order_mapping").alias("n_new"), F.min("variant_index").alias("first_index"))
 

@@ -37,6 +37,11 @@ def read_tasks(spark: SparkSession, path: str, ids: DataFrame | None = None) ->
     return rows if ids is None else rows.join(ids.select("task_id").distinct(), "task_id", "left_semi")
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, record) of JSON files of any shape, as variants; a malformed file fails the read."""
+    return spark.read.text(path, wholetext=True).select(file_stem(F.col("_metadata.file_name")).alias("stem"), F.parse_json("value").alias("record"))
+
+
 def malformed_tasks(tasks: DataFrame) -> DataFrame:
     """Tasks without a list of train or of test pairs."""
     return tasks.where("train is null or test is null").select("task_id")
@@ -124,6 +129,33 @@ def read_hints(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("status", traces.hint_status(*[F.col(f) for f in HINT_FIELDS]))
 
 
+def hint_statuses(hints: DataFrame) -> DataFrame:
+    """Hints with their status, and the names of fields that are blank where some but not all are given."""
+    status = traces.hint_status(*[F.col(f) for f in HINT_FIELDS])
+    blank = F.filter(F.array(*[F.when(is_blank(F.col(f)), f) for f in HINT_FIELDS]), lambda f: f.isNotNull())
+    return hints.withColumn("status", status).withColumn("missing_fields", F.when(F.col("status") == "incomplete", blank).otherwise(F.array().cast("array<string>")))
+
+
+def read_hint_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Hints of one JSON file per task: an object, or a list whose first element counts. A file without any field is incomplete; fields that aren't texts are blank."""
+    rows = spark.read.text(path, wholetext=True).select(file_stem(F.col("_metadata.file_name")).alias("task_id"), F.parse_json("value").alias("v"))
+    one = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$[0]", "variant")).otherwise(F.col("v"))
+    rows = rows.select("task_id", one.alias("v"))
+
+    def field(name: str) -> Column:
+        value = F.try_variant_get("v", f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get("v", f"$.{name}", "string")).alias(name)
+
+    found = hint_statuses(rows.select(F.lit(1).alias("schema_version"), "task_id", F.schema_of_variant("v").startswith("OBJECT").alias("is_object"), *map(field, HINT_FIELDS)))
+    every = F.array(*map(F.lit, HINT_FIELDS))
+    return found.withColumn("missing_fields", F.when(F.col("status") == "missing", every).otherwise(F.col("missing_fields"))).withColumn("status", F.when(F.col("status") == "missing", "incomplete").otherwise(F.col("status")))
+
+
+def read_hint_source(spark: SparkSession, path: str) -> DataFrame:
+    """Hints of JSON lines or of a folder of JSON files, with their status; a folder's files must hold objects."""
+    return read_hints(spark, path) if path.endswith(".jsonl") else read_hint_folder(spark, path).drop("missing_fields", "is_object")
+
+
 def bad_hints(hints: DataFrame) -> DataFrame:
     """Task ids with a hint of another version or with several."""
     return hints.groupBy("task_id").agg(F.count("*").alias("n"), F.bool_and(F.col("schema_version") == 1).alias("ok")).where("n > 1 or not ok or ok is null")
@@ -261,6 +293,11 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def source_facts(spark: SparkSession, path: str | None) -> dict[str, str | None]:
+    """Path and digest of an optional input, for a manifest."""
+    return {"path": path, "sha256": file_digests(spark, path).first()["sha256"] if path is not None else None}
+
+
 def tasks_digest(spark: SparkSession, path: str, ids: DataFrame | None = None) -> str:
     """One digest over task files in order of task id: name, zero, content, zero. Contents stream through the driver."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)

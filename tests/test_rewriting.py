@@ -1,0 +1,126 @@
+"""Rewrites, few-shots, hint folders, local runs and what a run must not be counted with."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+from test_commands import TASK, TRACE, lines, rows
+
+from gridloom import cli, config
+from gridloom.operators import cost, execution, judging, requests
+from gridloom.plans import variants
+from gridloom.sources import files
+
+
+@pytest.fixture
+def tasks(tmp_path):
+    (tmp_path / "tasks").mkdir()
+    for t in ("a", "b", "c"):
+        (tmp_path / "tasks" / f"{t}.json").write_text(json.dumps(TASK))
+    (tmp_path / "ids.json").write_text('["a.json", "b.json"]')
+    return tmp_path
+
+
+def jsonl(path, records):
+    path.write_text("\n".join(map(json.dumps, records)))
+    return str(path)
+
+
+def test_rewrites_continue_where_earlier_ones_ended(spark, tasks):
+    p = lambda name: str(tasks / name)
+    run = lambda *a: cli.main(["prepare-rewrite", "--tasks", p("tasks"), "--seed", "4", *a], spark)
+    good = {"static": {"accepted": True}, "quality": {"accepted": True}}
+    sources = [{"request_id": "i-a", "task_id": "a", "raw_output": TRACE, "normalized_output": TRACE, "validation": good}, {"request_id": "i-b", "task_id": "b", "raw_output": TRACE, "validation": {"static": {"accepted": True}}}, {"request_id": "i-c", "task_id": "c", "raw_output": TRACE, "error": "x", "validation": good}]
+    given = jsonl(tasks / "s.jsonl", sources)
+    assert run("--sources", given, "--target", "3", "--output", p("first")) == 0
+    first = lines(tasks / "first")
+    assert {r["augmentation"]["source_trace_id"] for r in first} == {"i-a"} and sorted(r["augmentation"]["variant_index"] for r in first) == [0, 1, 2]
+    assert [tuple(r["augmentation"][k] for k in ("transformation_code", "value_mapping", "order_mapping", "style")) for r in sorted(first, key=lambda r: r["augmentation"]["variant_index"])] == [s[:4] for s in variants.rewrite_specs(2, 3, set(), 0, variants.seeded(4, "a", "i-a", size=8))]
+    answers = jsonl(tasks / "r.jsonl", [{"request_id": r["request_id"], "validation": {"static": {"accepted": k == 0}}} for k, r in enumerate(first)])
+    assert run("--sources", given, "--target", "3", "--existing-requests", p("first"), "--existing-results", answers, "--output", p("second")) == 0
+    second = lines(tasks / "second")
+    signature = lambda r: tuple(r["augmentation"][k] for k in ("transformation_code", "value_mapping", "order_mapping"))
+    assert sorted(r["augmentation"]["variant_index"] for r in second) == [3, 4] and not set(map(signature, first)) & set(map(signature, second))
+    base = jsonl(tasks / "base.jsonl", [{"task_id": "b", "trace": TRACE}])
+    assert run("--base-traces", base, "--target", "1", "--output", p("third")) == 0
+    assert [r["augmentation"]["source_trace_id"] for r in lines(tasks / "third")] == ["base-trace-b"]
+    assert run("--base-traces", base, "--sources", given, "--output", p("x")) == 2 and run("--output", p("x")) == 2
+    assert run("--base-traces", jsonl(tasks / "bad.jsonl", [{"task_id": "b", "trace": "bad"}]), "--output", p("x")) == 2
+    assert run("--base-traces", jsonl(tasks / "far.jsonl", [{"task_id": "z", "trace": TRACE}]), "--output", p("x")) == 2
+
+
+def test_few_shots_and_hint_folders(spark, tasks):
+    p = lambda name: str(tasks / name)
+    (tasks / "hints").mkdir()
+    whole = {f: f"the {f}" for f in files.HINT_FIELDS}
+    for name, value in {"a": [whole, {}], "b": {**whole, "inputs": " ", "outputs": 3}, "c": {}}.items():
+        (tasks / "hints" / f"{name}.json").write_text(json.dumps(value))
+    found = {r["task_id"]: (r["status"], r["missing_fields"]) for r in files.read_hint_folder(spark, p("hints")).collect()}
+    assert found == {"a": ("complete", []), "b": ("incomplete", ["inputs", "outputs"]), "c": ("incomplete", list(files.HINT_FIELDS))}
+    pool = jsonl(tasks / "pool.jsonl", [{"task_id": t, "pool_order": k, "trace": f" trace of {t} "} for k, t in enumerate("cab")])
+    ask = lambda count, out: cli.main(["prepare-initial", "--tasks", p("tasks"), "--task-ids", p("ids.json"), "--hints", p("hints"), "--few-shots", pool, "--few-shot-count", count, "--candidates", "2", "--candidate-start", "5", "--output", p(out)], spark)
+    assert ask("2", "initial") == 0
+    asked = lines(tasks / "initial")
+    assert sorted((r["task_id"], r["candidate"], r["hint_mode"]) for r in asked) == [("a", 5, "hinted"), ("a", 6, "hinted"), ("b", 5, "unhinted"), ("b", 6, "unhinted")]
+    for r in asked:
+        assert len(r["few_shot_ids"]) == 2 and r["task_id"] not in r["few_shot_ids"]
+        at = [r["messages"][1]["content"].index(f"trace of {t}") for t in r["few_shot_ids"]]
+        assert at == sorted(at)
+        assert ("Hint:\nGeneral:\nthe general" in r["messages"][1]["content"]) == (r["task_id"] == "a" or "a" in r["few_shot_ids"])
+
+
+def test_local_runs(spark, tasks):
+    p = lambda name: str(tasks / name)
+    message = [{"role": "user", "content": "u"}]
+    given = jsonl(tasks / "q.jsonl", [{"request_id": f"q{k}", "task_id": "a", "stage": "initial", "messages": message, "sampling": {"temperature": 0.5}} for k in range(3)])
+    assert cli.main(["run-local", "--input", given, "--output", p("out")], spark) == 0
+    assert {(r["request_id"], r["backend"]) for r in lines(tasks / "out")} == {(f"q{k}", "local") for k in range(3)}
+    given = jsonl(tasks / "d.jsonl", [{"request_id": "q", "messages": message, "sampling": {"use_provider_defaults": True}}])
+    assert cli.main(["run-local", "--input", given, "--output", p("no")], spark) == 2
+    asked = spark.createDataFrame([("a", "a", TRACE), ("b", "b", "bad")], "request_id string, task_id string, prompt string")
+    with pytest.raises(ValueError, match="malformed completions"):
+        execution.reasoning_run(asked, lambda prompts, samples: [[x] for x in prompts], p("guidance"), {"model": "m"})
+    kept = {r["request_id"]: r for r in lines(tasks / "guidance")}
+    assert kept["a"]["guidance"].startswith("General natural") and kept["b"]["validation_error"] == "no valid guidance" and kept["b"]["raw_output"] == "bad"
+    stated = json.loads((tasks / "guidance.manifest.json").read_text())
+    assert (stated["record_count"], stated["valid_count"], stated["model"]) == (2, 1, "m")
+    two = spark.createDataFrame([("a", "a", "p", [(0, TRACE, 1, "stop")] * 2)], f"request_id string, task_id string, prompt string, outputs {execution.OUTPUTS}")
+    assert execution.guidance_records(two).first()["validation_error"] == "not one completion"
+
+
+def test_adaptation_runs_that_must_not_count(spark):
+    form = "run string, schema_version int, kind string, task_count int, completed_task_count int, processed_tokens long, guidance_mode string, guidance_budget int, tasks_sha256 string, guidance_sha256 string"
+    good = ("r", 1, cost.ADAPTATION_RUN, 2, 2, 10, "guided", 8, "t", "0" * 64)
+    put = lambda run, **kw: tuple({**dict(zip((c.split()[0] for c in form.split(", ")), good)), "run": run, **kw}.values())
+    runs = [good, put("k", kind="x"), put("g", guidance_sha256=None), put("u", guidance_sha256=None, guidance_mode="unguided"), put("n", processed_tokens=-1, task_count=3), put("f", tasks_sha256="o"), put("m"), put("d", guidance_sha256="0")]
+    expected = [(r[0], t) for r in runs for t in "ab"]
+    completed = [x for x in expected if x != ("m", "b")] + [("m", "c")]
+    pairs = lambda xs: spark.createDataFrame(xs, "run string, task_id string")
+    frame = spark.createDataFrame(runs, form)
+    assert rows(cost.adaptation_problems(frame, pairs(completed), pairs(expected), "t")) == sorted([("k", "not an adaptation run"), ("g", "guidance of unknown origin"), ("n", "bad token count"), ("n", "wrong task count"), ("f", "other task files"), ("m", "other tasks"), ("d", "bad guidance digest")], key=str)
+    assert {r["run"] for r in cost.guidance_sources(frame).collect()} == {"r", "k", "g", "n", "f", "m", "d"}
+    manifests = spark.createDataFrame([("a", 64, 10, 5), ("z", 64, 1, 1)], "task_id string, optimizer_updates int, processed_tokens long, target_tokens long")
+    assert cost.adaptation_summary(manifests, spark.createDataFrame([("a",), ("b",)], "task_id string")).first().asDict() == {"task_count": 2, "completed_task_count": 1, "optimizer_updates": 64, "processed_tokens": 10, "target_tokens": 5}
+
+
+def test_adapters_are_whole(spark):
+    whole = [(k + 1, f"v{k}", "abcd"[k // 2], "provided") for k in range(8)]
+    cases = {"good": whole, "short": whole[:7], "twice": [*whole[:7], (7, "v7", "d", "provided")], "again": [*whole[:7], (8, "v0", "d", "provided")], "uneven": [*whole[:7], (8, "v7", "a", "provided")], "unguided": [*whole[:7], (8, "v7", "d", None)], "from0": [(k - 1, *rest) for k, *rest in whole]}
+    df = spark.createDataFrame([(t, *s) for t, steps in cases.items() for s in steps], "task_id string, step int, variant_id string, code string, guidance_status string")
+    assert {r["task_id"] for r in cost.unsound_adapters(df, 8, 4).collect()} == set(cases) - {"good"}
+
+
+def test_small_forms(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "x.y.json").write_text('{"k": [1]}')
+    (tmp_path / "r" / "z.json").write_text("[2]")
+    got = files.read_records(spark, str(tmp_path / "r")).select("stem", F.to_json("record").alias("record"))
+    assert rows(got) == [("x.y", '{"k":[1]}'), ("z", "[2]")]
+    assert files.source_facts(spark, None) == {"path": None, "sha256": None} and len(files.source_facts(spark, str(tmp_path / "r" / "z.json"))["sha256"]) == 64
+    one = spark.createDataFrame([(" x \r\n\r\n\r\n\r\ny ", [("user", "u", "extra")])], "raw_output string, messages array<struct<role:string,content:string,name:string>>")
+    assert judging.normalised_answers(one).first()["normalized_output"] == "x\n\ny"
+    assert [r.asDict() for r in one.select(requests.chat_messages(F.col("messages")).alias("m")).first()["m"]] == [{"role": "user", "content": "u"}]
+    assert config.Engine().overridden(request_batch_size=3, gpu_memory_utilization=None) == config.Engine(request_batch_size=3)
+    for bad in ({"tensor_parallel_size": 0}, {"tensor_parallel_size": True}, {"gpu_memory_utilization": 1.5}, {"request_batch_size": 1.5}):
+        with pytest.raises(ValueError):
+            config.Engine(**bad)
