@@ -2,12 +2,13 @@
 
 A tokenizer is a function of a text column, so the built-in one (UTF-8 bytes)
 stays in the JVM and others run as one Arrow batch function.  Ids are searched
-as text of fixed width per id, so a place in the text is a place among the ids
-and no Python scans them.
+as text of fixed width per id (bytes: one character each), so a place in the
+text is a place among the ids and no Python scans them.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -25,16 +26,37 @@ DIGITS, WIDTH = 7, 8
 SCAN = f"struct<at:int,spans:{chat.SPAN},status:string>"
 
 
+@dataclass(frozen=True)
+class Coding:
+    """How ids are written as text of ``width`` characters each: ``column`` of a row's text and ids, ``marker`` of a marker's ids."""
+
+    width: int
+    column: Callable[[Column, Column], Column]
+    marker: Callable[[Sequence[int]], str]
+
+
+def searchable(ids: Column) -> Column:
+    """Ids as text of fixed width; null if one is missing, negative or too large."""
+    fits = F.forall(ids, lambda i: F.coalesce(i.between(0, 10**DIGITS - 1), F.lit(False)))
+    shown = F.transform(ids, lambda i: F.concat(F.lit(","), F.lpad(i.cast("string"), DIGITS, "0")))
+    return F.when(fits, F.array_join(shown, ""))
+
+
+BY_DIGITS = Coding(WIDTH, lambda text, ids: searchable(ids), lambda ids: "".join(f",{i:0{DIGITS}d}" for i in ids))
+BY_BYTES = Coding(1, lambda text, ids: F.decode(F.encode(text, "utf-8"), "ISO-8859-1"), lambda ids: bytes(ids).decode("latin-1"))
+
+
 @dataclass(frozen=True)
 class Tokenizer:
-    """``ids`` of a text column, and ``encode`` of a text on the driver (for the markers, once)."""
+    """``ids`` of a text column, ``encode`` of a text on the driver (for the markers, once), and how ids are searched."""
 
     ids: Callable[[Column], Column]
     encode: Callable[[str], list[int]]
+    coding: Coding = BY_DIGITS
 
 
 #: UTF-8 bytes.
-BYTES = Tokenizer(chat.byte_tokens, lambda text: list(text.encode()))
+BYTES = Tokenizer(chat.byte_tokens, lambda text: list(text.encode()), BY_BYTES)
 
 
 def flat_ids(value: Any) -> list[int]:
@@ -57,66 +79,56 @@ def from_loader(load: Callable[[], Any]) -> Tokenizer:
     return Tokenizer(ids, lambda text: flat_ids(load().encode(text)))
 
 
-def searchable(ids: Column) -> Column:
-    """Ids as text of fixed width; null if one is missing, negative or too large."""
-    fits = F.forall(ids, lambda i: F.coalesce(i.between(0, 10**DIGITS - 1), F.lit(False)))
-    shown = F.transform(ids, lambda i: F.concat(F.lit(","), F.lpad(i.cast("string"), DIGITS, "0")))
-    return F.when(fits, F.array_join(shown, ""))
-
-
-def needle(ids: Sequence[int]) -> Column:
-    return F.lit("".join(f",{i:0{DIGITS}d}" for i in ids))
-
-
-def place(text: Column, marker: Sequence[int], start: Column | int = 0) -> Column:
+def place(text: Column, marker: Sequence[int], start: Column | int = 0, coding: Coding = BY_DIGITS) -> Column:
     """Index of the marker's first occurrence at or after ``start`` in a searchable text, -1 if there is none or the marker is empty."""
     if not marker:
         return F.lit(-1)
     start = start if isinstance(start, Column) else F.lit(start)
-    found = F.call_function("locate", needle(marker), text, (start * WIDTH + 1).cast("int"))
-    return F.when(start < 0, -1).when(found > 0, ((found - 1) / WIDTH).cast("int")).otherwise(-1)
+    found = F.call_function("locate", F.lit(coding.marker(marker)), text, (start * coding.width + 1).cast("int"))
+    return F.when(start < 0, -1).when(found > 0, ((found - 1) / coding.width).cast("int")).otherwise(-1)
 
 
-def place_after(text: Column, marker: Sequence[int], start: Column | int = 0) -> Column:
+def place_after(text: Column, marker: Sequence[int], start: Column | int = 0, coding: Coding = BY_DIGITS) -> Column:
     """Index behind the marker's first occurrence, or -1."""
-    return let(place(text, marker, start), lambda at: F.when(at >= 0, at + len(marker)).otherwise(-1))
+    return let(place(text, marker, start, coding), lambda at: F.when(at >= 0, at + len(marker)).otherwise(-1))
 
 
-def scanned_spans(ids: Column, turns: Column, system: Column, tokenizer: Tokenizer) -> Column:
+def scanned_spans(text: Column, ids: Column, turns: Column, system: Column, tokenizer: Tokenizer) -> Column:
     """(at, spans, status) of the assistant texts of a conversation of ``turns`` user and assistant turns, found by their markers.
 
     status is 'ok' or the first thing wrong: no_system, open_system, no_user,
     open_user, no_assistant, empty_target, trailing, bad_ids.
     """
     head, user, assistant, end = (tokenizer.encode(m) for m in (chat.SYSTEM, chat.USER, chat.ASSISTANT, chat.END))
+    at, after = (functools.partial(f, coding=tokenizer.coding) for f in (place, place_after))
 
-    def state(at: Column, spans: Column, status: Column | str) -> Column:
-        return F.struct(at.alias("at"), spans.alias("spans"), (status if isinstance(status, Column) else F.lit(status)).alias("status")).cast(SCAN)
+    def state(next_: Column, spans: Column, status: Column | str) -> Column:
+        return F.struct(next_.alias("at"), spans.alias("spans"), (status if isinstance(status, Column) else F.lit(status)).alias("status")).cast(SCAN)
 
-    def opened(text: Column) -> Column:
-        closed = place_after(text, end, len(head))
-        wrong = F.when(place(text, head) != 0, "no_system").when(closed < 0, "open_system").otherwise("ok")
+    def opened(coded: Column) -> Column:
+        closed = after(coded, end, len(head))
+        wrong = F.when(at(coded, head) != 0, "no_system").when(closed < 0, "open_system").otherwise("ok")
         none = F.array().cast(chat.SPAN)
         return F.when(system, state(closed, none, wrong)).otherwise(state(F.lit(0), none, "ok"))
 
-    def turn(text: Column, a: Column) -> Column:
+    def turn(coded: Column, a: Column) -> Column:
         def of_answer(asked: Column, said: Column, start: Column, stop: Column) -> Column:
             wrong = F.when(asked < 0, "no_user").when(said < 0, "open_user").when(start < 0, "no_assistant").when(stop <= start, "empty_target").otherwise("ok")
             span = F.array(F.struct(start.alias("start"), stop.alias("end"))).cast(chat.SPAN)
             return state(stop + len(end), F.concat(a["spans"], span), wrong)
 
         def of_user(asked: Column) -> Column:
-            return let(place_after(text, end, asked), lambda said: let(place_after(text, assistant, said), lambda start: let(place(text, end, start), lambda stop: of_answer(asked, said, start, stop))))
+            return let(after(coded, end, asked), lambda said: let(after(coded, assistant, said), lambda start: let(at(coded, end, start), lambda stop: of_answer(asked, said, start, stop))))
 
-        return F.when(a["status"] != "ok", a).otherwise(let(place_after(text, user, a["at"]), of_user))
+        return F.when(a["status"] != "ok", a).otherwise(let(after(coded, user, a["at"]), of_user))
 
-    def scan(text: Column) -> Column:
+    def scan(coded: Column) -> Column:
         steps = F.when(turns > 0, F.sequence(F.lit(1), turns)).otherwise(F.array().cast(IDS))
-        found = F.aggregate(steps, opened(text), lambda a, _: turn(text, a).cast(SCAN))
+        found = F.aggregate(steps, opened(coded), lambda a, _: turn(coded, a).cast(SCAN))
         trailing = lambda a: F.when((a["status"] == "ok") & (a["at"] != F.size(ids)), state(a["at"], a["spans"], "trailing")).otherwise(a)
-        return F.when(text.isNull(), state(F.lit(-1), F.array().cast(chat.SPAN), "bad_ids")).otherwise(let(found, trailing))
+        return F.when(coded.isNull(), state(F.lit(-1), F.array().cast(chat.SPAN), "bad_ids")).otherwise(let(found, trailing))
 
-    return let(searchable(ids), scan)
+    return let(tokenizer.coding.column(text, ids), scan)
 
 
 def misplaced(spans: Column, length: Column) -> Column:

@@ -14,34 +14,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chat, grids, keys
-from ..functions.tokens import BYTES, Tokenizer, place_after, scanned_spans, searchable
+from ..functions.tokens import BYTES, Tokenizer, place_after, scanned_spans
 from ..sources.records import write_tokens
 from ..sources.shared import write_text
 from . import corpus
 
 
 def with_ids(rows: DataFrame, text: Column, tokenizer: Tokenizer) -> DataFrame:
-    return rows.withColumn("input_ids", tokenizer.ids(text)).withColumn("sequence_length", F.size("input_ids"))
+    """Adds input_ids and sequence_length, and the text as ``__text``."""
+    return rows.withColumn("__text", text).withColumn("input_ids", tokenizer.ids(F.col("__text"))).withColumn("sequence_length", F.size("input_ids"))
 
 
 def reasoning_records(rows: DataFrame, tokenizer: Tokenizer = BYTES, delimiter: str = "") -> DataFrame:
     """rows: pairs, trace and any others. Adds input_ids, sequence_length, assistant_start (behind the first assistant header) and status."""
     text = F.concat(chat.block(chat.USER, grids.examples_text(F.col("pairs"), delimiter)), chat.block(chat.ASSISTANT, F.col("trace")))
     out = with_ids(rows, text, tokenizer)
-    out = out.withColumn("assistant_start", place_after(searchable(F.col("input_ids")), tokenizer.encode(chat.ASSISTANT)))
+    out = out.withColumn("assistant_start", place_after(tokenizer.coding.column(F.col("__text"), F.col("input_ids")), tokenizer.encode(chat.ASSISTANT), coding=tokenizer.coding))
     start, size = F.col("assistant_start"), F.col("sequence_length")
     status = F.when(F.col("input_ids").isNull() | (size == 0), "empty").when(start.isNull(), "bad_ids").when(start < 0, "no_assistant").when(start >= size, "empty_target").otherwise("ok")
-    return out.withColumn("status", status)
+    return out.withColumn("status", status).drop("__text")
 
 
 def prediction_records(rows: DataFrame, guided: bool, tokenizer: Tokenizer = BYTES, delimiter: str = "") -> DataFrame:
     """rows: pairs (input, output, split), guidance and any others. Adds ids, spans, the number of pairs of each split, and status."""
     out = with_ids(rows, chat.conversation(F.col("pairs"), F.col("guidance"), delimiter), tokenizer)
     has = F.col("guidance").isNotNull()
-    scan = scanned_spans(F.col("input_ids"), F.size("pairs"), has, tokenizer)
+    scan = scanned_spans(F.col("__text"), F.col("input_ids"), F.size("pairs"), has, tokenizer)
     of = lambda split: F.size(F.filter("pairs", lambda p: p["split"] == split))
     wrong = F.when(F.coalesce(F.size("pairs"), F.lit(0)) <= 0, "no_pairs").when(has != F.lit(guided), "other_profile").when(F.col("sequence_length") <= 0, "empty")
-    out = out.withColumn("__scan", scan).withColumn("status", F.coalesce(wrong, F.col("__scan.status"))).withColumn("assistant_spans", F.col("__scan.spans")).drop("__scan")
+    out = out.withColumn("__scan", scan).withColumn("status", F.coalesce(wrong, F.col("__scan.status"))).withColumn("assistant_spans", F.col("__scan.spans")).drop("__scan", "__text")
     return out.withColumn("guided", has).withColumn("n_pairs_total", F.size("pairs")).withColumn("n_pairs_train", of("train")).withColumn("n_pairs_test", of("test"))
 
 
@@ -49,14 +50,14 @@ def adaptation_records(rows: DataFrame, most: int, skip_first: bool = True, toke
     """rows: pairs, guidance and any others. Adds ids, spans, target_token_count and status; a length beyond ``most`` is wrong, not left out."""
     out = with_ids(rows, chat.conversation(F.col("pairs"), F.col("guidance"), delimiter), tokenizer)
     has = F.col("guidance").isNotNull()
-    out = out.withColumn("__scan", scanned_spans(F.col("input_ids"), F.size("pairs"), has, tokenizer)).withColumn("assistant_spans", F.col("__scan.spans"))
+    out = out.withColumn("__scan", scanned_spans(F.col("__text"), F.col("input_ids"), F.size("pairs"), has, tokenizer)).withColumn("assistant_spans", F.col("__scan.spans"))
     out = out.withColumn("target_token_count", chat.target_tokens(F.col("assistant_spans"), skip_first))
     size, scan = F.col("sequence_length"), F.col("__scan.status")
     status = (
         F.when(F.coalesce(F.size("pairs"), F.lit(0)) < 2, "too_few_pairs").when(size <= 0, "empty").when(size > most, "too_long")
         .when(scan != "ok", scan).when(F.col("target_token_count") <= 0, "no_target").otherwise("ok")
     )
-    return out.withColumn("status", status).withColumn("has_system_message", has).withColumn("n_pairs_train", F.size("pairs")).drop("__scan")
+    return out.withColumn("status", status).withColumn("has_system_message", has).withColumn("n_pairs_train", F.size("pairs")).drop("__scan", "__text")
 
 
 def wrong_records(records: DataFrame) -> DataFrame:

@@ -1041,3 +1041,6 @@ def stream_dedupe_counts(spark, sf_dir):
     arrived = stream.arrivals(spark, sf_dir, "event_id long, event_type string", "events.parquet")
     twice = arrived.withColumn("copy", F.explode(F.array(lit(0), lit(1)))).drop("copy")
     return stream.counts(stream.finished(stream.once(twice, "event_id"), "stream-counts"), "event_type")
+
+
+from . import queries_files  # noqa: E402, F401  registers the queries over files

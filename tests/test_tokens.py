@@ -67,9 +67,9 @@ def test_what_a_scan_reports(spark):
         "open_user": (chat.USER + "u", 1, False), "no_assistant": (user, 1, False), "empty_target": (user + chat.ASSISTANT + chat.END, 1, False), "trailing": (system + user + answer + "x", 1, True),
     }
     df = spark.createDataFrame([(k, *v) for k, v in texts.items()], "name string, text string, turns int, system boolean").withColumn("ids", chat.byte_tokens(F.col("text")))
-    got = df.select("name", tokens.scanned_spans(F.col("ids"), F.col("turns"), F.col("system"), tokens.BYTES)["status"].alias("status")).collect()
+    got = df.select("name", tokens.scanned_spans(F.col("text"), F.col("ids"), F.col("turns"), F.col("system"), tokens.BYTES)["status"].alias("status")).collect()
     assert {r["name"]: r["status"] for r in got} == {k: k for k in texts}
-    assert spark.createDataFrame([([1, None],)], IDS).select(tokens.scanned_spans(F.col("ids"), F.lit(1), F.lit(False), tokens.BYTES)["status"]).first()[0] == "bad_ids"
+    assert spark.createDataFrame([([1, None],)], IDS).select(tokens.scanned_spans(F.lit(""), F.col("ids"), F.lit(1), F.lit(False), tokens.Tokenizer(chat.byte_tokens, lambda text: list(text.encode())))["status"]).first()[0] == "bad_ids"
 
 
 def test_tokenizers_must_give_flat_integers():
