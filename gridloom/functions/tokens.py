@@ -125,7 +125,7 @@ def scanned_spans(text: Column, ids: Column, turns: Column, system: Column, toke
     def scan(coded: Column) -> Column:
         steps = F.when(turns > 0, F.sequence(F.lit(1), turns)).otherwise(F.array().cast(IDS))
         found = F.aggregate(steps, opened(coded), lambda a, _: turn(coded, a).cast(SCAN))
-        trailing = lambda a: F.when((a["status"] == "ok") & (a["at"] != F.size(ids)), state(a["at"], a["spans"], "trailing")).otherwise(a)
+        trailing = lambda a: F.when((a["status"] == "ok") & (a["at"] * tokenizer.coding.width != F.length(coded)), state(a["at"], a["spans"], "trailing")).otherwise(a)
         return F.when(coded.isNull(), state(F.lit(-1), F.array().cast(chat.SPAN), "bad_ids")).otherwise(let(found, trailing))
 
     return let(tokenizer.coding.column(text, ids), scan)
