@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, gif, html_text, mixing, pii, quality, simhash, toxicity, url_filter
+from . import bpe, chat_format, exact_dedup, gif, html_text, mixing, pii, quality, simhash, spelling, toxicity, url_filter
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_dedup(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(gif.stored(table(spark, sf_dir, "documents")))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op11_spelling": op11_spelling,
     "op13_gif": op13_gif,
 }
 
