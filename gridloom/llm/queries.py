@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, gif, html_text, mixing, pii, quality, simhash, spelling, toxicity, url_filter
+from . import bpe, chat_format, exact_dedup, gif, html_text, lexical, mixing, pii, quality, simhash, spelling, toxicity, url_filter
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(gif.stored(table(spark, sf_dir, "documents")))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
     "op11_spelling": op11_spelling,
+    "op12_lexical": op12_lexical,
     "op13_gif": op13_gif,
 }
 
@@ -135,4 +140,18 @@ ranked as (
   from rows window w as (partition by norm order by length(text) desc, doc_id nulls last))
 select doc_id, keep_id, n::bigint as group_size, rank = 1 as kept, sha256(norm) as text_sha256 from ranked""",
     "op9_url_filter": url_sql(),
+    "op12_lexical": r"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+asked as (
+  select item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) as term from benchmark),
+total as (select count(*) as docs, sum(len(terms)) as length from docs where len(terms) > 0),
+lengths as (select r, doc_id, 100 - 90 + ((90 * len(terms) * docs) // length) as m from docs, total where len(terms) > 0),
+postings as (select r, term, count(*) as tf from (select r, unnest(terms) as term from docs) where term in (select term from asked) group by r, term),
+weights as (select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from postings, total group by term),
+scored as (
+  select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from asked join postings using (term) join weights using (term) join lengths using (r) group by all)
+select item_id, rank::int as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10""",
 }
