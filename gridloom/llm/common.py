@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,3 +99,8 @@ def met(rows: DataFrame, table: DataFrame, key: list[str], piece: str, how: str
     """
     pieces = rows.groupBy(*key).agg(F.collect_set(piece).alias("__pieces"))
     return rows.join(table.join(pieces, key).withColumn(piece, F.explode("__pieces")).drop("__pieces"), [*key, piece], how)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -6,7 +6,8 @@ possessive loops, and a run is tried only at its first character or where the
 last match ended, which is where a leftmost match can start.
 
 The method then asks which *terms* give protected data away.  A term is a run of
-letters and digits, in lower case, that touches no match.  What is protected
+letters and digits, in lower case, that touches no valid match: account names, postal
+codes, dates and numbers that are no personal data of the four kinds are terms.  What is protected
 stands at three levels: any personal data; a kind; and a class within a kind (an
 address's domain, a network of 16 bits, a card's issuer digits, a number's
 first four digits), so that different values share statistics.  Over the
@@ -44,12 +45,13 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, met, salt, whole_text
+from .common import let, materialize, met, salt, whole_text
 from .filters import distinct_rows
 
 KINDS = ("email", "ip", "card", "phone")
@@ -63,6 +65,8 @@ PATTERNS = {
 }
 #: A cheap sign without which a pattern can't match.
 SIGNS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+#: Without these no match is valid: as many digits as a card has.
+SURE_SIGNS = {**SIGNS, "ip": PATTERNS["ip"], "card": r"[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"}
 ALPHA, SURE = 0.8, 20.0
 #: A term; in the texts, and with the gap before it.
 TERM = r"[\p{L}\p{N}]++"
@@ -137,12 +141,26 @@ def occurrences(scanned: DataFrame) -> DataFrame:
     return materialize(each.where(passes).select("row", "kind", "start", "end", F.col("match").alias("value"), of.alias("class")), "pii-base")
 
 
+def marked_matches(text: Column, kind: str) -> Column:
+    """The text with a mark for every valid match of a kind; others stay, so their digits can be terms."""
+    # as in ``found``: a gap and the match that ends it
+    chunks = F.regexp_extract_all(text, F.lit(rf"\G(?s:.*?)(?:{PATTERNS[kind]})"), F.lit(0))
+    pairs = F.arrays_zip(chunks.alias("chunk"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("match"))
+    shown = lambda p: F.when(valid(kind, p["match"]), F.concat(F.substr(p["chunk"], F.lit(1), F.length(p["chunk"]) - F.length(p["match"])), F.lit(MARK))).otherwise(p["chunk"])
+    rest = F.substr(text, F.aggregate(chunks, F.lit(0), lambda n, c: n + F.length(c)) + 1)
+    return F.when(text.rlike(SURE_SIGNS[kind]), F.concat(F.array_join(F.transform(pairs, shown), ""), rest)).otherwise(text)
+
+
 def masked(text: Column) -> Column:
-    """The text with a mark for every match of a base pattern, valid or not, kind after kind: a number's digits are no card."""
+    """The text with a mark for every valid match of a base pattern, kind after kind: a number's digits are no card."""
+
+    def marking(kind: str) -> Callable[[Column], Column]:
+        return lambda t: marked_matches(t, kind)
+
     out = text
     for k in ("email", "phone", "ip", "card"):
-        out = F.regexp_replace(out, PATTERNS[k], MARK)
-    return F.when(text.rlike("|".join(SIGNS.values())), out).otherwise(text)
+        out = let(out, marking(k))
+    return out
 
 
 def terms_of(text: Column) -> Column:

@@ -179,7 +179,7 @@ def term_brute(texts, alpha=pii.ALPHA, sure=pii.SURE):
     for t in once:
         bare = t
         for k in ("email", "phone", "ip", "card"):
-            bare = re.sub(BASE[k], mark, bare)
+            bare = re.sub(BASE[k], lambda m: mark if ok(k, m[0]) else m[0], bare)
         terms = {x for x in regex.findall(rf"[{mark}\p{{L}}\p{{N}}]+", bare.lower()) if mark not in x}
         n_t.update(terms)
         own = collections.defaultdict(set)
@@ -249,6 +249,28 @@ def test_pii_terms(spark):
     assert "@" not in clean[0] and "[EMAIL]" in clean[0] and "chairman" not in clean[0] and "orblax" not in clean[0] + clean[200] and clean[100] == data[6][1]
 
 
+def test_pii_terms_with_digits(spark):
+    """Account names, postal codes and numbers are terms; what a valid card, number or address covers is none, what an invalid one covers is."""
+    data = [(i, f"{FILLER} contact handle42 at 90210 on 2024-07-{10 + i} via person{i}@mail.com, card 4111 1111 1111 1112 or +4930901820{i}5", "s") for i in range(20)]
+    data += [(100 + i, f"{FILLER} contact me at {i} on monday via or mail 2024-07-01, card {i}", "s") for i in range(300)]
+    found = {g["doc_id"]: g for g in rows(pii.pii(docs(spark, data), keep_text=True))}
+    known, held = term_brute([t for _, t, _ in data])
+    assert {"handle42", "90210", "1112", "4111"} <= known and not known & {"contact", "via", "card", "4930901820", "mail"}
+    assert all(term_spans(g) == held[g["text"]] for g in found.values())
+    clean = {g["doc_id"]: g["text"] for g in rows(pii.sanitised(docs(spark, data)))}
+    assert "handle42" not in clean[3] and "90210" not in clean[3] and clean[107] == data[27][1]
+
+
+def test_pii_masks(spark):
+    """Marks by kind in texts with matches that are valid, invalid, beside each other and at the ends."""
+    texts = ["1.2.3.4 300.1.2.3 4111111111111111", "a@b.c,d@e.f g", "x +49 30 901820 5 y +1 2", "4111 1111 1111 1111 12 4111 1111 1111 1112", "", "12 34", "9" * 25, "+4111111111111111", "1.2.3.4.5.6.7.8 end"]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(pii.masked(F.col("t"))).collect()]
+    for t, g in zip(texts, got):
+        for k in ("email", "phone", "ip", "card"):
+            t = re.sub(BASE[k], lambda m: pii.MARK if ok(k, m[0]) else m[0], t)
+        assert g == t
+
+
 def test_pii_terms_inside_a_copy_group(spark):
     """Thousands of copies of one of a term's texts neither hide the term nor make another one disclosing; nor do near copies with one value."""
     data = disclosures()
