@@ -1043,4 +1043,4 @@ def stream_dedupe_counts(spark, sf_dir):
     return stream.counts(stream.finished(stream.once(twice, "event_id"), "stream-counts"), "event_type")
 
 
-from . import queries_files  # noqa: E402, F401  registers the queries over files
+from . import queries_files, queries_runs  # noqa: E402, F401  register the queries over files and runs
