@@ -10,13 +10,13 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chat, grids, keys
 from ..functions.tokens import BYTES, Tokenizer, place_after, scanned_spans
-from ..sources.records import write_tokens
-from ..sources.shared import write_text
+from ..sources.records import read_tokens, write_tokens
+from ..sources.shared import exists, write_text
 from . import corpus
 
 
@@ -107,3 +107,39 @@ def write_cache(records: DataFrame, path: str, facts: dict[str, Any]) -> None:
     stats = corpus.length_stats(spark.read.parquet(path), "sequence_length", "split")  # one row per split
     splits = {r["split"]: {k: r[k] for k in ("records", "shortest", "longest", "mean")} for r in stats.collect()}
     write_text(spark, f"{path}.manifest.json", json.dumps({**facts, "schema_version": 1, "splits": splits}, indent=2, sort_keys=True) + "\n")
+
+
+SPLITS = ("training", "validation", "validation_augmented")
+
+
+class OtherCache(ValueError):
+    """A cache that was made for something else."""
+
+
+def cache_problems(manifest: dict[str, Any], kind: str, contract: dict[str, Any], splits: tuple[str, ...] = SPLITS) -> list[str]:
+    """Why a cache can't be used, from its manifest alone: version, kind, empty splits, and the settings that differ."""
+    out = []
+    if manifest.get("schema_version") != 1:
+        out.append(f"version {manifest.get('schema_version')}")
+    if manifest.get("kind") != kind:
+        out.append(f"kind {manifest.get('kind')}")
+    held = manifest.get("splits") or {}
+    out += [f"no records of {s}" for s in splits if not (held.get(s) or {}).get("records")]
+    return out + [f"other {at}" for at in different(manifest.get("contract"), contract)]
+
+
+def different(a: Any, b: Any, at: str = "contract") -> list[str]:
+    """The paths at which two values of JSON differ."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        return [x for k in sorted({*a, *b}) for x in different(a.get(k), b.get(k), f"{at}.{k}")]
+    return [] if type(a) is type(b) and a == b else [at]
+
+
+def read_cache(spark: SparkSession, path: str, split: str, kind: str, contract: dict[str, Any], splits: tuple[str, ...] = SPLITS) -> DataFrame:
+    """The records of one split of a cache that was made under a contract; other caches are refused before any record is read."""
+    if not exists(spark, f"{path}.manifest.json"):
+        raise OtherCache(f"{path} has no manifest")
+    manifest = json.loads(spark.read.text(f"{path}.manifest.json", wholetext=True).first()[0])
+    if problems := cache_problems(manifest, kind, contract, splits):
+        raise OtherCache(f"{path}: {', '.join(problems)}")
+    return read_tokens(spark, path).where(F.col("split") == split)

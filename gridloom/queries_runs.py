@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from .functions.text import sha256
 from .functions.tokens import Ranked, from_loader
-from .operators import corpus, inference
+from .operators import corpus, inference, token_records
 from .plans import external, variants
 from .plans.ranges import numbered
-from .queries import SEED, _CORPUS, corpus_rows, query, tasks
-from .sources import artifacts, files
+from .queries import _CHATS, SEED, _CORPUS, conversations, corpus_rows, query, tasks
+from .sources import artifacts, files, invariants
 from .sources.shared import new_folder, written
 
 lit, col = F.lit, F.col
@@ -182,3 +182,54 @@ def seeded_epoch(spark, sf_dir):
     tasks_ = rows.where("rank = 1").select("task_id")
     found = variants.seeded_epoch(rows.join(tasks_, "task_id", "left_semi"), 1, SEED)
     return found.agg(F.count("*").alias("n"), F.max("place").alias("last"), (F.count_distinct("place") == F.count("*")).alias("distinct_places"))
+
+
+# --- records and caches --------------------------------------------------------------------
+
+
+#: By document: what is wrong with its result, as SQL.
+_DEFECTS = """case doc_id % 9 when 1 then 'blank:task_id' when 2 then 'unknown_value:stage' when 3 then 'missing:model' when 4 then 'negative:usage.prompt_tokens' when 5 then 'kind:usage.total_tokens'
+ when 6 then 'unknown:note,unknown:usage.cost' when 7 then 'kind:few_shot_task_ids[],out_of_range:sampling.top_p' when 8 then 'no_json' end"""
+
+
+@query(sql=f"{_LINES} select doc_id, {_DEFECTS} as violations from placed where doc_id % 9 > 0")
+def record_violations(spark, sf_dir):
+    """Whole documents as results with eight planted defects, all of which are named."""
+    k = col("doc_id") % 9
+    bad = lambda n, value, other: F.when(k == n, value).otherwise(other)
+    record = F.struct(
+        col("doc_id").cast("string").alias("request_id"), bad(1, lit(" "), lit("t")).alias("task_id"), bad(2, lit("final"), lit("judge")).alias("stage"), lit("local").alias("backend"),
+        F.when(k != 3, lit("m")).alias("model"), F.coalesce("text", lit("")).alias("raw_output"), F.when(k == 6, lit(1)).alias("note"),
+        F.struct(bad(4, lit(-1), lit(1)).alias("prompt_tokens"), F.when(k != 5, lit(2)).alias("total_tokens"), F.when(k == 6, lit(0.5)).alias("cost")).alias("usage"),
+        F.when(k == 7, F.struct(lit(1.5).alias("top_p"))).alias("sampling"),
+    )
+    line = F.to_json(record)
+    line = F.when(k == 5, F.regexp_replace(line, r'"usage":\{', '"usage":{"total_tokens":"2",')).when(k == 7, F.concat(lit('{"few_shot_task_ids":["a",7],'), F.substr(line, lit(2)))).when(k == 8, F.substr(line, lit(1), F.length(line) - 1)).otherwise(line)
+    path = new_folder(spark, "records")
+    # the number stands before the line, to be told apart from what is read of it
+    rows = documents(spark, sf_dir).select("doc_id", line.alias("value"))
+    part = F.lpad(F.floor(col("ordinal") / 500).cast("string"), 9, "0")
+    numbered(rows, "doc_id").withColumn("part", part).repartition("part").sortWithinPartitions("part", "ordinal").select("part", "value").write.partitionBy("part").text(path)
+    found = invariants.bad_results(spark, path).withColumn("ordinal", F.regexp_extract("file", "part=([0-9]+)", 1).cast("long") * 500 + col("line") - 1)
+    return found.join(numbered(rows.select("doc_id"), "doc_id"), "ordinal").select("doc_id", F.array_join("violations", ",").alias("violations"))
+
+
+_CONTRACT = {"seed": SEED, "data": {"max_sequence_length": 1 << 20, "delimiter": ""}, "model": {"name": "bytes", "revision": None}}
+
+
+@query("pairs", sql=_CHATS + "select count(*) as records, sum(n)::bigint as tokens, 5 as refused from chats where cast(substr(task_id, 2) as bigint) % 5 = 0")
+def cache_under_contract(spark, sf_dir):
+    """One split of a token cache; the cache is refused under another version, kind, setting, split or none."""
+    path, number = new_folder(spark, "cache"), F.substr(col("task_id"), lit(2)).cast("long")
+    rows = token_records.adaptation_records(conversations(spark, sf_dir).withColumn("pairs", col("train")), 1 << 20)
+    kept = rows.select(F.when(number % 5 == 0, "validation").otherwise("training").alias("split"), "task_id", col("task_id").alias("variant_id"), "input_ids", col("assistant_spans").alias("spans"), "sequence_length")
+    token_records.write_cache(kept, path, {"kind": "adaptation", "contract": _CONTRACT})
+    both, refused = ("training", "validation"), 0
+    others = [(path, "prediction", _CONTRACT, both), (path, "adaptation", {**_CONTRACT, "seed": SEED + 1}, both), (path, "adaptation", {**_CONTRACT, "model": {"name": "bytes", "revision": "x"}}, both), (path, "adaptation", _CONTRACT, token_records.SPLITS), (f"{path}-none", "adaptation", _CONTRACT, both)]
+    for place, kind, contract, splits in others:
+        try:
+            token_records.read_cache(spark, place, "validation", kind, contract, splits)
+        except token_records.OtherCache:
+            refused += 1
+    found = token_records.read_cache(spark, path, "validation", "adaptation", _CONTRACT, both)
+    return found.agg(F.count("*").alias("records"), F.sum("sequence_length").alias("tokens")).withColumn("refused", lit(refused))
