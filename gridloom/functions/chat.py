@@ -6,6 +6,8 @@ tokenizer (UTF-8 bytes), others can be plugged in as a UDF of a text column.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,7 +34,12 @@ def turns_text(roles: dict[str, str], role: Column, content: Column) -> Column:
 
 def conversation(pairs: Column, guidance: Column, delimiter: str = "") -> Column:
     """The closed conversation of a training record: optional system turn, then a user and an assistant turn per pair."""
-    each = F.transform(pairs, lambda p: F.concat(block(USER, grid_text(p["input"], delimiter)), block(ASSISTANT, grid_text(p["output"], delimiter))))
+    return spoken(pairs, guidance, lambda grid: grid_text(grid, delimiter))
+
+
+def spoken(pairs: Column, guidance: Column, shown: Callable[[Column], Column]) -> Column:
+    """A closed conversation of pairs whose sides are shown by a function (or are texts already)."""
+    each = F.transform(pairs, lambda p: F.concat(block(USER, shown(p["input"])), block(ASSISTANT, shown(p["output"]))))
     return F.concat(F.coalesce(block(SYSTEM, guidance), F.lit("")), F.array_join(each, ""))
 
 

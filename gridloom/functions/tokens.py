@@ -49,15 +49,16 @@ BY_BYTES = Coding(1, lambda text, ids: F.decode(F.encode(text, "utf-8"), "ISO-88
 
 @dataclass(frozen=True)
 class Tokenizer:
-    """``ids`` of a text column, ``encode`` of a text on the driver (for the markers, once), and how ids are searched."""
+    """``ids`` of a text column, ``encode`` of a text on the driver (for the markers, once), how ids are searched, and their number, which needn't take the ids."""
 
     ids: Callable[[Column], Column]
     encode: Callable[[str], list[int]]
     coding: Coding = BY_DIGITS
+    length: Callable[[Column, Column], Column] = lambda text, ids: F.size(ids)
 
 
 #: UTF-8 bytes.
-BYTES = Tokenizer(chat.byte_tokens, lambda text: list(text.encode()), BY_BYTES)
+BYTES = Tokenizer(chat.byte_tokens, lambda text: list(text.encode()), BY_BYTES, lambda text, ids: F.octet_length(text))
 
 
 def flat_ids(value: Any) -> list[int]:
@@ -110,7 +111,7 @@ def place(text: Column, marker: Sequence[int], start: Column | int = 0, coding:
         return F.lit(-1)
     start = start if isinstance(start, Column) else F.lit(start)
     found = F.call_function("locate", F.lit(coding.marker(marker)), text, (start * coding.width + 1).cast("int"))
-    return F.when(start < 0, -1).when(found > 0, ((found - 1) / coding.width).cast("int")).otherwise(-1)
+    return F.when(start < 0, -1).otherwise(let(found, lambda at: F.when(at > 0, ((at - 1) / coding.width).cast("int")).otherwise(-1)))
 
 
 def place_after(text: Column, marker: Sequence[int], start: Column | int = 0, coding: Coding = BY_DIGITS) -> Column:

@@ -22,7 +22,7 @@ from . import corpus
 
 def with_ids(rows: DataFrame, text: Column, tokenizer: Tokenizer) -> DataFrame:
     """Adds input_ids and sequence_length, and the text as ``__text``."""
-    return rows.withColumn("__text", text).withColumn("input_ids", tokenizer.ids(F.col("__text"))).withColumn("sequence_length", F.size("input_ids"))
+    return rows.withColumn("__text", text).withColumn("input_ids", tokenizer.ids(F.col("__text"))).withColumn("sequence_length", tokenizer.length(F.col("__text"), F.col("input_ids")))
 
 
 def reasoning_records(rows: DataFrame, tokenizer: Tokenizer = BYTES, delimiter: str = "") -> DataFrame:
@@ -48,7 +48,12 @@ def prediction_records(rows: DataFrame, guided: bool, tokenizer: Tokenizer = BYT
 
 def adaptation_records(rows: DataFrame, most: int, skip_first: bool = True, tokenizer: Tokenizer = BYTES, delimiter: str = "") -> DataFrame:
     """rows: pairs, guidance and any others. Adds ids, spans, target_token_count and status; a length beyond ``most`` is wrong, not left out."""
-    out = with_ids(rows, chat.conversation(F.col("pairs"), F.col("guidance"), delimiter), tokenizer)
+    return told_records(rows, chat.conversation(F.col("pairs"), F.col("guidance"), delimiter), most, skip_first, tokenizer)
+
+
+def told_records(rows: DataFrame, text: Column, most: int, skip_first: bool, tokenizer: Tokenizer) -> DataFrame:
+    """``adaptation_records`` of rows whose conversation is a column."""
+    out = with_ids(rows, text, tokenizer)
     has = F.col("guidance").isNotNull()
     out = out.withColumn("__scan", scanned_spans(F.col("__text"), F.col("input_ids"), F.size("pairs"), has, tokenizer)).withColumn("assistant_spans", F.col("__scan.spans"))
     out = out.withColumn("target_token_count", chat.target_tokens(F.col("assistant_spans"), skip_first))
@@ -66,11 +71,28 @@ def wrong_records(records: DataFrame) -> DataFrame:
 
 
 def planned_records(plan: DataFrame, tasks: DataFrame, guidance: DataFrame, most: int, skip_first: bool = True, tokenizer: Tokenizer = BYTES) -> DataFrame:
-    """plan: task_id, code, value_mapping, order_mapping, variant_index; guidance: the same and status, content. A record of every planned view."""
+    """plan: task_id, code, value_mapping, order_mapping, variant_index; guidance: the same and status, content. A record of every planned view, with its pairs as texts.
+
+    Grids are turned and written once for a task and symmetry; a view picks its
+    symmetry, puts the pairs in order and changes the texts' digits.
+    """
     said = guidance.select("task_id", "variant_index", F.col("status").alias("guidance_status"), F.col("content").alias("guidance"))
-    rows = corpus.materialised(plan, tasks).join(said, ["task_id", "variant_index"])
+    rows = plan.join(symmetric_texts(tasks), "task_id").join(said, ["task_id", "variant_index"])
+    mapping = F.when(grids.is_permutation(F.col("value_mapping")), F.col("value_mapping"))
+    coloured = lambda text: F.call_function("translate", text, F.lit(grids.IDENTITY), mapping)
+    turned = F.get("__turned", F.array_position(F.array(*map(F.lit, grids.CODES)), F.upper("code")).cast("int") - 1)
+    pairs = F.transform(keys.ordered(turned, F.col("order_mapping")), lambda p: F.struct(*[coloured(p[side]).alias(side) for side in ("input", "output")]))
     name = keys.made_key(F.col("task_id"), F.col("code"), F.col("value_mapping"), F.col("order_mapping"))
-    return adaptation_records(rows.withColumn("variant_id", name), most, skip_first, tokenizer)
+    rows = rows.withColumn("pairs", pairs).withColumn("variant_id", name).drop("__turned")
+    return told_records(rows, chat.spoken(F.col("pairs"), F.col("guidance"), lambda text: text), most, skip_first, tokenizer)
+
+
+def symmetric_texts(tasks: DataFrame, delimiter: str = "") -> DataFrame:
+    """(task_id, __turned): for each of the eight symmetries, the texts of a task's train pairs under it; null for grids that aren't of digits 0 to 9."""
+    sound = lambda g: F.forall(g, lambda row: F.forall(row, lambda v: F.coalesce(v.between(0, 9), F.lit(False))))
+    shown = lambda g, code: F.when(sound(g), grids.grid_text(grids.symmetry(g, F.lit(code)), delimiter))
+    turned = F.array(*[F.transform("train", lambda p: F.struct(*[shown(p[side], code).alias(side) for side in ("input", "output")])) for code in grids.CODES])  # noqa: B023
+    return tasks.select("task_id", turned.alias("__turned"))
 
 
 def unplanned(plan: DataFrame, tasks: DataFrame, per_task: int) -> DataFrame:

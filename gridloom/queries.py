@@ -346,7 +346,7 @@ for _k in (8, 16, 32, 64):
 
 def rotated_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan without draws: mappings are rotations by the variant's number, orders are reversed."""
-    rows = variants.slots(pairs(spark, sf_dir)).join(pairs(spark, sf_dir).select("task_id", "n_train").distinct(), "task_id")
+    rows = variants.slots(fixtures.view(spark, sf_dir, "select task_id, n_train from pairs where split = 'train' and pair_index = 0", "pairs"), "n_train")
     return rows.withColumn("value_mapping", rotation(col("variant_index") % 10)).withColumn("order_mapping", keys.order_text(F.reverse(F.sequence(lit(0), col("n_train") - 1)))).drop("n_train")
 
 
@@ -385,12 +385,10 @@ def reasoning_requests(spark, sf_dir):
 @query("pairs", sql="select cast(b as int) as budget, count(*) as test_inputs, count(*) * 64 as candidates from (select distinct task_id, pair_index from pairs where split = 'test'), (values (0), (8), (16), (32), (64)) as q(b) group by b")
 def samples_per_prompt(spark, sf_dir):
     """For every budget, requests times samples make 64 candidates per test input."""
-    out, asked, plan = None, tests(spark, sf_dir), rotated_plan(spark, sf_dir)
-    for budget in variants.BUDGETS:
-        counts = variants.candidate_counts(variants.prediction_requests(variants.views(asked, plan, "budgeted64", budget), asked, "budgeted64", budget))
-        row = counts.agg(lit(budget).alias("budget"), F.count("*").alias("test_inputs"), F.sum("candidates").alias("candidates"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    asked = tests(spark, sf_dir)
+    rows = variants.budget_samples(rotated_plan(spark, sf_dir)).join(asked, "task_id")
+    counts = rows.groupBy("budget", "task_id", "test_index").agg(F.sum("samples").alias("candidates"))
+    return counts.groupBy("budget").agg(F.count("*").alias("test_inputs"), F.sum("candidates").alias("candidates"))
 
 
 def task_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,9 +398,10 @@ def task_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pairs", sql=_TASKS + f"select {CODE_LIST}[k + 1] as code, count(*) * 8 as n, count(*) * 8 as n_valid, count(*) * 8 as n_unique, count(*) as n_tasks from own, range(8) as r(k) group by k")
 def plan_rng_props(spark, sf_dir):
     """Eight valid, different variants per task and code."""
-    plan = variants.augmentation_plan(task_sizes(spark, sf_dir), SEED).join(task_sizes(spark, sf_dir), "task_id")
+    plan = variants.augmentation_plan(task_sizes(spark, sf_dir), SEED, sizes=True)
     good = grids.is_permutation(col("value_mapping")) & (F.size(keys.order_indices(col("order_mapping"))) == col("n_pairs"))
-    return plan.groupBy("code").agg(F.count("*").alias("n"), F.count_if(good).alias("n_valid"), F.count_distinct("task_id", "value_mapping", "order_mapping").alias("n_unique"), F.count_distinct("task_id").alias("n_tasks"))
+    own = plan.groupBy("task_id", "code").agg(F.count("*").alias("n"), F.count_if(good).alias("valid"), F.size(F.collect_set(F.struct("value_mapping", "order_mapping"))).alias("unique"))
+    return own.groupBy("code").agg(F.sum("n").alias("n"), F.sum("valid").alias("n_valid"), F.sum("unique").alias("n_unique"), F.count("*").alias("n_tasks"))
 
 
 @query("pairs", sql=_TASKS + """select task_id, 12 - cast(substr(task_id, 2) as bigint) % 14 as n, 12 - cast(substr(task_id, 2) as bigint) % 14 as n_new, 5::int as first_index from own where cast(substr(task_id, 2) as bigint) % 14 < 12""")

@@ -253,11 +253,11 @@ def reasoning_records(spark, sf_dir):
     return found.agg(F.count("*").alias("records"), F.count("guidance").alias("valid"), F.count("validation_error").alias("malformed"))
 
 
-@query("pairs", sql=_TASKS + f"""select {_KEY_SQL} as variant_id, 'missing' as guidance_status, n_train::int as n_pairs, ((n_train - 1) * case when v // 8 in (1, 3, 6, 7) then 15 - o else o end)::int as targets,
-  case when n_train < 2 then 'too_few_pairs' else 'ok' end as status from own, range(64) as q(v) where v % 8 = 7""")
+@query("pairs", sql=_TASKS + f"""select {_KEY_SQL} as variant_id, case when v % 8 in (3, 7) then 'missing' else 'budget_empty' end as guidance_status, n_train::int as n_pairs, ((n_train - 1) * case when v // 8 in (1, 3, 6, 7) then 15 - o else o end)::int as targets,
+  case when n_train < 2 then 'too_few_pairs' else 'ok' end as status from own, range(64) as q(v)""")
 def planned_records(spark, sf_dir):
-    """A token record of every view of budget 8 of every task; turned grids of 2 x 3 cells have texts of 8 or 7 characters."""
-    plan = variants.budget_subset(rotated_plan(spark, sf_dir), 8)
+    """A token record of every planned view of every task; turned grids of 2 x 3 cells have texts of 8 or 7 characters."""
+    plan = rotated_plan(spark, sf_dir)
     none = spark.createDataFrame([], "key string, guidance string")
     rows = token_records.planned_records(plan, tasks(spark, sf_dir), variants.resolved_guidance(plan, none, 16), 1 << 20)
     return rows.select("variant_id", "guidance_status", col("n_pairs_train").alias("n_pairs"), col("target_token_count").alias("targets"), "status")
