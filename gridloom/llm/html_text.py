@@ -29,6 +29,11 @@ article), need the floor only, and inside an article element only what is mostly
 links needs it.  Outside of article and main elements, lists of links in the
 selected node itself go by the floor as well.
 
+Inside an article a compound name must say nothing else (``comment-list``, but not
+``promo-code``): there, names of what the text is about are no boilerplate.
+Readers' comments that no name tells are known by their form: outside of articles, a list
+of like entries that each have a short line with a date, beside other text.
+
 The names of classes and ids are a first guess (``names=False`` switches it
 off); where they say nothing, densities alone decide.
 
@@ -73,6 +78,11 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
 #: Names that say that an element with a boilerplate name may be the content, and first parts that qualify a name.
 CONTENT = set("content entry post article main body page story text primary hentry".split())
 QUALIFIERS = set("has no with without not is hide show".split())
+#: What else a compound name may hold inside an article to count: words for the element itself. ``promo-code`` and ``notice-period`` are what a text is about.
+FRAME = set("box boxes list lists wrapper wrap container bar section block blocks area unit slot row column col inner outer top bottom left right center form link links item items panel group header body head thread title heading button buttons icon icons inline native reader readers user users post article entry page site main primary secondary js".split())
+#: A short text that says when something was written, its most code points, and the least of a list's text that its dated entries must hold.
+WHEN = re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? \d{1,4}|\d+ (?:second|minute|hour|day|week|month|year)s? ago|\b(?:yesterday|today)\b", re.I)
+SHORT, MOSTLY = 60, 0.6
 #: Elements that lay a page out rather than hold text of their own, and those that say what the article is.
 LAYOUT, ARTICLES = set("div section td th tr table tbody ul ol dl center main header footer aside nav span a form".split()), {"article", "main"}
 #: The share of the path's density that a sibling must reach.
@@ -101,7 +111,8 @@ def boilerplate(tag: str, attributes: str, in_article: bool, names: bool = True)
                 content |= token in CONTENT
                 if parts and (len(parts) == 1 or parts[0] not in QUALIFIERS):
                     ends = {parts[0], parts[-1]}
-                    if ends & NAMES or "header" in ends and not in_article:
+                    said = bool(ends & NAMES) and not (in_article and {*parts} - NAMES - FRAME)
+                    if said or "header" in ends and not in_article:
                         kind = kind or NAMED
     return WRAPS if kind == NAMED and content else kind
 
@@ -119,6 +130,42 @@ class Page:
         self.read(html)
         if any(k > SURE for k in self.kind):
             self.decide()
+        self.leave_remarks()
+
+    def leave_remarks(self) -> None:
+        """Leaves out readers' comments that no name tells: outside of articles, two or more like entries in a row of elements, each with a short line that says when, and a text.
+
+        They are remarks only beside something else: an article or main element, or more text in paragraphs outside of them.
+        """
+        n, tag, parent = len(self.tag), self.tag, self.parent
+        dated, text = [t == "time" for t in tag], [0] * n
+        for k, said in self.texts:
+            if said and not self.dropped[k]:
+                bare = " ".join(said.split())
+                if len(bare) <= SHORT and WHEN.search(bare):
+                    dated[k] = True
+                elif len(bare) > 1:
+                    text[k] += len(bare)
+        if not any(dated):
+            return
+        inside = [t in ARTICLES for t in tag]
+        for k in range(1, n):
+            inside[k] = inside[k] or inside[parent[k]]
+        for k in range(n - 1, 0, -1):
+            if not self.dropped[k]:
+                dated[parent[k]] = dated[parent[k]] or dated[k]
+                text[parent[k]] += text[k]
+        alike: dict[tuple, list[int]] = {}
+        for k in range(1, n):
+            if not (self.dropped[k] or inside[k]) and tag[k] in LAYOUT and dated[k] and text[k]:
+                alike.setdefault((parent[k], tag[k], self.marks[k]), []).append(k)
+        lists = [p for (p, *_), some in alike.items() if p and len(some) > 1 and sum(text[k] for k in some) >= MOSTLY * text[p]]
+        lists = [p for p in lists if not any(q < p <= self.last[q] for q in lists)]
+        rest = sum(text[k] for k in range(1, n) if tag[k] == "p" and not self.dropped[k] and not any(p < k <= self.last[p] for p in lists))
+        if lists and (any(inside[k] and not self.dropped[k] for k in range(n)) or rest >= 2 * SHORT):
+            for p in lists:
+                self.kind[p] = SURE
+                self.dropped[p : self.last[p] + 1] = [True] * (self.last[p] + 1 - p)
 
     def inherit(self) -> None:
         for k in range(1, len(self.tag)):

@@ -5,6 +5,8 @@ import random
 import re
 import time
 
+import pytest
+
 from gridloom.llm import html_text, queries
 
 
@@ -244,3 +246,38 @@ def test_table_pages_come_out_by_density_alone(spark, sf):
     pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     good = sum(html_text.main_text(p, names=False) == brute(p) for p in pages)
     assert good >= 0.9 * len(pages), (good, len(pages))
+
+
+SENTENCE = "The committee met again in the spring and agreed on a plan that most of its members could support, which surprised those who had followed it. "
+
+
+def test_names_that_the_article_is_about():
+    """Inside an article, compound names that say what a text is about don't drop it; those of boilerplate do."""
+    parts = [f'<p class="promo-code">{SENTENCE}One.</p>', f'<p id="ads-history">{SENTENCE}Two.</p>', f'<div class="notice-period"><p>{SENTENCE}Three.</p></div>', f'<p class="cookie-recipe">{SENTENCE}Four.</p>']
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>{SENTENCE}</p>{''.join(parts)}<div class='comment-list'><p>I say so too.</p></div><div class=ad>Buy it now</div></article></body>"
+    found = html_text.main_text(page)
+    assert all(w in found for w in ("One.", "Two.", "Three.", "Four."))
+    assert "I say so" not in found and "Buy it" not in found
+
+
+def remarks(n, wrap="div", date="{} May 2024"):
+    return "".join(f"<{wrap}><b>Reader {k}</b> <span>{date.format(k + 1)}</span><p>I have read all of this with interest, and I don't agree with what is said in the second part of it. {k}</p></{wrap}>" for k in range(n))
+
+
+@pytest.mark.parametrize("list_, date", [("<div id=c1>{}</div>", "{} May 2024"), ("<div><h3>What you say</h3>{}</div>", "{} hours ago"), ("<section>{}</section>", "2024-05-0{}")])
+def test_unnamed_comments(list_, date):
+    """Dated entries beside a short article, with and without an article element, go; the article stays."""
+    for around in ("<article><h1>Title</h1><p>{}</p></article>", "<div><h1>Title</h1><p>{}</p><p>{}</p></div>"):
+        page = f"<body>{around.format(SENTENCE, SENTENCE)}{list_.format(remarks(8, date=date))}</body>"
+        found = html_text.main_text(page)
+        assert "committee" in found and "Reader" not in found and "interest" not in found
+
+
+def test_dated_texts_that_stay():
+    """A page that is nothing but dated entries, dated sections of an article, and paragraphs with dates in sentences."""
+    only = html_text.main_text(f"<body><div>{remarks(4)}</div></body>")
+    assert "interest" in only
+    story = "".join(f"<div><h2>{k + 1} May 2024</h2><p>{SENTENCE}{k}</p></div>" for k in range(4))
+    assert html_text.main_text(f"<body><article><h1>Diary</h1>{story}</article></body>").count("committee") == 4
+    plain = "".join(f"<p>On {k + 1} May 2024 it was said once more that {SENTENCE}</p>" for k in range(4))
+    assert html_text.main_text(f"<body><div><h1>News</h1>{plain}</div></body>").count("committee") == 4
