@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grids, traces
+from .functions.text import is_blank
 from .operators import cost, execution, guards, judging, requests, scoring
 from .plans import variants
 from .sources import files, records, schemas
@@ -103,19 +104,25 @@ def prepare_judge(spark: SparkSession, a: argparse.Namespace) -> None:
     else:
         rows = rows.withColumn("hint", F.lit(None).cast("string"))
     rows = rows.select("request_id", "task_id", "stage", "error", F.col("validation.static.accepted").alias("accepted"), F.col("normalized_output").alias("trace"), "puzzle", "hint")
-    files.write_lines(requests.judge_requests(rows), a.output)
+    files.write_lines(requests.judge_requests(rows, temperature=a.temperature, top_p=a.top_p, max_tokens=a.max_tokens, seed=a.judge_seed), a.output)
 
 
 def evaluate_judges(spark: SparkSession, a: argparse.Namespace) -> None:
     asked = files.read_lines(spark, a.judge_requests, "request_id string, source_request_id string, judge_index int")
     counts = judging.judged(asked, files.read_lines(spark, a.judge_results, schemas.RESULT))
     guards.raise_if_any(judging.wrong_vote_counts(counts), "sources without five answers")
+    if a.sources:
+        files.write_lines(judging.evaluated(files.read_lines(spark, a.sources, schemas.RESULT), counts), a.output)
+        return
     files.write_lines(judging.unanimous(counts).withColumnRenamed("source_request_id", "request_id"), a.output)
 
 
 def apply_reviews(spark: SparkSession, a: argparse.Namespace) -> None:
     decisions = files.read_lines(spark, a.decisions, schemas.DECISION).select("request_id", F.col("accepted").alias("decision"), F.col("reviewer_note").alias("note"))
     guards.raise_if_any(judging.notes_missing(decisions), "decisions without a note")
+    if a.whole:
+        files.write_lines(judging.reviewed_results(files.read_lines(spark, a.input, schemas.RESULT), decisions), a.output)
+        return
     results = files.read_lines(spark, a.input, "request_id string, accepted boolean, route string")
     files.write_lines(judging.reviewed(results, decisions), a.output)
 
@@ -134,7 +141,7 @@ def export_batch(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def import_batch(spark: SparkSession, a: argparse.Namespace) -> None:
     asked = files.read_lines(spark, a.requests, schemas.REQUEST)
-    results = spark.read.text(a.input).where("trim(value) <> ''").select(requests.provider_result(F.col("value")).alias("r")).select("r.*")
+    results = spark.read.text(a.input).where(~is_blank(F.col("value"))).select(requests.provider_result(F.col("value")).alias("r")).select("r.*")
     good, unknown = requests.imported(results, asked)
     guards.raise_if_any(unknown.select("key"), "results that nobody asked for")
     files.write_lines(good, a.output)
@@ -183,7 +190,7 @@ COMMANDS = {
     "validate-static": (validate_static, ("input", "output"), ()),
     "render-requests": (render_requests, ("input", "output"), ()),
     "prepare-judge": (prepare_judge, ("input", "tasks", "output"), ("hints",)),
-    "evaluate-judges": (evaluate_judges, ("judge-requests", "judge-results", "output"), ()),
+    "evaluate-judges": (evaluate_judges, ("judge-requests", "judge-results", "output"), ("sources",)),
     "apply-reviews": (apply_reviews, ("input", "decisions", "output"), ()),
     "build-plan": (prepare_plan, ("tasks", "output"), ()),
     "export-batch": (export_batch, ("input", "output"), ()),
@@ -201,6 +208,11 @@ def parser() -> argparse.ArgumentParser:
         for option in (*needed, *allowed):
             one.add_argument(f"--{option}", required=option in needed)
         one.add_argument("--seed", type=int, default=0)
+        one.add_argument("--judge-seed", type=int)
+        one.add_argument("--whole", action="store_true", help="results keep all their fields")
+        one.add_argument("--temperature", type=float, default=0.7)
+        one.add_argument("--top-p", type=float, default=1.0)
+        one.add_argument("--max-tokens", type=int, default=2048)
         for name, start in (("candidates", 1), ("candidate-start", 0), ("few-shot-count", 3), ("target", 100)):
             one.add_argument(f"--{name}", type=int, default=start)
     return top

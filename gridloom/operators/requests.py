@@ -57,9 +57,9 @@ def judge_prompt(puzzle: Column, trace: Column, hint: Column) -> Column:
 def augmentation_words(code: Column, mapping: Column, order: Column) -> Column:
     """An augmentation described in words."""
     geometry = F.create_map(*[F.lit(x) for pair in GEOMETRY.items() for x in pair])
-    values = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda v: F.concat(v.cast("string"), F.lit(" -> "), F.substr(mapping, v + 1, F.lit(1)))), ", ")
-    places = F.array_join(F.transform(keys.order_indices(order), lambda old, new: F.concat(F.lit("new example "), (new + 1).cast("string"), F.lit(" = old example "), (old + 1).cast("string"))), ", ")
-    return F.concat_ws("\n", F.concat(F.lit("Geometry: "), F.try_element_at(geometry, code), F.lit(".")), F.concat(F.lit("Values: "), values, F.lit(".")), F.concat(F.lit("Order: "), places, F.lit(".")))
+    values = F.concat(F.lit("the colours 0 to 9 are painted as "), F.array_join(F.split(mapping, ""), " "))
+    places = F.concat(F.lit("the examples now come in the order "), F.array_join(F.transform(keys.order_indices(order), lambda old: (old + 1).cast("string")), ", "), F.lit(" of the old ones"))
+    return F.concat_ws("\n", F.concat(F.lit("Geometry: "), F.try_element_at(geometry, code), F.lit(".")), F.concat(F.lit("Colours: "), values, F.lit(".")), F.concat(F.lit("Order: "), places, F.lit(".")))
 
 
 def rewrite_prompt(old: Column, trace: Column, new: Column, words: Column, style: Column) -> Column:
@@ -146,12 +146,17 @@ def initial_requests(tasks: DataFrame, candidates: int) -> DataFrame:
     return rows.select(request_id(F.lit("initial"), F.col("task_id"), identity).alias("request_id"), "task_id", F.lit("initial").alias("stage"), "candidate", messages("You explain grid puzzles.", F.col("prompt")).alias("messages"), F.when(F.col("hint").isNull(), "unhinted").otherwise("hinted").alias("hint_mode"), "few_shot_ids")
 
 
-def judge_requests(results: DataFrame, votes: int = 5) -> DataFrame:
-    """results: request_id, task_id, stage, error, accepted, trace, puzzle, hint. Requests for accepted initial results, one per vote."""
+def judge_requests(results: DataFrame, votes: int = 5, temperature: float = 0.7, top_p: float = 1.0, max_tokens: int = 2048, seed: int | None = None) -> DataFrame:
+    """results: request_id, task_id, stage, error, accepted, trace, puzzle, hint. Requests for accepted initial results, one per vote; with a seed, each vote has its own: the seed and its number."""
     good = results.where((F.col("stage") == "initial") & F.col("error").isNull() & F.coalesce("accepted", F.lit(False)))
     rows = good.withColumn("judge_index", F.explode(F.sequence(F.lit(0), F.lit(votes - 1)))).withColumn("prompt", judge_prompt(F.col("puzzle"), F.col("trace"), F.col("hint")))
     identity = {"judge_index": F.col("judge_index"), "source_request_id": F.col("request_id")}
-    return rows.select(request_id(F.lit("judge"), F.col("task_id"), identity).alias("request_id"), "task_id", F.col("request_id").alias("source_request_id"), "judge_index", messages("You judge explanations of grid puzzles.", F.col("prompt")).alias("messages"))
+    own = F.lit(None).cast("long") if seed is None else (F.lit(seed) + F.col("judge_index")).cast("long")
+    if seed is not None:
+        identity["seed"] = own
+    sampling = F.struct(F.lit(float(temperature)).alias("temperature"), F.lit(float(top_p)).alias("top_p"), F.lit(max_tokens).alias("max_tokens"), own.alias("seed"))
+    asked = messages("You judge explanations of grid puzzles.", F.col("prompt")).alias("messages")
+    return rows.select(request_id(F.lit("judge"), F.col("task_id"), identity).alias("request_id"), "task_id", F.lit("judge").alias("stage"), F.when(F.col("hint").isNull(), "none").otherwise("provided").alias("hint_mode"), F.col("request_id").alias("source_request_id"), "judge_index", sampling.alias("sampling"), asked)
 
 
 def rewrite_requests(specs: DataFrame) -> DataFrame:

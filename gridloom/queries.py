@@ -833,7 +833,7 @@ def initial_requests(spark, sf_dir):
     return requests.initial_requests(rows, 2).select("task_id", "candidate", "hint_mode", F.size("messages").alias("n_messages"))
 
 
-@query("pairs", sql=_TASKS + f"""select task_id, 'Geometry: the layout stays as it is.' || chr(10) || 'Values: ' || (select string_agg(v || ' -> ' || substr({fixtures.rotation("cast(substr(task_id, 2) as bigint) % 10")}, v + 1, 1), ', ' order by v) from range(10) as r(v)) || '.' || chr(10) || 'Order: new example 1 = old example 2, new example 2 = old example 1.' as words from own""")
+@query("pairs", sql=_TASKS + f"""select task_id, 'Geometry: the layout stays as it is.' || chr(10) || 'Colours: the colours 0 to 9 are painted as ' || rtrim(regexp_replace({fixtures.rotation("cast(substr(task_id, 2) as bigint) % 10")}, '([0-9])', '\\1 ', 'g')) || '.' || chr(10) || 'Order: the examples now come in the order 2, 1 of the old ones.' as words from own""")
 def augmentation_words(spark, sf_dir):
     number = F.substr(col("task_id"), lit(2)).cast("long")
     return task_sizes(spark, sf_dir).select("task_id", requests.augmentation_words(lit("ID"), rotation(number % 10), lit("10")).alias("words"))

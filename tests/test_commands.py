@@ -53,6 +53,20 @@ def test_generation_flow(spark, tasks):
     (tasks / "decisions.jsonl").write_text(json.dumps({"request_id": loser, "accepted": True, "reviewer_note": "fine"}))
     assert run("apply-reviews", "--input", p("judged"), "--decisions", p("decisions.jsonl"), "--output", p("final")) == 0
     assert {r["route"] for r in lines(tasks / "final") if r["request_id"] == loser} == {"manual_review"}
+    # whole results: what judges and reviewers decide is added, nothing is lost
+    assert run("evaluate-judges", "--judge-requests", p("judge"), "--judge-results", p("votes.jsonl"), "--sources", p("static"), "--output", p("whole")) == 0
+    before, after = ({r["request_id"]: r for r in lines(tasks / f)} for f in ("static", "whole"))
+    assert len(after) == 2 and all({**r, "validation": None} == {**before[k], "validation": None} and r["validation"]["static"] == before[k]["validation"]["static"] for k, r in after.items())
+    assert after[loser]["validation"]["quality"] == {"accepted": False, "route": "judge_5_of_5", "pass_count": 4, "vote_count": 5} and after[loser]["validation"]["judge_parse_errors"] == [judges[0]["request_id"]]
+    assert run("apply-reviews", "--input", p("whole"), "--whole", "--decisions", p("decisions.jsonl"), "--output", p("reviewed")) == 0
+    last = {r["request_id"]: r for r in lines(tasks / "reviewed")}
+    assert last[loser]["validation"]["quality"] == {"accepted": True, "route": "manual_review", "reviewer_note": "fine"} and last[loser]["raw_output"] == TRACE
+    winner = next(k for k in last if k != loser)
+    assert last[winner] == after[winner]
+    assert run("prepare-judge", "--input", p("static"), "--tasks", p("tasks"), "--judge-seed", "40", "--output", p("seeded")) == 0
+    seeded = lines(tasks / "seeded")
+    assert sorted((j["judge_index"], j["sampling"]["seed"]) for j in seeded) == [(k, 40 + k) for k in range(5) for _ in range(2)]
+    assert {j["request_id"] for j in seeded}.isdisjoint(j["request_id"] for j in judges) and all("seed" not in j["sampling"] for j in judges)
     assert run("render-requests", "--input", p("initial"), "--output", p("texts")) == 0
     assert run("evaluate-judges", "--judge-requests", p("judge"), "--judge-results", p("results.jsonl"), "--output", p("x")) == 2
 
