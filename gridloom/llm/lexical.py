@@ -155,10 +155,14 @@ def matrix(lists: list[np.ndarray]) -> np.ndarray:
     return x
 
 
-def fitted(scanned: DataFrame) -> Tree:
+def fitted(scanned: DataFrame, n_docs: int) -> Tree:
+    """The tree of the documents of the smallest hashes. Those below a hash that about 1.25 * SAMPLE are below come to the driver, and no more than twice SAMPLE."""
     features = F.array_distinct(F.transform("terms", lambda t: F.pmod(t, F.lit(FEATURES)))).alias("features")
-    some = scanned.where(F.size("terms") > 0).select(features, F.xxhash64("size", "terms").alias("h"), "doc_id").orderBy("h", "doc_id").limit(SAMPLE)
-    x = matrix([r["features"] for r in some.collect()])
+    h, least = F.xxhash64("doc_id", "size"), -(1 << 63)
+    below = min((1 << 63) - 1, least + int((1 << 64) * 1.25 * SAMPLE / n_docs))
+    some = scanned.where((F.size("terms") > 0) & (h <= F.lit(below).cast("long"))).select(h.alias("h"), "doc_id", features).limit(2 * SAMPLE).toArrow()
+    order = some.sort_by([("h", "ascending"), ("doc_id", "ascending")]).slice(0, SAMPLE)
+    x = matrix(order.column("features").to_pylist())
     return bisected(x, max(0, min(DEPTH, int(math.log2(max(1, len(x) // LEAF))))))
 
 
@@ -300,7 +304,7 @@ def of_block(docs: DataFrame, block: list[tuple[int, str]], counts: list | None
     df = dict(scanned.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*")).collect())
     weights = np.array([weight(total["docs"], df.get(k, 0)) for k in range(len(terms))], np.int64)
     pairs = np.array(sorted({(known[t], q) for q, t in block}), np.int64).reshape(-1, 2)
-    index = ordered(scanned, fitted(scanned), total["docs"], total["length"])
+    index = ordered(scanned, fitted(scanned, total["docs"]), total["docs"], total["length"])
     of_shard = bounds(index, weights)
     asked = spark.createDataFrame([(int(t), int(q)) for t, q in pairs], "term int, q int")
     table = of_shard.join(asked, "term").groupBy("q", "shard").agg(F.sum("most").alias("most")).toArrow()
