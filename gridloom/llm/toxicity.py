@@ -17,7 +17,8 @@ least ``MARKER`` times as frequent among toxic rows as among others.
 
 The fit uses at most ``SAMPLE`` labelled rows with distinct texts, those with
 the smallest hash of doc_id; their ids are broadcast (a proven bound), so texts
-of other rows aren't moved.  All documents are scored, in whole, by mapping
+of other rows aren't moved.  Features are counted and chosen in tasks; the driver gets
+those that tell or mark, and the sampled rows' counts of them, never texts.  All documents are scored, in whole, by mapping
 partitions: no shuffle, memory bounded by a batch and the non-zero weights.
 
 Defined results: null and empty texts have no features; labels that are null or
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, materialize
 
 SAMPLE, MARKER, GRADES, GAIN, TOXIC_SHARE = 6000, 8.0, 4, 25.0, 0.25
 #: Words in fewer sampled texts are no features.
@@ -112,31 +113,44 @@ def telling(among: Counter, other: Counter, n: float, m: float) -> tuple[list[by
 
 
 def fit(texts: list[bytes], toxic: list[int]) -> Model:
-    """The regression from labelled texts; repeated texts count once."""
-    once = dict(zip(reversed(texts), reversed(toxic)))
+    """The regression from labelled texts at hand; repeated texts count once, with their first label."""
+    once: dict[bytes, int] = {}
+    for t, x in zip(texts, toxic):
+        once.setdefault(t, x)
     texts, marks = list(once), np.array(list(once.values()), bool)
-    none = Model({}, np.array([40.0, 41.0, 42.0]))
-    if not marks.any() or marks.all():
-        return none
     n, m = float(marks.sum()), float(len(marks) - marks.sum())
-    among, other = Counter(), Counter()  # rows by feature; the texts' own counts are made again below instead of being kept
+    if not n or not m:
+        return nothing()
+    among, other = Counter(), Counter()
     for t, mark in zip(texts, marks):
         (among if mark else other).update(features(t).keys())
     names, signs = telling(among, other, n, m)
     index, markers = {f: k for k, f in enumerate(names)}, marked(among, other, n, m)
-    del among, other
-    rows, columns, values, amount = [], [], [], np.zeros(len(texts))
-    for r, t in enumerate(texts):
-        own = features(t)
-        amount[r] = sum(np.log1p(k) for f, k in sorted(own.items()) if f in markers)
-        found = [(index[f], k) for f, k in own.items() if f in index]
-        rows += [r] * len(found)
-        columns += [f for f, _ in found]
-        values += [k for _, k in found]
+    return regression(names, signs, marks, *zip(*(described(t, index, markers) for t in texts)))
+
+
+def nothing() -> Model:
+    """Nothing is toxic."""
+    return Model({}, np.array([40.0, 41.0, 42.0]))
+
+
+def described(text: bytes, index: dict[bytes, int], markers: set[bytes]) -> tuple[float, list[int], list[int]]:
+    """A text's amount of markers, and its features of the index with their counts."""
+    own = features(text)
+    found = sorted((index[f], k) for f, k in own.items() if f in index)
+    return sum(np.log1p(k) for f, k in sorted(own.items()) if f in markers), [f for f, _ in found], [k for _, k in found]
+
+
+def regression(names: list[bytes], signs: np.ndarray, marks: np.ndarray, amounts: tuple, features_: tuple, counts: tuple) -> Model:
+    """The fit to rows of features and counts; ``names`` and ``signs`` of the features, ``marks`` and ``amounts`` of the rows."""
+    index, amount = names, np.array(amounts, np.float64)
+    rows = np.repeat(np.arange(len(marks)), list(map(len, features_)))
+    columns = np.array([f for own in features_ for f in own], np.int64)
+    values = np.array([k for own in counts for k in own], np.float64)
     y = grades(amount, marks)
-    rows, columns, values = np.array(rows, np.int64), np.array(columns, np.int64), np.log1p(np.array(values, np.float64))
+    values = np.log1p(values)
     if not len(rows):
-        return none
+        return nothing()
     size = np.array([max(1, (y == k).sum()) for k in range(GRADES)])
     share = np.where(y == 0, (1 - TOXIC_SHARE) / size[0], TOXIC_SHARE / size[1:].sum())
     score = lambda w: np.bincount(rows, values * w[columns], minlength=len(y))
@@ -165,13 +179,55 @@ def fit(texts: list[bytes], toxic: list[int]) -> Model:
     return Model({names[k]: float(w[k] / spread[k]) for k in np.flatnonzero(np.abs(w) > 1e-6)}, t)
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
+def sampled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """Written rows of doc_id, text and toxic: the distinct texts of the sampled ids, with the first id and its label."""
     rated = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("__toxic").alias("__toxic")).toArrow()  # a text per sampled id
-    order = sorted(zip(rows.column(0).to_pylist(), rows.column(1).cast(pa.binary()).to_pylist(), rows.column(2).to_pylist()))
-    return fit([t for _, t, _ in order], [x for _, _, x in order])
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("__toxic").alias("__toxic"))  # a text per sampled id
+    first = F.min(F.struct("doc_id", "__toxic"))
+    found = rows.groupBy("text").agg(first.alias("first")).select("first.doc_id", "text", (F.col("first.__toxic").cast("int") != 0).alias("toxic"))
+    return materialize(found, "toxicity-sample")
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
+    """``fit`` of a sample whose texts stay in the tasks: what comes to the driver are the features that tell, and the rows' counts of them."""
+    rows = sampled(docs, labels, most)
+    size = rows.agg(F.count_if("toxic").alias("n"), F.count_if(~F.col("toxic")).alias("m")).first()
+    n, m = float(size["n"]), float(size["m"])
+    if not n or not m:
+        return nothing()
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
+                names = list(features(text))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([toxic] * len(names), pa.bool_())], names=["feature", "toxic"])
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            among, other = (Counter(dict(zip(batch.column(0).to_pylist(), batch.column(k).to_pylist()))) for k in (1, 2))
+            names, signs = telling(among, other, n, m)
+            signed, marks = dict(zip(names, signs.tolist())), marked(among, other, n, m)
+            both = sorted(signed.keys() | marks)
+            yield pa.RecordBatch.from_arrays([pa.array(both, pa.binary()), pa.array([signed.get(f) for f in both], pa.float64()), pa.array([f in marks for f in both], pa.bool_())], names=["feature", "sign", "marker"])
+
+    counts = rows.select("text", "toxic").mapInArrow(held, "feature binary, toxic boolean").groupBy("feature").agg(F.count_if("toxic").alias("among"), F.count_if(~F.col("toxic")).alias("other"))
+    counts = counts.where(F.col("among") + F.col("other") >= LEAST_TEXTS).select("feature", "among", "other")
+    told = sorted((bytes(r["feature"]), r["sign"], r["marker"]) for r in counts.mapInArrow(chosen, "feature binary, sign double, marker boolean").collect())
+    names = [f for f, sign, _ in told if sign is not None]
+    index, markers = {f: k for k, f in enumerate(names)}, {f for f, _, marker in told if marker}
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [described(t, index, markers) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            ints = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _, _ in found], pa.float64()), pa.array([f for _, f, _ in found], ints), pa.array([k for _, _, k in found], ints)], names=["doc_id", "toxic", "amount", "features", "counts"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    table = rows.select("doc_id", "toxic", "text").mapInArrow(rows_of, f"doc_id {kind}, toxic boolean, amount double, features array<long>, counts array<long>").toArrow().sort_by("doc_id")
+    signs = np.array([sign for _, sign, _ in told if sign is not None])
+    return regression(names, signs, table.column("toxic").to_numpy(), *(tuple(table.column(c).to_pylist()) for c in ("amount", "features", "counts")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:

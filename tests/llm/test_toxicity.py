@@ -1,3 +1,5 @@
+import pathlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,9 +47,44 @@ def test_nothing_to_learn_from():
         assert (model.chances(np.array([0.0, model.score(b"a b")]))[:, 0] > 0.999).all()
 
 
-def test_held_out_on_the_tables(spark):
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.1"])
+def test_table_by_hand(spark, sf, name):
+    """The whole query against one fit to the texts at hand and a score for each document; few labels tell nothing."""
+    sf = pathlib.Path(sf).parent / name
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rated = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r["doc_id"] is not None and r["toxic"] is not None:
+            rated[r["doc_id"]] = max(r["toxic"], rated.get(r["doc_id"], 0))
+    texts = {i: (t or "").encode() for i, t in docs}
+    order = sorted(i for i in rated if i in texts)
+    model = toxicity.fit([texts[i] for i in order], [rated[i] for i in order])
+    assert bool(model.weights) == (name == "sf0.1")
+    got = {r["doc_id"]: r for r in queries.op4_toxicity(spark, str(sf)).collect()}
+    assert len(got) == len(docs)
+    for i, t in docs:
+        p = model.chances(np.array([model.score((t or "").encode())]))[0]
+        r = got[i]
+        assert r["expected_severity"] == pytest.approx(p @ np.arange(4), abs=1e-9) and r["p_toxic"] == pytest.approx(1 - p[0], abs=1e-9) and r["grade"] == p.argmax() and r["toxic"] == (p[0] <= 0.5)
+
+
+def test_sample_of_repeated_and_large_texts(spark):
+    """Repeated texts count once with their first label, and long texts are taken whole, as in the fit at hand."""
+    rng = np.random.default_rng(3)
+    texts, marks = planted(400, rng)
+    texts[7], marks[7] = b"vileone plain " * 20_000, 1
+    texts += [texts[3], texts[4], texts[4]]
+    marks += [1 - marks[3], marks[4], marks[4]]
+    docs = spark.createDataFrame([(k, t.decode(), 1) for k, t in enumerate(texts)], "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    one, two = toxicity.fit(texts, marks), toxicity.sample(docs, labels)
+    assert one.weights == two.weights and (one.thresholds == two.thresholds).all() and one.weights
+
+
+def test_held_out_on_the_tables(spark, sf):
     """Even documents train, odd ones are judged."""
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    folder = pathlib.Path(sf).parent / "sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     odd = toxicity.toxicity(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1").withColumnRenamed("toxic", "truth"), "doc_id")
     got = odd.agg(F.avg((F.col("toxic") == (F.col("truth") == 1)).cast("int")), F.avg(F.when(F.col("truth") == 1, F.col("toxic").cast("int"))), F.avg(F.when(F.col("truth") == 0, F.col("toxic").cast("int")))).first()
     assert got[0] > 0.96 and got[1] > 0.85 and got[2] < 0.02, got
