@@ -10,12 +10,14 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fixtures
+from .functions import grids
 from .functions.text import sha256
 from .functions.tokens import Ranked, from_loader
-from .operators import corpus, inference, token_records
+from .operators import corpus, cost, inference, migration, token_records
 from .plans import external, variants
 from .plans.ranges import numbered
-from .queries import _CHATS, SEED, _CORPUS, conversations, corpus_rows, query, tasks
+from .queries import _CHATS, _CORPUS, _KEY_SQL, _TASKS, SEED, conversations, corpus_rows, query, rotated_plan, rotation, task_sizes, tasks
 from .sources import artifacts, files, invariants
 from .sources.shared import new_folder, written
 
@@ -233,3 +235,56 @@ def cache_under_contract(spark, sf_dir):
             refused += 1
     found = token_records.read_cache(spark, path, "validation", "adaptation", _CONTRACT, both)
     return found.agg(F.count("*").alias("records"), F.sum("sequence_length").alias("tokens")).withColumn("refused", lit(refused))
+
+
+# --- tasks and resources ---------------------------------------------------------------------
+
+
+def number() -> F.Column:
+    return F.substr(col("task_id"), lit(2)).cast("long")
+
+
+#: SQL: the number of a task.
+_NUMBER = "cast(substr(task_id, 2) as bigint)"
+
+
+@query("pairs", sql="select task_id, count(*) filter (where split = 'train')::int as train, count(*) filter (where split = 'test')::int as test, sha256(string_agg(concat(split, ':', input_text, '>', output_text), ';' order by split desc, pair_index)) as pairs_sha256 from pairs group by 1")
+def labelled_pairs(spark, sf_dir):
+    """All pairs of every task, train pairs first, each with its split."""
+    shown = F.array_join(F.transform("pairs", lambda p: F.concat(p["split"], lit(":"), grids.grid_text(p["input"], ""), lit(">"), grids.grid_text(p["output"], ""))), ";")
+    of = lambda s: F.size(F.filter("pairs", lambda p: p["split"] == s)).alias(s)
+    return corpus.labelled_pairs(tasks(spark, sf_dir)).select("task_id", of("train"), of("test"), sha256(shown).alias("pairs_sha256"))
+
+
+@query("pairs", sql=f"""select task_id, string_agg(case when {_NUMBER} % 2 = 0 then translate({fixtures.shape("input_text", "cba/fed")}, '0123456789', {fixtures.rotation(f"{_NUMBER} % 10")}) else input_text end, ';' order by split desc, pair_index) as inputs from pairs group by 1""")
+def whole_views(spark, sf_dir):
+    """Every task's pairs under a view: mirrored and recoloured, or as they are where a view has no code."""
+    views = task_sizes(spark, sf_dir).select("task_id", F.when(number() % 2 == 0, "FV").alias("code"), F.when(number() % 2 == 0, rotation(number() % 10)).alias("value_mapping"))
+    return corpus.whole_views(views, tasks(spark, sf_dir)).select("task_id", F.array_join(F.transform("pairs", lambda p: grids.grid_text(p["input"], "")), ";").alias("inputs"))
+
+
+@query("pairs", sql=_TASKS + f"select count(*) as task_count, count_if({_NUMBER} % 3 > 0) as completed_task_count, (64 * count_if({_NUMBER} % 3 > 0))::bigint as optimizer_updates, sum(case when {_NUMBER} % 3 > 0 then n_train * 100 else 0 end)::bigint as processed_tokens, sum(case when {_NUMBER} % 3 > 0 then n_train * 7 else 0 end)::bigint as target_tokens from own")
+def adaptation_totals(spark, sf_dir):
+    """Totals of a run's adapters, a third of which aren't there."""
+    sizes = task_sizes(spark, sf_dir)
+    made = sizes.where(number() % 3 > 0).select("task_id", lit(64).alias("optimizer_updates"), (col("n_pairs") * 100).alias("processed_tokens"), (col("n_pairs") * 7).alias("target_tokens"))
+    return cost.adaptation_summary(made, sizes)
+
+
+@query("pairs", sql=_TASKS + f"""select task_id, case when {_NUMBER} % 2 = 0 then 'legacy_training_2024' else 'training_2025_addition' end as corpus_partition, case {_NUMBER} % 3 when 0 then 'complete' when 1 then 'incomplete' else 'missing' end as hint_status,
+  case when {_NUMBER} % 3 = 0 then 'provided' else 'none' end as hint_mode, {_NUMBER} % 5 = 0 as few_shot_pool from own""")
+def task_manifest(spark, sf_dir):
+    """A row for each task: its partition, hint and place in the pool."""
+    rows = task_sizes(spark, sf_dir).select("task_id")
+    hints = rows.where(number() % 3 < 2).withColumn("status", F.when(number() % 3 == 0, "complete").otherwise("incomplete"))
+    found = migration.task_manifest(rows, rows.where(number() % 2 == 0), hints, rows.where(number() % 5 == 0))
+    return found.select("task_id", "corpus_partition", "hint_status", "hint_mode", "few_shot_pool")
+
+
+@query("pairs", sql=_TASKS + f"""select task_id, 'in one view only' as problem from own where {_NUMBER} % 7 = 0 union all select task_id, 'in training' from own where {_NUMBER} % 11 = 0
+ union all select {_KEY_SQL} as task_id, 'not an augmented key' from own, range(64) as q(v) where false""")
+def validation_pairs(spark, sf_dir):
+    """Validation tasks that have one view only, or are trained on."""
+    rows = task_sizes(spark, sf_dir).select(col("task_id").alias("key"), lit("t").alias("trace"))
+    seen = rotated_plan(spark, sf_dir).where((col("variant_index") == 7) & (number() % 7 > 0)).select(variants.view_key().alias("key"), lit("t").alias("trace"))
+    return migration.validation_problems(rows, seen, task_sizes(spark, sf_dir).where(number() % 11 == 0))
