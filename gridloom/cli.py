@@ -21,7 +21,7 @@ def puzzles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prepare_initial(spark: SparkSession, a: argparse.Namespace) -> None:
-    ids = files.read_task_ids(spark, a.task_ids)
+    ids = files.read_listed_tasks(spark, a.task_ids)
     guards.raise_if_any(files.bad_task_ids(ids), "bad task ids")
     rows = puzzles(spark, a.tasks).join(ids, "task_id")
     if a.hints:
@@ -151,9 +151,9 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     predictions = files.read_lines(spark, a.predictions, schemas.PREDICTION)
     guards.raise_if_any(files.inconsistent_variants(predictions), "inconsistent variants")
     guards.raise_if_any(guards.repeated(predictions, "request_id"), "repeated requests")
-    expected = files.expected_outputs(files.read_tasks(spark, a.tasks))
-    if a.task_ids:
-        expected = expected.join(files.read_task_ids(spark, a.task_ids), "task_id", "left_semi")
+    tasks = files.read_tasks(spark, a.tasks, files.read_task_ids(spark, a.task_ids) if a.task_ids else None)
+    guards.raise_if_any(files.bad_expected(tasks), "test outputs that can't be scored")
+    expected = files.expected_outputs(tasks)
     rows = files.candidates(predictions)
     guards.raise_if_any(guards.missing(rows, expected, "task_id", "test_index"), "candidates without an expected output")
     guards.raise_if_any(guards.missing(expected, rows, "task_id", "test_index"), "test inputs without candidates")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, traces
+from ..functions.grids import is_grid
 from ..functions.text import is_blank, strip
 from . import schemas
 
@@ -66,12 +67,33 @@ def unlabelled_tests(tasks: DataFrame) -> DataFrame:
     return expected_outputs(tasks).where("expected is null").select("task_id", "test_index")
 
 
+def bad_expected(tasks: DataFrame) -> DataFrame:
+    """(task_id, test_index, problem): test outputs that are missing, no rectangle, or of other values than 0 to 9; and tasks without test pairs (no index)."""
+    sound = is_grid(F.col("expected")) & F.forall("expected", lambda row: F.forall(row, lambda v: F.coalesce(v.between(0, 9), F.lit(False))))
+    rows = expected_outputs(tasks).withColumn("problem", F.when(F.col("expected").isNull(), "no output").when(~F.coalesce(sound, F.lit(False)), "bad grid"))
+    none = tasks.where(F.coalesce(F.size("test"), F.lit(0)) <= 0).select("task_id", F.lit(None).cast("int").alias("test_index"), F.lit("no test pairs").alias("problem"))
+    return rows.where("problem is not null").select("task_id", "test_index", "problem").unionByName(none)
+
+
 def read_subset(spark: SparkSession, path: str) -> DataFrame:
     """Task ids of a JSON list of file names: what stands before the first dot."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>", {"mode": "FAILFAST"})).alias("name"))
     return rows.select(F.split_part("name", F.lit("."), F.lit(1)).alias("task_id"))
 
 
+def stem(name: Column) -> Column:
+    """The last part of a path without its last suffix."""
+    return F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"(?<=.)\.[^.]*\z", "")
+
+
+def read_listed_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """Task ids of JSON lines (objects with a task_id, taken as they are), or of a JSON list of task files (their stems)."""
+    if path.endswith(".jsonl"):
+        return read_lines(spark, path, "task_id string")
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>", {"mode": "FAILFAST"})).alias("name"))
+    return rows.select(stem(F.col("name")).alias("task_id"))
+
+
 def read_task_ids(spark: SparkSession, path: str) -> DataFrame:
     """Normalised task ids of a JSON list, or of JSON lines that are objects with a task_id or bare strings; '.json' is stripped."""
     if path.endswith(".jsonl"):

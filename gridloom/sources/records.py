@@ -75,6 +75,15 @@ def external_pairs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("task_id", F.posexplode("pairs").alias("pair_index", "p")).select("task_id", "pair_index", "p.input", "p.output")
 
 
+def bad_external(spark: SparkSession, path: str) -> DataFrame:
+    """(task_id, problem) of generated pair files that are no list, an empty one, or have an entry without input and output grids."""
+    rows = spark.read.text(path, wholetext=True).select(files.file_stem(F.col("_metadata.file_name")).alias("task_id"), F.try_parse_json("value").alias("v"))
+    entries = F.try_variant_get("v", "$", "array<variant>")
+    whole = lambda e: F.try_variant_get(e, "$.input", schemas.GRID).isNotNull() & F.try_variant_get(e, "$.output", schemas.GRID).isNotNull()
+    problem = F.when(entries.isNull(), "no list").when(F.size(entries) == 0, "empty").when(~F.forall(entries, whole), "no pair")
+    return rows.select("task_id", problem.alias("problem")).where("problem is not null")
+
+
 def write_tokens(rows: DataFrame, path: str) -> None:
     """A token cache: Parquet by split, never over an existing one. ``corpus.length_stats`` makes its manifest."""
     rows.write.mode("errorifexists").partitionBy("split").parquet(path)

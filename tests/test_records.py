@@ -5,7 +5,7 @@ import json
 import pytest
 
 from gridloom.operators import token_records
-from gridloom.sources import invariants
+from gridloom.sources import files, invariants, records
 
 SOUND = {
     "request_id": "r", "task_id": "t", "stage": "rewrite", "messages": [{"role": "user", "content": "x"}], "prompt_version": "1", "hint_mode": "none", "few_shot_task_ids": ["a"],
@@ -79,3 +79,21 @@ def test_cache_reads_one_split(spark, tmp_path):
             token_records.read_cache(spark, path, "training", kind, contract, splits)
     with pytest.raises(token_records.OtherCache, match="no manifest"):
         token_records.read_cache(spark, f"{path}2", "training", "k", {})
+
+
+def test_lists_and_pair_files(spark, tmp_path):
+    (tmp_path / "list.json").write_text('["dir/a.json", "b.json", "c.d.json", "e", ".hidden"]')
+    assert [r[0] for r in files.read_listed_tasks(spark, str(tmp_path / "list.json")).collect()] == ["a", "b", "c.d", "e", ".hidden"]
+    (tmp_path / "list.jsonl").write_text('{"task_id": "x.json"}\n\n{"task_id": "y"}\n')
+    assert [r[0] for r in files.read_listed_tasks(spark, str(tmp_path / "list.jsonl")).collect()] == ["x.json", "y"]
+    (tmp_path / "pairs").mkdir()
+    pair = {"input": [[1]], "output": [[2]]}
+    for name, value in {"good": [pair], "empty": [], "object": pair, "half": [pair, {"input": [[1]]}], "text": ["x"]}.items():
+        (tmp_path / "pairs" / f"{name}.json").write_text(json.dumps(value))
+    assert {tuple(r) for r in records.bad_external(spark, str(tmp_path / "pairs")).collect()} == {("empty", "empty"), ("object", "no list"), ("half", "no pair"), ("text", "no pair")}
+
+
+def test_expected_outputs(spark):
+    grid = "array<array<int>>"
+    tasks = spark.createDataFrame([("a", [([[1]], [[2]]), ([[1]], None)]), ("b", [([[1]], [[10]]), ([[1]], [[1], [1, 2]])]), ("c", []), ("d", None), ("e", [([[1]], [[0, 9]])])], f"task_id string, test array<struct<input:{grid},output:{grid}>>")
+    assert {tuple(r) for r in files.bad_expected(tasks).collect()} == {("a", 1, "no output"), ("b", 0, "bad grid"), ("b", 1, "bad grid"), ("c", None, "no test pairs"), ("d", None, "no test pairs")}
