@@ -187,7 +187,7 @@ def sampled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("__toxic").alias("__toxic"))  # a text per sampled id
     first = F.min(F.struct("doc_id", "__toxic"))
     found = rows.groupBy("text").agg(first.alias("first")).select("first.doc_id", "text", (F.col("first.__toxic").cast("int") != 0).alias("toxic"))
-    return materialize(found, "toxicity-sample")
+    return materialize(found.coalesce(16), "toxicity-sample")  # 6000 rows at most: few files
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
