@@ -50,13 +50,20 @@ def pending(tasks: DataFrame, done: DataFrame) -> DataFrame:
 def unsound_adapters(steps: DataFrame, planned: int = 64, codes: int = 8) -> DataFrame:
     """steps: task_id, step, variant_id, code, guidance_status. Tasks whose steps aren't numbered 1 to ``planned``, repeat or lack a variant, don't have the same number of every code, or have one without a guidance status.
 
-    Only counts are kept per task: numbers in a range that are all different and as many as the range is long are the whole range.
+    Only counts are kept per task, and a bit for each step that is there, 32 to a number.
     """
-    per_code = steps.groupBy("task_id", "code").agg(F.count("*").alias("n"), F.min("step").alias("low"), F.max("step").alias("high"), F.count("guidance_status").alias("guided"))
-    balanced = per_code.groupBy("task_id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("guided").alias("guided"), F.count("code").alias("codes"), F.bool_and((F.col("n") == planned // codes) & F.col("code").isNotNull()).alias("even"))
-    different = lambda c: steps.where(F.col(c).isNotNull()).groupBy("task_id", c).agg(F.count("*").alias("k")).groupBy("task_id").agg(F.count("*").alias(c))
-    rows = balanced.join(different("step"), "task_id", "left").join(different("variant_id"), "task_id", "left")
-    whole = (F.col("n") == planned) & (F.col("low") == 1) & (F.col("high") == planned) & (F.col("step") == planned) & (F.col("variant_id") == planned) & (F.col("guided") == planned) & (F.col("codes") == codes) & F.col("even")
+    words = range(0, planned, 32)
+    bit = lambda w: F.when(F.col("step").between(w + 1, min(w + 32, planned)), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("step") - w - 1).cast("int")))
+    per_code = steps.groupBy("task_id", "code").agg(F.count("*").alias("n"), F.min("step").alias("low"), F.max("step").alias("high"), F.count("guidance_status").alias("guided"), *[F.bit_or(bit(w)).alias(f"bits{w}") for w in words])
+    balanced = per_code.groupBy("task_id").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("guided").alias("guided"), F.count("code").alias("codes"), F.bool_and((F.col("n") == planned // codes) & F.col("code").isNotNull()).alias("even"),
+        *[F.bit_or(f"bits{w}").alias(f"bits{w}") for w in words],
+    )
+    different = steps.where(F.col("variant_id").isNotNull()).groupBy("task_id", "variant_id").agg(F.count("*").alias("k")).groupBy("task_id").agg(F.count("*").alias("variant_id"))
+    rows = balanced.join(different, "task_id", "left")
+    whole = (F.col("n") == planned) & (F.col("low") == 1) & (F.col("high") == planned) & (F.col("variant_id") == planned) & (F.col("guided") == planned) & (F.col("codes") == codes) & F.col("even")
+    for w in words:
+        whole = whole & (F.col(f"bits{w}") == (1 << min(32, planned - w)) - 1)
     return rows.where(~F.coalesce(whole, F.lit(False))).select("task_id")
 
 
