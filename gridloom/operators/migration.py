@@ -50,10 +50,13 @@ def validation_problems(original: DataFrame, augmented: DataFrame, training: Dat
     plain, full = validation_views(original, augmented)
     wrong = plain.where(F.contains("task_id", F.lit("_")) | (F.col("task_id") == "")).select("task_id", F.lit("not a plain key").alias("problem"))
     wrong = wrong.unionByName(full.where("augmentation.transformation_code is null").select(F.col("variant_id").alias("task_id"), F.lit("not an augmented key").alias("problem")))
-    twice = [v.groupBy("task_id").agg(F.count("*").alias("n")).where("n > 1").select("task_id", F.lit("twice").alias("problem")) for v in (plain, full)]
-    sides = [a.select("task_id").join(b.select("task_id"), "task_id", "left_anti").select("task_id", F.lit("in one view only").alias("problem")) for a, b in ((plain, full), (full, plain))]
-    both = plain.select("task_id").join(training.select("task_id"), "task_id", "left_semi").select("task_id", F.lit("in training").alias("problem"))
-    out = wrong
-    for p in (*twice, *sides, both):
-        out = out.unionByName(p)
-    return out
+    # a task's rows on each side are counted once; a problem is said for each row of a view that has it
+    side = lambda df, k: df.select("task_id", *[F.lit(int(k == i)).cast("long").alias(n) for i, n in enumerate(("p", "f", "t"))])
+    rows = side(plain, 0).unionByName(side(full, 1)).unionByName(side(training, 2))
+    counts = rows.groupBy("task_id").agg(*[F.sum(n).alias(n) for n in ("p", "f", "t")])
+    p, f = F.col("p"), F.col("f")
+    alone = F.when(F.col("task_id").isNull() | (p == 0) | (f == 0), p + f).otherwise(0)
+    trained = F.when(F.col("task_id").isNotNull() & (F.col("t") > 0), p).otherwise(0)
+    said = lambda what, n: F.array_repeat(F.lit(what), n.cast("int"))
+    found = F.concat(said("twice", (p > 1).cast("int") + (f > 1).cast("int")), said("in one view only", alone), said("in training", trained))
+    return wrong.unionByName(counts.select("task_id", F.explode(found).alias("problem")))
