@@ -27,6 +27,8 @@ from ..functions import chat, grids
 from ..functions.tokens import Tokenizer, flat_ids, scanned_spans
 from . import variants
 
+#: Tasks whose records a Python worker hands over together.
+AT_ONCE = 64
 TAKEN = "array<struct<source_index:int,transformation_code:string,value_mapping:string>>"
 
 
@@ -51,9 +53,9 @@ class Growing:
         text, ids = self.tried
         end = self.settled(text)
         self.open = text[end:]
-        if end:
-            head = self.encode(text[:end])
-            self.kept, ids = self.kept + head, ids[len(head) :]
+        if end:  # the open rest is encoded by itself with the next part, so its ids are what the settled ones leave
+            rest = self.encode(self.open)
+            self.kept, ids = self.kept + ids[: len(ids) - len(rest)], rest
         self.last = ids
 
     def ids(self) -> list[int]:
@@ -117,11 +119,13 @@ def external_split(tasks: DataFrame, load: Callable[[], Any], n_variants: int, m
         known = load()
         types = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.struct([("source_index", pa.int32()), ("transformation_code", pa.string()), ("value_mapping", pa.string())])), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
-            for task, pairs, n in zip(*(c.to_pylist() for c in batch.columns)):
-                made = task_records(task, pairs, known, n_variants, most_pairs, most_tokens, seed) if pairs else [(None, None, [], 0)]
-                wrong = None if made[0][1] else "no_pair_fits" if pairs else "bad_grid"
-                named = [[{"source_index": p, "transformation_code": c, "value_mapping": m} for p, c, m in taken] for _, _, taken, _ in made]
-                rows = [(task, k, v, ids, taken, n, passed, wrong) for k, ((v, ids, _, passed), taken) in enumerate(zip(made, named))]
+            for at in range(0, batch.num_rows, AT_ONCE):
+                rows = []
+                for task, pairs, n in zip(*(c.to_pylist() for c in batch.slice(at, AT_ONCE).columns)):
+                    made = task_records(task, pairs, known, n_variants, most_pairs, most_tokens, seed) if pairs else [(None, None, [], 0)]
+                    wrong = None if made[0][1] else "no_pair_fits" if pairs else "bad_grid"
+                    named = [[{"source_index": p, "transformation_code": c, "value_mapping": m} for p, c, m in taken] for _, _, taken, _ in made]
+                    rows += [(task, k, v, ids, taken, n, passed, wrong) for k, ((v, ids, _, passed), taken) in enumerate(zip(made, named))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["task_id", "place", "variant_id", "input_ids", "pair_augmentations", "source_pairs", "skipped", "status"])
 
     found = rows.mapInArrow(run, form).withColumn("n_pairs", F.size("pair_augmentations")).withColumn("sequence_length", F.coalesce(F.size("input_ids"), F.lit(0)))
