@@ -64,17 +64,20 @@ def flipped(grid: Column, axis: str) -> Column:
 def symmetry(grid: Column, code: Column) -> Column:
     """The grid under the symmetry of each row's code, in any case."""
 
-    def choose(g: Column) -> Column:
+    def choose(g: Column, name: Column) -> Column:
         out = F.lit(None).cast(GRID)
-        for name in reversed(CODES):
-            out = F.when(F.upper(code) == name, SYMMETRIES[name](g)).otherwise(out)
+        for known in reversed(CODES):
+            out = F.when(name == known, SYMMETRIES[known](g)).otherwise(out)
         return F.when(is_grid(g), out)
 
-    return let(grid, choose)
+    return let(F.upper(code), lambda name: let(grid, lambda g: choose(g, name)))
 
 
 def is_permutation(mapping: Column) -> Column:
-    return F.coalesce(mapping.rlike(r"\A[0-9]{10}\z") & (F.size(F.array_distinct(F.split(mapping, ""))) == 10), F.lit(False))
+    good = F.length(mapping) == len(IDENTITY)  # ten characters that hold ten digits
+    for digit in IDENTITY:
+        good = good & F.contains(mapping, F.lit(digit))
+    return F.coalesce(good, F.lit(False))
 
 
 def inverted(mapping: Column) -> Column:
@@ -85,13 +88,19 @@ def inverted(mapping: Column) -> Column:
 def remapped(grid: Column, mapping: Column) -> Column:
     """Cell v becomes digit v of the mapping; cells other than 0 to 9 make the grid invalid."""
 
-    def apply(g: Column) -> Column:
-        digits = F.transform(F.split(mapping, ""), lambda d: d.cast("int"))
-        inside = F.forall(g, lambda row: F.forall(row, lambda v: F.coalesce(v.between(0, 9), F.lit(False))))
-        out = let(digits, lambda to: F.transform(g, lambda row: F.transform(row, lambda v: F.get(to, v))))
-        return F.when(is_grid(g) & is_permutation(mapping) & inside, out)
+    return let(digits(mapping), lambda to: recoloured(grid, to))
 
-    return let(grid, apply)
+
+def digits(mapping: Column) -> Column:
+    """The digits of a mapping; null unless it is a permutation."""
+    return let(mapping, lambda m: F.when(is_permutation(m), F.transform(F.split(m, ""), lambda d: d.cast("int"))))
+
+
+def recoloured(grid: Column, to: Column) -> Column:
+    """``remapped`` by digits; a cell that has none there makes the grid invalid."""
+    out = lambda g: F.when(is_grid(g), F.transform(g, lambda row: F.transform(row, lambda v: F.get(to, v))))
+    whole = lambda g: F.forall(g, lambda row: F.forall(row, lambda v: v.isNotNull()))
+    return let(let(grid, out), lambda g: F.when(whole(g), g))
 
 
 def augmented(grid: Column, code: Column, mapping: Column) -> Column:
@@ -103,11 +112,17 @@ def restored(grid: Column, code: Column, mapping: Column) -> Column:
     """Geometry undone first, values second."""
     undo = F.create_map(*[F.lit(x) for pair in INVERSE.items() for x in pair])
     plain = symmetry(grid, F.try_element_at(undo, F.upper(code)))
-    return let(inverted(mapping), lambda back: remapped(plain, back))
+    places = lambda m: F.when(is_permutation(m), F.transform(F.array(*map(F.lit, IDENTITY)), lambda v: F.instr(m, v) - 1))
+    return let(let(mapping, places), lambda back: recoloured(plain, back))
 
 
 def augmented_pair(pair: Column, code: Column, mapping: Column) -> Column:
-    sides = [augmented(pair[side], code, mapping).alias(side) for side in ("input", "output")]
+    return let(digits(mapping), lambda to: turned_pair(pair, code, to))
+
+
+def turned_pair(pair: Column, code: Column, to: Column) -> Column:
+    """``augmented_pair`` by the ``digits`` of a mapping."""
+    sides = [symmetry(recoloured(pair[side], to), code).alias(side) for side in ("input", "output")]
     return F.struct(*sides)
 
 
@@ -132,4 +147,4 @@ def example_text(pair: Column, number: Column | None = None, delimiter: str = "
 
 def examples_text(pairs: Column, delimiter: str = " ") -> Column:
     """Numbered examples with a blank line between; null if there are none."""
-    return F.when(F.size(pairs) > 0, F.array_join(F.transform(pairs, lambda p, i: example_text(p, i + 1, delimiter)), "\n\n"))
+    return let(pairs, lambda all_: F.when(F.size(all_) > 0, F.array_join(F.transform(all_, lambda p, i: example_text(p, i + 1, delimiter)), "\n\n")))

@@ -18,7 +18,22 @@ def order_indices(order: Column) -> Column:
         return grids.let(parts, lambda p: F.when((bare != "") & F.forall(p, lambda x: x.rlike(r"\A[0-9]{1,9}\z")), F.transform(p, lambda x: x.try_cast("int"))))
 
     indices = grids.let(strip(order), of)
-    return grids.let(indices, lambda i: F.when(F.array_sort(i) == F.sequence(F.lit(0), F.size(i) - 1), i))
+    other = grids.let(indices, lambda i: F.when(F.array_sort(i) == F.sequence(F.lit(0), F.size(i) - 1), i))
+    return F.when(is_plain(order), F.transform(F.split(order, ""), lambda x: x.cast("int"))).otherwise(other)
+
+
+def is_plain(order: Column) -> Column:
+    """Whether an order is of single digits without separators, as keys mostly have them: as many characters, and all the digits below that number."""
+    size = F.length(order)
+    plain = size.between(1, len(grids.IDENTITY))
+    for k, digit in enumerate(grids.IDENTITY):
+        plain = plain & ((size <= k) | F.contains(order, F.lit(digit)))
+    return F.coalesce(plain, F.lit(False))
+
+
+def is_order(order: Column) -> Column:
+    """Whether ``order_indices`` finds an order."""
+    return is_plain(order) | order_indices(order).isNotNull()
 
 
 def order_text(indices: Column) -> Column:
@@ -34,17 +49,20 @@ def ordered(pairs: Column, order: Column) -> Column:
 
 
 def augmented_pairs(pairs: Column, code: Column, mapping: Column, order: Column) -> Column:
-    return F.transform(ordered(pairs, order), lambda p: grids.augmented_pair(p, code, mapping))
+    return grids.let(grids.digits(mapping), lambda to: F.transform(ordered(pairs, order), lambda p: grids.turned_pair(p, code, to)))
 
 
 def parsed_key(key: Column) -> Column:
     """``task`` or ``task_CODE_mapping_order``; null for anything else. Codes are case-sensitive here."""
-    parts = F.split(key, "_", -1)
-    at = lambda k: F.get(parts, F.lit(k))
-    plain = F.struct(at(0).alias("task_id"), *[F.lit(None).cast("string").alias(c) for c in ("code", "value_mapping", "order_mapping")])
-    full = F.struct(at(0).alias("task_id"), at(1).alias("code"), at(2).alias("value_mapping"), at(3).alias("order_mapping"))
-    good = at(1).isin(*grids.CODES) & grids.is_permutation(at(2)) & order_indices(at(3)).isNotNull() & (at(0) != "")
-    return F.when((F.size(parts) == 1) & (key != ""), plain).when((F.size(parts) == 4) & good, full)
+
+    def of(parts: Column) -> Column:
+        at = lambda k: F.get(parts, F.lit(k))
+        plain = F.struct(at(0).alias("task_id"), *[F.lit(None).cast("string").alias(c) for c in ("code", "value_mapping", "order_mapping")])
+        full = F.struct(at(0).alias("task_id"), at(1).alias("code"), at(2).alias("value_mapping"), at(3).alias("order_mapping"))
+        good = at(1).isin(*grids.CODES) & grids.let(at(2), grids.is_permutation) & grids.let(at(3), is_order) & (at(0) != "")
+        return F.when((F.size(parts) == 1) & (at(0) != ""), plain).when((F.size(parts) == 4) & good, full)
+
+    return grids.let(F.split(key, "_", -1), of)
 
 
 def is_augmented(key: Column) -> Column:
