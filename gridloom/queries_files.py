@@ -147,7 +147,7 @@ def plan_lines(spark, sf_dir):
     """A plan as records by key, read back and numbered anew."""
     path = new_folder(spark, "plan-lines")
     files.write_lines(rotated_plan(spark, sf_dir).select(variants.view_key().alias("key"), col("variant_index").alias("at")), path)
-    back = files.read_lines(spark, path, "key string, at int").withColumn("k", keys.parsed_key(col("key"))).select("key", "at", "k.task_id", "k.code")
+    back = files.read_lines(spark, path, "key string, at int").select("key", "at", F.inline(F.array(keys.parsed_key(col("key"))))).select("key", "at", "task_id", "code")
     return variants.renumbered(back).select("key", "variant_index")
 
 
