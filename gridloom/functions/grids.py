@@ -6,6 +6,8 @@ null; ``checked`` turns such a null into an error.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,11 +142,68 @@ def parsed_grid(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda line: F.transform(F.split(line, ""), lambda d: d.cast("int")))
 
 
-def example_text(pair: Column, number: Column | None = None, delimiter: str = " ") -> Column:
+def is_grid_text(text: Column) -> Column:
+    """Whether a text is lines of digits, of one width."""
+    digits_only = F.call_function("translate", text, F.lit(IDENTITY + "\n"), F.lit("")) == ""
+    even = let(F.split(text, "\n"), lambda lines: let(F.length(F.get(lines, F.lit(0))), lambda w: (w > 0) & F.forall(lines, lambda line: F.length(line) == w)))
+    return F.coalesce(digits_only & even, F.lit(False))
+
+
+def text_columns(lines: Column) -> Column:
+    """The columns of a grid's lines, as lines."""
+    places = F.sequence(F.lit(1), F.length(F.get(lines, F.lit(0))))
+    return F.transform(places, lambda j: F.array_join(F.transform(lines, lambda line: F.substr(line, j, F.lit(1))), ""))
+
+
+def eight(lines: Column, columns: Column) -> Column:
+    """The texts of the eight symmetries, as of ``CODES``, from a grid's lines and its columns: read backwards, a text is that of a half turn."""
+    bases = F.array(*[F.array_join(x, "\n") for s in (lines, columns) for x in (s, F.reverse(s))])
+    g, up, across, up_across = range(4)  # as it is, upside down, transposed, transposed and then upside down
+    picks = ((g, False), (up_across, True), (g, True), (up_across, False), (up, False), (up, True), (across, False), (across, True))
+    return let(bases, lambda b: F.array(*[F.reverse(F.get(b, F.lit(k))) if back else F.get(b, F.lit(k)) for k, back in picks]))
+
+
+def symmetric_texts(text: Column) -> Column:
+    """The texts of a grid's text under the eight symmetries, in the order of ``CODES``: digits are moved as characters, any other text is parsed."""
+    moved = lambda t: let(F.split(t, "\n"), lambda lines: eight(lines, text_columns(lines)))
+    parsed = lambda t: let(parsed_grid(t), lambda g: F.array(*[grid_text(symmetry(g, F.lit(code)), "") for code in CODES]))
+    return let(text, lambda t: F.when(is_grid_text(t), moved(t)).otherwise(parsed(t)))
+
+
+def turned_text(text: Column, code: Column) -> Column:
+    """The text of a grid's text under one symmetry, by each row's code."""
+
+    def moved(t: Column, name: Column, lines: Column) -> Column:
+        down = lambda rows: F.array_join(rows, "\n")
+        up, across = down(F.reverse(lines)), text_columns(lines)
+        known = {"ID": t, "R90": F.reverse(down(F.reverse(across))), "R180": F.reverse(t), "R270": down(F.reverse(across)), "FH": up, "FV": F.reverse(up), "FD1": down(across), "FD2": F.reverse(down(across))}
+        out = F.lit(None).cast("string")
+        for k in reversed(CODES):
+            out = F.when(name == k, known[k]).otherwise(out)
+        return out
+
+    def of(t: Column, name: Column) -> Column:
+        return F.when(is_grid_text(t), let(F.split(t, "\n"), lambda lines: moved(t, name, lines))).otherwise(grid_text(symmetry(parsed_grid(t), name), ""))
+
+    return let(text, lambda t: let(F.upper(code), lambda name: of(t, name)))
+
+
+def turned_texts(grid: Column, delimiter: str = "") -> Column:
+    """The texts of a grid of digits under the eight symmetries, in the order of ``CODES``; null for other grids."""
+    if len(delimiter) > 1:
+        raise ValueError("texts are read backwards, so a delimiter is one character at most")
+    sound = lambda g: is_grid(g) & F.forall(g, lambda row: F.forall(row, lambda v: F.coalesce(v.between(0, 9), F.lit(False))))
+    line = lambda cells: F.array_join(F.transform(cells, lambda v: v.cast("string")), delimiter)
+    columns = lambda g: F.transform(transposed(g), line)
+    return let(grid, lambda g: F.when(sound(g), eight(F.transform(g, line), columns(g))))
+
+
+def example_text(pair: Column, number: Column | None = None, delimiter: str = " ", shown: Callable[[Column], Column] | None = None) -> Column:
     head = [F.concat(F.lit("Example "), number.cast("string"))] if number is not None else []
-    return F.concat_ws("\n", *head, F.lit("Input:"), grid_text(pair["input"], delimiter), F.lit("Output:"), grid_text(pair["output"], delimiter))
+    shown = shown or (lambda grid: grid_text(grid, delimiter))
+    return F.concat_ws("\n", *head, F.lit("Input:"), shown(pair["input"]), F.lit("Output:"), shown(pair["output"]))
 
 
-def examples_text(pairs: Column, delimiter: str = " ") -> Column:
-    """Numbered examples with a blank line between; null if there are none."""
-    return let(pairs, lambda all_: F.when(F.size(all_) > 0, F.array_join(F.transform(all_, lambda p, i: example_text(p, i + 1, delimiter)), "\n\n")))
+def examples_text(pairs: Column, delimiter: str = " ", shown: Callable[[Column], Column] | None = None) -> Column:
+    """Numbered examples with a blank line between; null if there are none. ``shown``: how a side is written, if it isn't a grid."""
+    return let(pairs, lambda all_: F.when(F.size(all_) > 0, F.array_join(F.transform(all_, lambda p, i: example_text(p, i + 1, delimiter, shown)), "\n\n")))
