@@ -13,11 +13,20 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
+#: Any character that isn't white space: found at once in most texts.
+NOT_BLANK = BLANK.replace("[", "[^", 1)
+
 
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
 
 
+def bare(text: Column) -> Column:
+    """``strip`` that leaves a text alone whose ends are plain ASCII."""
+    plain = lambda c: F.ascii(c).between(33, 126)
+    return F.when(plain(text) & plain(F.right(text, F.lit(1))), text).otherwise(strip(text))
+
+
 def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text) == "", F.lit(True))
 

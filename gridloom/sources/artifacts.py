@@ -17,10 +17,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.ranges import numbered
-from ..functions.text import is_blank, strip
+from ..plans.ranges import numbered, summed
+from ..functions.text import NOT_BLANK, bare, is_blank, strip
 from .files import file_stem, sorted_json
-from .shared import exists, renamed, write_text
+from .shared import exists, renamed, write_text, written
 
 ROWS, FAN = 10_000, 256
 
@@ -135,10 +135,15 @@ def malformed_places(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ordered_ids(spark: SparkSession, path: str) -> DataFrame:
     """(task_id, ordinal): the ids of JSON lines (strings, or objects with a task_id) in the order of files and lines; '.json' is stripped."""
-    line = strip(F.col("value"))
+    rows = spark.read.text(path).where(F.col("value").rlike(NOT_BLANK))
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), bare(F.col("value")).alias("line"))
+    line = F.col("line")
     name = F.when(F.startswith(line, F.lit("{")), F.get_json_object(line, "$.task_id")).otherwise(F.get(F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<string>"), F.lit(0)))
-    rows = numbered_lines(spark, path).where(~is_blank(F.col("value"))).select("file", "line", F.regexp_replace(strip(name), r"\.json\z", "").alias("task_id"))
-    return numbered(rows, "file", "line").select("task_id", "ordinal")
+    rows = rows.select("file", "start", name.alias("name"), F.monotonically_increasing_id().alias("at"))
+    ids = written(rows.select("file", "start", "at", F.regexp_replace(strip(F.col("name")), r"\.json\z", "").alias("task_id")), "ids")  # texts are read once
+    blocks = ids.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    placed = ids.join(summed(blocks, ["file", "start"], F.col("n")), ["file", "start"])
+    return placed.select("task_id", (F.col("before") + F.col("at") - F.col("first")).alias("ordinal"))
 
 
 def chosen(rows: DataFrame, ids: DataFrame) -> DataFrame:
