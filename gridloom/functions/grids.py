@@ -72,7 +72,12 @@ def symmetry(grid: Column, code: Column) -> Column:
             out = F.when(name == known, SYMMETRIES[known](g)).otherwise(out)
         return F.when(is_grid(g), out)
 
-    return let(F.upper(code), lambda name: let(grid, lambda g: choose(g, name)))
+    return let(code_name(code), lambda name: let(grid, lambda g: choose(g, name)))
+
+
+def code_name(code: Column) -> Column:
+    """A code in upper case, as it nearly always is already: Spark's ``upper`` knows all languages and takes its time."""
+    return let(code, lambda c: F.when(c.isin(*CODES), c).otherwise(F.upper(c)))
 
 
 def is_permutation(mapping: Column) -> Column:
@@ -113,7 +118,7 @@ def augmented(grid: Column, code: Column, mapping: Column) -> Column:
 def restored(grid: Column, code: Column, mapping: Column) -> Column:
     """Geometry undone first, values second."""
     undo = F.create_map(*[F.lit(x) for pair in INVERSE.items() for x in pair])
-    plain = symmetry(grid, F.try_element_at(undo, F.upper(code)))
+    plain = symmetry(grid, F.try_element_at(undo, code_name(code)))
     places = lambda m: F.when(is_permutation(m), F.transform(F.array(*map(F.lit, IDENTITY)), lambda v: F.instr(m, v) - 1))
     return let(let(mapping, places), lambda back: recoloured(plain, back))
 
@@ -185,7 +190,7 @@ def turned_text(text: Column, code: Column) -> Column:
     def of(t: Column, name: Column) -> Column:
         return F.when(is_grid_text(t), let(F.split(t, "\n"), lambda lines: moved(t, name, lines))).otherwise(grid_text(symmetry(parsed_grid(t), name), ""))
 
-    return let(text, lambda t: let(F.upper(code), lambda name: of(t, name)))
+    return let(text, lambda t: let(code_name(code), lambda name: of(t, name)))
 
 
 def turned_texts(grid: Column, delimiter: str = "") -> Column:

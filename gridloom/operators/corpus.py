@@ -7,11 +7,13 @@ off per task before the shuffle (group limit).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import keys, traces
+from ..functions import grids, keys, traces
 from ..functions.text import score
 
 
@@ -85,6 +87,24 @@ def materialised(views: DataFrame, tasks: DataFrame) -> DataFrame:
     return rows.withColumn("pairs", keys.augmented_pairs(F.col("train"), F.col("code"), F.col("value_mapping"), F.col("order_mapping"))).drop("train")
 
 
+def symmetric_texts(tasks: DataFrame, turned: Callable[[Column], Column] = grids.turned_texts) -> DataFrame:
+    """(task_id, __turned): of each train pair the texts of its sides under the eight symmetries; null for grids that aren't of digits 0 to 9. ``turned`` makes a side's eight texts."""
+    sides = lambda p: F.struct(*[turned(p[side]).alias(side) for side in ("input", "output")])
+    return tasks.select("task_id", F.transform("train", sides).alias("__turned"))
+
+
+def materialised_texts(views: DataFrame, tasks: DataFrame, turned: Callable[[Column], Column] = grids.turned_texts) -> DataFrame:
+    """``materialised`` with the sides of its pairs as texts. Grids are turned and written once for a task and symmetry; a view
+    picks its symmetry, puts the pairs in order and changes the texts' digits. A part's turned texts are held while its views pass."""
+    rows = views.join(symmetric_texts(tasks, turned).hint("shuffle_hash"), "task_id")
+    place = F.array_position(F.array(*map(F.lit, grids.CODES)), grids.code_name(F.col("code"))).cast("int") - 1
+    mapping = F.when(grids.is_permutation(F.col("value_mapping")), F.col("value_mapping"))
+    rows = rows.withColumn("__at", place).withColumn("__to", mapping)
+    text = lambda texts: F.call_function("translate", F.get(texts, F.col("__at")), F.lit(grids.IDENTITY), F.col("__to"))
+    pairs = F.transform(keys.ordered(F.col("__turned"), F.col("order_mapping")), lambda p: F.struct(*[text(p[side]).alias(side) for side in ("input", "output")]))
+    return rows.withColumn("pairs", pairs).drop("__turned", "__at", "__to")
+
+
 def labelled_pairs(tasks: DataFrame) -> DataFrame:
     """Train pairs, then test pairs, each with its split, as ``pairs`` of one row per task."""
     side = lambda name: F.transform(name, lambda p: F.struct(p["input"].alias("input"), p["output"].alias("output"), F.lit(name).alias("split")))

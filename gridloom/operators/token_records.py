@@ -77,25 +77,12 @@ def planned_records(plan: DataFrame, tasks: DataFrame, guidance: DataFrame, most
     symmetry, puts the pairs in order and changes the texts' digits.
     """
     said = guidance.select("task_id", "variant_index", F.col("status").alias("guidance_status"), F.col("content").alias("guidance"))
-    # views meet their guidance first, as few bytes; a part's turned texts are held while its views pass
-    rows = plan.join(said, ["task_id", "variant_index"]).join(symmetric_texts(tasks).hint("shuffle_hash"), "task_id")
-    mapping = F.when(grids.is_permutation(F.col("value_mapping")), F.col("value_mapping"))
-    coloured = lambda text: F.call_function("translate", text, F.lit(grids.IDENTITY), mapping)
-    turned = F.get("__turned", F.array_position(F.array(*map(F.lit, grids.CODES)), F.upper("code")).cast("int") - 1)
-    pairs = F.transform(keys.ordered(turned, F.col("order_mapping")), lambda p: F.struct(*[coloured(p[side]).alias(side) for side in ("input", "output")]))
+    rows = corpus.materialised_texts(plan.join(said, ["task_id", "variant_index"]), tasks)  # views meet their guidance first, as few bytes
     name = keys.made_key(F.col("task_id"), F.col("code"), F.col("value_mapping"), F.col("order_mapping"))
-    rows = rows.withColumn("pairs", pairs).withColumn("variant_id", name).drop("__turned")
+    rows = rows.withColumn("variant_id", name)
     return told_records(rows, chat.spoken(F.col("pairs"), F.col("guidance"), lambda text: text), most, skip_first, tokenizer)
 
 
-def symmetric_texts(tasks: DataFrame, delimiter: str = "") -> DataFrame:
-    """(task_id, __turned): for each of the eight symmetries, the texts of a task's train pairs under it; null for grids that aren't of digits 0 to 9."""
-    sound = lambda g: F.forall(g, lambda row: F.forall(row, lambda v: F.coalesce(v.between(0, 9), F.lit(False))))
-    shown = lambda g, code: F.when(sound(g), grids.grid_text(grids.symmetry(g, F.lit(code)), delimiter))
-    turned = F.array(*[F.transform("train", lambda p: F.struct(*[shown(p[side], code).alias(side) for side in ("input", "output")])) for code in grids.CODES])  # noqa: B023
-    return tasks.select("task_id", turned.alias("__turned"))
-
-
 def unplanned(plan: DataFrame, tasks: DataFrame, per_task: int) -> DataFrame:
     """Tasks without exactly ``per_task`` planned views, and planned tasks that aren't in the run."""
     counts = plan.groupBy("task_id").agg(F.count("*").alias("n"))
