@@ -28,6 +28,8 @@ OPEN, CLOSE, DESCRIPTION, STEPS = SECTIONS[0], SECTIONS[5], SECTIONS[6], SECTION
 #: Markers of the chat template that may precede or follow a predicted grid.
 CHAT_MARKERS = ("<|im_end|>", "<|im_start|>")
 VOTES = 5
+#: What a chat header leaves before a grid.
+NAMED = "assistant\n"
 
 
 def normalised(trace: Column) -> Column:
@@ -129,7 +131,7 @@ def predicted_grid(text: Column, most_rows: int = 30, most_columns: int = 30) ->
         bare = F.replace(bare, F.lit(marker))
 
     def of_lines(lines: Column) -> Column:
-        named = F.lower(strip(F.get(lines, F.lit(0)))) == "assistant"
+        named = let(strip(F.get(lines, F.lit(0))), lambda x: (F.length(x) == len("assistant")) & (F.lower(x) == "assistant"))
         return F.transform(F.slice(lines, F.when(named, 2).otherwise(1), F.size(lines)), strip)
 
     def of_rows(lines: Column) -> Column:
@@ -149,10 +151,24 @@ def predicted_grid(text: Column, most_rows: int = 30, most_columns: int = 30) ->
         cells = lambda: F.transform(rows, lambda x: F.transform(F.split(x, ""), lambda d: d.cast("int")))
         return let(status, lambda s: F.struct(s.alias("status"), F.when(s == "ok", cells()).cast(GRID).alias("grid")))
 
+    found = lambda rows, empty: F.struct(rows.alias("rows"), empty.alias("empty"))
+
     def whole(t: Column) -> Column:
-        return let(let(of_lines(F.split(t, LINE_END, -1)), of_rows), lambda rows: judged(rows, t == ""))
+        return found(let(of_lines(F.split(t, LINE_END, -1)), of_rows), t == "")
+
+    def plain(rest: Column, named: Column) -> Column:
+        # digits and line ends only, as most completions are: no pattern is needed
+        lines = F.split(F.when(named, F.rtrim(rest, F.lit("\n"))).otherwise(F.trim(rest, F.lit("\n"))), "\n")
+        lead = lambda x: let(F.array_position(x, F.lit("")), lambda k: F.when(k > 0, F.slice(x, F.lit(1), (k - 1).cast("int"))).otherwise(x))
+        return found(let(lines, lead), ~named & (F.call_function("translate", rest, F.lit("\n"), F.lit("")) == ""))
+
+    def of(b: Column) -> Column:
+        named = F.startswith(b, F.lit(NAMED))
+        rest = F.when(named, F.substr(b, F.lit(len(NAMED) + 1))).otherwise(b)
+        digits_only = lambda r: F.call_function("translate", r, F.lit("0123456789\n"), F.lit("")) == ""
+        return let(rest, lambda r: F.when(digits_only(r), plain(r, named)).otherwise(let(strip(b), whole)))
 
-    return let(strip(bare), whole)
+    return let(let(bare, of), lambda f: judged(f["rows"], f["empty"]))
 
 
 def hint_status(*fields: Column) -> Column:

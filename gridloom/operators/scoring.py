@@ -2,8 +2,8 @@
 
 candidates: task_id, test_index, request_id, sample_index, code, value_mapping,
 text.  expected: task_id, test_index, expected.  Candidates meet the expected
-grids on (task_id, test_index), and every later aggregation is on a prefix of
-that key, so one shuffle of candidates carries the whole roll-up.
+grids of their task, and every later aggregation is by task and more, so one
+shuffle by task carries the whole roll-up.
 """
 
 from __future__ import annotations
@@ -28,7 +28,10 @@ def scored(candidates: DataFrame, expected: DataFrame) -> DataFrame:
     """Candidates with status, the restored grid and whether it is the expected one; a candidate that doesn't parse is wrong."""
     parsed = candidates.withColumn("parsed", traces.predicted_grid(F.col("text")))
     parsed = parsed.withColumn("status", F.col("parsed.status")).withColumn("restored", grids.restored(F.col("parsed.grid"), F.col("code"), F.col("value_mapping")))
-    joined = parsed.join(expected, ["task_id", "test_index"])
+    # by task alone: rows that are dealt by task stay where they are, and candidates aren't sorted to meet the few grids of their task
+    tests = expected.groupBy("task_id").agg(F.collect_list(F.struct("test_index", "expected")).alias("__tests"))
+    own = F.filter("__tests", lambda t: t["test_index"] == F.col("test_index"))
+    joined = parsed.join(tests.hint("shuffle_hash"), "task_id").withColumn("__test", F.explode(own)).withColumn("expected", F.col("__test.expected")).drop("__tests", "__test")
     right = F.col("restored").isNotNull() & F.col("restored").eqNullSafe(F.col("expected"))
     return joined.withColumn("is_parsed", F.col("status") == "ok").withColumn("correct", right).drop("parsed")
 
