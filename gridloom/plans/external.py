@@ -9,7 +9,7 @@ change are kept, and only the rest is encoded again with each offer.
 
 Everything about a task follows from its own pairs and the seed, so tasks are dealt
 over the cluster and a lost one is made again.  Symmetries and grid texts are
-made in the JVM; the kernel draws, joins texts and encodes.  Target spans are found among the ids by expressions.
+made in the JVM; the kernel draws, joins texts and encodes.  Target spans are found among the ids where these are made.
 """
 
 from __future__ import annotations
@@ -24,12 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chat, grids
-from ..functions.tokens import Tokenizer, flat_ids, scanned_spans
+from ..functions.tokens import Tokenizer, flat_ids, spans_finder
 from . import variants
 
 #: Tasks whose records a Python worker hands over together.
 AT_ONCE = 64
+PLACE = {code: k for k, code in enumerate(grids.CODES)}
 TAKEN = "array<struct<source_index:int,transformation_code:string,value_mapping:string>>"
+#: The same as Arrow's fields, and those of a record.
+FIELDS = {
+    "pair_augmentations": [pa.field("source_index", pa.int32()), pa.field("transformation_code", pa.string()), pa.field("value_mapping", pa.string())],
+    "assistant_spans": [pa.field("start", pa.int32()), pa.field("end", pa.int32())],
+}
+SCHEMA = pa.schema([
+    ("task_id", pa.string()), ("place", pa.int32()), ("variant_id", pa.string()), ("input_ids", pa.list_(pa.int32())), ("pair_augmentations", pa.list_(pa.struct(FIELDS["pair_augmentations"]))), ("source_pairs", pa.int32()),
+    ("skipped", pa.int32()), ("status", pa.string()), ("sequence_length", pa.int32()), ("n_pairs", pa.int32()), ("assistant_spans", pa.list_(pa.struct(FIELDS["assistant_spans"]))),
+])
 
 
 class Growing:
@@ -39,18 +49,30 @@ class Growing:
         self.encode = lambda text: flat_ids(tokenizer.encode(text))
         #: How many characters of a text have ids that nothing after it changes; without this, all is encoded each time.
         self.settled = getattr(tokenizer, "settled", lambda text: 0)
+        #: All of this at once, by a tokenizer that can: ids of what is settled and of the rest, and where that begins.
+        self.pieced = getattr(tokenizer, "pieced", None)
         self.kept: list[int] = []
         self.last: list[int] = []
         self.open, self.tried = "", ("", self.last)
+        self.settling: tuple[list[int], list[int], int] | None = None
 
     def offered(self, part: str) -> int:
         """The number of ids with this part."""
         text = self.open + part
+        if self.pieced:
+            settled, rest, _ = self.settling = self.pieced(text)
+            self.tried = text, rest
+            return len(self.kept) + len(settled) + len(rest)
         self.tried = text, self.encode(text)
         return len(self.kept) + len(self.tried[1])
 
     def take(self) -> None:
         text, ids = self.tried
+        if self.settling:
+            settled, self.last, end = self.settling
+            self.kept += settled
+            self.open = text[end:]
+            return
         end = self.settled(text)
         self.open = text[end:]
         if end:  # the open rest is encoded by itself with the next part, so its ids are what the settled ones leave
@@ -81,14 +103,13 @@ def filled(offers: Iterator[tuple[int, int, str]], block: Callable, growing: Gro
 
 
 def task_records(task: str, turned: list, tokenizer: Any, n_variants: int, most_pairs: int, most_tokens: int, seed: int) -> list[tuple]:
-    """(variant_id, ids, taken, passed) of a task's variants in their final order. turned: of each pair, the texts (input, output) under the eight symmetries."""
+    """(variant_id, ids, taken, passed) of a task's variants in their final order. turned: of each pair, the texts of the input under the eight symmetries, then those of the output."""
     rng = random.Random(variants.seeded(seed, variants.PACKING, task))
-    index = {code: k for k, code in enumerate(grids.CODES)}
     offers = ((pair, rng.choice(grids.CODES), variants.drawn_mapping(rng)) for pair in itertools.cycle(range(len(turned))))
 
     def block(pair: int, code: str, mapping: str) -> str:
-        texts, colours = turned[pair][index[code]], str.maketrans(grids.IDENTITY, mapping)
-        return f"{chat.USER}{texts['i'].translate(colours)}{chat.END}{chat.ASSISTANT}{texts['o'].translate(colours)}{chat.END}"
+        texts, at, colours = turned[pair], PLACE[code], str.maketrans(grids.IDENTITY, mapping)
+        return f"{chat.USER}{texts[at].translate(colours)}{chat.END}{chat.ASSISTANT}{texts[at + len(PLACE)].translate(colours)}{chat.END}"
 
     out = []
     for k in range(n_variants if turned else 0):
@@ -101,37 +122,48 @@ def task_records(task: str, turned: list, tokenizer: Any, n_variants: int, most_
     return out
 
 
+def lists(items: list, type_: pa.DataType, fields: list[pa.Field] | None = None) -> pa.Array:
+    """A column of lists, of None too; with fields, of tuples of such fields."""
+    ends = list(itertools.accumulate(map(len, (x or () for x in items)), initial=0))
+    flat = list(itertools.chain.from_iterable(x for x in items if x))
+    if fields:
+        values = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], f.type) for k, f in enumerate(fields)], fields=fields)
+    else:
+        values = pa.array(flat, type_.value_type)
+    offsets = [None if x is None else at for x, at in zip(items, ends)]
+    return pa.ListArray.from_arrays(pa.array([*offsets, ends[-1]], pa.int32()), values)
+
+
 def external_split(tasks: DataFrame, load: Callable[[], Any], n_variants: int, most_pairs: int, most_tokens: int, seed: int, tokenizer: Tokenizer, delimiter: str = "") -> DataFrame:
     """tasks: task_id, pairs (input, output). Token records of the packed variants.
 
-    load: makes the tokenizer in a task (``encode(text)`` and, if it has it, ``settled(text)``); tokenizer: the same
+    load: makes the tokenizer in a task (``encode(text)`` and, if it has them, ``settled(text)`` and ``pieced(text)``); tokenizer: the same
     for the markers.  Per record: task_id, place (in the task's final order), variant_id, input_ids,
     sequence_length, assistant_spans, n_pairs, pair_augmentations, source_pairs, skipped (offers too long for an empty variant)
     and status: that of the spans, ``no_pair_fits`` (one row, without ids, for such a task) or ``bad_grid``.
     """
-    texts = lambda p: F.array(*[F.struct(*[grids.grid_text(grids.symmetry(p[side], F.lit(code)), delimiter).alias(side[0]) for side in ("input", "output")]) for code in grids.CODES])
-    turned = F.transform("pairs", texts)
-    sound = F.forall(turned, lambda t: F.forall(t, lambda s: s["i"].isNotNull() & s["o"].isNotNull())) & (F.size("pairs") > 0)
-    rows = variants.dealt(tasks.select("task_id", F.when(F.coalesce(sound, F.lit(False)), turned).alias("turned"), F.coalesce(F.size("pairs"), F.lit(0)).alias("n")))
-    form = f"task_id string, place int, variant_id string, input_ids array<int>, pair_augmentations {TAKEN}, source_pairs int, skipped int, status string"
+    slow = lambda g: F.array(*[grids.grid_text(grids.symmetry(g, F.lit(code)), delimiter) for code in grids.CODES])
+    eight = (lambda g: F.coalesce(grids.turned_texts(g, delimiter), slow(g))) if len(delimiter) < 2 else slow
+    rows = variants.dealt(tasks.select("task_id", "pairs"))  # as they are: turned texts are eight times as many
+    rows = rows.withColumn("turned", F.transform("pairs", lambda p: F.concat(eight(p["input"]), eight(p["output"]))))
+    sound = F.forall("turned", lambda t: F.forall(t, lambda s: s.isNotNull())) & (F.size("pairs") > 0)
+    rows = rows.select("task_id", F.when(F.coalesce(sound, F.lit(False)), F.col("turned")).alias("turned"), F.coalesce(F.size("pairs"), F.lit(0)).alias("n"))
+    form = f"task_id string, place int, variant_id string, input_ids array<int>, pair_augmentations {TAKEN}, source_pairs int, skipped int, status string, sequence_length int, n_pairs int, assistant_spans {chat.SPAN}"
+    spans_of = spans_finder(tokenizer.encode)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = load()
-        types = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.struct([("source_index", pa.int32()), ("transformation_code", pa.string()), ("value_mapping", pa.string())])), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 rows = []
                 for task, pairs, n in zip(*(c.to_pylist() for c in batch.slice(at, AT_ONCE).columns)):
                     made = task_records(task, pairs, known, n_variants, most_pairs, most_tokens, seed) if pairs else [(None, None, [], 0)]
-                    wrong = None if made[0][1] else "no_pair_fits" if pairs else "bad_grid"
-                    named = [[{"source_index": p, "transformation_code": c, "value_mapping": m} for p, c, m in taken] for _, _, taken, _ in made]
-                    rows += [(task, k, v, ids, taken, n, passed, wrong) for k, ((v, ids, _, passed), taken) in enumerate(zip(made, named))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["task_id", "place", "variant_id", "input_ids", "pair_augmentations", "source_pairs", "skipped", "status"])
-
-    found = rows.mapInArrow(run, form).withColumn("n_pairs", F.size("pair_augmentations")).withColumn("sequence_length", F.coalesce(F.size("input_ids"), F.lit(0)))
-    scan = scanned_spans(F.lit(None).cast("string"), F.col("input_ids"), F.col("n_pairs"), F.lit(False), tokenizer)
-    found = found.withColumn("__scan", scan)
-    return found.withColumn("status", F.coalesce("status", "__scan.status")).withColumn("assistant_spans", F.col("__scan.spans")).drop("__scan")
+                    for k, (v, ids, taken, passed) in enumerate(made):
+                        spans, status = ([], "no_pair_fits" if pairs else "bad_grid") if ids is None else spans_of(ids, len(taken))
+                        rows.append((task, k, v, ids, taken, n, passed, status, len(ids or ()), len(taken), spans))
+                yield pa.RecordBatch.from_arrays([lists(c, f.type, FIELDS.get(f.name)) if pa.types.is_list(f.type) else pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
+
+    return rows.mapInArrow(run, form)
 
 
 def split_statistics(records: DataFrame) -> DataFrame:

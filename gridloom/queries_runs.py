@@ -5,6 +5,7 @@ What a model would say is a digest of all that it was asked with, so the SQL can
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- splits -----------------------------------------------------------------------------
 
 
+@functools.cache
 def ranked() -> Ranked:
-    """The tokenizer of the registered queries: ids of joined texts aren't the joined ids."""
+    """The tokenizer of the registered queries, loaded once a process: ids of joined texts aren't the joined ids."""
     import public_tokenizers
 
-    return Ranked(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return Ranked(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, by_lines=True)
 
 
 def packed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
