@@ -147,8 +147,10 @@ def request_lines(spark, sf_dir):
 def plan_lines(spark, sf_dir):
     """A plan as records by key, read back and numbered anew."""
     path = new_folder(spark, "plan-lines")
-    files.write_lines(rotated_plan(spark, sf_dir).select(variants.view_key().alias("key"), col("variant_index").alias("at")), path)
-    back = files.read_lines(spark, path, "key string, at int").select("key", "at", F.inline(F.array(keys.parsed_key(col("key"))))).select("key", "at", "task_id", "code")
+    files.write_lines(rotated_plan(spark, sf_dir).select(variants.view_key().alias("key"), col("variant_index").alias("at")), path, compression="gzip")
+    task = F.substring_index("key", "_", 1)
+    back = files.read_lines(spark, path, "key string, at int").repartition(fixtures.view_parts(spark, sf_dir), task)  # keys alone, a task's side by side: their parts are taken from them where they meet
+    back = back.select("key", "at", task.alias("task_id"), F.inline(F.array(F.struct(keys.parsed_key(col("key"))["code"].alias("code")))))
     return variants.renumbered(back).select("key", "variant_index")
 
 

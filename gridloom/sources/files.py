@@ -131,9 +131,9 @@ def read_existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_lines(spark, path, schema) if there else spark.createDataFrame([], schema)
 
 
-def write_lines(df: DataFrame, path: str, replace: bool = False) -> None:
-    """JSON lines with null fields left out."""
-    df.write.mode("overwrite" if replace else "errorifexists").option("ignoreNullFields", "true").json(path)
+def write_lines(df: DataFrame, path: str, replace: bool = False, compression: str | None = None) -> None:
+    """JSON lines with null fields left out; compressed files (``gzip``) are read back alike, each by one task."""
+    df.write.mode("overwrite" if replace else "errorifexists").option("ignoreNullFields", "true").json(path, compression=compression)
 
 
 def sorted_json(*columns: str) -> Column:
