@@ -87,16 +87,16 @@ def materialised(views: DataFrame, tasks: DataFrame) -> DataFrame:
     return rows.withColumn("pairs", keys.augmented_pairs(F.col("train"), F.col("code"), F.col("value_mapping"), F.col("order_mapping"))).drop("train")
 
 
-def symmetric_texts(tasks: DataFrame, turned: Callable[[Column], Column] = grids.turned_texts) -> DataFrame:
+def symmetric_texts(tasks: DataFrame, turned: Callable[[Column], Column] = grids.turned_texts, *kept: str) -> DataFrame:
     """(task_id, __turned): of each train pair the texts of its sides under the eight symmetries; null for grids that aren't of digits 0 to 9. ``turned`` makes a side's eight texts."""
     sides = lambda p: F.struct(*[turned(p[side]).alias(side) for side in ("input", "output")])
-    return tasks.select("task_id", F.transform("train", sides).alias("__turned"))
+    return tasks.select("task_id", F.transform("train", sides).alias("__turned"), *kept)
 
 
-def materialised_texts(views: DataFrame, tasks: DataFrame, turned: Callable[[Column], Column] = grids.turned_texts) -> DataFrame:
+def materialised_texts(views: DataFrame, tasks: DataFrame, turned: Callable[[Column], Column] = grids.turned_texts, *kept: str) -> DataFrame:
     """``materialised`` with the sides of its pairs as texts. Grids are turned and written once for a task and symmetry; a view
-    picks its symmetry, puts the pairs in order and changes the texts' digits. A part's turned texts are held while its views pass."""
-    rows = views.join(symmetric_texts(tasks, turned).hint("shuffle_hash"), "task_id")
+    picks its symmetry, puts the pairs in order and changes the texts' digits. A part's turned texts are held while its views pass. kept: columns of tasks that come with them."""
+    rows = views.join(symmetric_texts(tasks, turned, *kept).hint("shuffle_hash"), "task_id")
     place = F.array_position(F.array(*map(F.lit, grids.CODES)), grids.code_name(F.col("code"))).cast("int") - 1
     mapping = F.when(grids.is_permutation(F.col("value_mapping")), F.col("value_mapping"))
     rows = rows.withColumn("__at", place).withColumn("__to", mapping)

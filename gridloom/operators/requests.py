@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grids, keys
 from ..functions.text import sha256, strip
+from . import corpus
 
 MESSAGES = "array<struct<role:string,content:string>>"
 #: Styles of a rewrite (fixed names, in order) and what each asks for.
@@ -162,8 +163,19 @@ def judge_requests(results: DataFrame, votes: int = 5, temperature: float = 0.7,
 def rewrite_requests(specs: DataFrame) -> DataFrame:
     """specs: source_request_id, task_id, pairs, trace, code, value_mapping, order_mapping, style, variant_index."""
     new = keys.augmented_pairs(F.col("pairs"), F.col("code"), F.col("value_mapping"), F.col("order_mapping"))
+    return asked_rewrites(specs, grids.examples_text(F.col("pairs")), grids.examples_text(new))
+
+
+def rewrite_requests_of(specs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``rewrite_requests`` of many specifications a task, without their pairs; tasks: task_id, train (grids of digits). A task's puzzle and its turned grids are written once, and meet the specifications by task."""
+    told = tasks.withColumn("__old", grids.examples_text(F.col("train")))
+    rows = corpus.materialised_texts(specs, told, lambda grid: grids.turned_texts(grid, " "), "__old")
+    return asked_rewrites(rows, F.col("__old"), grids.examples_text(F.col("pairs"), shown=lambda text: text))
+
+
+def asked_rewrites(specs: DataFrame, old: Column, new: Column) -> DataFrame:
     words = augmentation_words(F.col("code"), F.col("value_mapping"), F.col("order_mapping"))
-    prompt = rewrite_prompt(grids.examples_text(F.col("pairs")), F.col("trace"), grids.examples_text(new), words, F.col("style"))
+    prompt = rewrite_prompt(old, F.col("trace"), new, words, F.col("style"))
     identity = {c: F.col(c) for c in ("source_request_id", "code", "value_mapping", "order_mapping", "style", "variant_index")}
     return specs.select(request_id(F.lit("rewrite"), F.col("task_id"), identity).alias("request_id"), "task_id", *identity, messages("You rewrite explanations of grid puzzles.", prompt).alias("messages"))
 
@@ -174,8 +186,13 @@ def rendered(asked: DataFrame) -> DataFrame:
 
 
 def new_augmentations(wanted: DataFrame, used: DataFrame) -> DataFrame:
-    """Planned augmentations whose signature was neither accepted nor attempted."""
-    return wanted.join(used, ["source_request_id", "code", "value_mapping", "order_mapping"], "left_anti")
+    """Planned augmentations whose signature was neither accepted nor attempted. Where ``used`` has its task_id, both meet by task alone, and what is dealt by task isn't shuffled by signature."""
+    signature = ["source_request_id", "code", "value_mapping", "order_mapping"]
+    if "task_id" not in used.columns:
+        return wanted.join(used, signature, "left_anti")
+    tried = used.dropna(subset=signature).groupBy("task_id").agg(F.collect_list(F.struct(*signature)).alias("__tried"))
+    rows = wanted.join(tried.hint("shuffle_hash"), "task_id", "left")
+    return rows.where(~F.coalesce(F.array_contains("__tried", F.struct(*signature)), F.lit(False))).drop("__tried")
 
 
 def few_shot_block(task: Column, puzzle: Column, hint: Column, trace: Column) -> Column:
